@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,19 +248,28 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace").encode()
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec_of(shared) -> Codec:
-    """One codec for each table and Python worker."""
-    if shared.id not in _codecs:
-        _codecs[shared.id] = Codec(shared.value)
-    return _codecs[shared.id]
+class Shared:
+    """A broadcast table under a name of its own."""
+
+    def __init__(self, df: DataFrame, path: str):
+        self.key = uuid.uuid4().hex
+        self.table = df.sparkSession.sparkContext.broadcast(load_table(path))
 
 
-def share(df: DataFrame, path: str):
+def share(df: DataFrame, path: str) -> Shared:
     """Broadcasts the table of a tokenizer file (about 2 MB); executors need not see the file."""
-    return df.sparkSession.sparkContext.broadcast(load_table(path))
+    return Shared(df, path)
+
+
+def codec_of(shared: Shared) -> Codec:
+    """One codec for each table and Python worker."""
+    if shared.key not in _codecs:
+        _codecs.clear()
+        _codecs[shared.key] = Codec(shared.table.value)
+    return _codecs[shared.key]
 
 
 _KINDS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}

@@ -132,10 +132,11 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = df.sparkSession
     shared = share(df, path)
+    largest = max([end_id, *shared.table.value["tokens"].values(), *shared.table.value["special"].values()])
+    ids_kind = np.dtype("<u2" if largest < 1 << 16 else "<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
-        kind = "<u2" if max(len(codec.token_bytes), end_id + 1) <= 1 << 16 else "<u4"
         for b in blocks(batches, "text"):
             off, flat = codec.encode(text_column(b, "text"))
             rows: tuple[list, ...] = ([], [], [], [], [], [])
@@ -144,7 +145,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 for start in range(0, len(own), max_len):
                     part = own[start : start + max_len]
                     keep = with_ids or len(part) < max_len  # only a rest may be cut again
-                    for column, v in zip(rows, (i, start, len(part), zlib.crc32(part.tobytes()), len(own), part.astype(kind).tobytes() if keep else None), strict=True):
+                    for column, v in zip(rows, (i, start, len(part), zlib.crc32(part.tobytes()), len(own), part.astype(ids_kind).tobytes() if keep else None), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "start", "length", "ids_crc32", "doc_tokens", "raw"])
 
@@ -155,12 +156,11 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     n_buckets = max(parallelism(spark), -(-sum(hist.values()) // BUCKET_PIECES))
     made = made.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(n_buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = made.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("bucket", "length", "base")
-    ids_kind = np.dtype("<u2" if max(len(shared.value["tokens"]), end_id + 1, *(1 + i for i in [*shared.value["tokens"].values(), *shared.value["special"].values()])) <= 1 << 16 else "<u4")
+    bases = made.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("bucket").alias("in_bucket"), F.col("length").alias("of_length"), "base")
 
     def place(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "start"], kind="stable", ignore_index=True)
-        rank = rows.groupby("length").cumcount() + rows["length"].map(dict(zip(base["length"], base["base"], strict=True)))
+        rank = rows.groupby("length").cumcount() + rows["length"].map(dict(zip(base["of_length"], base["base"], strict=True)))
         out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")}
         for i, (start, length, crc, raw, k) in enumerate(zip(rows["start"], rows["length"], rows["ids_crc32"], rows["raw"], rank, strict=True)):
             parts = plan.place(length, k)
@@ -173,7 +173,8 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"id": rows["id"].take(at).reset_index(drop=True), "doc_tokens": rows["doc_tokens"].to_numpy()[at]} | out)
 
     schema = f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<long>"
-    placed = made.groupBy("bucket").cogroup(bases.groupBy("bucket")).applyInPandas(lambda rows, base: place(rows, base), schema)
+    dealt = parallelism(spark)
+    placed = made.repartition(dealt, "bucket").groupBy("bucket").cogroup(bases.repartition(dealt, "in_bucket").groupBy("in_bucket")).applyInPandas(lambda rows, base: place(rows, base), schema)
     names = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.select(*names, *(["ids"] if with_ids else []))
 
