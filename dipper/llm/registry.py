@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a QUERIES and, where SQL can express one, an ORACLE_SQL dictionary.
-MODULES = ("bpe", "packing")
+MODULES = ("topk", "urlfilter", "linededup", "bpe", "packing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
