@@ -33,6 +33,8 @@ def deal(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
 
 def shard_slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
     """Where ascending 64-bit keys fall into equal ranges, as (shard, slice); only those that hold keys."""
+    if not len(keys):
+        return
     of = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
     cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(keys)]
     for a, b in zip(cuts, cuts[1:], strict=False):
