@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a QUERIES and, where SQL can express one, an ORACLE_SQL dictionary.
-MODULES = ("topk", "urlfilter", "linededup", "bpe", "quality", "packing", "substrings", "jaccard")
+MODULES = ("topk", "urlfilter", "linededup", "media", "bpe", "quality", "pii", "packing", "substrings", "jaccard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
