@@ -5,8 +5,9 @@ its checks, gazetteers (domain endings, issuer prefixes, reserved networks, area
 borders, and its shape. Expectation-maximisation over the counts of all vote patterns of a kind estimates the labellers'
 reliabilities; posteriors train the final span classifier, a logistic model on discrete features of the span. Its
 training table holds each combination of votes and features once with its count, over all documents, and is bounded by
-their number of combinations. Base spans stay whatever it says; of the others, it adds those that it believes and that
-overlap no base span.
+their number of combinations. Base spans stay whatever it says; a span that fails its base check
+(such as a card's check digit) is a lesson for the labellers, but never added; of the looser ones, it adds those that
+it believes and that overlap no base span.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Repeated rows give repeated
 results. Columns other than the id and the text are not read.
@@ -167,14 +168,13 @@ def believed(weights: np.ndarray, features: tuple[int, ...]) -> bool:
 
 def all_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, whether the classifier added it), by kind, then start."""
-    good, bad = base_spans(text)
+    good, _ = base_spans(text)
     out = [(*s, False) for s in good]
     taken = sorted((a, b) for _, a, b in good)
-    for spans, strict in ((bad, -1), (loose_spans(text), 0)):
-        for s in spans:
-            if all(s[2] <= a or s[1] >= b for a, b in taken) and believed(weights, label(text, s, strict)[1]):
-                out.append((*s, True))
-                taken.append(s[1:])
+    for s in loose_spans(text):
+        if all(s[2] <= a or s[1] >= b for a, b in taken) and believed(weights, label(text, s, 0)[1]):
+            out.append((*s, True))
+            taken.append(s[1:])
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
