@@ -113,7 +113,7 @@ def judge_urls(df: DataFrame, weights: list[int], rules: tuple[tuple[str, str],
 
     A rule holds for its host and the subdomains, where the path starts with the rule's; the longest wins.
     """
-    table = F.transform(F.split(F.lit(",".join(map(str, weights[:-1]))), ","), lambda x: x.cast("bigint"))
+    table = F.expr("array(" + ", ".join(f"{w}L" for w in weights[:-1]) + ")")  # folded into one constant
     parts = df.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parts = parts.withColumns({"host_letters": _letters(F.col("host")), "path_letters": _letters(F.col("path"))})
     (hs, hn), (ps, pn) = _total(F.col("host_letters"), table, 1), _total(F.col("path_letters"), table, 2)
