@@ -21,13 +21,18 @@ from dipper.llm.common import parallelism
 BUCKET_BYTES = 4 << 20
 
 
-def deal(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Documents as (bucket, id, text), dealt out by bucket, and the bytes of text in all. Null texts become empty."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def deal(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Documents as (bucket, id, text), dealt out by bucket, and the bytes of text in all. Null texts become empty.
+
+    ``carry``: other columns to take along, in a struct ``rest``.
+    """
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # rows without an id are told apart by their text alone
     n = max(4 * parallelism(df.sparkSession), -(-total // BUCKET_BYTES))
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("bucket"), "id", "text")
+    # rows without an id are told apart by their texts
+    at = F.xxhash64(F.coalesce(F.xxhash64("id"), F.lit(0)), F.when(F.col("id").isNull(), F.col("text")))
+    rows = rows.select(F.pmod(at, F.lit(n)).alias("bucket"), "id", "text", *(["rest"] if carry else []))
     return rows.repartition(parallelism(df.sparkSession), "bucket"), total
 
 

@@ -85,9 +85,9 @@ def line_keys(text: str) -> tuple[list[bytes], list[bytes]]:
     return lines, [xxh3_128_digest(k) if (k := x.strip(_BLANK).lower()) else b"" for x in lines]
 
 
-def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, ``n_lines`` (before), ``n_dropped`` and the text without the lines dropped."""
-    dealt, _ = deal(df, id_col, text_col)
+def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: the id, ``n_lines`` (before), ``n_dropped``, the text without the lines dropped, and columns to ``carry``."""
+    dealt, _ = deal(df, id_col, text_col, carry)
     lines = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))), F.lit(0))).first()[0]
     shards = max(32, -(-lines // SHARD_LINES))
 
@@ -126,11 +126,13 @@ def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(stay))
             kept.append(b"\n".join(stay).decode("utf-8", "surrogatepass") if len(stay) < len(lines) else text)
-        return pa.table({"id": docs.column("id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "text": pa.array(kept, pa.string())})
+        out = {"id": docs.column("id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "text": pa.array(kept, pa.string())}
+        return pa.table(out | ({"rest": docs.column("rest")} if carry else {}))
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = with_answers(dealt, answer(dealt, keys_of, judge), apply, f"id {kind}, n_lines long, n_dropped long, text string")
-    return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("text").alias(text_col))
+    rest = f", rest {dealt.schema['rest'].dataType.simpleString()}" if carry else ""
+    out = with_answers(dealt, answer(dealt, keys_of, judge), apply, f"id {kind}, n_lines long, n_dropped long, text string{rest}")
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("text").alias(text_col), *[F.col("rest")[c].alias(c) for c in carry])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,27 +181,39 @@ def all_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())]))
 
 
-def find_private(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """One row per row: the id, ``spans`` and, if asked for, the text with each span replaced by its kind in brackets."""
+def masked(text: str, found: list[tuple[str, int, int, bool]]) -> str:
+    """The text with each span replaced by its kind in brackets; of overlapping ones, the first and longest."""
+    parts, at = [], 0
+    for k, s, e, _ in sorted(found, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            parts += [text[at:s], f"[{k}]"]
+        at = max(at, e)
+    return "".join(parts) + text[at:]
+
+
+def find_private(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: the id and ``spans``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            spans, texts = [], []
-            for text in text_column(b, "text").to_pylist():
-                found = all_spans(text, weights)
-                spans.append([{"kind": k, "start": s, "end": e, "added": x} for k, s, e, x in found])
-                if mask:
-                    parts, at = [], 0
-                    for k, s, e, _ in sorted(found, key=lambda x: (x[1], -x[2])):
-                        if s >= at:
-                            parts += [text[at:s], f"[{k}]"]
-                        at = max(at, e)
-                    texts.append("".join(parts) + text[at:] if found else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS), *([pa.array(texts, pa.string())] if mask else [])], names=["id", "spans", *(["text"] if mask else [])])
+            spans = [[{"kind": k, "start": s, "end": e, "added": x} for k, s, e, x in all_spans(t, weights)] for t in text_column(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS)], names=["id", "spans"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long,added:boolean>>" + ", text string" * mask)
-    return out.select(F.col("id").alias(id_col), "spans", *([F.col("text").alias(text_col)] if mask else []))
+    out = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long,added:boolean>>")
+    return out.withColumnRenamed("id", id_col)
+
+
+def mask_private(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, with personal data in the text masked. A null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, text_col):
+            at = b.schema.get_field_index(text_col)
+            texts = [None if t is None else masked(t, found) if (found := all_spans(t, weights)) else t for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

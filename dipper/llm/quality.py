@@ -71,8 +71,21 @@ def describe(text: bytes) -> tuple[str, dict[int, float]]:
     return votes_key(votes), features
 
 
-def judge_quality(df: DataFrame, max_rows: int = 20_000, threshold: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, ``votes``, ``posterior`` (of the votes alone), ``score`` and ``keep``."""
+class Model:
+    """The posterior of each pattern of votes, and the weights of the scorer."""
+
+    def __init__(self, good: dict[str, float], weights: np.ndarray, threshold: float):
+        self.good, self.weights, self.threshold = good, weights, threshold
+
+    def score(self, votes: str, features: dict[int, float]) -> float:
+        if not features:
+            return self.good.get(votes, 1.0)
+        z = sum(self.weights[i] * x for i, x in features.items()) + self.weights[-1]
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
+def fit(df: DataFrame, max_rows: int = 20_000, threshold: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model for ``df``, and what it saw: (id, votes, at, share), kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -83,19 +96,35 @@ def judge_quality(df: DataFrame, max_rows: int = 20_000, threshold: float = 0.25
     seen = cut(df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, votes string, at array<int>, share array<float>"))
     patterns = {r["votes"]: r["count"] for r in seen.groupBy("votes").count().collect()}
     good, _ = posteriors(patterns, start=0.8)
-    sample = seen.where(F.size("at") > 0).orderBy(F.xxhash64("id")).limit(max_rows).select("votes", "at", "share").collect()
+    sample = seen.where(F.size("at") > 0).orderBy(F.xxhash64("id"), "votes", "at", "share").limit(max_rows).select("votes", "at", "share").collect()
     weights = fit_logistic([(dict(zip(r["at"], r["share"], strict=True)), good[r["votes"]], 1.0) for r in sample], DIM)
+    return Model(good, weights, threshold), seen
+
+
+def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """One row per row: the id, ``votes``, ``posterior`` (of the votes alone), ``score`` and ``keep``."""
+    model, seen = fit(df, id_col=id_col, text_col=text_col, **options)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, share = b.column(2), b.column(3)
-            n = np.diff(at.offsets.to_numpy())
-            z = np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[at.flatten().to_numpy()] * share.flatten().to_numpy(), minlength=len(n)) + weights[-1]
-            by_votes = np.array([good[v] for v in b.column(1).to_pylist()], float)
-            p = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), by_votes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(by_votes), pa.array(p), pa.array(p >= threshold)], names=["id", "votes", "posterior", "score", "keep"])
-
-    return seen.mapInArrow(score, f"id {kind}, votes string, posterior double, score double, keep boolean").withColumnRenamed("id", id_col)
+            votes = b.column(1).to_pylist()
+            score = [model.score(v, dict(zip(at, x, strict=True))) for v, at, x in zip(votes, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([model.good[v] for v in votes], pa.float64()), pa.array(score, pa.float64()), pa.array([s >= model.threshold for s in score], pa.bool_())], names=["id", "votes", "posterior", "score", "keep"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return seen.mapInArrow(run, f"id {kind}, votes string, posterior double, score double, keep boolean").withColumnRenamed("id", id_col)
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """The rows of ``df`` that the classifier keeps, with all columns; each is judged where it lies."""
+    model, _ = fit(df, id_col=id_col, text_col=text_col, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, text_col):
+            keep = [model.score(*describe(t)) >= model.threshold for t in text_column(b, text_col).cast(pa.large_binary()).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def op6_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
