@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dipper.llm.common import window_hashes, word_codes, word_hashes
+from dipper.llm.common import mix, window_hashes, word_codes, word_hashes
 from dipper.llm.exchange import answer, deal, read_bitmaps, repeated, shard_slices, with_answers
 
 #: Words of a seed; ``window - SEED + 1`` seeds compete in a window.
@@ -63,11 +63,12 @@ class Bucket:
         width = window - seed + 1
         grams = window_hashes(self.hashes, seed)
         least = _slide(grams, width, np.minimum)
-        self.anchor = least[self.starts]
+        # least hashes are small; scrambled, they fall evenly into shards
+        self.anchor = mix(least[self.starts], 99)
         # A place is selected if it holds the least hash of a window around it.
         pad = np.zeros(width - 1, np.uint64)
         around = _slide(np.concatenate([pad, np.where(ok, least, 0), pad]), width, np.maximum)
-        self.selected = grams[(around == grams) & (around > 0)]
+        self.selected = mix(grams[(around == grams) & (around > 0)], 99)
 
     def anchors(self, shards: int) -> Iterator[tuple[int, bytes]]:
         """Distinct anchors, and whether they have more than one place in the bucket."""
