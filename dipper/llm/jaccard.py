@@ -4,12 +4,14 @@ A document's set holds the hashes of its distinct 5-word shingles. Documents wit
 
 1. Shingles that only one node holds can't be shared. Which those are comes from the exchange of ``exchange`` (32 bits a
    shingle; a chance match only weakens the filter). A node with more of them than a partner may lack is done.
-2. Two nodes whose similarity reaches the threshold share a token among the first |A| - ceil(t|A|) + 1 of each, under
-   any global order of tokens. Under a first order, nodes that share such a token fall into one cell; under a second
-   order, tokens count within the cells of the first, which intersects the filters; a third order, rarest first, is
-   taken within each cell. Nodes that are in one cell under every order and share a prefix token there are verified
-   by the exact size of their intersection.
-3. Links are what components need: in a cell, a node is only compared with those that it isn't yet connected with, so a
+2. Those that are left count, in the same way, how many of them hold each shingle; that is the rarity that orders use.
+   Shingles that only one of them holds are left out, and nodes that then can't reach the threshold, too.
+3. Two nodes whose similarity reaches the threshold share a token among the first |A| - ceil(t|A|) + 1 of each, under
+   any global order of tokens. Under a first order, by rarity, nodes that share such a token fall into one cell; under
+   a second order, by powers of two of rarity and another hash, tokens count within the cells of the first, which
+   intersects the filters; a third order, by rarity in the cell, is taken within each cell. Nodes that are in one cell
+   under every order and share a prefix token there are verified by the exact size of their intersection.
+4. Links are what components need: in a cell, a node is only compared with those that it isn't yet connected with, so a
    group of near copies takes about as many comparisons as it has members. Cells of more than CELL_TOKENS are split into
    pairs of chunks that are compared each in a task of its own. Nothing is capped: every candidate pair that could
    connect two components is verified.
@@ -21,7 +23,7 @@ take no part and have no component. Columns other than the id and the text are n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dipper.llm.common import cut, mix, ragged_take, window_hashes, word_codes, word_hashes
+from dipper.llm.common import cut, mix, parallelism, ragged_take, window_hashes, word_codes, word_hashes
 from dipper.llm.components import components
-from dipper.llm.exchange import answer, deal, read_bitmaps, repeated, with_answers
+from dipper.llm.exchange import answer, deal, read_bitmaps, repeated, shard_slices, with_answers
 
 #: Bytes of text, and of prefix tokens, for which one shard is made.
 SHARD_BYTES = 16 << 20
 #: Tokens of the nodes in one chunk of a cell.
 CELL_TOKENS = 2_000_000
 _SHORT = np.dtype([("key", "<u4"), ("more", "u1")])
+_COUNT = np.dtype([("key", "<u8"), ("holders", "<u4")])
 _PREFIX = np.dtype([("token", "<u8"), ("node", "<i8")])
 
 
@@ -101,7 +104,7 @@ class Bucket:
             yield s, entries[c].tobytes()
 
 
-def prefix_entries(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, cells: np.ndarray | None, order: int, percent: int) -> np.ndarray:
+def prefix_entries(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, nodes: np.ndarray, cells: np.ndarray | None, order: int, percent: int) -> np.ndarray:
     """The first tokens of each node under one order, as (token in its cell, node).
 
     ``tokens``: those that other nodes hold; the ``n - len`` others come first in every order.
@@ -110,7 +113,7 @@ def prefix_entries(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, nodes: np
     take = np.minimum(have, have - least_common(n, percent) + 1).clip(0)
     of = np.repeat(np.arange(len(n)), have)
     rank = mix(tokens, 1000 + order)
-    by = np.lexsort((rank, of))
+    by = np.lexsort((rank, rarity if order == 1 else np.frexp(rarity)[1], of))
     keep = np.arange(len(tokens)) - np.repeat(off[:-1], have) < np.repeat(take, have)
     out = np.zeros(int(keep.sum()), _PREFIX)
     at = by[keep]
@@ -191,6 +194,42 @@ def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, side: np.ndarr
     return label
 
 
+def count_holders(held: DataFrame, columns: Callable, shards: int, percent: int) -> DataFrame:
+    """(node, n, tokens, rarity): of each node's tokens those that other nodes of ``held`` hold, with the number of holders.
+
+    Nodes that share too few of them are left out.
+    """
+    n_buckets = 4 * parallelism(held.sparkSession)
+    dealt = held.select(F.pmod(F.xxhash64("node"), F.lit(n_buckets)).alias("bucket"), "node", "n", "tokens").repartition(parallelism(held.sparkSession), "bucket")
+
+    def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+        keys, counts = np.unique(columns(table)[2], return_counts=True)
+        entries = np.zeros(len(keys), _COUNT)
+        entries["key"], entries["holders"] = keys, counts
+        for s, c in shard_slices(keys, shards):
+            yield s, entries[c].tobytes()
+
+    def judge(arrays: list[bytes]) -> list[bytes]:
+        entries = np.concatenate([np.frombuffer(a, _COUNT) for a in arrays])
+        _, inverse = np.unique(entries["key"], return_inverse=True)
+        total = np.bincount(inverse, weights=entries["holders"]).astype("<u4")[inverse]
+        ends = np.cumsum([len(a) // _COUNT.itemsize for a in arrays])
+        return [x.tobytes() for x in np.split(total, ends[:-1])]
+
+    def apply(table: pa.Table, said: pa.Table) -> pa.Table:
+        n, off, tokens, node = columns(table)
+        keys = np.unique(tokens)
+        by_shard = dict(zip(said.column("at_shard").to_pylist(), said.column("said").to_pylist(), strict=True)) if said.num_rows else {}
+        holders = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(by_shard[s], "<u4") for s, _ in shard_slices(keys, shards))])[np.searchsorted(keys, tokens)]
+        shared = holders > 1
+        many = np.concatenate([[0], np.cumsum(shared)])[off]
+        rows = np.flatnonzero(np.diff(many) >= least_common(n, percent))
+        cuts = [(slice(a, b), shared[a:b]) for a, b in zip(off[:-1][rows].tolist(), off[1:][rows].tolist(), strict=True)]
+        return pa.table({"node": pa.array(node[rows]), "n": pa.array(n[rows]), "tokens": pa.array([tokens[c][k].tobytes() for c, k in cuts], pa.binary()), "rarity": pa.array([holders[c][k].tobytes() for c, k in cuts], pa.binary())})
+
+    return with_answers(dealt, answer(dealt, send, judge), apply, "node long, n long, tokens binary, rarity binary")
+
+
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links of similarity ``percent`` / 100."""
     dealt, total = deal(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
@@ -212,13 +251,14 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     nodes = docs.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"))
     # Each bucket gave the tokens to its least id of a set; the least of all has them.
     held = docs.where("tokens is not null").join(nodes.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "node"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("id") == F.col("node"))).select("node", "n", "tokens")
-    held = cut(held)
 
     def columns(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         raw = table.column("tokens").to_pylist()
         off = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
         return table.column("n").to_numpy(), off, np.frombuffer(b"".join(raw), "<u8"), table.column("node").to_numpy()
 
+    held = cut(count_holders(held, columns, shards, percent))
+
     def cells(rows: DataFrame, order: int) -> DataFrame:
         """(vertex, component) of nodes that share prefix tokens under an order, within their cells so far."""
 
@@ -228,7 +268,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
                     continue
                 size, off, tokens, node = columns(b)
                 old = b.column("cell").to_numpy() if "cell" in b.schema.names else None
-                entries = prefix_entries(size, off, tokens, node, old, order, percent)
+                rarity = np.frombuffer(b"".join(b.column("rarity").to_pylist()), "<u4")
+                entries = prefix_entries(size, off, tokens, rarity, node, old, order, percent)
                 of = (((entries["token"] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(of, kind="stable")
                 cuts = np.flatnonzero(np.diff(of[by])) + 1
