@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +89,14 @@ class TarWriter:
 
     def __init__(self, root: str):
         self.store, self.path = _open_store(root)
-        self.stream, self.name, self.at = None, "", 0
+        self.stream, self.name, self.at, self.files = None, "", 0, 0
+        self.prefix = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex[:8]}"
 
     def add(self, name: str, data: bytes) -> tuple[str, int, int]:
         if self.stream is None or self.at > SHARD_BYTES:
             self.close()
-            self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
+            self.name, self.at = f"{self.prefix}-{self.files}.tar", 0
+            self.files += 1
             self.stream = self.store.open_output_stream(f"{self.path}/{self.name}")
         info = tarfile.TarInfo(name)
         info.size = len(data)
@@ -110,43 +113,46 @@ class TarWriter:
             self.stream = None
 
 
-def store_payloads(df: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, ``n_bytes``, ``digest`` (SHA-256 of the payload), ``shard``, ``offset`` and ``length`` of its media."""
+def store_payloads(df: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, places): (the id, ``n_bytes``, ``digest``) of each row, and (digest, ``shard``, ``offset``, ``length``) once a payload.
+
+    A digest is the SHA-256 of the payload.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, seen = TarWriter(root), set()
         names = ["id", "n_bytes", "digest", "shard", "offset", "length"]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
         for b in blocks(batches, "text"):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for text in text_column(b, "text").cast(pa.large_binary()).to_pylist():
                 payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 place: tuple = (None, None, None)
                 if digest not in seen:
                     seen.add(digest)
-                    place = writer.add(digest, write_png(payload))
+                    place = writer.add(digest.hex(), write_png(payload))
                 for c, v in zip(rows, (len(text), digest, *place), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=names)
         writer.close()
 
-    _open_store(root)[0].create_dir(_open_store(root)[1], recursive=True)
+    store, path = _open_store(root)
+    store.create_dir(path, recursive=True)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = cut(df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, n_bytes long, digest string, shard string, offset long, length long"))
-    place = rows.where("shard is not null").groupBy(F.col("digest").alias("key")).agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    place = cut(place.select("key", "place.*"))
-    return rows.select("id", "n_bytes", "digest").join(place, F.col("digest") == F.col("key")).select(F.col("id").alias(id_col), "n_bytes", "digest", "shard", "offset", "length")
+    rows = cut(df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, n_bytes long, digest binary, shard string, offset long, length long"))
+    places = rows.where("shard is not null").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
+    return rows.select(F.col("id").alias(id_col), "n_bytes", "digest"), places
 
 
 _META = {"width": "int", "height": "int", "bit_depth": "int", "colour_type": "int"}
 _BODY = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
 
-def read_media(rows: DataFrame, root: str, body: bool = False) -> DataFrame:
-    """``rows`` with metadata columns from range reads of headers and, if asked for, what a read of the payload gives.
+def read_media(places: DataFrame, root: str, body: bool = False) -> DataFrame:
+    """``places`` with metadata columns from range reads of headers and, if asked for, what a read of the payload gives.
 
-    Each member is read once, however many rows have it, in the order of its shard.
+    Members are read in the order of their shard, a few MB of a shard a task.
     """
     columns = _META | (_BODY if body else {})
 
@@ -170,21 +176,25 @@ def read_media(rows: DataFrame, root: str, body: bool = False) -> DataFrame:
                 for k, v in out.items():
                     v.append(found[k])
             arrow = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, arrow[columns[k]]) for k, v in out.items())], names=["key", *out])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, arrow[columns[k]]) for k, v in out.items())], names=[*b.schema.names, *out])
         if file is not None:
             file.close()
 
-    once = rows.groupBy(F.col("digest").alias("key")).agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("key", "p.shard", "p.offset", "p.length")
-    dealt = once.repartition(4 * parallelism(rows.sparkSession), "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
-    found = dealt.mapInArrow(run, "key string, " + ", ".join(f"{k} {t}" for k, t in columns.items()))
-    return rows.join(found, F.col("digest") == F.col("key")).drop("key")
+    dealt = places.select("digest", "shard", "offset", "length").repartition(4 * parallelism(places.sparkSession), "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
+    return dealt.mapInArrow(run, "digest binary, shard string, offset long, length long, " + ", ".join(f"{k} {t}" for k, t in columns.items()))
+
+
+def media_columns(df: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", body: bool = False) -> DataFrame:
+    """One row per row: the id, ``n_bytes``, and the columns of ``read_media`` for its payload."""
+    rows, places = store_payloads(df, root, id_col, text_col)
+    return rows.join(read_media(places, root, body), "digest")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``, stored as media and read back."""
     root = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    rows = store_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet"), root)
-    return read_media(rows, root, body=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), root, body=True)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 QUERIES = {"op4_media_columns": op4_media_columns}
