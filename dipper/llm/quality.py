@@ -4,7 +4,7 @@ Seven overlapping heuristics vote on each document: capitals, odd marks, table b
 few distinct words, and plain words that go on.
 Expectation-maximisation over the counts of all vote patterns estimates their accuracies and the posterior of each
 pattern. Posteriors are the labels of a logistic model on hashed word shapes, fitted on at most ``max_rows`` documents
-(those with the least hash of their id). Its score decides: below ``threshold``, a document goes. Texts of fewer than LEAST_WORDS words
+(those with the least hash). Its score decides: below ``threshold``, a document goes. Texts of fewer than LEAST_WORDS words
 are judged by their posterior instead. No labels are used.
 
 Null, empty and blank texts have no words, nothing against them, and are kept. Repeated rows are judged alike. Columns
@@ -96,7 +96,11 @@ def fit(df: DataFrame, max_rows: int = 20_000, threshold: float = 0.25, id_col:
     seen = cut(df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, f"id {kind}, votes string, at array<int>, share array<float>"))
     patterns = {r["votes"]: r["count"] for r in seen.groupBy("votes").count().collect()}
     good, _ = posteriors(patterns, start=0.8)
-    sample = seen.where(F.size("at") > 0).orderBy(F.xxhash64("id"), "votes", "at", "share").limit(max_rows).select("votes", "at", "share").collect()
+    # Those with the least hash: a bit more than max_rows have one below the bound, so little is sorted or sent.
+    slots = 1 << 30
+    bound = min(slots, int(1.3 * slots * max_rows / max(1, sum(patterns.values()))) + 1)
+    least = F.pmod(F.xxhash64("id", "votes", "at", "share"), F.lit(slots))
+    sample = seen.where((F.size("at") > 0) & (least < bound)).orderBy(least, "votes", "at", "share").limit(max_rows).select("votes", "at", "share").collect()
     weights = fit_logistic([(dict(zip(r["at"], r["share"], strict=True)), good[r["votes"]], 1.0) for r in sample], DIM)
     return Model(good, weights, threshold), seen
 
