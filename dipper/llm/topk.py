@@ -29,8 +29,8 @@ BLOCK = 16
 def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
     """The k best candidates of each query: (query ids, candidate ids, scores). ``data`` and ``queries``: rows of integers."""
     dims = data.shape[1]
-    top = max(np.abs(data).max(initial=0), 1) * max(np.abs(queries).max(initial=0), 1) * max(dims, 1)
-    kind = np.float64 if float(top) < 2**53 else np.int64  # both exact; doubles are faster
+    top = max(int(np.abs(data).max(initial=0)), 1) * max(int(np.abs(queries).max(initial=0)), 1) * max(dims, 1)
+    kind = np.float64 if top < 2**53 else np.int64  # both exact; doubles are faster
     columns = np.ascontiguousarray(data.T).astype(kind)
     cuts = [slice(i, min(i + BLOCK, dims)) for i in range(0, dims, BLOCK)] or [slice(0, 0)]
     mass = np.stack([(columns[c].astype(np.float64) ** 2).sum(0) for c in cuts])
