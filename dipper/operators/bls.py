@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dipper.functions.phase import phase, phase_bin
 from dipper.functions.scores import box_depth, dip_snr, signal_residue
 from dipper.operators import kernels
-from dipper.operators.lightcurve import with_target_stats, with_weights
+from dipper.operators.lightcurve import with_weights
 
 #: Ratios of periods that count as harmonics.
 HARMONICS = (0.5, 2.0, 1 / 3, 3.0, 2 / 3, 1.5, 0.25, 4.0)
@@ -96,7 +96,8 @@ def best_period(power: DataFrame) -> DataFrame:
 
 def with_sde(power: DataFrame) -> DataFrame:
     """Adds ``sde``: how many population deviations a period's sr lies above the target's mean; 0 if all are alike."""
-    rows = with_target_stats(power, F.avg("sr").alias("sr_mean"), F.stddev_pop("sr").alias("sr_dev"))
+    by = Window.partitionBy("target")  # a target's periods; the same dealing as in ``peaks``
+    rows = power.withColumns({"sr_mean": F.avg("sr").over(by), "sr_dev": F.stddev_pop("sr").over(by)})
     return rows.withColumn("sde", F.when(F.col("sr_dev") > 0, (F.col("sr") - F.col("sr_mean")) / F.when(F.col("sr_dev") > 0, F.col("sr_dev"))).otherwise(0.0)).drop("sr_mean", "sr_dev")
 
 
@@ -120,12 +121,14 @@ def flag_harmonics(candidates: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
     The order matters, so each target's ranked periods are folded once, in an array; it holds peaks only.
     """
-    ranked = candidates.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("peak_rank", "period"))).alias("ranked"))
+    rest = [c for c in candidates.columns if c not in ("target", "peak_rank")]
+    ranked = candidates.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("peak_rank", *rest))).alias("ranked"))
     near = lambda p, q: F.exists(F.array(*map(F.lit, HARMONICS)), lambda h: F.abs(p / q - h) < tolerance * h)
-    keep = F.aggregate("ranked", F.array().cast("array<struct<peak_rank:int,period:double>>"), lambda kept, c: F.when(F.exists(kept, lambda k: near(c["period"], k["period"])), kept).otherwise(F.array_append(kept, c)))
-    own = ranked.select(F.col("target").alias("of_target"), F.transform(keep, lambda k: k["peak_rank"]).alias("kept_ranks"))
-    rows = candidates.join(own, F.col("target").eqNullSafe(F.col("of_target")))
-    return rows.withColumn("is_harmonic", ~F.array_contains("kept_ranks", F.col("peak_rank"))).drop("of_target", "kept_ranks")
+    empty = F.array().cast("array<struct<peak_rank:int,period:double>>")
+    keep = F.aggregate("ranked", empty, lambda kept, c: F.when(F.exists(kept, lambda k: near(c["period"], k["period"])), kept).otherwise(F.array_append(kept, F.struct(c["peak_rank"].alias("peak_rank"), c["period"].alias("period")))))
+    ranked = ranked.withColumn("kept_ranks", F.transform(keep, lambda k: k["peak_rank"]))
+    flagged = F.transform("ranked", lambda c: F.struct(c["peak_rank"].alias("peak_rank"), *[c[x].alias(x) for x in rest], (~F.array_contains("kept_ranks", c["peak_rank"])).alias("is_harmonic")))
+    return ranked.select("target", F.inline(flagged))
 
 
 def snr_objective(power: DataFrame, counts: DataFrame) -> DataFrame:

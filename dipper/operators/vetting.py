@@ -34,20 +34,20 @@ def vet(lc: DataFrame, candidates: DataFrame, n_bins: int = 400, odd_even_limit:
     ``candidates``: (target, peak_rank, period, phase_start, phase_width, depth, is_harmonic, ...). A test that can't be
     made (an empty window, one parity only) doesn't reject, and gives 0. A test after a rejection isn't made: null.
     """
-    c = candidates.select(F.col("target").alias("of_target"), "peak_rank", F.col("period").alias("p"), "phase_start", "phase_width")
-    points = lc.select("target", "t", "flux").join(c, F.col("target").eqNullSafe(F.col("of_target")))
-    b = phase_bin(phase(F.col("t"), F.col("p")), n_bins)
+    points = lc.select(F.col("target").alias("of_target"), "t", "flux")
+    rest = [c for c in candidates.columns if c not in ("target", "peak_rank")]
+    points = candidates.join(points, F.col("target").eqNullSafe(F.col("of_target")), "left")
+    b = phase_bin(phase(F.col("t"), F.col("period")), n_bins)
     start, width = _window_bins(F.col("phase_start"), F.col("phase_width"), n_bins)
     second, _ = _window_bins(secondary_phase(F.col("phase_start")), F.col("phase_width"), n_bins)
-    points = points.select("of_target", "peak_rank", "flux", epoch_parity(F.col("t"), F.col("p")).alias("odd"), _in_bins(b, start, width, n_bins).alias("primary"), _in_bins(b, second, width, n_bins).alias("secondary"))
+    points = points.select("target", "peak_rank", F.struct(*rest).alias("cand"), "flux", epoch_parity(F.col("t"), F.col("period")).alias("odd"), _in_bins(b, start, width, n_bins).alias("primary"), _in_bins(b, second, width, n_bins).alias("secondary"))
     sums = []
     for name, where in (("odd", F.col("odd") == 1), ("even", F.col("odd") == 0)):
         sums += [F.count(F.when(where, 1)).alias(f"n_{name}"), F.sum(F.when(where, F.col("flux"))).alias(f"f_{name}"), F.count(F.when(where & F.col("primary"), 1)).alias(f"in_{name}"), F.coalesce(F.sum(F.when(where & F.col("primary"), F.col("flux"))), F.lit(0.0)).alias(f"g_{name}")]
-    sums += [F.count(F.lit(1)).alias("n_all"), F.sum("flux").alias("f_all"), F.count(F.when(F.col("secondary"), 1)).alias("in_second"), F.coalesce(F.sum(F.when(F.col("secondary"), F.col("flux"))), F.lit(0.0)).alias("g_second")]
-    own = points.groupBy("of_target", F.col("peak_rank").alias("of_rank")).agg(*sums)
+    sums += [F.first("cand").alias("cand"), F.count("flux").alias("n_all"), F.sum("flux").alias("f_all"), F.count(F.when(F.col("secondary"), 1)).alias("in_second"), F.coalesce(F.sum(F.when(F.col("secondary"), F.col("flux"))), F.lit(0.0)).alias("g_second")]
+    own = points.groupBy("target", "peak_rank").agg(*sums)
     col = F.col
-    own = own.select("of_target", "of_rank", _depth(col("in_odd"), col("g_odd"), col("n_odd"), col("f_odd")).alias("depth_odd"), _depth(col("in_even"), col("g_even"), col("n_even"), col("f_even")).alias("depth_even"), _depth(col("in_second"), col("g_second"), col("n_all"), col("f_all")).alias("secondary_depth"))
-    rows = candidates.join(own, col("target").eqNullSafe(col("of_target")) & (col("peak_rank") == col("of_rank")), "left").drop("of_target", "of_rank")
+    rows = own.select("target", "peak_rank", *[col("cand")[c].alias(c) for c in rest], _depth(col("in_odd"), col("g_odd"), col("n_odd"), col("f_odd")).alias("depth_odd"), _depth(col("in_even"), col("g_even"), col("n_even"), col("f_even")).alias("depth_even"), _depth(col("in_second"), col("g_second"), col("n_all"), col("f_all")).alias("secondary_depth"))
     mean = (col("depth_odd") + col("depth_even")) / 2
     sigma = F.coalesce(F.when(mean == 0, 0.0).otherwise(F.abs(col("depth_odd") - col("depth_even")) / F.when(mean != 0, mean) / 0.1), F.lit(0.0))
     ratio = F.coalesce(F.when(col("depth") != 0, col("secondary_depth") / F.when(col("depth") != 0, F.abs(col("depth")))), F.lit(0.0))
