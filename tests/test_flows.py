@@ -122,3 +122,14 @@ def test_sinks_and_nan(spark, tmp_path):
     # all NaN or zero medians give ones
     assert {r["flux"] for r in lcs.normalize_median(lc).collect()} == {1.0}
     assert lcs.filter_nan(lc).count() == 2
+
+
+def test_synthetic_recovery(spark):
+    from dipper.operators import bls
+    from dipper.sources.synthetic import transit_curves
+
+    lc = transit_curves(spark, targets=2)
+    assert lc.collect() == transit_curves(spark, targets=2).collect()
+    power = bls.with_sde(bls.search(lc, min_duration=0.1, max_duration=0.3, min_period=3.0, max_fraction=0.3, n_bins=300, chunks=4))
+    for r in bls.best_period(power).collect():
+        assert abs(r["period"] - 5) < 0.1 and r["sde"] > 6 and r["depth"] > 0
