@@ -311,11 +311,10 @@ def bls_sde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bls.with_sde(_power_of(spark, sf_dir)).select("target", "pid", "sr", "sde"), "sr", "sde")
 
 
-@query(f"WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power(True)} SELECT target, pid, {_r('sqrt(n * sr)')} AS power FROM power JOIN (SELECT target, count(*) AS n FROM lc GROUP BY 1) USING (target)")
+@query(f"WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power(True)} SELECT target, pid, {_r('sqrt(n * s * s / (r * (1 - r)))')} AS power FROM power JOIN (SELECT target, count(*) AS n FROM lc GROUP BY 1) USING (target)")
 def bls_snr_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lcs.baselines(light_curves(spark, sf_dir)).select("target", "n")
-    rows = _power_of(spark, sf_dir, dips=True).join(counts, "target")
-    return rounded(rows.select("target", "pid", F.sqrt(F.col("n") * F.col("sr")).alias("power")), "power")
+    return rounded(bls.snr_objective(_power_of(spark, sf_dir, dips=True), counts).select("target", "pid", "power"), "power")
 
 
 def _peaks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
