@@ -9,31 +9,49 @@ same keys again and read the answers. The dealt documents are one shuffle, used
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipper.llm.common import parallelism
 
 #: Bytes of text in one bucket.
 BUCKET_BYTES = 4 << 20
+#: Bytes of text in one partition of buckets, at most about.
+PARTITION_BYTES = 64 << 20
 
 
-def deal(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """Documents as (bucket, id, text), dealt out by bucket, and the bytes of text in all. Null texts become empty.
+class Dealt(NamedTuple):
+    """Rows dealt out by their column ``bucket``, over how many partitions, and the bytes that they hold in all."""
+
+    rows: DataFrame
+    partitions: int
+    total: int
+
+
+def deal_buckets(rows: DataFrame, key: Column, total: int) -> Dealt:
+    """Deals rows to hash buckets of a few MB by a key; the number of partitions grows with the bytes."""
+    spark = rows.sparkSession
+    buckets = max(4 * parallelism(spark), -(-total // BUCKET_BYTES))
+    partitions = max(parallelism(spark), -(-total // PARTITION_BYTES))
+    rows = rows.select(F.pmod(key, F.lit(buckets)).alias("bucket"), "*").repartition(partitions, "bucket")
+    return Dealt(rows, partitions, total)
+
+
+def deal(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> Dealt:
+    """Documents as (bucket, id, text), dealt out by bucket. Null texts become empty.
 
     ``carry``: other columns to take along, in a struct ``rest``.
     """
     rest = [F.struct(*carry).alias("rest")] if carry else []
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(4 * parallelism(df.sparkSession), -(-total // BUCKET_BYTES))
     # rows without an id are told apart by their texts
-    at = F.xxhash64(F.coalesce(F.xxhash64("id"), F.lit(0)), F.when(F.col("id").isNull(), F.col("text")))
-    rows = rows.select(F.pmod(at, F.lit(n)).alias("bucket"), "id", "text", *(["rest"] if carry else []))
-    return rows.repartition(parallelism(df.sparkSession), "bucket"), total
+    key = F.xxhash64(F.coalesce(F.xxhash64("id"), F.lit(0)), F.when(F.col("id").isNull(), F.col("text")))
+    return deal_buckets(rows, key, total)
 
 
 def shard_slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
@@ -47,7 +65,7 @@ def shard_slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
             yield int(of[a]), slice(a, b)
 
 
-def answer(dealt: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[int, bytes]]], judge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def answer(dealt: Dealt, keys_of: Callable[[pa.Table], Iterator[tuple[int, bytes]]], judge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Sends packed keys of each bucket to their shards: (at_bucket, at_shard, said).
 
     ``keys_of``: (shard, packed entries) of a bucket; ``judge``: what to say to each array that a shard got.
@@ -63,18 +81,17 @@ def answer(dealt: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[int, b
         keep = [i for i, x in enumerate(said) if x]
         return pa.table({"at_bucket": table.column("from_bucket").take(pa.array(keep, pa.int64())), "at_shard": table.column("shard").take(pa.array(keep, pa.int64())), "said": pa.array([said[i] for i in keep], pa.binary())})
 
-    sent = dealt.groupBy("bucket").applyInArrow(send, "shard long, from_bucket long, packed binary")
+    sent = dealt.rows.groupBy("bucket").applyInArrow(send, "shard long, from_bucket long, packed binary")
     return sent.groupBy("shard").applyInArrow(reply, "at_bucket long, at_shard long, said binary")
 
 
-def with_answers(dealt: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(dealt: Dealt, answers: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Each bucket's documents with what the shards said to it."""
-    n = parallelism(dealt.sparkSession)
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         return apply(docs, said)
 
-    return dealt.groupBy("bucket").cogroup(answers.repartition(n, "at_bucket").groupBy("at_bucket")).applyInArrow(run, schema)
+    return dealt.rows.groupBy("bucket").cogroup(answers.repartition(dealt.partitions, "at_bucket").groupBy("at_bucket")).applyInArrow(run, schema)
 
 
 def repeated(arrays: list[bytes], dtype: np.dtype, key: str, flag: str) -> list[bytes]:

@@ -23,6 +23,7 @@ take no part and have no component. Columns other than the id and the text are n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,16 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dipper.llm.common import cut, mix, parallelism, ragged_take, window_hashes, word_codes, word_hashes
+from dipper.llm.common import cut, mix, ragged_take, window_hashes, word_codes, word_hashes
 from dipper.llm.components import components
-from dipper.llm.exchange import answer, deal, read_bitmaps, repeated, shard_slices, with_answers
+from dipper.llm.exchange import answer, deal, deal_buckets, read_bitmaps, shard_slices, with_answers
 
 #: Bytes of text, and of prefix tokens, for which one shard is made.
 SHARD_BYTES = 16 << 20
 #: Tokens of the nodes in one chunk of a cell.
 CELL_TOKENS = 2_000_000
-_SHORT = np.dtype([("key", "<u4"), ("more", "u1")])
-_COUNT = np.dtype([("key", "<u8"), ("holders", "<u4")])
 _PREFIX = np.dtype([("token", "<u8"), ("node", "<i8")])
 
 
@@ -64,6 +63,34 @@ def least_common(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def shard_count(total: int) -> int:
+    """A power of two, so that the top bits of a token are its shard and the next 32 tell it from others there."""
+    return 1 << max(5, (-(-total // SHARD_BYTES) - 1).bit_length())
+
+
+def pack(keys: np.ndarray, holders: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Ascending tokens by shard: differences of 32 bits, byte by byte, and the numbers of holders up to 255; about 3 bytes a token."""
+    bits = shards.bit_length() - 1
+    short = (keys >> np.uint64(32 - bits)).astype(np.uint32)
+    few = np.minimum(holders, 255).astype(np.uint8)
+    for s, c in shard_slices(keys, shards):
+        step = np.diff(short[c], prepend=np.uint32(0)).astype("<u4")
+        yield s, zlib.compress(step.view(np.uint8).reshape(-1, 4).T.tobytes() + few[c].tobytes(), 1)
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4")[:, 0], dtype=np.uint32), planes[4]
+
+
+def total_holders(arrays: list[bytes]) -> list[np.ndarray]:
+    """For each array that a shard got, in how many documents of all arrays its tokens are."""
+    parts = [unpack(a) for a in arrays]
+    _, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([h for _, h in parts]))[inverse].astype("<u4")
+    return np.split(total, np.cumsum([len(k) for k, _ in parts])[:-1])
+
+
 class Bucket:
     """The sets of one bucket's documents."""
 
@@ -87,21 +114,14 @@ class Bucket:
         self.first &= (self.n > 0) & self.ids.is_valid().to_numpy()
         _, flat = ragged_take(self.off, self.tokens, np.flatnonzero(self.first))
         self.keys, self.holders = np.unique(flat, return_counts=True)
-        # 32 bits below those that choose the shard
-        self.shard = ((self.keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        self.short = (mix(self.keys, 77) >> np.uint64(32)).astype(np.uint32)
-
-    def slices(self) -> list[tuple[int, slice]]:
-        if not len(self.keys):
-            return []
-        cuts = [0, *(np.flatnonzero(np.diff(self.shard)) + 1).tolist(), len(self.keys)]
-        return [(int(self.shard[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.shards = shards
 
     def sent(self) -> Iterator[tuple[int, bytes]]:
-        entries = np.zeros(len(self.keys), _SHORT)
-        entries["key"], entries["more"] = self.short, self.holders > 1
-        for s, c in self.slices():
-            yield s, entries[c].tobytes()
+        return pack(self.keys, self.holders, self.shards)
+
+    def slices(self) -> list[tuple[int, int]]:
+        """(shard, number of keys) of what was sent."""
+        return [(s, c.stop - c.start) for s, c in shard_slices(self.keys, self.shards)]
 
 
 def prefix_entries(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, nodes: np.ndarray, cells: np.ndarray | None, order: int, percent: int) -> np.ndarray:
@@ -194,27 +214,19 @@ def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, side: np.ndarr
     return label
 
 
-def count_holders(held: DataFrame, columns: Callable, shards: int, percent: int) -> DataFrame:
+def count_holders(held: DataFrame, columns: Callable, total: int, percent: int) -> DataFrame:
     """(node, n, tokens, rarity): of each node's tokens those that other nodes of ``held`` hold, with the number of holders.
 
-    Nodes that share too few of them are left out.
+    Nodes that share too few of them are left out. ``total``: the bytes of all tokens, about.
     """
-    n_buckets = 4 * parallelism(held.sparkSession)
-    dealt = held.select(F.pmod(F.xxhash64("node"), F.lit(n_buckets)).alias("bucket"), "node", "n", "tokens").repartition(parallelism(held.sparkSession), "bucket")
+    shards = shard_count(total)
+    dealt = deal_buckets(held.select("node", "n", "tokens"), F.xxhash64("node"), total)
 
     def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        keys, counts = np.unique(columns(table)[2], return_counts=True)
-        entries = np.zeros(len(keys), _COUNT)
-        entries["key"], entries["holders"] = keys, counts
-        for s, c in shard_slices(keys, shards):
-            yield s, entries[c].tobytes()
+        return pack(*np.unique(columns(table)[2], return_counts=True), shards)
 
     def judge(arrays: list[bytes]) -> list[bytes]:
-        entries = np.concatenate([np.frombuffer(a, _COUNT) for a in arrays])
-        _, inverse = np.unique(entries["key"], return_inverse=True)
-        total = np.bincount(inverse, weights=entries["holders"]).astype("<u4")[inverse]
-        ends = np.cumsum([len(a) // _COUNT.itemsize for a in arrays])
-        return [x.tobytes() for x in np.split(total, ends[:-1])]
+        return [x.tobytes() for x in total_holders(arrays)]
 
     def apply(table: pa.Table, said: pa.Table) -> pa.Table:
         n, off, tokens, node = columns(table)
@@ -232,13 +244,13 @@ def count_holders(held: DataFrame, columns: Callable, shards: int, percent: int)
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links of similarity ``percent`` / 100."""
-    dealt, total = deal(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
-    shards = max(32, -(-total // SHARD_BYTES))
-    answers = answer(dealt, lambda t: Bucket(t, n, shards).sent(), lambda a: repeated(a, _SHORT, "key", "more"))
+    dealt = deal(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
+    shards = shard_count(dealt.total)
+    answers = answer(dealt, lambda t: Bucket(t, n, shards).sent(), lambda a: [np.packbits(x > 1).tobytes() for x in total_holders(a)])
 
     def judge(docs: pa.Table, said: pa.Table) -> pa.Table:
         b = Bucket(docs, n, shards)
-        bits = read_bitmaps(said, [(s, c.stop - c.start) for s, c in b.slices()])
+        bits = read_bitmaps(said, b.slices())
         tokens: list[bytes | None] = [None] * len(b.n)
         for i in np.flatnonzero(b.first).tolist():
             own = b.tokens[b.off[i] : b.off[i + 1]]
@@ -257,7 +269,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         off = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
         return table.column("n").to_numpy(), off, np.frombuffer(b"".join(raw), "<u8"), table.column("node").to_numpy()
 
-    held = cut(count_holders(held, columns, shards, percent))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    held = cut(count_holders(held, columns, total, percent))
 
     def cells(rows: DataFrame, order: int) -> DataFrame:
         """(vertex, component) of nodes that share prefix tokens under an order, within their cells so far."""

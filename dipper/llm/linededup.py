@@ -87,7 +87,7 @@ def line_keys(text: str) -> tuple[list[bytes], list[bytes]]:
 
 def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row: the id, ``n_lines`` (before), ``n_dropped``, the text without the lines dropped, and columns to ``carry``."""
-    dealt, _ = deal(df, id_col, text_col, carry)
+    dealt = deal(df, id_col, text_col, carry)
     lines = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))), F.lit(0))).first()[0]
     shards = max(32, -(-lines // SHARD_LINES))
 
@@ -130,7 +130,7 @@ def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
         return pa.table(out | ({"rest": docs.column("rest")} if carry else {}))
 
     kind = df.schema[id_col].dataType.simpleString()
-    rest = f", rest {dealt.schema['rest'].dataType.simpleString()}" if carry else ""
+    rest = f", rest {dealt.rows.schema['rest'].dataType.simpleString()}" if carry else ""
     out = with_answers(dealt, answer(dealt, keys_of, judge), apply, f"id {kind}, n_lines long, n_dropped long, text string{rest}")
     return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("text").alias(text_col), *[F.col("rest")[c].alias(c) for c in carry])
 

@@ -31,6 +31,8 @@ from dipper.llm.common import blocks, cut, parallelism, shared_dir, text_column
 WIDTH = 64
 #: A task begins another tar file beyond this size.
 SHARD_BYTES = 128 << 20
+#: A task of the reading side reads so much on average, where there is enough.
+TASK_BYTES = 128 << 20
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -180,7 +182,9 @@ def read_media(places: DataFrame, root: str, body: bool = False) -> DataFrame:
         if file is not None:
             file.close()
 
-    dealt = places.select("digest", "shard", "offset", "length").repartition(4 * parallelism(places.sparkSession), "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(4 * parallelism(places.sparkSession), total // TASK_BYTES)
+    dealt = places.select("digest", "shard", "offset", "length").repartition(parts, "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
     return dealt.mapInArrow(run, "digest binary, shard string, offset long, length long, " + ", ".join(f"{k} {t}" for k, t in columns.items()))
 
 

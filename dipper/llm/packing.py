@@ -173,7 +173,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"id": rows["id"].take(at).reset_index(drop=True), "doc_tokens": rows["doc_tokens"].to_numpy()[at]} | out)
 
     schema = f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<long>"
-    dealt = parallelism(spark)
+    dealt = max(parallelism(spark), n_buckets // 16)
     placed = made.repartition(dealt, "bucket").groupBy("bucket").cogroup(bases.repartition(dealt, "in_bucket").groupBy("in_bucket")).applyInPandas(lambda rows, base: place(rows, base), schema)
     names = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.select(*names, *(["ids"] if with_ids else []))

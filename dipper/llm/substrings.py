@@ -124,8 +124,8 @@ def _judge_windows(arrays: list[bytes]) -> list[bytes]:
 
 def drop_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id, ``n_words``, ``n_removed``, ``spans`` (word positions removed, end exclusive) and the words kept, joined by spaces."""
-    dealt, total = deal(df, id_col, text_col)
-    shards = max(32, -(-total // SHARD_BYTES))
+    dealt = deal(df, id_col, text_col)
+    shards = max(32, -(-dealt.total // SHARD_BYTES))
     anchors = answer(dealt, lambda t: Bucket(t, window).anchors(shards), lambda a: repeated(a, _ANCHOR, "key", "more"))
     by_bucket = anchors.groupBy("at_bucket").agg(F.collect_list(F.struct("at_shard", "said")).alias("anchors"))
 
