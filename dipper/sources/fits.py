@@ -152,6 +152,46 @@ def read_fits(spark: SparkSession, path: str, keep_nan: bool = False) -> DataFra
     return files.select("path", "content").mapInPandas(run, LC_SCHEMA)
 
 
+def pixel_frames(data: bytes, path: str) -> pd.DataFrame:
+    """FRAME_SCHEMA rows of one target pixel file: a frame a cadence, from the first table whose FLUX cells are images."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    primary: dict[str, str] = {}
+    for cards, start in hdus(data):
+        primary = primary or cards
+        if cards.get("XTENSION") != "BINTABLE":
+            continue
+        kind = table_dtype(cards)
+        time = next((n for n in TIME_NAMES if n in kind.names), None)
+        if time is None or "FLUX" not in kind.names or not kind["FLUX"].shape:
+            continue
+        at = next(i for i in range(1, int(cards["TFIELDS"]) + 1) if cards.get(f"TTYPE{i}", "").strip().upper() == "FLUX")
+        count = kind["FLUX"].shape[0]
+        # TDIM names the fastest axis, the columns, first
+        width, height = map(int, cards.get(f"TDIM{at}", f"({count},1)").strip("() ").split(","))
+        rows = np.frombuffer(data, kind, int(cards["NAXIS2"]), start)
+        frames = rows["FLUX"].astype(np.float32).reshape(len(rows), height, width)
+        flag = next((n for n in QUALITY_NAMES if n in kind.names), None)
+        quality = rows[flag].astype(np.int32) if flag else np.zeros(len(rows), np.int32)
+        return pd.DataFrame({"path": path, "target": target_of(primary | cards, path), "cadence": np.arange(len(rows)), "t": _column(rows, cards, time), "quality": quality, "flux": [list(map(list, f)) for f in frames]})
+    return pd.DataFrame({"path": [], "target": [], "cadence": [], "t": [], "quality": [], "flux": []})
+
+
+FRAME_SCHEMA = "path string, target string, cadence long, t double, quality int, flux array<array<float>>"
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """FRAME_SCHEMA rows of all target pixel files in a folder, or of one; NaN pixels stay NaN."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                yield pixel_frames(bytes(content), name)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fits.gz,fit,fts}").load(path)
+    return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -204,13 +244,16 @@ def _header(cards: list[tuple[str, object]]) -> bytes:
 
 
 def write_table(columns: list[tuple[str, str, np.ndarray]], primary: dict[str, object]) -> bytes:
-    """A FITS file with one binary table; (name, format letter, values) for each column."""
-    kind = np.dtype([(n, _TYPES[f]) for n, f, _ in columns])
+    """A FITS file with one binary table; (name, format letter, values) for each column. Images are stored row by row."""
+    kind = np.dtype([(n, _TYPES[f], v.shape[1:] and (int(np.prod(v.shape[1:])),)) for n, f, v in columns])
     rows = np.zeros(len(columns[0][2]), kind)
     for n, _, v in columns:
-        rows[n] = v
+        rows[n] = v.reshape(rows[n].shape)
     head = _header([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True), *primary.items()])
-    fields = [x for i, (n, f, _) in enumerate(columns, 1) for x in ((f"TTYPE{i}", n), (f"TFORM{i}", f"1{f}"))]
+    fields: list[tuple[str, object]] = []
+    for i, (n, f, v) in enumerate(columns, 1):
+        fields += [(f"TTYPE{i}", n), (f"TFORM{i}", f"{int(np.prod(v.shape[1:]))}{f}")]
+        fields += [(f"TDIM{i}", f"({v.shape[2]},{v.shape[1]})")] if v.ndim == 3 else []
     table = _header([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", kind.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(columns)), *fields])
     data = rows.tobytes()
     return head + table + data.ljust(padded(len(data)), b"\0")

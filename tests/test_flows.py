@@ -133,3 +133,18 @@ def test_synthetic_recovery(spark):
     power = bls.with_sde(bls.search(lc, min_duration=0.1, max_duration=0.3, min_period=3.0, max_fraction=0.3, n_bins=300, chunks=4))
     for r in bls.best_period(power).collect():
         assert abs(r["period"] - 5) < 0.1 and r["sde"] > 6 and r["depth"] > 0
+
+
+def test_pixel_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    cube = rng.normal(10, 1, (5, 3, 4))
+    cube[0, 0, 0] = np.nan
+    data = fits.write_table([("TIME", "D", np.arange(5.0)), ("FLUX", "E", cube), ("QUALITY", "J", np.arange(5))], {"TICID": 77})
+    (tmp_path / "a.fits").write_bytes(data)
+    rows = fits.read_frames(spark, str(tmp_path)).orderBy("cadence").collect()
+    assert [r["target"] for r in rows] == ["77"] * 5 and [r["quality"] for r in rows] == list(range(5))
+    assert np.allclose(np.array([r["flux"] for r in rows]), cube.astype(np.float32), equal_nan=True)
+    px = photometry.explode_frames(fits.read_frames(spark, str(tmp_path)))
+    assert px.count() == 60 and photometry.mean_image(px).where("isnan(value)").count() == 0
+    cadences = fits.read_frames(spark, str(tmp_path)).select("target", "cadence", "t", "quality")
+    assert pipeline.photometry_stage(px, cadences).count() <= 1
