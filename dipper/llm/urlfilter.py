@@ -20,10 +20,28 @@ DIM, GRAM, MULTIPLIER, SCALE = 4093, 4, 257, 1 << 12
 #: The rules of the query, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: A small labelled table (1: block).
-_BLOCKED = "cheap-pills casino-win spam-farm free-bets ads-track pills-shop win-casino bets-online ad-tracker link-farm cheap-meds free-spins track-click buy-pills poker-bonus casino-bonus seo-farm click-ads".split()
-_ALLOWED = "ththre thther therha therin therou ththin ththan tiontion tionsh thertion ththed ththble ththwh ththly thering therti theren ththon theres therea therat library recipes weather history gardening museum theatre harbour science".split()
-LABELLED = tuple((f"http{'s' * (i % 2)}://{pre}{name}.example.{top}/{lang}/{17 * i + 3}{end}", label) for label, names in ((1, _BLOCKED), (0, _ALLOWED)) for i, name in enumerate(names) for pre, top, lang, end in (("www.", "com", "en", ""), ("", "org", "de", "/"), ("m.", "net", "fr", ".html"), ("blog.", "com", "es", "")))
+#: A small labelled table (1: block), of general words; it holds no host of any table that the filter is applied to.
+_SPAM = "cheap casino free spam ads adult poker pills bonus link click porn slots meds spins seo banner dating loan viagra win farm track bets popup cams cash prize xxx replica".split()
+_PLAIN = "library recipes weather history garden museum theatre harbour science school music travel health forest books cinema farmers railway county hospital chess poetry garage bakery sailing nature village energy physics teachers football painting archive church valley bridge market coffee winter island".split()
+_FORMS = (("www.", "com", "en", ""), ("", "org", "de", "/"), ("m.", "net", "fr", ".html"), ("blog.", "com", "es", ""), ("", "net", "en", "/"), ("www.", "org", "fr", ""))
+
+
+def paired(words: list[str], step: int) -> list[str]:
+    """Names of two words each, most with a hyphen."""
+    return [w + ("-" if (i + step) % 3 else "") + words[(i + step) % len(words)] for i, w in enumerate(words)]
+
+
+def opaque(n: int) -> list[str]:
+    """Names that mean nothing, as many sites have."""
+    return ["".join("bcdfgklmnprstvz"[(7 * i + 5 * j + i // 15) % 15] + "aeiou"[(3 * i + 2 * j) % 5] for j in range(2 + i % 3)) for i in range(n)]
+
+
+def labelled(blocked: list[str], allowed: list[str]) -> list[tuple[str, int]]:
+    """Two urls of each name; both classes have the same forms and paths."""
+    return [(f"http{'s' * (i % 2)}://{pre}{name}.example.{top}/{lang}/{1000 + 577 * (i % 10)}{end}", label) for label, names in ((1, blocked), (0, allowed)) for i, name in enumerate(names) for pre, top, lang, end in (_FORMS[i % 6], _FORMS[(i + 3) % 6])]
+
+
+LABELLED = tuple(labelled(_SPAM + paired(_SPAM, 3) + paired(_SPAM, 11), _PLAIN + paired(_PLAIN, 3) + paired(_PLAIN, 11) + opaque(120)))
 
 
 def _grams(text: str, seed: int) -> list[int]:
@@ -32,8 +50,12 @@ def _grams(text: str, seed: int) -> list[int]:
     return [(sum(c[i + j] * MULTIPLIER ** (GRAM - 1 - j) for j in range(GRAM)) + seed) % DIM for i in range(len(c) - GRAM + 1)]
 
 
-def fit(labelled: list[tuple[str, int]], steps: int = 300, rate: float = 40.0, decay: float = 1e-4, max_labelled: int = 10_000) -> list[int]:
-    """Weights by gradient descent on the mean n-gram of host and path: DIM integers, then the bias."""
+def fit(labelled: list[tuple[str, int]], steps: int = 300, rate: float = 40.0, decay: float = 1e-4, max_labelled: int = 10_000, margin: float = 0.3) -> list[int]:
+    """Weights by gradient descent on the mean n-gram of host and path: DIM integers, then the bias.
+
+    ``margin``: the log-odds that a url must exceed to be blocked, taken off the bias; opaque names that the model hasn't
+    seen score up to about 0.3.
+    """
     if len(labelled) > max_labelled:
         raise ValueError(f"{len(labelled)} labelled urls; at most {max_labelled} are taken")
     rows = []
@@ -60,7 +82,7 @@ def fit(labelled: list[tuple[str, int]], steps: int = 300, rate: float = 40.0, d
         bias -= up
         for h, g in grad.items():
             w[h] -= rate * (g + decay * w[h])
-    return [round(SCALE * v) for v in w] + [round(SCALE * bias)]
+    return [round(SCALE * v) for v in w] + [round(SCALE * (bias - margin))]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
