@@ -562,14 +562,12 @@ def lc_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lc_masked_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lc = light_curves(spark, sf_dir).groupBy("target", (F.floor(F.col("t") * 8) / 8).alias("t")).agg(F.avg("flux").alias("flux"), F.min("quality").alias("quality"))
-    return rounded(pipeline.clean(lc, window=51, masked=True, min_period=2.0), "flux", "trend")
+    return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True), "flux", "trend")
 
 
 @query()
 def transit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lc = light_curves(spark, sf_dir).groupBy("target", (F.floor(F.col("t") * 24) / 24).alias("t")).agg(F.avg("flux").alias("flux"), F.lit(0).alias("quality"))
-    return report.batch_csv_lines(pipeline.run(lc, chunks=8, n_bins=100, min_period=2.0)["report"])
+    return report.batch_csv_lines(pipeline.run(light_curves(spark, sf_dir))["report"])
 
 
 @query()

@@ -15,6 +15,26 @@ def test_runs(name, spark, sf_dir):
     assert q.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_flows_see_whole_light_curves(spark, sf_dir, monkeypatch):
+    seen = {}
+
+    def keep(name, result):
+        def run(lc, **options):
+            seen[name] = (lc, options)
+            return result(lc)
+
+        monkeypatch.setattr(q.pipeline, name, run)
+
+    keep("clean", lambda lc: lc.selectExpr("target", "t", "flux", "flux as trend", "null as error"))
+    keep("run", lambda lc: {"report": spark.createDataFrame([], q.report.BATCH_SCHEMA)})
+    q.QUERIES["lc_masked_detrend"](spark, sf_dir)
+    q.QUERIES["transit_report"](spark, sf_dir)
+    whole = q.light_curves(spark, sf_dir)
+    for name, options in (("clean", {"masked": True}), ("run", {})):
+        assert seen[name][1] == options
+        assert seen[name][0].exceptAll(whole).count() == whole.exceptAll(seen[name][0]).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
