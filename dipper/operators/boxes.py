@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipper.functions.phase import in_circular_box, in_plain_box, phase
-from dipper.operators.lightcurve import baselines, with_target_stats
+from dipper.functions.phase import in_circular_box, in_plain_box
+from dipper.operators import partial
+from dipper.operators.lightcurve import with_target_stats
 
 
 def two_level_stats(n: Column, n_in: Column, total: Column, sum_in: Column, squares: Column) -> dict[str, Column]:
@@ -55,18 +57,65 @@ def analyze_period(folded: DataFrame, keys: tuple[str, ...] = ("target",), cente
     return best.select(*keys, (F.col("b.ci") * step).alias("center"), (lo + F.col("b.di") * ((hi - lo) / (durations - 1))).alias("duration"), "b.snr", "b.power", "b.depth", "b.ssr", (-F.col("b.ssr")).alias("bls_score"), "b.n_inside")
 
 
-def search_periods(lc: DataFrame, min_period: float, max_period: float, step: float, **options: int) -> DataFrame:
-    """(target, period, frequency, power, ...) for frequencies from 1 / max_period in steps, end excluded, with 3 transits at least."""
-    import numpy as np
+FOUND = ("period", "frequency", "score", "depth", "duration", "center", "snr", "power", "transits")
 
-    n = len(np.arange(1 / max_period, 1 / min_period, step))
-    rows = lc.select("target", "t", "flux", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("fi")) if n else lc.select("target", "t", "flux", F.lit(0).alias("fi")).limit(0)
-    frequency = 1 / max_period + F.col("fi") * step
-    folded = rows.withColumn("phase", phase(F.col("t"), 1 / frequency))
-    found = analyze_period(folded, ("target", "fi"), **options)
-    span = baselines(lc).select(F.col("target").alias("of_target"), "baseline")
-    found = found.join(span, F.col("target").eqNullSafe(F.col("of_target"))).withColumns({"frequency": frequency, "period": 1 / frequency, "transits": F.col("baseline") * frequency})
-    return found.where("transits >= 3").select("target", "period", "frequency", F.col("power").alias("score"), "depth", "duration", "center", "snr", "power", "transits")
+
+def search_periods(lc: DataFrame, min_period: float, max_period: float, step: float | None = None, centers: int = 300, durations: int = 15, lo: float = 0.01, hi: float = 0.05, **options: int) -> DataFrame:
+    """(target, period, frequency, score, ...): ``analyze_period`` of frequencies from 1 / max_period in steps, end excluded, with 3 transits at least.
+
+    ``step``: by default each target's ``lo`` over its baseline, so that a narrowest box can't pass between two
+    frequencies. A frequency's points are summed between neighbouring borders of all boxes, so boxes are sums of bins
+    that hold just the points they'd hold. A point nearer than 1e-12 to a border counts as on it.
+    """
+    ci, di = (v.ravel() for v in np.meshgrid(np.arange(centers), np.arange(durations), indexing="ij"))
+    center, duration = ci / (centers - 1), lo + di * ((hi - lo) / (durations - 1))
+    left, right = (center - duration / 2 - 1e-12) % 1, (center + duration / 2 + 1e-12) % 1
+    borders = np.unique(np.concatenate([left, right]))
+    a, b = np.searchsorted(borders, left) + 1, np.searchsorted(borders, right) + 1
+
+    def trials(first: float, last: float) -> np.ndarray:
+        if step is None and not last > first:
+            return np.zeros(0)
+        found = np.arange(1 / max_period, 1 / min_period, lo / (last - first) if step is None else step)
+        return found[(last - first) * found >= 3]
+
+    def sums(t: np.ndarray, flux: np.ndarray, mean: float, n: int, own: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(own), 2, len(borders) + 2))
+        x = flux - mean
+        out[:, 0, -1], out[:, 1, -1] = len(t), np.sum(x * x)
+        for i, f in enumerate(own):
+            p = np.mod(t, 1 / f) / (1 / f)
+            at = np.searchsorted(borders, p, "right")
+            out[i, 0, :-1], out[i, 1, :-1] = np.bincount(at, minlength=len(borders) + 1), np.bincount(at, x, len(borders) + 1)
+        return out
+
+    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, mean: float, baseline: float) -> list[tuple]:
+        found = []
+        for f, (counts, fluxes) in zip(own, total.reshape(len(own), 2, -1), strict=True):
+            (n_in, all_n), (s_in, all_s) = (_between(v[:-1], a, b) for v in (counts, fluxes))
+            n_out = all_n - n_in
+            ok = (n_in >= 5) & (n_out >= 5)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                m_in, m_out = s_in / n_in, (all_s - s_in) / n_out
+            variance = fluxes[-1] / all_n - (all_s / all_n) ** 2
+            ok &= (m_out - m_in > 0) & (variance > 0)
+            if not ok.any():
+                continue
+            # of flux less its mean, as are all sums: residues are the same
+            ssr = np.where(ok, fluxes[-1] - n_in * m_in**2 - n_out * m_out**2, np.inf)
+            i = int(np.argmin(np.round(ssr, 4)))
+            depth = m_out[i] - m_in[i]
+            power = depth * depth * n_in[i] / variance
+            found.append((1 / f, f, power, depth, duration[i], center[i], depth / np.sqrt(variance), power, baseline * f))
+        return found
+
+    return partial.summed(lc, trials, sums, finish, FOUND, "target string, " + ", ".join(f"{c} double" for c in FOUND), **options)
+
+
+def _between(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums of bins from ``a`` to before ``b``, around the circle; and the sum of all."""
+    sums = np.concatenate([[0.0], np.cumsum(v)])
+    return sums[b] - sums[a] + np.where(b < a, sums[-1], 0.0), float(sums[-1])
 
 
 def box_score(folded: DataFrame, centers: int = 200, width: float = 0.05) -> DataFrame:

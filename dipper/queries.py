@@ -467,7 +467,7 @@ def box_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def box_search_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(boxes.search_periods(light_curves(spark, sf_dir), 2.0, 8.0, 0.05, centers=60, durations=5), "period", "power", "depth", "snr")
+    return rounded(boxes.search_periods(light_curves(spark, sf_dir), 2.0, 8.0), "period", "power", "depth", "snr")
 
 
 @query(f"""WITH {_LC}, {_FOLDED}, c AS (SELECT target, i AS ci, i * top / 199 AS center FROM (SELECT target, max(p) AS top FROM folded GROUP BY 1), range(200) r(i)),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dipper.functions.scores import box_levels, false_alarm, signal_residue
-from dipper.operators import bls, kernels
+from dipper.operators import bls, boxes, kernels
 from dipper.operators import lightcurve as lcs
 
 
@@ -118,6 +118,21 @@ def test_grouped_search_is_the_kernel(spark):
     assert math.isclose(best["sr"], max(f[-1] for f in direct), rel_tol=1e-12)
 
 
+@pytest.mark.parametrize("block", [10_000, 200])
+def test_box_search_is_the_period_analysis_on_a_fine_grid(spark, block):
+    t, flux = planted(900, 3.7, 0.1, 0.05, 0.005)
+    lc = frame(spark, {"a": (t, flux)})
+    few = boxes.search_periods(lc, 3.0, 4.0, 0.02, block=block).collect()
+    assert len(few) == 5
+    for r in few:
+        one = boxes.analyze_period(lcs.fold(lc, r["period"])).first()
+        assert all(math.isclose(r[c], one[c], rel_tol=1e-6) for c in ("center", "duration", "depth", "snr", "power"))
+    rows = boxes.search_periods(lc, 2.0, 8.0, block=block).collect()
+    by = sorted(r["frequency"] for r in rows)
+    assert max(np.diff(by)) * (t.max() - t.min()) < 0.0101
+    assert abs(max(rows, key=lambda r: r["score"])["period"] - 3.7) < 0.02
+
+
 def test_residue_levels_and_false_alarm(spark):
     df = spark.createDataFrame([(-0.05, 0.1), (0.1, 0.0), (0.1, 1.0)], "s double, r double")
     a, b, c = df.select(signal_residue(F.col("s"), F.col("r")).alias("sr")).collect()
