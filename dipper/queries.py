@@ -333,7 +333,7 @@ def bls_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bls_full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bls.search(lcs.filter_nan(light_curves(spark, sf_dir)), min_duration=0.1, max_duration=0.3, min_period=2.0, max_fraction=1 / 3, n_bins=200)
+    return bls.search_per_target(lcs.filter_nan(light_curves(spark, sf_dir)))
 
 
 @query()

@@ -35,6 +35,18 @@ def test_flows_see_whole_light_curves(spark, sf_dir, monkeypatch):
         assert seen[name][0].exceptAll(whole).count() == whole.exceptAll(seen[name][0]).count() == 0
 
 
+def test_full_grid(spark, sf_dir):
+    from dipper.operators import kernels
+
+    found = q.QUERIES["bls_full_grid"](spark, sf_dir).groupBy("target").agg({"period": "min", "pid": "max", "duration_days": "min", "start": "max"}).collect()
+    spans = {r["target"]: r["baseline"] for r in q.lcs.baselines(q.light_curves(spark, sf_dir)).collect()}
+    assert {r["target"] for r in found} == set(spans)
+    for r in found:
+        grid = kernels.period_grid(spans[r["target"]], 0.05, 0.3, 0.5, spans[r["target"]] / 3)
+        assert r["max(pid)"] == len(grid) - 1 > 30_000 and r["min(period)"] < 0.501
+        assert r["min(duration_days)"] < 0.06 and r["max(start)"] >= 390
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
