@@ -176,25 +176,33 @@ def search_per_target(lc: DataFrame, **options: float) -> DataFrame:
     return search(lc, **({"min_duration": 0.05, "max_duration": 0.3, "min_period": 0.5, "max_fraction": 1 / 3, "objective": "snr"} | options))
 
 
-def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 100, seed: int = 1, n_periods: int = 64, n_bins: int = 100, min_width: int = 1, max_width: int = 8) -> DataFrame:
+def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, seed: int = 1, n_periods: int = 64, n_bins: int = 100, min_width: int = 1, max_width: int = 8, per_task: int = 20) -> DataFrame:
     """(target, fap, rounds): the share of shuffles of the flux whose best sr reaches the observed one.
 
-    ``observed``: (target, sr). Shuffles are by seeded hash of round and row, so a rerun gives the same; rounds are
-    dealt to tasks like targets.
+    ``observed``: (target, sr) of a search of the same grid. Shuffles are by a seed of their round, so a rerun gives the
+    same. ``per_task`` rounds share one copy of a light curve and its phase bins.
     """
-    curves = lc.select("target", "t", "flux", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    tasks = -(-rounds // per_task)
+    curves = lc.select("target", "t", "flux", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    curves = curves.repartition(int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "task")
     periods = 1 / (0.1 + 0.01 * np.arange(n_periods))
     spans = range(min_width, max_width + 1)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "flux"])
-        flux = np.random.default_rng([seed, int(key[1])]).permutation(part["flux"].to_numpy(float))
-        x, w = kernels.weights(flux)
-        t = part["t"].to_numpy(float)
-        found = [kernels.best_window(*kernels.histogram(t, x, w, p, n_bins), spans, False) for p in periods]
-        return pd.DataFrame({"target": [key[0]], "best": [max((f[4] for f in found if f), default=0.0)]})
-
-    best = curves.groupBy("target", "round").applyInPandas(run, "target string, best double")
+        t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
+        own = range(key[1] * per_task, min(rounds, (key[1] + 1) * per_task))
+        shuffled = [np.multiply(*kernels.weights(np.random.default_rng([seed, k]).permutation(flux))) for k in own]
+        best = np.zeros(len(own))
+        for p in periods:
+            bins = kernels.phase_bins(t, p, n_bins)
+            r = np.bincount(bins, np.full(len(t), 1 / max(len(t), 1)), n_bins)
+            for i, wx in enumerate(shuffled):
+                if found := kernels.best_window(np.bincount(bins, wx, n_bins), r, spans, False):
+                    best[i] = max(best[i], found[4])
+        return pd.DataFrame({"target": key[0], "best": best})
+
+    best = curves.groupBy("target", "task").applyInPandas(run, "target string, best double")
     return best.join(observed, "target").groupBy("target").agg(F.avg((F.col("best") >= F.col("sr")).cast("double")).alias("fap"), F.count(F.lit(1)).alias("rounds"))
 
 

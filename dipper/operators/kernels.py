@@ -82,8 +82,12 @@ def weights(flux: np.ndarray, errors: np.ndarray | None = None) -> tuple[np.ndar
     return flux - np.sum(w * flux), w
 
 
+def phase_bins(t: np.ndarray, period: float, n_bins: int) -> np.ndarray:
+    return np.minimum((np.mod(t, period) / period * n_bins).astype(np.int64), n_bins - 1)
+
+
 def histogram(t: np.ndarray, x: np.ndarray, w: np.ndarray, period: float, n_bins: int) -> tuple[np.ndarray, np.ndarray]:
-    b = np.minimum((np.mod(t, period) / period * n_bins).astype(np.int64), n_bins - 1)
+    b = phase_bins(t, period, n_bins)
     return np.bincount(b, w * x, n_bins), np.bincount(b, w, n_bins)
 
 

@@ -344,7 +344,7 @@ def fap_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fap_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lc = light_curves(spark, sf_dir)
-    return bls.bootstrap_fap(lc, bls.best_period(_power_of(spark, sf_dir)).select("target", "sr"), rounds=20)
+    return bls.bootstrap_fap(lc, bls.best_period(_power_of(spark, sf_dir)).select("target", "sr"))
 
 
 @query(f"""WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power()}, q AS (SELECT target, pid, sr, sde FROM sde)

@@ -118,6 +118,18 @@ def test_grouped_search_is_the_kernel(spark):
     assert math.isclose(best["sr"], max(f[-1] for f in direct), rel_tol=1e-12)
 
 
+def test_bootstrap_counts_a_thousand_shuffles(spark):
+    t, flux = planted(120)
+    lc = frame(spark, {"a": (t, flux)})
+    best = []
+    for k in range(1000):
+        x, w = kernels.weights(np.random.default_rng([1, k]).permutation(flux))
+        best.append(max(kernels.best_window(*kernels.histogram(t, x, w, 1 / (0.1 + 0.01 * p), 20), range(1, 3), False)[4] for p in range(4)))
+    level = float(np.mean(np.sort(best)[-4:-2]))
+    row = bls.bootstrap_fap(lc, spark.createDataFrame([("a", level)], "target string, sr double"), n_periods=4, n_bins=20, max_width=2).first()
+    assert row["rounds"] == 1000 and row["fap"] == np.mean(np.array(best) >= level) < 0.05
+
+
 @pytest.mark.parametrize("block", [10_000, 200])
 def test_box_search_is_the_period_analysis_on_a_fine_grid(spark, block):
     t, flux = planted(900, 3.7, 0.1, 0.05, 0.005)
