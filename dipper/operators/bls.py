@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dipper.functions.phase import phase, phase_bin
 from dipper.functions.scores import box_depth, dip_snr, signal_residue
-from dipper.operators import kernels
+from dipper.operators import kernels, partial
 from dipper.operators.lightcurve import with_weights
 
 #: Ratios of periods that count as harmonics.
@@ -139,36 +139,33 @@ def snr_objective(power: DataFrame, counts: DataFrame) -> DataFrame:
 FIT_SCHEMA = "target string, pid long, period double, start int, width int, phase_start double, phase_width double, duration_days double, s double, r double, l double, h double, depth double, sr double"
 
 
-def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int = 16, dips: bool = False, objective: str = "sr") -> DataFrame:
+def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int = 16, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK) -> DataFrame:
     """FIT_SCHEMA rows: the best box of each period of full grids, by the kernel.
 
-    Each light curve goes to ``chunks`` groups that share its periods out, so one long curve occupies many tasks.
+    Each light curve goes to ``chunks`` times its blocks of ``block`` points; blocks share its points out, chunks its
+    periods, and the phase histograms of blocks are added up (``partial.summed``).
     ``periods``: (pid, period) for all targets, a small table; else each target has its own grid, up to
     ``max_fraction`` of its baseline. ``objective``: ``sr``, or ``snr`` (sqrt(n sr) of dips).
     """
     explicit = None if periods is None else [(r["pid"], r["period"]) for r in periods.select("pid", "period").orderBy("pid").collect()]
-    rows = lc.select("target", "t", "flux", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     only_dips = dips or objective == "snr"
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "flux"])
-        t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
-        if explicit is None:
-            baseline = float(t.max() - t.min())
-            grid = kernels.period_grid(baseline, min_duration, max_duration, min_period, None if max_fraction is None else baseline * max_fraction) if baseline > 0 else np.zeros(0)
-            pids = np.arange(len(grid))
-        else:
-            pids, grid = np.array([p for p, _ in explicit], np.int64), np.array([p for _, p in explicit])
-        own = pids % chunks == key[1] if explicit is None else np.arange(len(pids)) % chunks == key[1]
-        fits = kernels.search(t, flux, grid[own], n_bins, min_duration, max_duration, None, only_dips)
-        out = pd.DataFrame(fits, columns=["pid", *kernels.FIT_FIELDS])
-        out["pid"] = pids[own][out["pid"].to_numpy(int)]
-        if objective == "snr":
-            out["sr"] = np.sqrt(len(t) * out["sr"])
-        out.insert(0, "target", key[0])
-        return out
-
-    return rows.groupBy("target", "chunk").applyInPandas(run, FIT_SCHEMA)
+    def trials(first: float, last: float) -> np.ndarray:
+        if explicit is not None:
+            return np.array([p for _, p in explicit])
+        baseline = last - first
+        return kernels.period_grid(baseline, min_duration, max_duration, min_period, None if max_fraction is None else baseline * max_fraction) if baseline > 0 else np.zeros(0)
+
+    def sums(t: np.ndarray, flux: np.ndarray, mean: float, n: int, own: np.ndarray) -> np.ndarray:
+        w = np.full(len(flux), 1 / n)
+        return np.array([kernels.histogram(t, flux - mean, w, p, n_bins) for p in own])
+
+    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, mean: float, baseline: float) -> list[tuple]:
+        pids = places if explicit is None else [explicit[i][0] for i in places]
+        found = [kernels.fit(pid, p, s, r, min_duration, max_duration, only_dips) for pid, p, (s, r) in zip(pids, own, total.reshape(len(own), 2, n_bins), strict=True)]
+        return [(*f[:-1], np.sqrt(n * f[-1]) if objective == "snr" else f[-1]) for f in found if f]
+
+    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block)
 
 
 def search_per_target(lc: DataFrame, **options: float) -> DataFrame:

@@ -140,18 +140,22 @@ def period_grid(baseline: float, min_duration: float, max_duration: float, min_p
 FIT_FIELDS = ("period", "start", "width", "phase_start", "phase_width", "duration_days", "s", "r", "l", "h", "depth", "sr")
 
 
+def fit(i: int, period: float, s: np.ndarray, r: np.ndarray, min_duration: float, max_duration: float, dips: bool = False) -> tuple | None:
+    """Place ``i`` and FIT_FIELDS of the best box of a period's histogram, if it has one."""
+    n_bins = len(s)
+    found = best_window(s, r, widths(*duration_fractions(period, min_duration, max_duration), n_bins), dips)
+    if found is None:
+        return None
+    start, width, bs, br, sr = found
+    low, high = bs / br, -bs / (1 - br)
+    return i, float(period), start, width, start / n_bins, width / n_bins, width / n_bins * period, bs, br, low, high, high - low, sr
+
+
 def search(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, n_bins: int, min_duration: float, max_duration: float, errors: np.ndarray | None = None, dips: bool = False) -> list[tuple]:
     """FIT_FIELDS of the best box of each period that has one, after its place in ``periods``."""
     x, w = weights(flux, errors)
-    out = []
-    for i, period in enumerate(periods):
-        s, r = histogram(t, x, w, period, n_bins)
-        found = best_window(s, r, widths(*duration_fractions(period, min_duration, max_duration), n_bins), dips)
-        if found:
-            start, width, bs, br, sr = found
-            low, high = bs / br, -bs / (1 - br)
-            out.append((i, float(period), start, width, start / n_bins, width / n_bins, width / n_bins * period, bs, br, low, high, high - low, sr))
-    return out
+    found = (fit(i, period, *histogram(t, x, w, period, n_bins), min_duration, max_duration, dips) for i, period in enumerate(periods))
+    return [f for f in found if f]
 
 
 def in_window(phase: np.ndarray, start: float, width: float, padding: float) -> np.ndarray:
@@ -171,9 +175,15 @@ def detrend_masked(t: np.ndarray, flux: np.ndarray, window: int = 151, n_bins: i
     best = max(fits, key=lambda f: (f[-1], -f[0]), default=None)
     if best is None or best[-1] < 1e-6:
         return flat, trend
-    out = ~in_window(np.mod(t, best[1]) / best[1], best[4], best[5], padding)
+    return detrend_around(t, flux, (best[1], best[4], best[5]), window, padding) or (flat, trend)
+
+
+def detrend_around(t: np.ndarray, flux: np.ndarray, box: tuple[float, float, float], window: int = 151, padding: float = 0.01) -> tuple[np.ndarray, np.ndarray] | None:
+    """Detrending that leaves a (period, start, width) out; None if less than a window is left."""
+    period, start, width = box
+    out = ~in_window(np.mod(t, period) / period, start, width, padding)
     if out.sum() < window:
-        return flat, trend
+        return None
     _, clean = detrend(t[out], flux[out], window)
     full = np.interp(t, t[out], clean)
     return flux / full, full

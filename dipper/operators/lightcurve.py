@@ -45,7 +45,7 @@ def normalize_median(lc: DataFrame) -> DataFrame:
 
 def normalize_upper_median(lc: DataFrame) -> DataFrame:
     """Flux over the upper median, the value at place floor(n / 2) of the sorted ones."""
-    rows = with_target_stats(lc, F.expr("element_at(array_sort(collect_list(flux)), cast(floor(count(flux) / 2) as int) + 1)").alias("m"))
+    rows = with_target_stats(lc, F.expr("percentile_disc(0.5) within group (order by flux desc)").alias("m"))
     return rows.withColumn("flux", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m"))).drop("m")
 
 

@@ -63,6 +63,8 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
         out.insert(0, "target", head["target"])
         yield out
 
+    # a given number, as groups of few bytes hold much work and mustn't be put together
+    rows = rows.repartition(int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "block", "chunk")
     packed = rows.groupBy("target", "block", "chunk").applyInPandas(one_block, PACKED)
     return packed.groupBy("target", "chunk", "part").applyInPandas(all_blocks, schema)
 

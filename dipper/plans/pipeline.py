@@ -32,20 +32,34 @@ def photometry_stage(pixels: DataFrame, cadences: DataFrame) -> DataFrame:
 def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = False, min_period: float = 0.5) -> DataFrame:
     """CLEAN_SCHEMA rows: detrended and clipped light curves, each in a task of its own; or one row with an error.
 
-    ``masked``: leave the strongest box, of periods from ``min_period`` on, out of the trend.
+    ``masked``: leave the strongest box, of periods from ``min_period`` on, out of the trend; it is searched as in
+    ``bls.search``, by many tasks a target.
     """
+    lc = filter_nan(lc)
+    if not masked:
+        return _detrended(lc, window, sigma)
+    flat = _detrended(lc, window, None).where("error is null").select("target", "t", "flux")
+    found = bls.search(flat, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
+    best = bls.best_period(found).where("sr >= 1e-6D").select(F.col("target").alias("of_target"), F.struct("period", "phase_start", "phase_width").alias("box"))
+    return _detrended(lc.join(best, F.col("target").eqNullSafe(F.col("of_target")), "left").select("target", "t", "flux", "box.*"), window, sigma)
+
+
+def _detrended(lc: DataFrame, window: int, sigma: float | None) -> DataFrame:
+    """CLEAN_SCHEMA rows, around the box of a target where ``lc`` has one; ``sigma`` of None: not clipped."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "flux"])
         t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
         try:
-            flat, trend = kernels.detrend_masked(t, flux, window, min_period=min_period) if masked else kernels.detrend(t, flux, window)
-            keep = kernels.clip_upper(flat, sigma)
+            flat, trend = kernels.detrend(t, flux, window)
+            if "period" in part and part["period"].notna().any():
+                flat, trend = kernels.detrend_around(t, flux, tuple(part[["period", "phase_start", "phase_width"]].iloc[0]), window) or (flat, trend)
+            keep = np.ones(len(flat), bool) if sigma is None else kernels.clip_upper(flat, sigma)
             return pd.DataFrame({"target": key[0], "t": t[keep], "flux": flat[keep], "trend": trend[keep], "error": None})
         except (ValueError, np.linalg.LinAlgError) as e:
             return pd.DataFrame({"target": [key[0]], "t": [None], "flux": [None], "trend": [None], "error": [str(e)]})
 
-    return filter_nan(lc).groupBy("target").applyInPandas(run, CLEAN_SCHEMA)
+    return lc.groupBy("target").applyInPandas(run, CLEAN_SCHEMA)
 
 
 def search_stage(lc: DataFrame, threshold: float = 3.0, **options: float) -> tuple[DataFrame, DataFrame]:

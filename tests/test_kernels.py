@@ -130,6 +130,31 @@ def test_bootstrap_counts_a_thousand_shuffles(spark):
     assert row["rounds"] == 1000 and row["fap"] == np.mean(np.array(best) >= level) < 0.05
 
 
+def test_masked_cleaning_searches_by_blocks(spark, monkeypatch):
+    from dipper.plans import pipeline
+
+    def hidden(*args, **options):
+        raise ValueError("the search is hidden in a group")
+
+    t, flux = planted(1500, 4.0, 0.3, 0.05, 0.001)
+    flux = flux * (1 + 0.05 * np.sin(t / 3))
+    flat, trend = kernels.detrend_masked(t, flux, 51, min_period=3.0)
+    monkeypatch.setattr(kernels, "detrend_masked", hidden)
+    rows = pipeline.clean(frame(spark, {"a": (t, flux)}), window=51, masked=True, min_period=3.0).orderBy("t").collect()
+    keep = kernels.clip_upper(flat)
+    assert [r["error"] for r in rows] == [None] * keep.sum()
+    assert np.allclose([r["flux"] for r in rows], flat[keep]) and np.allclose([r["trend"] for r in rows], trend[keep])
+
+
+def test_search_adds_blocks_up(spark):
+    lc = frame(spark, {"a": planted(900), "b": planted(150, seed=1)})
+    options = {"n_bins": 100, "min_duration": 0.2, "max_duration": 0.5, "min_period": 2.0, "max_fraction": 0.3, "objective": "snr"}
+    whole = {(r["target"], r["pid"]): r for r in bls.search(lc, **options).collect()}
+    blocks = {(r["target"], r["pid"]): r for r in bls.search(lc, block=200, **options).collect()}
+    assert blocks.keys() == whole.keys() and len({k[0] for k in whole}) == 2
+    assert all(math.isclose(blocks[k]["sr"], whole[k]["sr"], rel_tol=1e-9) for k in whole)
+
+
 @pytest.mark.parametrize("block", [10_000, 200])
 def test_box_search_is_the_period_analysis_on_a_fine_grid(spark, block):
     t, flux = planted(900, 3.7, 0.1, 0.05, 0.005)
