@@ -91,8 +91,8 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans that only the looser patterns match."""
-    lower_at = "at" in text or "AT" in text
-    found = [("email", *m.span()) for m in _SPELT.finditer(text)] if lower_at and ("dot" in text or "DOT" in text) else []
+    lower = text.lower()
+    found = [("email", *m.span()) for m in _SPELT.finditer(text)] if "at" in lower and "dot" in lower else []
     return found + ([("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)] if _DIGIT.search(text) else [])
 
 

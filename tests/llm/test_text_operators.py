@@ -228,6 +228,11 @@ def test_base_patterns_on_random_strings():
         assert sorted(pii.base_spans(t)[0]) == sorted(brute_private(t))
 
 
+def test_spelt_out_addresses_of_any_case():
+    text = "Bob (At) Example (Dot) Com"
+    assert [text[a:b] for _, a, b in pii.loose_spans(text)] == [text]
+
+
 def test_private_data(docs, rows):
     weights = pii.fit(docs)
     out = pii.find_private(docs, weights).collect()
