@@ -6,9 +6,11 @@ longest first, each into the shortest open packs that hold it, updating the coun
 would leave more than ``slack`` tokens of padding are taken apart again; their pieces are laid end to end, longest
 first, and cut at the borders of sequences, so that they leave none. A sequence whose length is a power of two isn't
 padded. Patterns are joined back to documents by the rank of a piece among those of its length. Ranks are counts of
-hash buckets added up, so no length, however common, passes through one task.
+buckets added up, so no length, however common, passes through one task. Pieces are dealt to buckets by where they were
+made, not by their document, so a repeated or null id fills no bucket.
 
-Null texts count as empty (one piece with the end id); repeated rows are packed each; a null id stays null.
+Null texts count as empty (one piece with the end id); repeated rows are packed each; a null id stays null, and ids are
+passed on as they are, of whatever type. Other columns than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +140,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
+        made = TaskContext.get().partitionId() << 33
         for b in blocks(batches, "text"):
             off, flat = codec.encode(text_column(b, "text"))
             rows: tuple[list, ...] = ([], [], [], [], [], [])
@@ -147,34 +151,40 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     keep = with_ids or len(part) < max_len  # only a rest may be cut again
                     for column, v in zip(rows, (i, start, len(part), zlib.crc32(part.tobytes()), len(own), part.astype(ids_kind).tobytes() if keep else None), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "start", "length", "ids_crc32", "doc_tokens", "raw"])
+            numbers = pa.array(np.arange(made, made + len(rows[0])), pa.int64())
+            made += len(rows[0])
+            yield pa.RecordBatch.from_arrays([numbers, b.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["piece", "id", "start", "length", "ids_crc32", "doc_tokens", "raw"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    made = cut(df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(pieces, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, raw binary"))
+    made = cut(df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(pieces, f"piece long, id {kind}, start long, length long, ids_crc32 long, doc_tokens long, raw binary"))
     hist = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
     plan = Plan(hist, max_len, slack)
     n_buckets = max(parallelism(spark), -(-sum(hist.values()) // BUCKET_PIECES))
-    made = made.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(n_buckets)))
+    made = made.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(n_buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = made.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("bucket").alias("in_bucket"), F.col("length").alias("of_length"), "base")
 
-    def place(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id", "start"], kind="stable", ignore_index=True)
-        rank = rows.groupby("length").cumcount() + rows["length"].map(dict(zip(base["of_length"], base["base"], strict=True)))
+    def place(rows: pa.Table, base: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "ascending"), ("piece", "ascending")]))
+        lengths = rows.column("length").to_numpy()
+        bases = dict(zip(base.column("of_length").to_pylist(), base.column("base").to_pylist(), strict=True))
+        first = np.flatnonzero(np.diff(lengths, prepend=-1))
+        rank = np.arange(len(lengths)) - np.repeat(first, np.diff(np.append(first, len(lengths))))
         out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")}
-        for i, (start, length, crc, raw, k) in enumerate(zip(rows["start"], rows["length"], rows["ids_crc32"], rows["raw"], rank, strict=True)):
-            parts = plan.place(length, k)
+        for i, (start, length, crc, raw, k) in enumerate(zip(rows.column("start").to_pylist(), lengths.tolist(), rows.column("ids_crc32").to_pylist(), rows.column("raw").to_pylist(), rank.tolist(), strict=True)):
+            parts = plan.place(length, k + bases[length])
             ids = np.frombuffer(raw, ids_kind).astype("<u4") if with_ids or len(parts) > 1 else None
             for a, n, sequence, offset in parts:
                 part = None if ids is None else ids[a : a + n]
                 for c, v in zip(out.values(), (i, start + a, n, crc if len(parts) == 1 else zlib.crc32(part.tobytes()), sequence, offset, part if with_ids else None), strict=True):
                     c.append(v)
-        at = np.asarray(out.pop("row"), np.int64)
-        return pd.DataFrame({"id": rows["id"].take(at).reset_index(drop=True), "doc_tokens": rows["doc_tokens"].to_numpy()[at]} | out)
+        at = pa.array(out.pop("row"), pa.int64())
+        ids = pa.array(out.pop("ids"), pa.list_(pa.int64()))
+        return pa.table({"id": rows.column("id").take(at), "doc_tokens": rows.column("doc_tokens").take(at)} | {k: pa.array(v, pa.int64()) for k, v in out.items()} | {"ids": ids})
 
     schema = f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<long>"
     dealt = max(parallelism(spark), n_buckets // 16)
-    placed = made.repartition(dealt, "bucket").groupBy("bucket").cogroup(bases.repartition(dealt, "in_bucket").groupBy("in_bucket")).applyInPandas(lambda rows, base: place(rows, base), schema)
+    placed = made.repartition(dealt, "bucket").groupBy("bucket").cogroup(bases.repartition(dealt, "in_bucket").groupBy("in_bucket")).applyInArrow(lambda rows, base: place(rows, base), schema)
     names = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.select(*names, *(["ids"] if with_ids else []))
 
