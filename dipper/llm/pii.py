@@ -16,6 +16,7 @@ results. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,9 +37,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DOT = re.compile("dot", re.IGNORECASE)
 # Looser ones.
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]++)++", re.IGNORECASE)
+# National numbers: an area code and two groups, with or without a trunk prefix.
+_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\(?0[0-9]{1,4}\)?[ /-][0-9]{3,4}[ -][0-9]{3,5})(?![0-9-])")
 
 # Gazetteers and cue words.
 _ENDINGS = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es it nl eu ch at pl se no ca au us jp in br mx".split())
@@ -90,9 +93,8 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans that only the looser patterns match."""
-    lower = text.lower()
-    found = [("email", *m.span()) for m in _SPELT.finditer(text)] if "at" in lower and "dot" in lower else []
+    """Spans that only the looser patterns match, of whatever length."""
+    found = [("email", *m.span()) for m in _SPELT.finditer(text)] if _DOT.search(text) else []
     return found + ([("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)] if _DIGIT.search(text) else [])
 
 
@@ -166,15 +168,35 @@ def believed(weights: np.ndarray, features: tuple[int, ...]) -> bool:
     return sum(weights[i] * v for i, v in feature_index(features).items()) + weights[-1] > 0
 
 
+def _with_spans(starts: list[int], ends: list[int], spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Disjoint ascending spans and others, disjoint from them, as one list."""
+    both = sorted([*zip(starts, ends, strict=True), *spans])
+    return [a for a, _ in both], [b for _, b in both]
+
+
 def all_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, whether the classifier added it), by kind, then start."""
     good, _ = base_spans(text)
     out = [(*s, False) for s in good]
-    taken = sorted((a, b) for _, a, b in good)
+    # ends of the union of spans taken: they ascend, so one place tells whether a span is free
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in good):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    fresh = 0  # end of the last span added; looser spans of a kind ascend
+    last = None
     for s in loose_spans(text):
-        if all(s[2] <= a or s[1] >= b for a, b in taken) and believed(weights, label(text, s, 0)[1]):
+        if s[0] != last:
+            if last is not None:
+                starts, ends = _with_spans(starts, ends, [x[1:3] for x in out if x[3]])
+            last, fresh = s[0], 0
+        i = bisect_right(ends, s[1])
+        if s[1] >= fresh and (i == len(starts) or starts[i] >= s[2]) and believed(weights, label(text, s, 0)[1]):
             out.append((*s, True))
-            taken.append(s[1:])
+            fresh = s[2]
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
