@@ -4,11 +4,13 @@ Seven overlapping heuristics vote on each document: capitals, odd marks, table b
 few distinct words, and plain words that go on.
 Expectation-maximisation over the counts of all vote patterns estimates their accuracies and the posterior of each
 pattern. Posteriors are the labels of a logistic model on hashed word shapes, fitted on at most ``max_rows`` documents
-(those with the least hash). Its score decides: below ``threshold``, a document goes. Texts of fewer than LEAST_WORDS words
-are judged by their posterior instead. No labels are used.
+(those with the least hash). Its score decides: below ``threshold``, a document goes. Texts of every length are judged by
+the same features: shares are of the words and a few plain ones more, so that those of short texts say little. No labels
+are used.
 
-Null, empty and blank texts have no words, nothing against them, and are kept. Repeated rows are judged alike. Columns
-other than the id and the text are not read.
+Null, empty and blank texts have no words and nothing against them: their score is 1, and they are kept. Whole texts are
+read, however long. Repeated rows, and ties of texts with equal features, are judged alike. Columns other than the id and
+the text are not read by the model; ``keep_good`` passes them on.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from dipper.llm.weak import fit_logistic, posteriors, votes_key
 
 #: Buckets of the shape hash.
 DIM = 1 << 12
-#: Shorter texts have no shape to speak of; their votes decide.
-LEAST_WORDS = 8
+#: Plain words that a text is taken to have besides its own.
+MORE = 6
 #: Function words of four languages.
 FUNCTION_WORDS = frozenset(
     b"the of and to in is that it was for on are as with be at by this from or an a "
@@ -53,20 +55,20 @@ def describe(text: bytes) -> tuple[str, dict[int, float]]:
         return votes_key([0] * 7), {}
     lower, upper = sum(map(text.count, (b"a", b"e", b"i", b"n", b"r", b"t"))), sum(map(text.count, (b"A", b"E", b"I", b"N", b"R", b"T")))
     shapes = Counter(_RUN.sub(rb"\1", text.translate(_SHAPE)).split())
-    marked = sum(c for s, c in shapes.items() if _MARKED.search(s) or s == b"!" or s.endswith(b"!")) / n
-    bars = shapes.get(b"|", 0) / n
-    again = sum(map(bytes.__eq__, words, words[1:])) / n
-    known = sum(w.strip(_EDGE).lower() in FUNCTION_WORDS for w in words) / n
-    capitals = upper / max(1, lower + upper)
-    plain = sum(map(shapes.get, _PLAIN_SHAPES, repeat(0))) / n
+    m = n + MORE
+    marked = sum(c for s, c in shapes.items() if _MARKED.search(s) or s == b"!" or s.endswith(b"!")) / m
+    bars = shapes.get(b"|", 0) / m
+    again = sum(map(bytes.__eq__, words, words[1:])) / m
+    known = sum(w.strip(_EDGE).lower() in FUNCTION_WORDS for w in words)
+    capitals = upper / (MORE + lower + upper)
+    odd = n - sum(map(shapes.get, _PLAIN_SHAPES, repeat(0)))
     bad = lambda x: -1 if x else 0
-    votes = [bad(capitals >= 0.3), bad(marked >= 0.1), bad(bars >= 0.06), bad(again >= 0.1 and n >= 4), bad(known <= 0.03 and n >= 12), bad(len(set(words)) <= 0.25 * n and n >= 20)]
-    votes.append(-1 if plain <= 0.6 or again >= 0.2 else 1 if plain >= 0.9 and again <= 0.04 else 0)
-    if n < LEAST_WORDS:
-        return votes_key(votes), {}
+    votes = [bad(capitals >= 0.3), bad(marked >= 0.1), bad(bars >= 0.06), bad(again >= 0.1), bad(100 * known + 9 * MORE <= 3 * m), bad(4 * len(set(words)) + 2 * MORE <= m)]
+    votes.append(-1 if 10 * odd >= 4 * m or again >= 0.2 else 1 if 10 * odd <= m and again <= 0.04 else 0)
+    shapes[b"a"] += MORE
     features = {xxhash.xxh3_64_intdigest(s) % (DIM - 1): 0.0 for s in shapes}
     for s, c in shapes.items():
-        features[xxhash.xxh3_64_intdigest(s) % (DIM - 1)] += c / n
+        features[xxhash.xxh3_64_intdigest(s) % (DIM - 1)] += c / m
     features[DIM - 1] = again
     return votes_key(votes), features
 
@@ -79,12 +81,12 @@ class Model:
 
     def score(self, votes: str, features: dict[int, float]) -> float:
         if not features:
-            return self.good.get(votes, 1.0)
+            return 1.0
         z = sum(self.weights[i] * x for i, x in features.items()) + self.weights[-1]
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(df: DataFrame, max_rows: int = 20_000, threshold: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+def fit(df: DataFrame, max_rows: int = 20_000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model for ``df``, and what it saw: (id, votes, at, share), kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -81,6 +82,15 @@ def test_packing(docs, rows, bpe_path):
         assert sum(len(x) for _, x in got) == copies[i] * len(ids)
 
 
+def test_packing_keeps_ids_beside_null_ones(spark, bpe_path):
+    far = [2**53 + 1 + 4 * i for i in range(40)] + [-(2**62) - 3]
+    rows = [(i, "some words here") for i in far] + [(None, "some words here")] * 300
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bpe_path).collect()
+    assert collections.Counter(p["doc_id"] for p in out) == collections.Counter(i for i, _ in rows)
+    names = packing.pack_documents(spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string"), bpe_path).collect()
+    assert {p["doc_id"] for p in names} == {"a", None}
+
+
 @pytest.mark.parametrize("hist", [{600: 1000}, {1: 5}, {1023: 7, 1: 3}, {1024: 3}, {700: 100, 300: 50, 333: 1}, {k: 1 + k % 7 for k in range(1, 1024)}, {}])
 def test_packing_plan(hist):
     plan = packing.Plan(hist, 1024, 8)
@@ -231,6 +241,35 @@ def test_base_patterns_on_random_strings():
 def test_spelt_out_addresses_of_any_case():
     text = "Bob (At) Example (Dot) Com"
     assert [text[a:b] for _, a, b in pii.loose_spans(text)] == [text]
+    long = "x" * 300 + " at " + "y" * 200 + " dot z" * 9
+    assert [long[a:b] for _, a, b in pii.loose_spans(long)] == [long]
+
+
+def test_national_numbers():
+    for t in ("415-555-0132", "(415) 555-0132", "1-415-555-0132", "030 1234 5678", "(0171) 555 1234"):
+        assert [("x " + t + " y")[a:b] for _, a, b in pii.loose_spans("x " + t + " y")] == [t]
+    assert pii.loose_spans("on 2024-01-15 12:30, 1234567, 10.20.30") == []
+
+
+def plain_spans(text, weights):
+    """As ``all_spans``, each looser span held against all spans taken so far."""
+    out = [(*s, False) for s in pii.base_spans(text)[0]]
+    for s in pii.loose_spans(text):
+        if all(s[2] <= b or s[1] >= e for _, b, e, _ in out) and pii.believed(weights, pii.label(text, s, 0)[1]):
+            out.append((*s, True))
+    return sorted(out, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_added_spans_overlap_nothing():
+    import random
+
+    rng = random.Random(8)
+    yes = np.zeros(pii._DIM + 1)
+    yes[-1] = 1
+    parts = ["415-555-0132", " at ", "dot", " ", "a@b.com", "bob", "x", "+1 (555) 555-1234", "(0171) 555 1234", "4111 1111 1111 1111", "call "]
+    for _ in range(5000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii.all_spans(t, yes) == plain_spans(t, yes)
 
 
 def test_private_data(docs, rows):
@@ -253,6 +292,10 @@ def test_long_texts_take_linear_time():
     start = time.time()
     for t in ("1" * 300_000, "a" * 300_000, "@" * 300_000, "+" * 300_000, "1.1" * 100_000, "+1" + "-" * 300_000, "a@" * 150_000, "a at " * 60_000 + "dot"):
         pii.all_spans(t, np.zeros(pii._DIM + 1))
+    yes = np.zeros(pii._DIM + 1)
+    yes[-1] = 1
+    assert len(pii.all_spans("call 415-555-0132 " * 20_000, yes)) == 20_000
+    assert len(pii.all_spans("bob at host dot com, 415-555-0132, " * 10_000, yes)) == 20_000
     assert time.time() - start < 20
 
 
@@ -293,6 +336,57 @@ def test_quality_edges(docs, rows):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def plain_description(text):
+    """Votes and shares of a text, written out from their definition."""
+    import xxhash
+
+    words = text.encode().split()
+    n, m = len(words), len(words) + 6
+    if not n:
+        return "0000000", {}
+
+    def shape(w):
+        out = "".join("a" if c >= 128 or chr(c).islower() else "A" if chr(c).isupper() else "0" if chr(c).isdigit() else chr(c) for c in w)
+        return re.sub(r"(.)\1+", r"\1", out, flags=re.S)
+
+    shapes = [shape(w) for w in words]
+    mark = sum(bool(re.search(r"[$%&#*]|!!", s)) or s.endswith("!") for s in shapes) / m
+    again = sum(a == b for a, b in zip(words, words[1:])) / m
+    known = sum(w.strip(b".,;:!?\"'()").lower() in quality.FUNCTION_WORDS for w in words)
+    up, low = (sum(text.encode().count(c) for c in letters) for letters in ([b"A", b"E", b"I", b"N", b"R", b"T"], [b"a", b"e", b"i", b"n", b"r", b"t"]))
+    odd = sum(not re.fullmatch(r"(a|Aa|A|0)[.,;:?]?", s) for s in shapes)
+    votes = ["-" if x else "0" for x in (up / (6 + up + low) >= 0.3, mark >= 0.1, shapes.count("|") / m >= 0.06, again >= 0.1, 100 * known + 54 <= 3 * m, 4 * len(set(words)) + 12 <= m)]
+    votes.append("-" if 10 * odd >= 4 * m or again >= 0.2 else "+" if 10 * odd <= m and again <= 0.04 else "0")
+    share = collections.Counter()
+    for s in shapes + ["a"] * 6:
+        share[xxhash.xxh3_64_intdigest(s.encode()) % (quality.DIM - 1)] += 1 / m
+    share[quality.DIM - 1] = again
+    return "".join(votes), share
+
+
+def test_quality_query_by_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, _ = quality.fit(table)
+    want = {}
+    for r in table.select("doc_id", "text").collect():
+        votes, share = plain_description(r["text"] or "")
+        assert (votes, {k: pytest.approx(v) for k, v in share.items()}) == quality.describe((r["text"] or "").encode())
+        z = sum(model.weights[i] * x for i, x in share.items()) + model.weights[-1]
+        want[r["doc_id"]] = 1 / (1 + np.exp(-z)) if share else 1.0
+    got = quality.QUERIES["op6_quality_filter"](spark, sf_dir).collect()
+    assert {r["doc_id"] for r in got} == {i for i, s in want.items() if s >= 0.5}
+    assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-4) for r in got)
+
+
+def test_quality_has_no_step_in_length():
+    # one word more or less changes no share by more than the words around it could
+    for n in range(1, 40):
+        votes, share = quality.describe(b" ".join([b"word", b"other."] * n))
+        assert share and len(votes) == 7
+    a, b = (quality.describe(b" ".join([b"w%d" % i for i in range(n)]))[1] for n in (7, 8))
+    assert a.keys() == b.keys()
+
+
 def test_empty_tables(empty, bpe_path, tmp_path):
     assert bpe.encode_documents(empty, bpe_path).count() == 0
     assert packing.pack_documents(empty, bpe_path).count() == 0
