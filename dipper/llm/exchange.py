@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dipper.llm.common import parallelism
 
@@ -85,7 +86,7 @@ def answer(dealt: Dealt, keys_of: Callable[[pa.Table], Iterator[tuple[int, bytes
     return sent.groupBy("shard").applyInArrow(reply, "at_bucket long, at_shard long, said binary")
 
 
-def with_answers(dealt: Dealt, answers: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(dealt: Dealt, answers: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """Each bucket's documents with what the shards said to it."""
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:

@@ -1,27 +1,33 @@
 """Line dedup: lines whose key is found in many documents lose all their occurrences.
 
-Distinct line hashes are split into shards. Each shard builds a minimal perfect hash over its distinct hashes, which
-indexes two compact arrays, fingerprints and document counts. The arrays of line hashes that buckets of documents send
-are counted into, and then probe, these arrays; no line is joined. See ``exchange`` for how hot lines stay small.
-
-A null or empty text is one empty line; empty keys are never dropped. Rows are documents each, also repeated ones.
-Columns other than the id and the text are not read.
+1. Buckets of documents send each distinct line hash once, with its number of documents, to hash shards. A shard keeps the
+   hashes found more than once, builds a minimal perfect hash over them, and publishes its arrays: the levels of the hash,
+   and by slot a fingerprint of 32 bits and the number of documents. It also publishes the hashes of the common lines in
+   full, for a second look at hits. Lines of one document alone, most of them, are in no array.
+2. Documents probe the published arrays: a bucket's distinct hashes meet the arrays of their shard, a probe whose slot holds
+   another fingerprint is turned away, and a hit on a common line is confirmed by the full hash. Bits go back to the
+   bucket, which drops its lines. No line is joined. See ``exchange`` for how hot lines stay small.
+
+A null or empty text is one empty line; empty keys are never dropped. Rows are documents each, also repeated ones. Very
+long texts and lines are read whole. Columns other than the id, the text and those to carry are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from dipper.llm.common import mix
-from dipper.llm.exchange import answer, deal, with_answers
+from dipper.llm.common import cut, mix
+from dipper.llm.exchange import deal, read_bitmaps, shard_slices, with_answers
 
 #: Line hashes in one shard, about.
 SHARD_LINES = 250_000
+_KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 _ENTRY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("docs", "<u4")])
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -31,7 +37,6 @@ class PerfectHash:
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = len(hi)
         before = 0
         while len(hi):
             size = 2 * len(hi)
@@ -43,6 +48,16 @@ class PerfectHash:
             left = ~alone[at]
             hi, lo = hi[left], lo[left]
 
+    @classmethod
+    def of_levels(cls, bits: list[np.ndarray]) -> PerfectHash:
+        """The hash whose levels have these bits."""
+        out = cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        before = 0
+        for alone in bits:
+            out.levels.append((alone, before + np.cumsum(alone) - alone))
+            before += int(alone.sum())
+        return out
+
     @staticmethod
     def _at(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
         return ((mix(hi, 2 * level) ^ mix(lo, 2 * level + 1)) % np.uint64(size)).astype(np.int64)
@@ -60,21 +75,62 @@ class PerfectHash:
 
 
 class LineIndex:
-    """The arrays of one shard."""
-
-    def __init__(self, entries: np.ndarray):
-        keys = np.unique(entries[["hi", "lo"]])
-        self.hash = PerfectHash(keys["hi"].copy(), keys["lo"].copy())
+    """The published arrays of one shard, built from the entries that buckets sent."""
+
+    def __init__(self, entries: np.ndarray, min_docs: int):
+        keys, inverse = np.unique(in_full(entries), return_inverse=True)
+        docs = np.bincount(inverse, weights=entries["docs"], minlength=len(keys)).astype(np.int64)
+        keys, docs = keys[docs > 1], docs[docs > 1]
+        hi, lo = keys["hi"].copy(), keys["lo"].copy()
+        self.hash = PerfectHash(hi, lo)
+        slot = self.hash(hi, lo)
+        self.fingerprints, self.counts = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
+        self.fingerprints[slot], self.counts[slot] = fingerprint(lo), np.minimum(docs, 0xFFFFFFFF)
+        # in full, in the order of their slots; ``rank`` says where a slot's is
+        common = np.sort(slot[docs >= min_docs])
+        at = np.empty(len(keys), np.int64)
+        at[slot] = np.arange(len(keys))
+        self.common, self.full = common, keys[at[common]]
+
+    def packed(self) -> bytes:
+        levels = [(np.packbits(alone).tobytes(), len(alone)) for alone, _ in self.hash.levels]
+        return pickle.dumps((levels, self.fingerprints.tobytes(), self.counts.tobytes(), self.common.tobytes(), self.full.tobytes()))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> LineIndex:
+        levels, fingerprints, counts, common, full = pickle.loads(raw)
+        index = cls.__new__(cls)
+        index.hash = PerfectHash.of_levels([np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for bits, n in levels])
+        index.fingerprints, index.counts = np.frombuffer(fingerprints, "<u4"), np.frombuffer(counts, "<u4")
+        index.common, index.full = np.frombuffer(common, np.int64), np.frombuffer(full, _KEY)
+        return index
+
+    def documents(self, keys: np.ndarray) -> np.ndarray:
+        """By the arrays alone, in how many documents each line is found; 0 where the fingerprint differs, as for lines of one."""
         slot = self.hash(keys["hi"], keys["lo"])
-        self.fingerprints = np.zeros(len(keys), np.uint32)
-        self.fingerprints[slot] = keys["lo"].astype(np.uint32)
-        self.counts = np.zeros(len(keys), np.int64)
-        np.add.at(self.counts, self.hash(entries["hi"], entries["lo"]), entries["docs"])
+        if not len(self.counts):
+            return np.zeros(len(keys), np.int64)
+        return np.where((slot >= 0) & (self.fingerprints[slot] == fingerprint(keys["lo"])), self.counts[slot], 0)
+
+    def are_common(self, keys: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which lines are found in ``min_docs`` documents or more: hits of the arrays that are the common line itself."""
+        hit = np.flatnonzero(self.documents(keys) >= min_docs)
+        out = np.zeros(len(keys), bool)
+        slot = self.hash(keys["hi"][hit], keys["lo"][hit])
+        full = self.full[np.searchsorted(self.common, slot)] if len(hit) else self.full[:0]
+        out[hit] = (full["hi"] == keys["hi"][hit]) & (full["lo"] == keys["lo"][hit])
+        return out
+
+
+def in_full(entries: np.ndarray) -> np.ndarray:
+    """The hashes of entries, without their counts."""
+    keys = np.empty(len(entries), _KEY)
+    keys["hi"], keys["lo"] = entries["hi"], entries["lo"]
+    return keys
 
-    def documents(self, entries: np.ndarray) -> np.ndarray:
-        """In how many documents each line is found; 0 if the fingerprint differs."""
-        slot = self.hash(entries["hi"], entries["lo"])
-        return np.where((slot >= 0) & (self.fingerprints[slot] == entries["lo"].astype(np.uint32)), self.counts[slot], 0)
+
+def fingerprint(lo: np.ndarray) -> np.ndarray:
+    return (lo >> np.uint64(32)).astype("<u4")
 
 
 def line_keys(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -91,7 +147,8 @@ def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
     lines = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))), F.lit(0))).first()[0]
     shards = max(32, -(-lines // SHARD_LINES))
 
-    def keys_of(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    def entries_of(table: pa.Table) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The distinct line hashes of a bucket with their documents, by shard; and where each shard's are."""
         docs: dict[bytes, int] = {}
         for text in table.column("text").to_pylist():
             for k in set(line_keys(text)[1]):
@@ -100,24 +157,38 @@ def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
         entries = np.zeros(len(docs), _ENTRY)
         pair = np.frombuffer(b"".join(docs), "<u8").reshape(-1, 2)
         entries["hi"], entries["lo"], entries["docs"] = pair[:, 0], pair[:, 1], np.fromiter(docs.values(), np.int64, len(docs))
-        of = (((entries["hi"] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.diff(of[order])) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                yield int(of[part[0]]), entries[part].tobytes()
-
-    def judge(arrays: list[bytes]) -> list[bytes]:
-        parts = [np.frombuffer(a, _ENTRY) for a in arrays]
-        index = LineIndex(np.concatenate(parts))
-        out = []
-        for p in parts:
-            hit = p[index.documents(p) >= min_docs]
-            out.append(np.stack([hit["hi"], hit["lo"]], axis=1).tobytes())
-        return out
+        entries = entries[np.lexsort((entries["lo"], entries["hi"]))]
+        return entries, list(shard_slices(entries["hi"], shards))
+
+    def send(table: pa.Table) -> pa.Table:
+        entries, cuts = entries_of(table)
+        return pa.table({"shard": pa.array([s for s, _ in cuts], pa.int64()), "packed": pa.array([entries[c].tobytes() for _, c in cuts], pa.binary())})
+
+    def build(table: pa.Table) -> pa.Table:
+        index = LineIndex(np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("packed").to_pylist()]), min_docs)
+        return pa.table({"of_shard": table.column("shard")[:1], "arrays": pa.array([index.packed()], pa.binary())})
+
+    def probe(table: pa.Table) -> pa.Table:
+        entries, cuts = entries_of(table)
+        at = table.column("bucket")[0].as_py() if table.num_rows else 0
+        packed = [in_full(entries[c]).tobytes() for _, c in cuts]
+        return pa.table({"shard": pa.array([s for s, _ in cuts], pa.int64()), "from_bucket": pa.array([at] * len(cuts), pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    def look_up(probes: pa.Table, arrays: pa.Table) -> pa.Table:
+        if not arrays.num_rows:
+            raise ValueError("a shard without arrays")
+        index = LineIndex.unpacked(arrays.column("arrays")[0].as_py())
+        said = [np.packbits(index.are_common(np.frombuffer(x, _KEY), min_docs)).tobytes() for x in probes.column("packed").to_pylist()]
+        return pa.table({"at_bucket": probes.column("from_bucket"), "at_shard": probes.column("shard"), "said": pa.array(said, pa.binary())})
+
+    published = cut(dealt.rows.groupBy("bucket").applyInArrow(send, "shard long, packed binary").groupBy("shard").applyInArrow(build, "of_shard long, arrays binary"))
+    probes = dealt.rows.groupBy("bucket").applyInArrow(probe, "shard long, from_bucket long, packed binary")
+    answers = probes.groupBy("shard").cogroup(published.groupBy("of_shard")).applyInArrow(lambda p, a: look_up(p, a), "at_bucket long, at_shard long, said binary")
 
     def apply(docs: pa.Table, said: pa.Table) -> pa.Table:
-        packed = b"".join(said.column("said").to_pylist()) if said.num_rows else b""
+        entries, cuts = entries_of(docs)
+        hit = entries[read_bitmaps(said, [(s, c.stop - c.start) for s, c in cuts])]
+        packed = in_full(hit).tobytes()
         common = {packed[i : i + 16] for i in range(0, len(packed), 16)}
         n_lines, n_dropped, kept = [], [], []
         for text in docs.column("text").to_pylist():
@@ -129,9 +200,9 @@ def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
         out = {"id": docs.column("id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "text": pa.array(kept, pa.string())}
         return pa.table(out | ({"rest": docs.column("rest")} if carry else {}))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rest = f", rest {dealt.rows.schema['rest'].dataType.simpleString()}" if carry else ""
-    out = with_answers(dealt, answer(dealt, keys_of, judge), apply, f"id {kind}, n_lines long, n_dropped long, text string{rest}")
+    fields = [StructField("id", df.schema[id_col].dataType), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("text", StringType())]
+    schema = StructType(fields + ([StructField("rest", dealt.rows.schema["rest"].dataType)] if carry else []))
+    out = with_answers(dealt, answers, apply, schema)
     return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("text").alias(text_col), *[F.col("rest")[c].alias(c) for c in carry])
 
 
