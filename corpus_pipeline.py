@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipper.llm import jaccard, linededup, packing, pii, quality
@@ -32,12 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id stays; of rows with one id, one."""
-    classes = jaccard.near_duplicates(docs)
-    drop = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return left.withColumn("copy_number", F.row_number().over(same)).where("copy_number = 1 or doc_id is null").select(*docs.columns)
+    """Of each group of near duplicates, the document with the least id stays; rows of one id go only as near copies."""
+    return jaccard.keep_first(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

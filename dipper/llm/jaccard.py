@@ -7,18 +7,22 @@ A document's set holds the hashes of its distinct 5-word shingles. Documents wit
 2. Those that are left count, in the same way, how many of them hold each shingle; that is the rarity that orders use.
    Shingles that only one of them holds are left out, and nodes that then can't reach the threshold, too.
 3. Two nodes whose similarity reaches the threshold share a token among the first |A| - ceil(t|A|) + 1 of each, under
-   any global order of tokens. Under a first order, by rarity, nodes that share such a token fall into one cell; under
-   a second order, by powers of two of rarity and another hash, tokens count within the cells of the first, which
-   intersects the filters; a third order, by rarity in the cell, is taken within each cell. Nodes that are in one cell
-   under every order and share a prefix token there are verified by the exact size of their intersection.
-4. Links are what components need: in a cell, a node is only compared with those that it isn't yet connected with, so a
-   group of near copies takes about as many comparisons as it has members. Cells of more than CELL_TOKENS are split into
-   pairs of chunks that are compared each in a task of its own. Nothing is capped: every candidate pair that could
-   connect two components is verified.
+   any global order of tokens. A pair is a candidate only if it shares such a prefix token under each of three orders:
+   by rarity; by powers of two of rarity and another hash; by rarity among the nodes that meet. To bring pairs together
+   without listing them, nodes are first dealt to cells: those that share prefix tokens under the first order, directly
+   or through others, and under the second within these cells. Cells only say who meets; the three filters are
+   intersected pair by pair where nodes meet, and what is left is verified by the exact size of the intersection.
+4. Links are what components need: a node is only compared with those that it isn't yet connected with, and lists of
+   holders that are one class are passed over, so a group of near copies takes about as many comparisons as it has
+   members. Cells of more than CELL_TOKENS are split into chunks: each chunk meets itself and the first one; then, of
+   nodes that aren't in the cell's main class, chunks meet all others. So a giant group of near copies is read twice,
+   not once for each of its chunks. Nothing is capped: every candidate pair that could connect two components is
+   verified.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Documents with fewer words than a shingle are their whole sequence;
-null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are copies; rows with a null id
-take no part and have no component. Columns other than the id and the text are not read. Ids are whole numbers.
+null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are copies; rows with one id and
+different texts are documents each; rows with a null id are compared too, but no component is named after them, and
+their own ``component_id`` is null. Columns other than the id and the text are not read. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipper.llm.common import cut, mix, ragged_take, window_hashes, word_codes, word_hashes
@@ -39,7 +43,7 @@ from dipper.llm.exchange import answer, deal, deal_buckets, read_bitmaps, shard_
 #: Bytes of text, and of prefix tokens, for which one shard is made.
 SHARD_BYTES = 16 << 20
 #: Tokens of the nodes in one chunk of a cell.
-CELL_TOKENS = 2_000_000
+CELL_TOKENS = 1_000_000
 _PREFIX = np.dtype([("token", "<u8"), ("node", "<i8")])
 
 
@@ -98,6 +102,7 @@ class Bucket:
         order = pc.sort_indices(table, sort_keys=[("id", "ascending")])
         table = table.take(order)
         self.ids = table.column("id")
+        self.text_hash = pc.struct_field(table.column("rest"), "text_hash")
         self.off, self.tokens = shingle_sets(table.column("text").combine_chunks().cast(pa.large_string()), n)
         self.n = np.diff(self.off)
         filled = np.flatnonzero(self.n > 0)
@@ -106,12 +111,12 @@ class Bucket:
             at = self.off[:-1][filled]
             self.hi[filled] = mix(np.add.reduceat(mix(self.tokens, 31), at), 5) ^ self.n[filled].astype(np.uint64)
             self.lo[filled] = np.add.reduceat(mix(self.tokens, 57), at)
-        # the first row of each set stands for the node
+        # the first row of each set in the bucket, the one of least id, stands for the node
         node = np.lexsort((np.arange(len(self.n)), self.lo, self.hi))
         new = np.concatenate([[True], (self.hi[node][1:] != self.hi[node][:-1]) | (self.lo[node][1:] != self.lo[node][:-1])]) if len(node) else np.zeros(0, bool)
         self.first = np.zeros(len(self.n), bool)
         self.first[node[new]] = True
-        self.first &= (self.n > 0) & self.ids.is_valid().to_numpy()
+        self.first &= self.n > 0
         _, flat = ragged_take(self.off, self.tokens, np.flatnonzero(self.first))
         self.keys, self.holders = np.unique(flat, return_counts=True)
         self.shards = shards
@@ -153,64 +158,87 @@ def star_edges(entries: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
-    """A label for each node of a cell: equal for those that verified links connect.
+def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, percent: int, side: np.ndarray | None = None, inner: bool = False, known: np.ndarray | None = None) -> np.ndarray:
+    """The first node of its class, for each node that meets here; verified links make classes.
 
-    ``side``: 0 or 1; only pairs of both sides are compared. None: all pairs.
+    ``side``: 0 or 1; only pairs of both sides are compared, and, with ``inner``, those within side 1. ``known``: nodes with
+    equal numbers are one class from the start. Work follows the lists of holders, not the number of pairs.
     """
     m = len(n)
-    label = np.arange(m)
+    label = np.arange(m) if known is None else (lambda u: u[1][u[2]])(np.unique(known, return_index=True, return_inverse=True))
     if m < 2:
         return label
+    members: dict[int, list[int]] = {}
+    for i, c in enumerate(label.tolist()):
+        members.setdefault(c, []).append(i)
     _, local = np.unique(tokens, return_inverse=True)
     df = np.bincount(local)
     have = np.diff(off)
     of = np.repeat(np.arange(m), have)
-    # The third order: rarest first. Tokens that one node of the cell holds come first and meet nothing.
-    by = np.lexsort((local, df[local], of))
     take = np.minimum(have, have - least_common(n, percent) + 1).clip(0)
     keep = np.arange(len(local)) - np.repeat(off[:-1], have) < np.repeat(take, have)
-    head_tok, head_of = local[by][keep], of[keep]
-    head_off = np.concatenate([[0], np.cumsum(np.bincount(head_of, minlength=m))])
-    post_by = np.argsort(head_tok, kind="stable")
-    post_doc = head_of[post_by]
-    post_off = np.concatenate([[0], np.cumsum(np.bincount(head_tok, minlength=len(df)))])
+    head = np.concatenate([[0], np.cumsum(take)])
+    orders = [local[np.lexsort((*keys, of))][keep] for keys in ((mix(tokens, 1001), rarity), (mix(tokens, 1002), np.frexp(rarity)[1]), (local, df[local]))]
+    mine = orders[2]  # candidates come from the lists of the last order, and must pass the others
+    by = np.argsort(mine, kind="stable")
+    holder = np.repeat(np.arange(m), take)[by]
+    lists = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=len(df)))])
+    filled = np.flatnonzero(np.diff(lists))
     mask = np.zeros(len(df), bool)
-    seen = np.zeros(m, np.int64)
     done = np.zeros(m, bool)
     # Nodes made of what most others hold come first: they connect the most.
     weight = np.add.reduceat(df[local], off[:-1]) / np.maximum(have, 1)
-    groups = m
-    for turn, y in enumerate(np.argsort(-weight, kind="stable").tolist(), 1):
-        if groups == 1:
-            break
-        mine = head_tok[head_off[y] : head_off[y + 1]]
-        done[y] = True
-        if not len(mine):
-            continue
-        starts, stops = post_off[mine], post_off[mine + 1]
-        length = stops - starts
-        total = int(length.sum())
-        if total == len(mine):
-            continue
-        at = np.arange(total) - np.repeat(np.cumsum(length) - length - starts, length)
-        seen[post_doc[at]] = turn
-        near = np.flatnonzero((seen == turn) & ~done & (label != label[y]))
-        if side is not None:
-            near = near[side[near] != side[y]]
-        near = near[(100 * n[near] >= percent * n[y]) & (100 * n[y] >= percent * n[near])]
-        if not len(near):
-            continue
-        own = local[off[y] : off[y + 1]]
+    todo = np.argsort(-weight, kind="stable")
+    todo = todo[take[todo] > 0]
+    if not len(todo):
+        return label
+    hub, step = int(todo[0]), 1
+
+    def shared(offsets: np.ndarray, values: np.ndarray, y: int, near: np.ndarray) -> np.ndarray:
+        """How many of y's values each of ``near`` has."""
+        own = values[offsets[y] : offsets[y + 1]]
         mask[own] = True
-        o, flat = ragged_take(off, local, near)
-        common = np.add.reduceat(mask[flat].astype(np.int64), o[:-1])
+        o, flat = ragged_take(offsets, values, near)
+        count = np.add.reduceat(mask[flat].astype(np.int64), o[:-1])
         mask[own] = False
-        linked = near[100 * common >= percent * (n[near] + n[y] - common)]
-        if len(linked):
-            joined = np.unique(np.append(label[linked], label[y]))
-            label[np.isin(label, joined)] = joined[0]
-            groups -= len(joined) - 1
+        return count
+
+    while len(todo):
+        # lists whose holders are one class give nothing any more
+        classes = label[holder]
+        mixed = np.zeros(len(df), bool)
+        mixed[filled] = np.minimum.reduceat(classes, lists[filled]) != np.maximum.reduceat(classes, lists[filled])
+        some = np.concatenate([[0], np.cumsum(mixed[mine])])[head]
+        todo = todo[some[todo + 1] > some[todo]]
+        batch, todo, step = todo[:step].tolist(), todo[step:], 2 * step
+        for y in batch:
+            # nodes of the first one's class meet the others when it's their turn
+            if label[y] == label[hub] and y != hub:
+                continue
+            done[y] = True
+            own = mine[head[y] : head[y + 1]]
+            own = own[mixed[own]]
+            start, length = lists[own], lists[own + 1] - lists[own]
+            at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length - start, length)
+            near = holder[at]
+            near = near[(label[near] != label[y]) & ~done[near]]
+            if side is not None:
+                near = near[(side[near] != side[y]) | (inner & (side[near] == 1) & (side[y] == 1))]
+            near = near[(100 * n[near] >= percent * n[y]) & (100 * n[y] >= percent * n[near])]
+            near = np.unique(near)
+            for values in orders[:2]:
+                if len(near):
+                    near = near[shared(head, values, y, near) > 0]
+            if not len(near):
+                continue
+            common = shared(off, local, y, near)
+            for z in near[100 * common >= percent * (n[near] + n[y] - common)].tolist():
+                a, b = int(label[y]), int(label[z])
+                if a != b:
+                    if len(members[a]) < len(members[b]):
+                        a, b = b, a
+                    label[members[b]] = a
+                    members[a] += members.pop(b)
     return label
 
 
@@ -242,9 +270,87 @@ def count_holders(held: DataFrame, columns: Callable, total: int, percent: int)
     return with_answers(dealt, answer(dealt, send, judge), apply, "node long, n long, tokens binary, rarity binary")
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links of similarity ``percent`` / 100."""
-    dealt = deal(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
+def _columns(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, offsets, tokens, nodes) of packed rows."""
+    raw = table.column("tokens").to_pylist()
+    off = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
+    return table.column("n").to_numpy(), off, np.frombuffer(b"".join(raw), "<u8"), table.column("node").to_numpy()
+
+
+def _rarity(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("rarity").to_pylist()), "<u4")
+
+
+def _cells(rows: DataFrame, order: int, shards: int, percent: int) -> DataFrame:
+    """(node, cell) of nodes that share prefix tokens under an order, within their cells so far."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size, off, tokens, node = _columns(b)
+            old = b.column("cell").to_numpy() if "cell" in b.schema.names else None
+            entries = prefix_entries(size, off, tokens, _rarity(b), node, old, order, percent)
+            of = (((entries["token"] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+            by = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[by])) + 1
+            parts = [(int(of[p[0]]), entries[p].tobytes()) for p in np.split(by, cuts) if len(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["shard", "packed"])
+
+    def edges(table: pa.Table) -> pa.Table:
+        found = star_edges(np.frombuffer(b"".join(table.column("packed").to_pylist()), _PREFIX))
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    found = components(rows.mapInArrow(send, "shard long, packed binary").groupBy("shard").applyInArrow(edges, "a long, b long"))
+    return found.select(F.col("vertex").alias("node"), F.col("component").alias("cell"))
+
+
+def _links(spread: DataFrame, keys: tuple[str, ...], inner: bool, percent: int) -> DataFrame:
+    """(a, b) links that make the classes of nodes that meet: rows of equal ``keys``, with ``upper`` for their side."""
+
+    def link(table: pa.Table) -> pa.Table:
+        size, off, tokens, node = _columns(table)
+        side = table.column("upper").to_numpy().astype(np.int64)
+        known = table.column("known").to_numpy() if "known" in table.column_names else None
+        label = link_cell(size, off, tokens, _rarity(table), percent, side if side.any() else None, inner, known)
+        first = node[label]
+        some = first != node
+        return pa.table({"a": pa.array(node[some]), "b": pa.array(first[some])})
+
+    return spread.groupBy(*keys).applyInArrow(link, "a long, b long")
+
+
+def _linked_cells(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what is linked, of nodes ``placed`` in cells; ``sizes``: (cell, size in tokens)."""
+    big = cut(sizes.where(F.col("size") > CELL_TOKENS).select(F.col("cell").alias("big_cell"), F.ceil(F.col("size") / CELL_TOKENS).cast("int").alias("chunks")))
+    rows = placed.join(big, F.col("cell") == F.col("big_cell"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    packed = ("node", "n", "tokens", "rarity")
+    # the first chunk meets itself and, beside each other one, that one
+    meets = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
+    first = _links(rows.select("cell", F.explode(meets).alias("chunk"), (F.col("own") > 0).alias("upper"), *packed), ("cell", "chunk"), True, percent)
+    if big.isEmpty():
+        return first
+    first = cut(first)
+    known = components(first).select(F.col("vertex").alias("v"), "component")
+    rest = rows.where("chunks > 1 and own > 0").join(known, F.col("node") == F.col("v"), "left").withColumn("known", F.coalesce("component", "node")).select("cell", "chunks", "own", "known", *packed)
+    per_class = rest.groupBy("cell", "known").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.octet_length("tokens") / 8).alias("size"))
+    main = per_class.groupBy("cell").agg(F.max(F.struct("nodes", "known")).getField("known").alias("main"), F.sum("size").alias("all"), F.max(F.struct("nodes", "known", "size")).getField("size").alias("main_size"))
+    main = main.where(F.col("all") > F.col("main_size")).select(F.col("cell").alias("of_cell"), "main", F.ceil((F.col("all") - F.col("main_size")) / CELL_TOKENS).cast("int").alias("parts"))
+    rest = rest.join(main, F.col("cell") == F.col("of_cell"))
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    others = rest.where("known <> main").select("cell", part.alias("part"), F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("upper"), "known", *packed)
+    every = rest.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("own").alias("chunk"), F.lit(True).alias("upper"), "known", *packed)
+    return first.unionByName(_links(others.unionByName(every), ("cell", "part", "chunk"), False, percent))
+
+
+def _classes(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, sets): rows as (id, text_hash, n, hi, lo, row), and (hi, lo, least id, first) of each distinct set.
+
+    ``first``: (no id, id, row, text_hash) of the least document of the set's class.
+    """
+    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    dealt = deal(whole, "id", "text", ("text_hash",))
     shards = shard_count(dealt.total)
     answers = answer(dealt, lambda t: Bucket(t, n, shards).sent(), lambda a: [np.packbits(x > 1).tobytes() for x in total_holders(a)])
 
@@ -257,66 +363,55 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
             shared = own[bits[np.searchsorted(b.keys, own)]]
             if len(shared) >= least_common(b.n[i], percent):
                 tokens[i] = shared.tobytes()
-        return pa.table({"id": b.ids, "n": pa.array(b.n), "hi": pa.array(b.hi.astype(np.int64)), "lo": pa.array(b.lo.astype(np.int64)), "tokens": pa.array(tokens, pa.binary())})
+        row = (docs.column("bucket")[0].as_py() if docs.num_rows else 0) << 32
+        return pa.table({"id": b.ids, "text_hash": b.text_hash, "row": pa.array(np.arange(row, row + len(b.n))), "n": pa.array(b.n), "hi": pa.array(b.hi.astype(np.int64)), "lo": pa.array(b.lo.astype(np.int64)), "tokens": pa.array(tokens, pa.binary())})
+
+    docs = cut(with_answers(dealt, answers, judge, "id long, text_hash long, row long, n long, hi long, lo long, tokens binary"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "text_hash")).alias("first")
+    # numbered once and kept, so that a lost task can't number them anew
+    nodes = cut(docs.where("n > 0").groupBy("hi", "lo").agg(least).withColumn("node", F.monotonically_increasing_id()))
+    # Each bucket gave the tokens to its least row of a set; the least of all has them.
+    held = docs.where("tokens is not null").select("row", "n", "tokens").join(nodes.select(F.col("first.row").alias("first_row"), "node"), F.col("row") == F.col("first_row")).select("node", "n", "tokens")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    held = cut(count_holders(held, _columns, total, percent))
+    second = _cells(held.join(_cells(held, 1, shards, percent), "node"), 2, shards, percent)
+    sizes = held.select("node", (F.octet_length("tokens") / 8).alias("size")).join(second, "node").groupBy("cell").agg(F.sum("size").alias("size"))
+    joined = components(_linked_cells(held.join(second, "node"), sizes, percent)).select(F.col("vertex").alias("v"), "component")
+    linked = nodes.join(joined, F.col("node") == F.col("v"))
+    best = linked.groupBy("component").agg(F.min("first").alias("class_first")).withColumnRenamed("component", "of_component")
+    of_node = linked.join(best, F.col("component") == F.col("of_component")).select(F.col("node").alias("linked_node"), "class_first")
+    sets = nodes.join(of_node, F.col("node") == F.col("linked_node"), "left").select("hi", "lo", F.coalesce("class_first", "first").alias("first"))
+    return docs, sets
 
-    docs = cut(with_answers(dealt, answers, judge, "id long, n long, hi long, lo long, tokens binary"))
-    nodes = docs.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"))
-    # Each bucket gave the tokens to its least id of a set; the least of all has them.
-    held = docs.where("tokens is not null").join(nodes.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "node"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("id") == F.col("node"))).select("node", "n", "tokens")
 
-    def columns(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw = table.column("tokens").to_pylist()
-        off = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
-        return table.column("n").to_numpy(), off, np.frombuffer(b"".join(raw), "<u8"), table.column("node").to_numpy()
+def _with_first(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each document with the least one of its class; null where it has no shingles."""
+    of_set = sets.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first")
+    return docs.join(of_set, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
 
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
-    held = cut(count_holders(held, columns, total, percent))
-
-    def cells(rows: DataFrame, order: int) -> DataFrame:
-        """(vertex, component) of nodes that share prefix tokens under an order, within their cells so far."""
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                size, off, tokens, node = columns(b)
-                old = b.column("cell").to_numpy() if "cell" in b.schema.names else None
-                rarity = np.frombuffer(b"".join(b.column("rarity").to_pylist()), "<u4")
-                entries = prefix_entries(size, off, tokens, rarity, node, old, order, percent)
-                of = (((entries["token"] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-                by = np.argsort(of, kind="stable")
-                cuts = np.flatnonzero(np.diff(of[by])) + 1
-                parts = [(int(of[p[0]]), entries[p].tobytes()) for p in np.split(by, cuts) if len(p)]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["shard", "packed"])
-
-        def edges(table: pa.Table) -> pa.Table:
-            found = star_edges(np.frombuffer(b"".join(table.column("packed").to_pylist()), _PREFIX))
-            return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-        return components(rows.mapInArrow(send, "shard long, packed binary").groupBy("shard").applyInArrow(edges, "a long, b long"))
-
-    first = cells(held, 1).select(F.col("vertex").alias("node"), F.col("component").alias("cell"))
-    second = cells(held.join(first, "node"), 2)
-    placed = held.join(second.select(F.col("vertex").alias("node"), F.col("component").alias("cell")), "node")
-    size = placed.groupBy("cell").agg((F.sum(F.octet_length("tokens")) / 8).alias("size")).select("cell", F.ceil(F.col("size") / CELL_TOKENS).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    # A cell of several chunks: each chunk meets itself and each other one.
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = placed.join(size, "cell").select("cell", "node", "n", "tokens", chunk.alias("own"), other.alias("other")).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("upper"), "node", "n", "tokens")
 
-    def link(table: pa.Table) -> pa.Table:
-        size, off, tokens, node = columns(table)
-        apart = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        label = link_cell(size, off, tokens, table.column("upper").to_numpy().astype(np.int64) if apart else None, percent)
-        hub = node[label]
-        some = hub != node
-        return pa.table({"a": pa.array(node[some]), "b": pa.array(hub[some])})
-
-    links = spread.groupBy("cell", "i", "j").applyInArrow(link, "a long, b long")
-    joined = components(links).select(F.col("vertex").alias("v"), "component")
-    of_node = nodes.join(joined, F.col("node") == F.col("v"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "node").alias("component"))
-    out = docs.join(of_node, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links of similarity ``percent`` / 100."""
+    out = _with_first(*_classes(df, n, percent, id_col, text_col))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("first.id", "id")).alias("component_id"))
+
+
+def keep_first(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` less all but one document of each class of near copies: the one of the least id, null ids last.
+
+    Rows are told apart by id and text, so rows of one id with texts that aren't near copies stay, and of rows that are
+    the same in both, one. Rows without words all stay.
+    """
+    found = _with_first(*_classes(df, n, percent, id_col, text_col)).where("n > 0")
+    own = F.struct("id", "text_hash")
+    gone = found.where(~own.eqNullSafe(F.struct("first.id", "first.text_hash"))).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.col(f"`{text_col}`").alias("own_text"))
+    has_words = F.coalesce(F.col("own_text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    worded = rows.where(has_words).select("doc", "own_id", F.xxhash64("own_text").alias("own_hash"))
+    same = Window.partitionBy("own_id", "own_hash").orderBy(F.lit(0))
+    worded = worded.withColumn("copy", F.row_number().over(same)).where("copy = 1")
+    left = worded.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti")
+    return left.select("doc.*").unionByName(rows.where(~has_words).select("doc.*"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,34 +102,64 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_first(rows):
+    """(id, text) rows less all but the least of each class of near copies; nulls last; one of rows that are the same."""
+    from tests.llm.test_text_operators import WORD, brute_classes
+
+    worded = sorted({r for r in rows if WORD.search(r[1] or "")}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    classes = brute_classes([(k, t) for k, (_, t) in enumerate(worded)])
+    return [worded[k] for k in range(len(worded)) if classes[k][2] == k] + [r for r in rows if not WORD.search(r[1] or "")]
+
+
+def test_near_duplicates_with_one_id(spark):
+    from dipper.llm import jaccard
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text of its own"), (1, "another that shares no word with it"), (1, "another that shares no word with it"), (2, long), (1, long + " end"), (3, long), (None, long + " more"), (None, "alone"), (None, "alone"), (4, None), (4, ""), (5, " "), (5, " "), (None, None)]
+    df = spark.createDataFrame([(*r, i, "x", 0) for i, r in enumerate(rows)], "doc_id long, text string, gone long, copy string, own_id int")
+    out = jaccard.keep_first(df)
+    assert out.columns == df.columns
+    want = [(1, "one text of its own"), (1, "another that shares no word with it"), (1, long + " end"), (None, "alone"), (4, None), (4, ""), (5, " "), (5, " "), (None, None)]
+    assert sorted([tuple(r)[:2] for r in out.collect()], key=repr) == sorted(want, key=repr)
+    assert jaccard.keep_first(df.where("false")).count() == 0
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark, docs, rows, tmp_path, bpe_path):
+    import collections
+
     import corpus_pipeline
-    from tests.llm.test_text_operators import brute_classes, brute_lines
+    from tests.llm.test_text_operators import brute_lines
     from tokenizers import Tokenizer
 
     from dipper.llm import pii, quality
 
     sf = str(tmp_path)
-    table = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    # rows of one id with texts of their own, and a column that stages use the name of
+    more = spark.createDataFrame([(1, "a second text of the first document " + " ".join(map(str, range(20)))), (1, "third text of it, like none of the others at all")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars", "'g' as gone")
+    table = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "'g' as gone").unionByName(more)
     table.write.parquet(f"{sf}/documents.parquet")
     got = corpus_pipeline.run(spark, sf).collect()
     model, _ = quality.fit(table)
-    left = [(r[0], r[1]) for r in rows if model.score(*quality.describe((r[1] or "").encode())) >= model.threshold]
+    left = [(r["doc_id"], r["text"]) for r in table.collect() if model.score(*quality.describe((r["text"] or "").encode())) >= model.threshold]
     left = [(i, x[2]) for (i, _), x in zip(left, brute_lines([t for _, t in left], 10))]
-    seen, unique = set(), []
-    for (i, t), (_, _, c) in zip(left, brute_classes(left)):
-        if i is None or (c == i and i not in seen):
-            seen.add(i)
-            unique.append((i, t))
+    unique = brute_first(left)
+    assert sum(i == 1 for i, _ in unique) >= 2
     weights = pii.fit(spark.createDataFrame(unique, "doc_id long, text string"))
-    final = [(i, pii.masked(t, found) if (found := pii.all_spans(t, weights)) else t) for i, t in unique]
+    final = [(i, pii.masked(t or "", found) if (found := pii.all_spans(t or "", weights)) else t or "") for i, t in unique]
     lib = Tokenizer.from_file(bpe_path)
-    want = {}
+    want = collections.Counter()
     for i, t in final:
-        want.setdefault(i, []).append(len(lib.encode(t, add_special_tokens=False).ids) + 1)
-    have = {}
+        want[i] += len(lib.encode(t, add_special_tokens=False).ids) + 1
+    have = collections.Counter()
     for r in got:
-        have.setdefault(r["doc_id"], []).append(r["length"])
-    assert {k: sum(v) for k, v in have.items()} == {k: sum(v) for k, v in want.items()}
+        have[r["doc_id"]] += r["length"]
+    assert have == want
     stage = dict(corpus_pipeline.STAGES)["line dedup"](spark, table, sf)
     assert stage.columns == table.columns and stage.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_on_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.where("false").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

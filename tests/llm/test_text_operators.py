@@ -139,6 +139,25 @@ def test_perfect_hash():
     assert sorted(h(hi, lo)) == list(range(5000))
 
 
+def test_line_arrays_turn_strange_lines_away():
+    rng = np.random.default_rng(3)
+    entries = np.zeros(6000, linededup._ENTRY)
+    entries["hi"], entries["lo"] = rng.integers(0, 1 << 63, 6000), rng.integers(0, 1 << 63, 6000)
+    entries["docs"] = np.arange(6000) % 20 + 1
+    index = linededup.LineIndex.unpacked(linededup.LineIndex(entries, 10).packed())
+    keys = linededup.in_full(entries)
+    assert len(index.counts) == (entries["docs"] > 1).sum()  # lines of one document are in no array
+    assert (index.documents(keys) == np.where(entries["docs"] > 1, entries["docs"], 0)).all()
+    assert (index.are_common(keys, 10) == (entries["docs"] >= 10)).all()
+    # lines that take the slot and fingerprint of a common one fail the second look
+    forged = keys.copy()
+    forged["lo"] ^= np.uint64(1)
+    slots = index.hash(keys["hi"], keys["lo"])
+    where = {h: i for i, h in enumerate(forged["hi"].tolist())}
+    index.hash = lambda hi, lo: slots[[where[h] for h in hi.tolist()]]
+    assert (index.documents(forged) == np.where(entries["docs"] > 1, entries["docs"], 0)).all() and not index.are_common(forged, 10).any()
+
+
 def brute_repeats(texts, window):
     words = [WORD.findall(t or "") for t in texts]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -173,7 +192,7 @@ def brute_classes(rows, n=5):
     for i, t, *_ in rows:
         w = WORD.findall((t or "").translate(UPPER))
         sets[i] = frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
-    ids = [i for i in sets if i is not None]
+    ids = [i for i in sets if i is not None]  # the rows without an id are copies of each other alone
     parent = {i: i for i in ids}
 
     def find(x):
@@ -213,6 +232,67 @@ def test_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in out.collect()} == {c for _, _, c in brute_classes(texts)}
 
 
+def test_filters_are_intersected_by_pair(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(120):
+        w = rng.sample(base, 40) if rng.random() < 0.5 or not texts else texts[rng.randrange(len(texts))].split()
+        w = [x if rng.random() > 0.03 else rng.choice(base) for x in w]
+        texts.append(" ".join(w))
+    import pyarrow as pa
+
+    off, tokens = jaccard.shingle_sets(pa.array(texts, pa.large_string()), 2)
+    n = np.diff(off)
+    _, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    sets = [set(tokens[a:b].tolist()) for a, b in zip(off, off[1:])]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+
+    def classes(pairs, m):
+        label = list(range(m))
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [x if c == y else c for c in label]
+        return label
+
+    def same(a, b):
+        return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+    got = jaccard.link_cell(n, off, tokens, count[inverse].astype("<u4"), 75)
+    assert linked and same(got.tolist(), classes(linked, len(n)))
+    side = np.arange(len(n)) % 2
+    for inner in (False, True):
+        allowed = [(a, b) for a, b in linked if side[a] != side[b] or (inner and side[a] == 1)]
+        got = jaccard.link_cell(n, off, tokens, count[inverse].astype("<u4"), 75, side, inner)
+        assert same(got.tolist(), classes(allowed, len(n)))
+        known = np.arange(len(n)) // 10
+        got = jaccard.link_cell(n, off, tokens, count[inverse].astype("<u4"), 75, side, inner, known)
+        assert same(got.tolist(), classes(allowed + [(i, i // 10 * 10) for i in range(len(n))], len(n)))
+
+
+def test_a_cell_takes_time_in_proportion():
+    import time
+
+    def cell(m):
+        # groups of four near copies with one token in common, and many nodes of one class
+        rng = np.random.default_rng(m)
+        rows = [rng.integers(1 << 40, 1 << 62, 8) for _ in range(m // 8)]
+        group = rng.integers(1 << 40, 1 << 62, 40)
+        sets = [np.sort(np.where(np.arange(8) == k, rng.integers(1, 1 << 30), r)) for r in rows for k in range(4)]
+        sets += [np.sort(np.where(np.arange(40) == k % 40, k + 1, group)) for k in range(m // 2)]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        tokens = np.concatenate(sets).astype(np.uint64)
+        _, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        start = time.process_time()
+        jaccard.link_cell(np.diff(off), off, tokens, count[inverse].astype("<u4"), 75)
+        return time.process_time() - start
+
+    cell(1000)
+    assert cell(32_000) < 8 * cell(8_000) + 1
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
