@@ -171,14 +171,50 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [3, 20, 35])
-def test_substring_dedup(docs, rows, window):
-    out = substrings.drop_repeats(docs, window).collect()
+@pytest.mark.parametrize("window, hot", [(3, 10_000), (35, 10_000), (30, 3)])
+def test_substring_dedup(docs, rows, window, hot):
+    out = substrings.drop_repeats(docs, window, hot=hot).collect()
     want = [(r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], window))]
     assert multiset((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out) == multiset(want)
     assert all(sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out)
 
 
+def test_extension_finds_maximal_repeats():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for window, hot, turns in ((35, 10_000, 60), (28, 4, 60), (40, 10_000, 30)):
+        for _ in range(turns):
+            parts = [[f"p{k}-{i}" for i in range(rng.randint(20, 60))] for k in range(4)]
+            texts = []
+            for _ in range(12):
+                w = []
+                for _ in range(rng.randint(1, 4)):
+                    part = parts[rng.randrange(4)]
+                    a = rng.randrange(len(part))
+                    w += part[a : a + rng.randint(5, 60)] + [f"u{rng.randrange(30)}"] * rng.randint(0, 2)
+                texts.append(" ".join(w))
+            tables = [pa.table({"bucket": [k] * 6, "text": texts[6 * k : 6 * k + 6]}) for k in range(2)]
+            buckets = [substrings.Bucket(t, window) for t in tables]
+            sent = [list(b.sent(1)) for b in buckets]
+            said = substrings._places([x for s in sent for _, x in s], hot)
+            answers = iter(said)
+            told = [pa.table({"at_shard": pa.array([0] * len(s), pa.int64()), "said": pa.array([next(answers) for _ in s], pa.binary())}) for s in sent]
+            seeds = [b.seeds(t, 1) for b, t in zip(buckets, told)]
+            rows = [[], []]
+            for kind, judge in ((0, lambda a: substrings._extend_shard(a, window - 26)), (1, substrings._repeated_windows)):
+                own = [(k, s[kind][2]) for k, s in enumerate(seeds) if len(s[kind][2])]
+                for (k, _), x in zip(own, judge([e.tobytes() for _, e in own]) if own else []):
+                    rows[k].append((kind, 0, x))
+            got = []
+            for b, t, r in zip(buckets, told, rows):
+                gone = b.covered(t, pa.table({c: pa.array([x[i] for x in r], k) for i, (c, k) in enumerate((("kind", pa.int64()), ("at_shard", pa.int64()), ("said", pa.binary())))}), 1)
+                got += [int(gone[a:e].sum()) for a, e in zip(b.off, b.off[1:])]
+            assert got == [x[1] for x in brute_repeats(texts, window)]
+
+
 def test_periodic_text_within_one_seed(spark):
     # equal windows a few words apart, with one anchor between them
     unit = [f"w{i}" for i in range(5)]
