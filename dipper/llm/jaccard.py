@@ -419,4 +419,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+_SHINGLE = "concat_ws(' ', word, " + ", ".join(f"lead(word, {i}) OVER o" for i in range(1, 5)) + ")"
+_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rn, doc_id,
+         [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS words FROM documents),
+words AS (SELECT rn, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM docs),
+shingles AS (
+  SELECT DISTINCT rn, k FROM (SELECT rn, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN {_SHINGLE} END AS k FROM words WINDOW o AS (PARTITION BY rn ORDER BY p)) WHERE k IS NOT NULL
+  UNION ALL SELECT rn, array_to_string(words, ' ') FROM docs WHERE len(words) BETWEEN 1 AND 4),
+sizes AS (SELECT rn, count(*) AS n FROM shingles GROUP BY rn),
+common AS (SELECT a.rn AS x, b.rn AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.k = b.k AND a.rn <> b.rn GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes s ON s.rn = x JOIN sizes t ON t.rn = y WHERE 100 * c >= 75 * (s.n + t.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+best AS (SELECT x AS rn, min(doc_id) AS m FROM reach JOIN docs ON docs.rn = reach.y GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, m) AS component_id FROM docs LEFT JOIN sizes USING (rn) LEFT JOIN best USING (rn)"""
+
 QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+ORACLE_SQL = {"op10_ngram_jaccard_join": _SQL}
