@@ -3,31 +3,38 @@
 Vectors become integers, floor(scale * x). Queries and candidates are dealt into cells, a group of candidates against
 a group of queries, so that neither side needs to fit anywhere as a whole. In a cell, candidates lie in vertical
 layout, one row a dimension. Partial scores are accumulated block of dimensions by block of dimensions, those with
-most of the query's mass first. After each block, candidates whose partial score and remaining mass (product of the
-norms of what is left of both vectors) can't reach the k-th best lower bound are dropped, and the survivors compacted.
-Bounds only drop what is strictly below, so ties stay. The best k of each cell meet in a ranking by query.
+most of the query's mass first. Before the first block and after each, candidates whose partial score and remaining mass
+(product of the norms of what is left of both vectors) can't reach the query's bound are dropped, and the survivors
+compacted. The bound is the k-th best lower bound of the cell, or, if that is more, the query's k-th best score among the
+first group of candidates: all queries meet that group first, and take what they found to the other cells. Bounds only
+drop what is strictly below, so ties stay. The best k of each cell meet in a ranking by query.
 
 Vectors that are null, or hold null or non-finite components, take no part. A shorter vector counts as filled up with
-zeros. Scores must fit 64 bits. Repeated rows are candidates each; a query is never its own candidate by id. Columns
-other than the id and the vector are not read. With fewer than k candidates, all are returned.
+zeros. Scores must fit 64 bits. Repeated rows are candidates each; a query is never its own candidate by id. Rows are
+dealt by where they lie, not by their id, so that an id of many rows fills no cell. Columns other than the id and the
+vector are not read. With fewer than k candidates, all are returned.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dipper.llm.common import cut
+
 #: Rows of one cell's two sides.
 CELL_CANDIDATES, CELL_QUERIES = 8192, 4096
 #: Dimensions accumulated before survivors are compacted.
 BLOCK = 16
 
 
-def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best candidates of each query: (query ids, candidate ids, scores). ``data`` and ``queries``: rows of integers."""
+def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, bounds: np.ndarray) -> tuple[list, list, list]:
+    """The k best candidates of each query: (number of the query, candidate ids, scores). ``data`` and ``queries``: rows of integers.
+
+    ``bounds``: a score for each query, below which its candidates aren't wanted.
+    """
     dims = data.shape[1]
     top = max(int(np.abs(data).max(initial=0)), 1) * max(int(np.abs(queries).max(initial=0)), 1) * max(dims, 1)
     kind = np.float64 if top < 2**53 else np.int64  # both exact; doubles are faster
@@ -35,7 +42,7 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
     cuts = [slice(i, min(i + BLOCK, dims)) for i in range(0, dims, BLOCK)] or [slice(0, 0)]
     mass = np.stack([(columns[c].astype(np.float64) ** 2).sum(0) for c in cuts])
     out: tuple[list, list, list] = ([], [], [])
-    for q, own in zip(queries, query_ids, strict=True):
+    for number, (q, own, bound) in enumerate(zip(queries, query_ids, bounds.astype(np.float64), strict=True)):
         wide = q.astype(np.float64)
         q_mass = np.array([(wide[c] ** 2).sum() for c in cuts])
         order = np.argsort(-q_mass, kind="stable")
@@ -43,7 +50,13 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
         score = np.zeros(len(at), kind)
         rest, q_rest = mass[:, at].sum(0), q_mass.sum()
         q = q.astype(kind)
+        if np.isfinite(bound):
+            live = np.sqrt(rest * q_rest) * (1 + 1e-9) + 1 + abs(bound) * 1e-12 >= bound
+            if live.sum() < 0.9 * len(at):
+                at, score, rest = at[live], score[live], rest[live]
         for done, b in enumerate(order):
+            if not len(at):
+                break
             c = cuts[b]
             # the first block as a whole; later ones for survivors
             score = score + (q[c] @ columns[c][:, at] if len(at) < columns.shape[1] - 1 else (q[c] @ columns[c])[at])
@@ -52,7 +65,7 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
             rest, q_rest = np.maximum(rest - mass[b, at], 0), max(q_rest - q_mass[b], 0.0)
             if len(at) > k:
                 margin = np.sqrt(rest * q_rest) * (1 + 1e-9) + 1
-                floor = np.partition(score - margin, len(at) - k)[len(at) - k]
+                floor = max(np.partition(score - margin, len(at) - k)[len(at) - k], bound - abs(bound) * 1e-12)
                 live = score + margin >= floor
                 if live.sum() < 0.9 * len(at):
                     at, score, rest = at[live], score[live], rest[live]
@@ -60,7 +73,7 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
             live = score >= np.partition(score, len(at) - k)[len(at) - k]
             at, score = at[live], score[live]
         best = np.lexsort((ids[at], -score))[:k]
-        out[0].extend([own] * len(best))
+        out[0].extend([number] * len(best))
         out[1].extend(ids[at[best]].tolist())
         out[2].extend(score[best].astype(np.int64).tolist())
     return out
@@ -69,15 +82,17 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
 def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query row its k best other rows: ``query_id``, ``rank`` (from 1), the id column and ``score``."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    vector = F.col(vector_col)
-    rows = df.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), is_query.alias("is_query"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), is_query.alias("is_query"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad))
-    rows = rows.select("id", "is_query", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    # kept with their numbers, so that every reader deals a row to the same cell
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_query").cast("int")), F.lit(0)).alias("q")).first()
     groups, query_groups = max(32, -(-size["n"] // CELL_CANDIDATES)), max(1, -(-size["q"] // CELL_QUERIES))
     cell = F.col("c") * query_groups + F.col("g")
-    candidates = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_groups - 1).cast("long"))).alias("g")).select(cell.alias("cell"), "id", "v", F.lit(False).alias("is_query"))
-    queries = rows.where("is_query").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_groups)).alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("c")).select(cell.alias("cell"), "id", "v", F.lit(True).alias("is_query"))
+    candidates = rows.select("id", "v", F.pmod(F.xxhash64("at"), F.lit(groups)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_groups - 1).cast("long"))).alias("g"))
+    candidates = candidates.select("c", cell.alias("cell"), "id", "v", F.lit(False).alias("is_query"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("bound"))
+    queries = rows.where("is_query").select("at", "id", "v", F.pmod(F.xxhash64("at", F.lit(1)), F.lit(query_groups)).alias("g"))
 
     def search(table: pa.Table) -> pa.Table:
         vectors = table.column("v").combine_chunks()
@@ -88,11 +103,22 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_co
         matrix[np.repeat(np.arange(len(length)), length), np.arange(len(flat)) - np.repeat(off[:-1] - off[0], length)] = flat
         ids = table.column("id").to_numpy()
         ask = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-        found = search_cell(matrix[ask], ids[ask], matrix[~ask], ids[~ask], k)
-        return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "id", "score"])
-
-    found = candidates.unionByName(queries).groupBy("cell").applyInArrow(search, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        bounds = table.column("bound").cast(pa.float64()).to_numpy(zero_copy_only=False)[ask]
+        number, found, score = search_cell(matrix[ask], ids[ask], matrix[~ask], ids[~ask], k, np.where(np.isnan(bounds), -np.inf, bounds))
+        number = np.asarray(number, np.int64)
+        at = table.column("at").to_numpy(zero_copy_only=False)[ask].astype(np.int64)
+        return pa.table({"at": pa.array(at[number], pa.int64()), "query_id": pa.array(ids[ask][number], pa.int64()), "id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    def best_of(asked: DataFrame, offered: DataFrame) -> DataFrame:
+        asked = asked.select(cell.alias("cell"), "id", "v", F.lit(True).alias("is_query"), "at", "bound")
+        return offered.select("cell", "id", "v", "is_query", "at", "bound").unionByName(asked).groupBy("cell").applyInArrow(search, "at long, query_id long, id long, score long")
+
+    first = cut(best_of(queries.withColumns({"c": F.lit(0).cast("long"), "bound": F.lit(None).cast("long")}), candidates.where("c = 0")))
+    bounds = first.groupBy(F.col("at").alias("bound_at")).agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    known = queries.join(bounds.select("bound_at", "bound"), F.col("at") == F.col("bound_at"), "left")
+    rest = known.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(groups - 1).cast("long"))).alias("c"))
+    found = first.unionByName(best_of(rest, candidates.where("c > 0")))
+    order = Window.partitionBy("at").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

@@ -31,6 +31,10 @@ def test_top_k(spark, big):
             scored = sorted((-dot(a, b), i) for i, b in ok if i != q)[:12]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     assert sorted(map(tuple, out)) == sorted(want)
+    many = spark.createDataFrame([(5, [float(i), 1.0]) for i in range(30)] + [(6, [2.0, float(i)]) for i in range(200)], "vec_id long, embedding array<double>")
+    hot = topk.top_k(many, F.col("vec_id") == 5, k=3, scale=1).collect()
+    assert len(hot) == 90 and sorted({(r["query_id"], r["rank"], r["vec_id"]) for r in hot}) == [(5, i, 6) for i in (1, 2, 3)]
+    assert max(r["score"] for r in hot) == 29 * 2 + 199
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
     assert topk.top_k(df.where("vec_id < 3"), F.lit(True), k=10).count() == 6
 
