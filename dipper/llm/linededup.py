@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from dipper.llm.common import cut, mix
+from dipper.llm.common import mix
 from dipper.llm.exchange import deal, read_bitmaps, shard_slices, with_answers
 
 #: Line hashes in one shard, about.
@@ -181,7 +181,7 @@ def drop_common_lines(df: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
         said = [np.packbits(index.are_common(np.frombuffer(x, _KEY), min_docs)).tobytes() for x in probes.column("packed").to_pylist()]
         return pa.table({"at_bucket": probes.column("from_bucket"), "at_shard": probes.column("shard"), "said": pa.array(said, pa.binary())})
 
-    published = cut(dealt.rows.groupBy("bucket").applyInArrow(send, "shard long, packed binary").groupBy("shard").applyInArrow(build, "of_shard long, arrays binary"))
+    published = dealt.rows.groupBy("bucket").applyInArrow(send, "shard long, packed binary").groupBy("shard").applyInArrow(build, "of_shard long, arrays binary")
     probes = dealt.rows.groupBy("bucket").applyInArrow(probe, "shard long, from_bucket long, packed binary")
     answers = probes.groupBy("shard").cogroup(published.groupBy("of_shard")).applyInArrow(lambda p, a: look_up(p, a), "at_bucket long, at_shard long, said binary")
 
