@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipper.functions.phase import phase, phase_bin
@@ -22,6 +22,10 @@ from dipper.operators.lightcurve import with_weights
 HARMONICS = (0.5, 2.0, 1 / 3, 3.0, 2 / 3, 1.5, 0.25, 4.0)
 
 
+#: Durations in days that the live flow tries.
+DURATIONS = tuple(np.linspace(0.05, 0.3, 30).tolist())
+
+
 def period_grid(baseline: DataFrame, min_duration: float, max_duration: float, min_period: float | None = None, max_period: float | None = None, transits: int = 3, factor: float = 1.0) -> DataFrame:
     """(target, pid, period): for each (target, baseline) its grid, uniform in frequency, by ascending period."""
     if max_period is None and transits <= 1:
@@ -139,13 +143,19 @@ def snr_objective(power: DataFrame, counts: DataFrame) -> DataFrame:
 FIT_SCHEMA = "target string, pid long, period double, start int, width int, phase_start double, phase_width double, duration_days double, s double, r double, l double, h double, depth double, sr double"
 
 
-def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int = 16, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK) -> DataFrame:
+def linear_periods(spark: SparkSession, lo: float, hi: float, n: int = 10_000) -> DataFrame:
+    """(pid, period): n periods in equal steps, both ends included, as for ``search``."""
+    return spark.range(n).select(F.col("id").alias("pid"), (lo + F.col("id") * ((hi - lo) / max(n - 1, 1))).alias("period"))
+
+
+def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int = 16, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK, error: str | None = None) -> DataFrame:
     """FIT_SCHEMA rows: the best box of each period of full grids, by the kernel.
 
     Each light curve goes to ``chunks`` times its blocks of ``block`` points; blocks share its points out, chunks its
     periods, and the phase histograms of blocks are added up (``partial.summed``).
     ``periods``: (pid, period) for all targets, a small table; else each target has its own grid, up to
-    ``max_fraction`` of its baseline. ``objective``: ``sr``, or ``snr`` (sqrt(n sr) of dips).
+    ``max_fraction`` of its baseline. ``objective``: ``sr``, or ``snr`` (sqrt(n sr) of dips). ``error``: the column of
+    errors that points are weighted by.
     """
     explicit = None if periods is None else [(r["pid"], r["period"]) for r in periods.select("pid", "period").orderBy("pid").collect()]
     only_dips = dips or objective == "snr"
@@ -156,16 +166,62 @@ def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, m
         baseline = last - first
         return kernels.period_grid(baseline, min_duration, max_duration, min_period, None if max_fraction is None else baseline * max_fraction) if baseline > 0 else np.zeros(0)
 
-    def sums(t: np.ndarray, flux: np.ndarray, mean: float, n: int, own: np.ndarray) -> np.ndarray:
-        w = np.full(len(flux), 1 / n)
-        return np.array([kernels.histogram(t, flux - mean, w, p, n_bins) for p in own])
+    def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
+        return np.array([kernels.histogram(t, x, w, p, n_bins) for p in own])
 
-    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, mean: float, baseline: float) -> list[tuple]:
+    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, first: float, last: float) -> list[tuple]:
         pids = places if explicit is None else [explicit[i][0] for i in places]
         found = [kernels.fit(pid, p, s, r, min_duration, max_duration, only_dips) for pid, p, (s, r) in zip(pids, own, total.reshape(len(own), 2, n_bins), strict=True)]
         return [(*f[:-1], np.sqrt(n * f[-1]) if objective == "snr" else f[-1]) for f in found if f]
 
-    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block)
+    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block, error)
+
+
+LIVE_FIELDS = ("pid", "period", "duration_days", "transit_time", "phase_start", "phase_width", "depth", "sr")
+LIVE_SCHEMA = "target string, pid long, " + ", ".join(f"{c} double" for c in LIVE_FIELDS[1:])
+
+
+def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_period: float = 0.5, max_fraction: float = 1 / 3, periods: list[float] | None = None, oversample: int = 10, chunks: int = 16, block: int = partial.BLOCK) -> DataFrame:
+    """LIVE_SCHEMA rows: the best dip of each period among given durations, by signal to noise (in ``sr``), with its middle.
+
+    Bins are the shortest duration over ``oversample`` wide and begin at the target's first time; a box is a whole number
+    of bins, around the cycle. Points count alike: snr = depth / sqrt(1 / n inside + 1 / n outside). Ties go to the
+    earlier duration, then bin. ``transit_time`` is the first middle after the first time; the start phase follows from it.
+    ``periods``: for all targets; else each target's grid, uniform in frequency, up to a fraction of its baseline.
+    """
+    width = min(durations) / oversample
+    spans = np.array([max(1, round(d / width)) for d in durations])
+
+    def trials(first: float, last: float) -> np.ndarray:
+        if periods is not None:
+            return np.array(periods, float)
+        return kernels.period_grid(last - first, min(durations), max(durations), min_period, (last - first) * max_fraction) if last > first else np.zeros(0)
+
+    def bins(p: float) -> int:
+        return int(np.ceil(p / width))
+
+    def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
+        out = []
+        for p in own:
+            at = np.minimum((np.mod(t - first, p) / width).astype(np.int64), bins(p) - 1)
+            out += [np.bincount(at, x, bins(p)), np.bincount(at, minlength=bins(p)).astype(float)]
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, first: float, last: float) -> list[tuple]:
+        found, done = [], 0
+        for pid, p in zip(places, own, strict=True):
+            m = bins(p)
+            x, count = total[done : done + m], total[done + m : done + 2 * m]
+            done += 2 * m
+            best = kernels.best_dip(x, count, spans)
+            if best is None:
+                continue
+            i, k, depth, snr = best
+            middle = first + (i + spans[k] / 2) * width
+            found.append((pid, p, durations[k], first + np.mod(middle - first, p), np.mod(middle - durations[k] / 2, p) / p, durations[k] / p, depth, snr))
+        return found
+
+    return partial.summed(lc, trials, sums, finish, LIVE_FIELDS, LIVE_SCHEMA, chunks, block)
 
 
 def search_per_target(lc: DataFrame, **options: float) -> DataFrame:
@@ -173,14 +229,15 @@ def search_per_target(lc: DataFrame, **options: float) -> DataFrame:
     return search(lc, **({"min_duration": 0.05, "max_duration": 0.3, "min_period": 0.5, "max_fraction": 1 / 3, "objective": "snr"} | options))
 
 
-def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, seed: int = 1, n_periods: int = 64, n_bins: int = 100, min_width: int = 1, max_width: int = 8, per_task: int = 20) -> DataFrame:
+def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, seed: int = 1, n_periods: int = 64, n_bins: int = 100, min_width: int = 1, max_width: int = 8, per_task: int = 20, error: str | None = None) -> DataFrame:
     """(target, fap, rounds): the share of shuffles of the flux whose best sr reaches the observed one.
 
     ``observed``: (target, sr) of a search of the same grid. Shuffles are by a seed of their round, so a rerun gives the
-    same. ``per_task`` rounds share one copy of a light curve and its phase bins.
+    same. ``per_task`` rounds share one copy of a light curve and its phase bins. ``error``: a column of errors, which stay
+    where they are while fluxes are shuffled.
     """
     tasks = -(-rounds // per_task)
-    curves = lc.select("target", "t", "flux", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    curves = lc.select("target", "t", "flux", (F.lit(1.0) if error is None else F.col(error)).alias("error"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
     curves = curves.repartition(int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "task")
     periods = 1 / (0.1 + 0.01 * np.arange(n_periods))
     spans = range(min_width, max_width + 1)
@@ -189,17 +246,24 @@ def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, seed:
         part = part.sort_values(["t", "flux"])
         t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
         own = range(key[1] * per_task, min(rounds, (key[1] + 1) * per_task))
-        shuffled = [np.multiply(*kernels.weights(np.random.default_rng([seed, k]).permutation(flux))) for k in own]
+        errors = None if error is None else part["error"].to_numpy(float)
+        shuffled = [np.multiply(*kernels.weights(np.random.default_rng([seed, k]).permutation(flux), errors)) for k in own]
+        _, w = kernels.weights(flux, errors)
         best = np.zeros(len(own))
         for p in periods:
             bins = kernels.phase_bins(t, p, n_bins)
-            r = np.bincount(bins, np.full(len(t), 1 / max(len(t), 1)), n_bins)
+            r = np.bincount(bins, w, n_bins)
             for i, wx in enumerate(shuffled):
                 if found := kernels.best_window(np.bincount(bins, wx, n_bins), r, spans, False):
                     best[i] = max(best[i], found[4])
         return pd.DataFrame({"target": key[0], "best": best})
 
     best = curves.groupBy("target", "task").applyInPandas(run, "target string, best double")
+    return exceedance(best, observed)
+
+
+def exceedance(best: DataFrame, observed: DataFrame) -> DataFrame:
+    """(target, fap, rounds): the share of the ``best`` of a target's rounds that reach its observed ``sr``."""
     return best.join(observed, "target").groupBy("target").agg(F.avg((F.col("best") >= F.col("sr")).cast("double")).alias("fap"), F.count(F.lit(1)).alias("rounds"))
 
 

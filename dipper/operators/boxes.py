@@ -79,9 +79,8 @@ def search_periods(lc: DataFrame, min_period: float, max_period: float, step: fl
         found = np.arange(1 / max_period, 1 / min_period, lo / (last - first) if step is None else step)
         return found[(last - first) * found >= 3]
 
-    def sums(t: np.ndarray, flux: np.ndarray, mean: float, n: int, own: np.ndarray) -> np.ndarray:
+    def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
         out = np.zeros((len(own), 2, len(borders) + 2))
-        x = flux - mean
         out[:, 0, -1], out[:, 1, -1] = len(t), np.sum(x * x)
         for i, f in enumerate(own):
             p = np.mod(t, 1 / f) / (1 / f)
@@ -89,7 +88,7 @@ def search_periods(lc: DataFrame, min_period: float, max_period: float, step: fl
             out[i, 0, :-1], out[i, 1, :-1] = np.bincount(at, minlength=len(borders) + 1), np.bincount(at, x, len(borders) + 1)
         return out
 
-    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, mean: float, baseline: float) -> list[tuple]:
+    def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, first: float, last: float) -> list[tuple]:
         found = []
         for f, (counts, fluxes) in zip(own, total.reshape(len(own), 2, -1), strict=True):
             (n_in, all_n), (s_in, all_s) = (_between(v[:-1], a, b) for v in (counts, fluxes))
@@ -106,7 +105,7 @@ def search_periods(lc: DataFrame, min_period: float, max_period: float, step: fl
             i = int(np.argmin(np.round(ssr, 4)))
             depth = m_out[i] - m_in[i]
             power = depth * depth * n_in[i] / variance
-            found.append((1 / f, f, power, depth, duration[i], center[i], depth / np.sqrt(variance), power, baseline * f))
+            found.append((1 / f, f, power, depth, duration[i], center[i], depth / np.sqrt(variance), power, (last - first) * f))
         return found
 
     return partial.summed(lc, trials, sums, finish, FOUND, "target string, " + ", ".join(f"{c} double" for c in FOUND), **options)
@@ -119,13 +118,25 @@ def _between(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, f
 
 
 def box_score(folded: DataFrame, centers: int = 200, width: float = 0.05) -> DataFrame:
-    """(target, score, center): the best depth over outside deviation of a plain box, over centres from 0 to the largest phase."""
-    rows = with_target_stats(folded, F.max("phase").alias("top"))
-    points = rows.select("target", "phase", "flux", "top", F.explode(F.sequence(F.lit(0), F.lit(centers - 1))).alias("ci"))
-    center = F.col("ci") * F.col("top") / (centers - 1)
-    inside = in_plain_box(F.col("phase"), center, F.lit(width))
-    own = points.groupBy("target", "ci").agg(F.first("top").alias("top"), F.count(F.when(inside, 1)).alias("n_in"), F.avg(F.when(inside, F.col("flux"))).alias("mean_in"), F.avg(F.when(~inside, F.col("flux"))).alias("mean_out"), F.stddev_pop(F.when(~inside, F.col("flux"))).alias("dev"))
-    own = own.where("n_in >= 5 and dev > 0").withColumn("score", F.round((F.col("mean_out") - F.col("mean_in")) / F.when(F.col("dev") > 0, F.col("dev")), 6))
+    """(target, score, center): the best depth over outside deviation of a plain box, over centres from 0 to the largest phase.
+
+    A point only meets the centres that a box around it can have; what is outside comes from the target's totals.
+    """
+    about = F.avg("flux")
+    rows = with_target_stats(folded, F.max("phase").alias("top"), about.alias("about"))
+    x, step = F.col("flux") - F.col("about"), F.col("top") / (centers - 1)
+    near = lambda way: F.floor((F.col("phase") + way * width / 2) / F.when(step > 0, step)).cast("int")
+    at = F.sequence(F.greatest(F.lit(0), near(-1)), F.greatest(F.lit(0), F.least(F.lit(centers - 1), near(1) + 1)))
+    trial = F.explode(F.when(step > 0, F.when(near(-1) <= centers - 1, at).otherwise(F.array().cast("array<int>"))).otherwise(F.sequence(F.lit(0), F.lit(centers - 1))))
+    points = rows.select("target", "phase", "top", x.alias("x"), trial.alias("ci"))
+    hit = points.where(in_plain_box(F.col("phase"), F.col("ci") * F.col("top") / (centers - 1), F.lit(width)))
+    own = hit.groupBy("target", "ci").agg(F.count(F.lit(1)).alias("n_in"), F.sum("x").alias("sum_in"), F.sum(F.col("x") * F.col("x")).alias("squares_in"))
+    whole = rows.groupBy(F.col("target").alias("of_target")).agg(F.first("top").alias("top"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"))
+    own = own.join(whole, F.col("target").eqNullSafe(F.col("of_target"))).where("n_in >= 5 and n > n_in")
+    n_out = F.col("n") - F.col("n_in")
+    mean_out = (F.col("total") - F.col("sum_in")) / n_out
+    dev = F.sqrt(F.greatest(F.lit(0.0), (F.col("squares") - F.col("squares_in")) / n_out - mean_out * mean_out))
+    own = own.withColumn("dev", dev).where("dev > 0").withColumn("score", F.round((mean_out - F.col("sum_in") / F.col("n_in")) / F.when(F.col("dev") > 0, F.col("dev")), 6))
     best = own.groupBy("target").agg(F.min(F.struct((-F.col("score")).alias("less"), "ci", "top")).alias("b"))
     return best.select("target", (-F.col("b.less")).alias("score"), (F.col("b.ci") * F.col("b.top") / (centers - 1)).alias("center"))
 

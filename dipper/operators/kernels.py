@@ -119,6 +119,26 @@ def best_window(s: np.ndarray, r: np.ndarray, spans: range, dips: bool) -> tuple
     return i, int(wide[row, 0]), float(ws[row, i]), float(wr[row, i]), float(score[row, i])
 
 
+def best_dip(x: np.ndarray, count: np.ndarray, spans: np.ndarray) -> tuple[int, int, float, float] | None:
+    """(start, which span, depth, snr) of the circular run of bins of the best depth / sqrt(1 / n inside + 1 / n outside).
+
+    ``x`` and ``count``: sums of flux, less its mean, and numbers of points by bin. Only dips count.
+    """
+    n, total, every = len(x), x.sum(), count.sum()
+    spans = spans[:, None]
+    turns = -(-int(spans.max()) // n) + 1
+    px, pc = (np.concatenate([[0.0], np.cumsum(np.tile(v, turns))]) for v in (x, count))
+    end = spans + np.arange(n)
+    s_in, n_in = px[end] - px[:n], pc[end] - pc[:n]
+    ok = (n_in > 0) & (n_in < every) & (spans < n)
+    n_out = np.where(ok, every - n_in, 1)
+    n_in = np.where(ok, n_in, 1)
+    depth = (total - s_in) / n_out - s_in / n_in
+    snr = np.where(ok & (depth > 0), depth / np.sqrt(1 / n_in + 1 / n_out), -1.0)
+    k, i = divmod(int(np.argmax(np.round(snr, 9))), n)
+    return None if snr[k, i] < 0 else (i, k, float(depth[k, i]), float(snr[k, i]))
+
+
 def duration_fractions(period: float, min_duration: float, max_duration: float) -> tuple[float, float]:
     lo = min(max(min_duration / period, 0.005), 0.5)
     return lo, max(lo + 0.005, min(max_duration / period, 0.5))

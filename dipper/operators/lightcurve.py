@@ -61,6 +61,12 @@ def fold(lc: DataFrame, period: float) -> DataFrame:
     return lc.withColumn("phase", phase(F.col("t"), F.lit(float(period))))
 
 
+def display_flux(folded: DataFrame) -> DataFrame:
+    """Adds ``display``: flux less its mean, and the target's mean on top again, as folded curves are shown."""
+    rows = with_target_stats(folded, F.avg("flux").alias("shown_mean"))
+    return rows.withColumn("display", (F.col("flux") - F.col("shown_mean")) + F.col("shown_mean")).drop("shown_mean")
+
+
 def with_parity(lc: DataFrame, period: float) -> DataFrame:
     return lc.withColumn("parity", epoch_parity(F.col("t"), F.lit(float(period))))
 
@@ -105,23 +111,33 @@ def savgol_interior(rows: DataFrame, window: int = 5, keys: tuple[str, ...] = ("
     return rows.withColumn("smooth", value)
 
 
-def clip_upper(lc: DataFrame, sigma: float = 5.0, rounds: int = 5) -> DataFrame:
-    """Drops values more than ``sigma`` population deviations above the median, ``rounds`` times. Dips stay."""
-    for _ in range(rounds):
-        rows = with_target_stats(lc, F.median("flux").alias("clip_m"), F.stddev_pop("flux").alias("clip_s"))
-        lc = rows.where(F.col("flux") - F.col("clip_m") <= sigma * F.col("clip_s")).drop("clip_m", "clip_s")
-    return lc
+def clip_upper(lc: DataFrame, sigma: float = 5.0, rounds: int = 5, both: bool = False) -> DataFrame:
+    """Drops values more than ``sigma`` population deviations above the median, ``rounds`` times. Dips stay, unless ``both``.
+
+    What a round keeps lies between bounds, which only close in, so a round needs the bounds of the last one, a row a
+    target, and one aggregation of the light curve.
+    """
+    middle, room = F.median("flux"), sigma * F.stddev_pop("flux")
+    low = middle - room if both else F.lit(float("-inf"))
+    bounds = lc.groupBy(F.col("target").alias("of_target")).agg(low.alias("low"), (middle + room).alias("high"))
+    within = "flux between low and high"
+    for _ in range(rounds - 1):
+        left = lc.select("target", "flux").join(bounds, F.col("target").eqNullSafe(F.col("of_target"))).where(within)
+        bounds = left.groupBy("of_target", "low", "high").agg(F.greatest("low", low).alias("next_low"), F.least("high", middle + room).alias("next_high"))
+        bounds = bounds.select("of_target", F.col("next_low").alias("low"), F.col("next_high").alias("high"))
+    return lc.join(bounds, F.col("target").eqNullSafe(F.col("of_target"))).where(within).drop("of_target", "low", "high")
+
 
+def interpolate(rows: DataFrame, column: str = "flux", keys: tuple[str, ...] = ("target",), time: str = "t") -> DataFrame:
+    """Adds ``filled``: nulls of a column, linear in time between the nearest values on both sides, level at the ends.
 
-def interpolate(rows: DataFrame, column: str = "flux", keys: tuple[str, ...] = ("target",)) -> DataFrame:
-    """Adds ``filled``: nulls of a column, linear in t between the nearest values on both sides, level at the ends."""
-    by = Window.partitionBy(*keys).orderBy("t")
-    known = F.when(F.col(column).isNotNull(), F.struct(F.col("t").alias("t"), F.col(column).alias("y")))
-    before = F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"left_known": before, "right_known": after})
+    Both sides are running last values, of ascending and of descending order, so the work is in proportion to the rows.
+    """
+    known = F.when(F.col(column).isNotNull(), F.struct(F.col(time).alias("t"), F.col(column).alias("y")))
+    so_far = lambda order: F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("left_known", so_far(F.asc(time))).withColumn("right_known", so_far(F.desc(time)))
     a, b = F.col("left_known"), F.col("right_known")
-    inner = a["y"] + (b["y"] - a["y"]) * (F.col("t") - a["t"]) / (b["t"] - a["t"])
+    inner = a["y"] + (b["y"] - a["y"]) * (F.col(time) - a["t"]) / F.when(b["t"] != a["t"], b["t"] - a["t"])
     filled = F.when(F.col(column).isNotNull(), F.col(column)).when(a.isNull(), b["y"]).when(b.isNull() | (b["t"] == a["t"]), a["y"]).otherwise(inner)
     return rows.withColumn("filled", filled).drop("left_known", "right_known")
 

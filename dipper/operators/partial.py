@@ -18,33 +18,35 @@ from dipper.operators.lightcurve import with_target_stats
 #: Points of a block, and trials of a part, whose sums are one row.
 BLOCK, PART = 500_000, 32
 
-PACKED = "target string, n long, lo double, hi double, mean double, chunk int, part int, done boolean, packed binary"
+PACKED = "target string, n long, lo double, hi double, chunk int, part int, done boolean, packed binary"
 
 
-def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int = 16, block: int = BLOCK) -> DataFrame:
+def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int = 16, block: int = BLOCK, error: str | None = None) -> DataFrame:
     """Rows of ``schema``, a target and then ``columns``, for trials of each target.
 
-    ``trials(lo, hi)``: all trials of a target by its first and last time. ``sums(t, flux, mean, n, own)``: an array of
-    (trials, ...) for some points. ``finish(total, places, own, n, mean, baseline)``: tuples of ``columns``, from sums of
-    all points. All numeric.
+    ``trials(lo, hi)``: all trials of a target by its first and last time. ``sums(t, x, w, own, lo)``: an array of sums for
+    some points and trials; ``x`` is flux less its mean, ``w`` are weights that sum to 1 in the target, uniform or by
+    ``error`` ** -2. ``finish(total, places, own, n, lo, hi)``: tuples of ``columns``, from sums of all points. All numeric.
     """
-    stats = (F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.avg("flux").alias("mean"))
-    rows = with_target_stats(lc.select("target", "t", "flux"), *stats)
+    w = F.lit(1.0) if error is None else F.pow(F.col(error), -2)
+    stats = (F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("w").alias("w_total"), F.sum(F.col("w") * F.col("flux")).alias("wf_total"))
+    rows = with_target_stats(lc.withColumn("w", w).select("target", "t", "flux", "w"), *stats)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("t", "flux"), F.ceil(F.col("n") / block)).cast("int"))
+    rows = rows.withColumns({"x": F.col("flux") - F.col("wf_total") / F.col("w_total"), "w": F.col("w") / F.col("w_total")}).drop("flux", "w_total", "wf_total")
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def one_block(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points = pd.concat(parts).sort_values(["t", "flux"])
+        points = pd.concat(parts).sort_values(["t", "x"])
         head = points.iloc[0]
-        n, lo, hi, mean = int(head["n"]), float(head["lo"]), float(head["hi"]), float(head["mean"])
-        t, flux = points["t"].to_numpy(float), points["flux"].to_numpy(float)
+        n, lo, hi, chunk = int(head["n"]), float(head["lo"]), float(head["hi"]), int(head["chunk"])
+        t, x, w = (points[c].to_numpy(float) for c in ("t", "x", "w"))
         every = trials(lo, hi)
-        for part, places in enumerate(_parts(len(every), int(head["chunk"]), chunks)):
-            total = sums(t, flux, mean, n, every[places])
+        for part, places in enumerate(_parts(len(every), chunk, chunks)):
+            total = sums(t, x, w, every[places], lo)
             done = n <= block
             if done:
-                total = np.array(finish(total, places, every[places], n, mean, hi - lo), float)
-            yield pd.DataFrame({"target": [head["target"]], "n": n, "lo": lo, "hi": hi, "mean": mean, "chunk": int(head["chunk"]), "part": part, "done": done, "packed": [total.tobytes()]})
+                total = np.array(finish(total, places, every[places], n, lo, hi), float)
+            yield pd.DataFrame({"target": [head["target"]], "n": n, "lo": lo, "hi": hi, "chunk": chunk, "part": part, "done": done, "packed": [total.tobytes()]})
 
     def all_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -58,7 +60,7 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
         else:
             every = trials(head["lo"], head["hi"])
             places = _parts(len(every), int(head["chunk"]), chunks)[int(head["part"])]
-            found = np.array(finish(total, places, every[places], int(head["n"]), head["mean"], head["hi"] - head["lo"]), float).reshape(-1, len(columns))
+            found = np.array(finish(total, places, every[places], int(head["n"]), head["lo"], head["hi"]), float).reshape(-1, len(columns))
         out = pd.DataFrame(found, columns=list(columns))
         out.insert(0, "target", head["target"])
         yield out

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipper.functions.scores import ratio_or_zero
+from dipper.operators.lightcurve import plain_median
 
+#: Deviations of the mean image that thresholds are tried at.
 SIGMAS = (5.0, 6.0, 7.0, 8.0, 9.0)
 
 
@@ -38,11 +40,12 @@ def global_background(image: DataFrame) -> DataFrame:
 
 
 def local_background(image: DataFrame, center: DataFrame, inner: float = 3.0, outer: float = 5.0) -> DataFrame:
-    """(target, background): the median within an annulus around each target's centre."""
+    """(target, background): the median within an annulus around each target's centre; NaN where no value lies there."""
     c = center.select(F.col("target").alias("of_target"), F.col("row").alias("cr"), F.col("col").alias("cc"))
     far = F.sqrt(F.pow(F.col("row") - F.col("cr"), 2) + F.pow(F.col("col") - F.col("cc"), 2))
-    rows = image.join(c, F.col("target").eqNullSafe(F.col("of_target"))).where(far.between(inner, outer) & ~F.isnan("value"))
-    return rows.groupBy("target").agg(F.median("value").alias("background"))
+    rows = image.join(c, F.col("target").eqNullSafe(F.col("of_target")))
+    inside = F.when(far.between(inner, outer) & ~F.isnan("value"), F.col("value"))
+    return rows.groupBy("target").agg(F.coalesce(F.median(inside), F.lit(float("nan"))).alias("background"))
 
 
 def _grow(image: np.ndarray, seed: tuple[int, int], threshold: float) -> list[tuple[int, int]]:
@@ -86,15 +89,23 @@ def first_pixels(growth: DataFrame, n: int) -> DataFrame:
     return growth.where(F.col("seq") <= n)
 
 
-def aperture_flux(pixels: DataFrame, apertures: DataFrame, background: DataFrame) -> DataFrame:
-    """(target, sigma, cadence, flux): the sum over each aperture of what exceeds the background. Apertures are small."""
+def aperture_flux(pixels: DataFrame, apertures: DataFrame, background: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+    """(target, sigma, cadence, flux): the sum over each aperture of what exceeds the background. Apertures are small.
+
+    ``trials``: (target, sigma) of apertures that may hold no pixels; each of their cadences has a row, 0 where there are none.
+    """
     masks = apertures.select("target", "sigma", "row", "col")
     rows = pixels.join(masks, ["target", "row", "col"]).join(background, "target")
-    return rows.groupBy("target", "sigma", "cadence").agg(F.sum(F.col("px") - F.col("background")).alias("flux"))
+    flux = rows.groupBy("target", "sigma", "cadence").agg(F.sum(F.col("px") - F.col("background")).alias("flux"))
+    if trials is None:
+        return flux
+    every = pixels.select("target", "cadence").distinct().join(trials.select("target", "sigma"), "target")
+    return every.join(flux, ["target", "sigma", "cadence"], "left").select("target", "sigma", "cadence", F.coalesce("flux", F.lit(0.0)).alias("flux"))
 
 
-def optimize_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> tuple[DataFrame, DataFrame]:
-    """(trials, growth): (target, sigma, pixels, signal, noise, rms, snr, score, is_best) and the pixels of all trials.
+def measure_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trials, growth, flux): (target, sigma, pixels, signal, noise, rms, snr, score, is_best), the pixels of all trials, and
+    the (target, sigma, cadence, flux) of each, over its median; all ones where that is 0 or NaN.
 
     The threshold is the local background plus sigma deviations of the mean image; the score is the signal to noise of
     the normalised flux over the root of the aperture's size. The best is the largest score, then the least sigma.
@@ -106,16 +117,19 @@ def optimize_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) ->
     levels = background.join(spread, "target").select("target", F.explode(F.array(*map(F.lit, sigmas))).alias("sigma"), "background", "spread")
     thresholds = levels.select("target", "sigma", (F.col("background") + F.col("sigma") * F.col("spread")).alias("threshold"))
     growth = grow_apertures(image, seeds, thresholds)
-    flux = aperture_flux(pixels, growth, background)
-    median = flux.groupBy("target", "sigma").agg(F.median("flux").alias("m"))
-    scaled = flux.join(median, ["target", "sigma"]).withColumn("flux", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m")))
-    middle = scaled.groupBy("target", "sigma").agg(F.median("flux").alias("signal"))
+    flux = aperture_flux(pixels, growth, background, levels)
+    median = flux.groupBy("target", "sigma").agg(plain_median("flux").alias("m"))
+    scaled = flux.join(median, ["target", "sigma"]).select("target", "sigma", "cadence", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m")).alias("flux"))
+    middle = scaled.groupBy("target", "sigma").agg(plain_median("flux").alias("signal"))
     d = F.col("flux") - F.col("signal")
     stats = scaled.join(middle, ["target", "sigma"]).groupBy("target", "sigma").agg(F.first("signal").alias("signal"), F.stddev_pop("flux").alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
     size = growth.groupBy("target", "sigma").agg(F.count(F.lit(1)).alias("pixels"))
-    snr = ratio_or_zero(F.col("signal"), F.col("noise"))
-    trials = levels.select("target", "sigma").join(size, ["target", "sigma"], "left").join(stats, ["target", "sigma"], "left")
-    trials = trials.select("target", "sigma", F.coalesce("pixels", F.lit(0)).alias("pixels"), F.coalesce("signal", F.lit(0.0)).alias("signal"), F.coalesce("noise", F.lit(0.0)).alias("noise"), F.coalesce("rms", F.lit(0.0)).alias("rms"), F.coalesce(snr, F.lit(0.0)).alias("snr"))
+    trials = stats.join(size, ["target", "sigma"], "left").select("target", "sigma", F.coalesce("pixels", F.lit(0)).alias("pixels"), "signal", "noise", "rms", ratio_or_zero(F.col("signal"), F.col("noise")).alias("snr"))
     trials = trials.withColumn("score", F.round(ratio_or_zero(F.col("snr"), F.sqrt(F.col("pixels"))), 6))
     best = trials.groupBy("target").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("sigma"))).alias("b")).select("target", F.col("b.sigma").alias("best_sigma"))
-    return trials.join(best, "target").withColumn("is_best", F.col("sigma") == F.col("best_sigma")).drop("best_sigma"), growth
+    return trials.join(best, "target").withColumn("is_best", F.col("sigma") == F.col("best_sigma")).drop("best_sigma"), growth, scaled
+
+
+def optimize_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> tuple[DataFrame, DataFrame]:
+    """The trials and growth of ``measure_apertures``."""
+    return measure_apertures(pixels, sigmas)[:2]

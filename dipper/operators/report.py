@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dipper.functions.scores import confidence, finite, nan_to_null
 
+#: Columns and texts of the summary, here and below.
 BATCH_SCHEMA = "tic_id string, status string, period double, depth_ppm double, duration_hrs double, sde double, fap string, odd_even_sigma double, secondary_ratio double"
 
 
@@ -45,7 +46,10 @@ def write_candidates_csv(candidates: DataFrame, path: str) -> None:
 
 
 def result_documents(lc: DataFrame, power: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(target, document): one JSON text a target; NaN and infinities are null."""
+    """(target, document): one JSON text a target; NaN and infinities are null.
+
+    A text holds the target's whole light curve, as its readers need, so it must fit a row (2 GB, tens of millions of points).
+    """
     curve = lc.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("t", "flux"))).alias("c")).select("target", F.struct(F.transform("c", lambda x: nan_to_null(x["t"])).alias("time"), F.transform("c", lambda x: nan_to_null(x["flux"])).alias("flux")).alias("light_curve"))
     graph = power.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("period", "sde", "sr"))).alias("p")).select("target", F.struct(F.col("p.period").alias("periods"), F.transform("p.sde", nan_to_null).alias("sde"), F.transform("p.sr", nan_to_null).alias("sr")).alias("periodogram"))
     found = candidates.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("peak_rank", "period", "sde", "depth", "is_harmonic", "status"))).alias("candidates"))
@@ -56,6 +60,11 @@ def result_documents(lc: DataFrame, power: DataFrame, candidates: DataFrame) ->
     return rows.select("target", document.alias("document"))
 
 
+def write_json(documents: DataFrame, path: str) -> None:
+    """A folder of JSON texts, one a target, below the target's name; many targets a task."""
+    documents.repartition("target").write.mode("overwrite").partitionBy("target").text(path)
+
+
 def with_confidence(vetted: DataFrame) -> DataFrame:
     return vetted.withColumn("confidence", confidence(F.col("status"), F.col("sde")))
 

@@ -52,6 +52,7 @@ def vet(lc: DataFrame, candidates: DataFrame, n_bins: int = 400, odd_even_limit:
     sigma = F.coalesce(F.when(mean == 0, 0.0).otherwise(F.abs(col("depth_odd") - col("depth_even")) / F.when(mean != 0, mean) / 0.1), F.lit(0.0))
     ratio = F.coalesce(F.when(col("depth") != 0, col("secondary_depth") / F.when(col("depth") != 0, F.abs(col("depth")))), F.lit(0.0))
     rows = rows.withColumns({"odd_even_diff_sigma": F.when(~col("is_harmonic"), sigma), "secondary_ratio": F.when(~col("is_harmonic") & (sigma <= odd_even_limit), ratio)})
+    # fixed values: the texts of the status
     status = F.when(col("is_harmonic"), "REJECTED (Harmonic Alias)").when(col("odd_even_diff_sigma") > odd_even_limit, "REJECTED (Odd/Even Mismatch)").when(col("secondary_ratio") > secondary_limit, "REJECTED (Secondary Eclipse)").otherwise("PASSED")
     return rows.withColumn("status", status)
 

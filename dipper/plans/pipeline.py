@@ -1,65 +1,59 @@
-"""The batch flow over all targets at once: photometry, cleaning, search, vetting, report.
+"""The batch flow over all targets at once, as a list of stages: photometry, cleaning, search, vetting, report.
 
-Every stage takes and returns DataFrames. A target whose light curve can't be cleaned is reported with its error; the
-others go on.
+Tables go by name from stage to stage. A target whose light curve can't be cleaned is reported with its error; the others
+go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipper.operators import bls, kernels, photometry, report, vetting
-from dipper.operators.lightcurve import filter_nan, filter_quality
+from dipper.operators import bls, photometry, report, vetting
+from dipper.operators.detrend import CLEAN_COLUMNS, detrend, detrend_around
+from dipper.operators.lightcurve import clip_upper, filter_nan, filter_quality
+from dipper.sources.store import shared_dir
 
-CLEAN_SCHEMA = "target string, t double, flux double, trend double, error string"
+#: Tables by name; a stage takes those so far and gives those it adds.
+Tables = dict[str, DataFrame]
+Stage = tuple[str, Callable[[Tables], Tables]]
 
 
-def photometry_stage(pixels: DataFrame, cadences: DataFrame) -> DataFrame:
-    """(target, t, flux, quality) of the best aperture. ``cadences``: (target, cadence, t, quality)."""
-    trials, growth = photometry.optimize_apertures(pixels)
-    image = photometry.mean_image(pixels)
-    background = photometry.local_background(image, photometry.brightest_pixel(image))
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared folder, where several results need them."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def photometry_stage(pixels: DataFrame, cadences: DataFrame, sigmas: tuple[float, ...] = photometry.SIGMAS) -> DataFrame:
+    """(target, t, flux, quality) of the best aperture, over its median. ``cadences``: (target, cadence, t, quality)."""
+    trials, _, flux = photometry.measure_apertures(pixels, sigmas)
     best = trials.where("is_best").select("target", "sigma")
-    flux = photometry.aperture_flux(pixels, growth.join(best, ["target", "sigma"]), background)
-    return filter_quality(flux.join(cadences, ["target", "cadence"]).select("target", "t", "flux", "quality"))
+    return filter_quality(flux.join(best, ["target", "sigma"]).join(cadences, ["target", "cadence"]).select("target", "t", "flux", "quality"))
 
 
 def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = False, min_period: float = 0.5) -> DataFrame:
-    """CLEAN_SCHEMA rows: detrended and clipped light curves, each in a task of its own; or one row with an error.
+    """CLEAN_COLUMNS: detrended and clipped light curves; or one row with an error.
 
     ``masked``: leave the strongest box, of periods from ``min_period`` on, out of the trend; it is searched as in
     ``bls.search``, by many tasks a target.
     """
     lc = filter_nan(lc)
-    if not masked:
-        return _detrended(lc, window, sigma)
-    flat = _detrended(lc, window, None).where("error is null").select("target", "t", "flux")
-    found = bls.search(flat, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
-    best = bls.best_period(found).where("sr >= 1e-6D").select(F.col("target").alias("of_target"), F.struct("period", "phase_start", "phase_width").alias("box"))
-    return _detrended(lc.join(best, F.col("target").eqNullSafe(F.col("of_target")), "left").select("target", "t", "flux", "box.*"), window, sigma)
-
+    flat = cut(detrend(lc, window))
+    if masked:
+        good = flat.where("error is null").select("target", "t", "flux")
+        found = bls.search(good, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
+        boxes = bls.best_period(found).where("sr >= 1e-6D").select("target", "period", "phase_start", "phase_width")
+        flat = cut(detrend_around(lc.join(flat.where("error is not null").select("target"), "target", "left_anti"), boxes, window).unionByName(flat.where("error is not null")))
+    return clip_upper(flat.where("error is null"), sigma).select(*CLEAN_COLUMNS).unionByName(flat.where("error is not null").select(*CLEAN_COLUMNS))
 
-def _detrended(lc: DataFrame, window: int, sigma: float | None) -> DataFrame:
-    """CLEAN_SCHEMA rows, around the box of a target where ``lc`` has one; ``sigma`` of None: not clipped."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "flux"])
-        t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
-        try:
-            flat, trend = kernels.detrend(t, flux, window)
-            if "period" in part and part["period"].notna().any():
-                flat, trend = kernels.detrend_around(t, flux, tuple(part[["period", "phase_start", "phase_width"]].iloc[0]), window) or (flat, trend)
-            keep = np.ones(len(flat), bool) if sigma is None else kernels.clip_upper(flat, sigma)
-            return pd.DataFrame({"target": key[0], "t": t[keep], "flux": flat[keep], "trend": trend[keep], "error": None})
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame({"target": [key[0]], "t": [None], "flux": [None], "trend": [None], "error": [str(e)]})
-
-    return lc.groupBy("target").applyInPandas(run, CLEAN_SCHEMA)
+def flatten_and_search(lc: DataFrame, window: int = 401, duration: float = 0.1, **options: float) -> DataFrame:
+    """The short way from raw light curves to a periodogram: no NaN, no outliers on either side, a wide flattening of second order, one duration."""
+    flat = detrend(clip_upper(filter_nan(lc), both=True), window, order=2, rounds=3, gap=0.5).where("error is null")
+    return bls.live_search(cut(flat.select("target", "t", "flux")), (duration,), **options)
 
 
 def search_stage(lc: DataFrame, threshold: float = 3.0, **options: float) -> tuple[DataFrame, DataFrame]:
@@ -68,23 +62,66 @@ def search_stage(lc: DataFrame, threshold: float = 3.0, **options: float) -> tup
     return power, bls.flag_harmonics(bls.peaks(power, threshold))
 
 
-def run(lc: DataFrame, progress: Callable[[str, str], None] = lambda stage, status: None, **options: float) -> dict[str, DataFrame]:
-    """All results from raw light curves: clean, power, candidates (vetted), best, report.
+def measure(tables: Tables) -> Tables:
+    """``raw`` light curves of the best apertures, from ``pixels`` and ``cadences``."""
+    return {"raw": cut(photometry_stage(tables["pixels"], tables["cadences"]))}
+
+
+def clean_up(tables: Tables) -> Tables:
+    """``clean`` light curves, or errors, from ``raw`` ones."""
+    return {"clean": cut(clean(filter_quality(tables["raw"])))}
+
+
+def search(tables: Tables, **options: float) -> Tables:
+    """``power`` and raw ``candidates`` of what is clean."""
+    power, candidates = search_stage(tables["clean"].where("error is null").select("target", "t", "flux"), **options)
+    power = cut(power)
+    return {"power": power, "candidates": bls.flag_harmonics(bls.peaks(power, 3.0))}
+
+
+def vet(tables: Tables) -> Tables:
+    """``candidates`` with their tests, and the ``best`` of each target."""
+    candidates = cut(report.with_confidence(vetting.vet(tables["clean"].where("error is null").select("target", "t", "flux"), tables["candidates"])))
+    return {"candidates": candidates, "best": vetting.best_passed(candidates)}
 
-    ``progress`` is called as stages are planned; the plan itself runs when a result is asked for.
+
+def summarize(tables: Tables) -> Tables:
+    """The batch ``report``, a row for each target of ``raw``."""
+    return {"report": report.batch_report(tables["raw"].select("target").distinct(), tables["best"])}
+
+
+STAGES: list[Stage] = [("cleaning", clean_up), ("search", search), ("vetting", vet), ("report", summarize)]
+PIXEL_STAGES: list[Stage] = [("photometry", measure), *STAGES]
+
+
+def compose(tables: Tables, stages: list[Stage], progress: Callable[[str, str], None] = lambda stage, status: None) -> Tables:
+    """All tables, after each stage in turn. Stages may be any functions of that form, in any order that has what they need.
+
+    ``progress`` is called with ``running`` and ``complete`` for each stage. If a stage fails, it is told ``error``, and what
+    there is so far is returned.
     """
-    out = {}
-    progress("cleaning", "running")
-    out["clean"] = clean(filter_quality(lc))
-    good = out["clean"].where("error is null").select("target", "t", "flux")
-    progress("search", "running")
-    out["power"], candidates = search_stage(good, **options)
-    progress("vetting", "running")
-    out["candidates"] = report.with_confidence(vetting.vet(good, candidates))
-    out["best"] = vetting.best_passed(out["candidates"])
-    out["report"] = report.batch_report(lc.select("target").distinct(), out["best"])
-    progress("report", "complete")
-    return out
+    tables = dict(tables)
+    for name, stage in stages:
+        progress(name, "running")
+        try:
+            tables |= stage(tables)
+        except Exception as e:  # noqa: BLE001
+            progress(name, f"error: {e}")
+            break
+        progress(name, "complete")
+    return tables
+
+
+def run(lc: DataFrame, progress: Callable[[str, str], None] = lambda stage, status: None, **options: float) -> Tables:
+    """All results from raw light curves: clean, power, candidates (vetted), best, report. A failing stage raises."""
+
+    def told(stage: str, status: str) -> None:
+        progress(stage, status)
+        if status.startswith("error"):
+            raise RuntimeError(f"{stage}: {status}")
+
+    stages: list[Stage] = [(name, (lambda tables: search(tables, **options)) if stage is search else stage) for name, stage in STAGES]
+    return compose({"raw": lc}, stages, told)
 
 
 def flagship(lc: DataFrame) -> DataFrame:

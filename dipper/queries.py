@@ -5,17 +5,21 @@ Statistics are rounded to 6 digits on both sides; inputs are whole tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipper.functions.phase import in_circular_box, in_plain_box, in_window, start_phase
-from dipper.functions.scores import checks, false_alarm, finite
+from dipper.functions.scores import checks, erfc_sql, false_alarm, finite
 from dipper.operators import bls, boxes, photometry, report, vetting
+from dipper.operators import detrend as detrending
 from dipper.operators import lightcurve as lcs
 from dipper.plans import pipeline
+from dipper.sources import fits, store, synthetic
 from dipper.sources.adapters import light_curves, pixels, user_light_curves
+from dipper.streaming import landing
 
 PERIOD = 5.0
 N_PERIODS, N_BINS, WIDEST, THRESHOLD = 64, 100, 8, 1.0
@@ -170,6 +174,11 @@ def lc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lcs.fold(light_curves(spark, sf_dir), PERIOD), "phase").select("target", "t", "phase")
 
 
+@query(f"WITH {_LC} SELECT target, t, {_r(f'(t % {PERIOD}::DOUBLE) / {PERIOD}::DOUBLE')} AS phase, {_r('flux')} AS display FROM lc")
+def lc_display_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lcs.display_flux(lcs.fold(light_curves(spark, sf_dir), PERIOD)), "phase", "display").select("target", "t", "phase", "display")
+
+
 @query(f"WITH {_LC} SELECT target, (floor(t / 2.5::DOUBLE)::BIGINT % 2)::INTEGER AS parity, count(*) AS n, {_r('avg(flux)')} AS mean_flux FROM lc GROUP BY ALL")
 def lc_epoch_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lcs.with_parity(light_curves(spark, sf_dir), 2.5).groupBy("target", "parity").agg(F.count(F.lit(1)).alias("n"), F.avg("flux").alias("mean_flux"))
@@ -331,14 +340,71 @@ def bls_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bls.flag_harmonics(_peaks_of(spark, sf_dir)).select("target", "peak_rank", "period", "is_harmonic"), "period")
 
 
+_LIST = ", ".join(f"({i}, {1 / (0.1 + 0.01 * i)!r}::DOUBLE)" for i in range(N_PERIODS))
+
+
+@query(f"""WITH {_LC}, {_XW}, {_HIST.replace(f"SELECT i AS pid, 1 / (0.1::DOUBLE + 0.01::DOUBLE * i) AS period FROM range({N_PERIODS}) r(i)", f"SELECT * FROM (VALUES {_LIST}) v(pid, period)")},
+{_PREFIX.replace(f"WHERE bin < {WIDEST}", "")},
+spans AS (SELECT pid, period, greatest(1, floor(lo * {N_BINS})::INTEGER) AS a, least(greatest(greatest(1, floor(lo * {N_BINS})::INTEGER) + 1, ceil(hi * {N_BINS})::INTEGER), {N_BINS // 2}) AS b
+  FROM (SELECT *, greatest(lo + 0.005::DOUBLE, least(0.25::DOUBLE / period, 0.5)) AS hi FROM (SELECT *, least(greatest(0.05::DOUBLE / period, 0.005), 0.5) AS lo FROM grid))),
+box AS (SELECT a.target, a.pid, s.period, b.pf - a.pf AS s, b.pr - a.pr AS r FROM prefix a JOIN spans s USING (pid) JOIN prefix b ON b.target = a.target AND b.pid = a.pid AND b.k BETWEEN a.k + s.a AND a.k + s.b WHERE a.k < {N_BINS})
+SELECT target, pid::BIGINT AS pid, {_r('period')} AS period, {_r('max(s * s / (r * (1 - r)))')} AS sr FROM box WHERE r > 1e-12 AND r < 1 - 1e-12 GROUP BY ALL""")
+def bls_search_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods = spark.range(N_PERIODS).select(F.col("id").alias("pid"), bls.explicit_period(F.col("id")).alias("period"))
+    found = bls.search(lcs.filter_nan(light_curves(spark, sf_dir)), periods, N_BINS, 0.05, 0.25)
+    return rounded(found.select("target", "pid", "period", "sr"), "period", "sr")
+
+
+_LIVE = [1.7, 2.3, 3.1, 4.4, 5.0, 6.2, 8.1, 9.7]
+_LIVE_LIST = ", ".join(f"({i}, {p!r}::DOUBLE, {math.ceil(p / 0.005)})" for i, p in enumerate(_LIVE))
+_SPANS = ", ".join(f"({k}, {d!r}::DOUBLE, {max(1, round(d / 0.005))})" for k, d in enumerate(bls.DURATIONS))
+
+
+@query(f"""WITH {_LC}, p AS (SELECT * FROM (VALUES {_LIVE_LIST}) v(pid, period, m)), d AS (SELECT * FROM (VALUES {_SPANS}) v(di, duration, w)),
+x AS (SELECT target, t, flux - avg(flux) OVER o AS x, min(t) OVER o AS first, count(*) OVER o AS n FROM lc WINDOW o AS (PARTITION BY target)),
+sums AS (SELECT target, pid, least(floor(((t - first) % period) / 0.005::DOUBLE), m - 1)::BIGINT AS b, sum(x) AS s, count(*) AS c FROM x, p GROUP BY ALL),
+dense AS (SELECT g.target, p.pid, b.b, coalesce(s, 0) AS s, coalesce(c, 0) AS c FROM (SELECT DISTINCT target FROM lc) g, p, LATERAL (SELECT unnest(range(m)) AS b) b LEFT JOIN sums ON sums.target = g.target AND sums.pid = p.pid AND sums.b = b.b),
+twice AS (SELECT target, pid, b, s, c FROM dense UNION ALL SELECT target, pid, b + m, s, c FROM dense JOIN p USING (pid)),
+pre AS (SELECT target, pid, b + 1 AS k, sum(s) OVER o AS ps, sum(c) OVER o AS pc FROM twice WINDOW o AS (PARTITION BY target, pid ORDER BY b) UNION ALL SELECT DISTINCT target, pid, 0, 0, 0 FROM dense),
+box AS (SELECT a.target, a.pid, di, a.k AS i, b.ps - a.ps AS s_in, b.pc - a.pc AS n_in FROM pre a JOIN p USING (pid) CROSS JOIN d JOIN pre b ON b.target = a.target AND b.pid = a.pid AND b.k = a.k + d.w WHERE a.k < m),
+whole AS (SELECT target, any_value(first) AS first, any_value(n) AS n, sum(x) AS total FROM x GROUP BY 1),
+scored AS (SELECT *, (total - s_in) / (n - n_in) - s_in / n_in AS depth FROM box JOIN whole USING (target) WHERE n_in > 0 AND n_in < n),
+best AS (SELECT *, depth / sqrt(1 / n_in::DOUBLE + 1 / (n - n_in)::DOUBLE) AS snr FROM scored WHERE depth > 0
+  QUALIFY row_number() OVER (PARTITION BY target, pid ORDER BY round(depth / sqrt(1 / n_in::DOUBLE + 1 / (n - n_in)::DOUBLE), 9) DESC, di, i) = 1)
+SELECT target, pid::BIGINT AS pid, period, {_r('duration')} AS duration_days, {_r('first + ((i + w / 2.0::DOUBLE) * 0.005::DOUBLE) % period')} AS transit_time, round(depth, 4) AS depth, {_r('snr')} AS sr
+FROM best JOIN p USING (pid) JOIN d USING (di)""")
+def live_search_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bls.live_search(lcs.filter_nan(light_curves(spark, sf_dir)), periods=_LIVE)
+    return rounded(found.select("target", "pid", "period", "duration_days", "transit_time", F.round("depth", 4).alias("depth"), "sr"), "duration_days", "transit_time", "sr")
+
+
+@query()
+def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bls.live_search(lcs.filter_nan(light_curves(spark, sf_dir)))
+
+
+@query()
+def validation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bls.search(lcs.filter_nan(light_curves(spark, sf_dir)), bls.linear_periods(spark, 2.0, 10.0), min_duration=0.1, max_duration=0.1)
+
+
+@query()
+def flatten_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.flatten_and_search(light_curves(spark, sf_dir))
+
+
 @query()
 def bls_full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bls.search_per_target(lcs.filter_nan(light_curves(spark, sf_dir)))
 
 
-@query()
+_FAP = erfc_sql("x").replace("D *", "::DOUBLE *").replace("D /", "::DOUBLE /")
+
+
+@query(f"""WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power()}, e AS (SELECT target, pid, {_FAP} AS e FROM (SELECT *, sde / sqrt(2.0::DOUBLE) AS x FROM sde))
+SELECT target, pid, {_r(f"CASE WHEN e >= 1 THEN 1 ELSE 1 - (1 - e) ** {N_PERIODS} END")} AS fap FROM e""")
 def fap_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bls.with_sde(_power_of(spark, sf_dir)).select("target", "pid", false_alarm(F.col("sde"), F.lit(float(N_PERIODS))).alias("fap")), "fap")
+    return rounded(bls.with_sde(_power_of(spark, sf_dir)).select("target", "pid", false_alarm("sde", F.lit(float(N_PERIODS))).alias("fap")), "fap")
 
 
 @query()
@@ -347,6 +413,14 @@ def fap_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bls.bootstrap_fap(lc, bls.best_period(_power_of(spark, sf_dir)).select("target", "sr"))
 
 
+@query(f"""WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power()}, m AS (SELECT target, avg(sr) AS level FROM power GROUP BY 1)
+SELECT target, {_r('avg((sr >= level)::INTEGER)')} AS fap, count(*) AS rounds FROM power JOIN m USING (target) GROUP BY 1""")
+def fap_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    power = _power_of(spark, sf_dir)
+    levels = power.groupBy("target").agg(F.avg("sr").alias("sr"))
+    return rounded(bls.exceedance(power.select("target", F.col("sr").alias("best")), levels), "fap")
+
+
 @query(f"""WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power()}, q AS (SELECT target, pid, sr, sde FROM sde)
 SELECT target, pid, {_r('sr')} AS ours, {_r('sde')} AS theirs, {_r('abs(sr - sde)')} AS abs_diff, CASE WHEN sde > 0 THEN {_r('abs(sr - sde) / sde')} ELSE 'inf'::DOUBLE END AS rel_diff FROM q""")
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,6 +539,19 @@ def box_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, "center", "duration", "depth", "snr")
 
 
+@query(f"""WITH {_LC}, f AS (SELECT 0.25::DOUBLE + i * 0.02::DOUBLE AS f FROM range(5) r(i)), span AS (SELECT target, max(t) - min(t) AS baseline FROM lc GROUP BY 1),
+folded AS (SELECT target, f, flux, (t % (1 / f)) / (1 / f) AS p FROM lc, f),
+tot AS (SELECT target, f, count(*) AS n, sum(flux) AS total, sum(flux * flux) AS squares FROM folded GROUP BY ALL),
+trial AS (SELECT c.i AS ci, d.i AS di, c.i / 299.0::DOUBLE AS center, 0.01::DOUBLE + d.i * ((0.05::DOUBLE - 0.01::DOUBLE) / 14) AS duration FROM range(300) c(i), range(15) d(i)),
+hit AS (SELECT target, f, ci, di, count(*) AS n_in, sum(flux) AS sum_in FROM folded, trial WHERE least(abs(p - center), 1 - abs(p - center)) <= duration / 2 + 1e-12 GROUP BY ALL),
+s AS (SELECT *, sum_in / n_in AS mi, (total - sum_in) / (n - n_in) AS mo, squares / n - (total / n) ** 2 AS v FROM hit JOIN tot USING (target, f) WHERE n_in >= 5 AND n - n_in >= 5),
+b AS (SELECT * FROM s WHERE mo > mi AND v > 0 QUALIFY row_number() OVER (PARTITION BY target, f ORDER BY round(squares - n_in * mi * mi - (n - n_in) * mo * mo, 4), ci, di) = 1)
+SELECT target, {_r('1 / f')} AS period, round((mo - mi) ** 2 * n_in / v, 4) AS power, round(mo - mi, 4) AS depth, round((mo - mi) / sqrt(v), 4) AS snr, {_r('baseline * f')} AS transits FROM b JOIN span USING (target) WHERE baseline * f >= 3""")
+def box_search_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boxes.search_periods(light_curves(spark, sf_dir), 1 / (0.25 + 4.5 * 0.02), 4.0, 0.02)
+    return rounded(found, "period", "transits").select("target", "period", *[F.round(c, 4).alias(c) for c in ("power", "depth", "snr")], "transits")
+
+
 @query()
 def box_search_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boxes.search_periods(light_curves(spark, sf_dir), 2.0, 8.0), "period", "power", "depth", "snr")
@@ -539,7 +626,8 @@ def aperture_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_PIXELS}, {_APERTURE},
-scaled AS (SELECT target, sigma, CASE WHEN m = 0 THEN 1 ELSE flux / m END AS flux FROM flux JOIN (SELECT target, sigma, median(flux) AS m FROM flux GROUP BY ALL) USING (target, sigma)),
+every AS (SELECT l.target, l.sigma, c.cadence, coalesce(f.flux, 0) AS flux FROM level l JOIN (SELECT DISTINCT target, cadence FROM pixels) c USING (target) LEFT JOIN flux f ON f.target = l.target AND f.sigma = l.sigma AND f.cadence = c.cadence),
+scaled AS (SELECT target, sigma, CASE WHEN m = 0 THEN 1 ELSE flux / m END AS flux FROM every JOIN (SELECT target, sigma, median(flux) AS m FROM every GROUP BY ALL) USING (target, sigma)),
 stat AS (SELECT target, sigma, any_value(signal) AS signal, stddev_pop(flux) AS noise, sqrt(avg((flux - signal) ** 2)) AS rms
          FROM scaled JOIN (SELECT target, sigma, median(flux) AS signal FROM scaled GROUP BY ALL) USING (target, sigma) GROUP BY ALL),
 size AS (SELECT target, sigma, count(*) AS pixels FROM mask GROUP BY ALL),
@@ -552,14 +640,155 @@ def aperture_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trials, "signal", "snr", "score")
 
 
-# --- flows that SQL can't express; tests hold them against NumPy and planted signals ---
+# --- sources and sinks ---
 
 
-@query()
+@query(f"WITH {_LC} SELECT target, t, flux, quality FROM lc WHERE isfinite(t) AND isfinite(flux)")
+def fits_light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All light curves, written as FITS tables by tasks and read again."""
+    folder = store.new_folder(spark, "fits")
+    fits.write_fits(light_curves(spark, sf_dir), folder)
+    return fits.read_fits(spark, folder).select("target", "t", "flux", "quality")
+
+
+@query(f"WITH {_LC} SELECT 'TIC ' || target AS object, count(*)::BIGINT AS n_rows, 2::BIGINT AS n_hdus, 'TIME D, FLUX D, QUALITY J' AS fields FROM lc GROUP BY 1")
+def fits_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of these files say."""
+    folder = store.new_folder(spark, "fits")
+    fits.write_fits(light_curves(spark, sf_dir), folder)
+    card = lambda k: F.max(F.col("cards")[k])
+    field = lambda i: F.concat_ws(" ", card(f"TTYPE{i}"), F.translate(card(f"TFORM{i}"), "1", ""))
+    files = fits.read_headers(spark, folder).groupBy("path").agg(card("OBJECT").alias("object"), card("NAXIS2").cast("long").alias("rows"), F.count(F.lit(1)).alias("hdus"), F.concat_ws(", ", *map(field, (1, 2, 3))).alias("fields"))
+    return files.groupBy("object").agg(F.sum("rows").alias("n_rows"), F.max("hdus").alias("n_hdus"), F.max("fields").alias("fields"))
+
+
+@query(f"WITH {_PIXELS} SELECT target, cadence, row, col, px FROM pixels")
+def fits_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames, written as target pixel files and read again."""
+    folder = store.new_folder(spark, "fits")
+    fits.write_frames(pixels(spark, sf_dir), folder)
+    frames = fits.read_frames(spark, folder).select("target", F.col("t").cast("long").alias("cadence"), "flux")
+    return photometry.explode_frames(frames)
+
+
+@query(f"WITH {_LC} SELECT target, t, flux, quality FROM lc WHERE isfinite(t) AND isfinite(flux)")
+def fits_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all accepted endings and others land in a folder; a stream takes them to the result."""
+    folder, out = store.new_folder(spark, "landing"), store.new_folder(spark, "landed")
+    lc = light_curves(spark, sf_dir)
+    for i, ending in enumerate(fits.ENDINGS):
+        fits.write_fits(lc.where(F.col("quality") == i), folder, ending.upper() if i == 2 else ending)
+    fits.write_fits(lc, folder, ".dat")
+    landing.process(landing.read_landing(spark, folder), lambda rows: rows, f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("target", "t", "flux", "quality")
+
+
+def _uniform_sql(salt: int) -> str:
+    """A chain of named steps, as nested ones would double with each."""
+    steps = f"SELECT id, (id * 69069 + {(42 * 1009 + salt) * 7919 + 1}) % 2147483648 AS x FROM range(4000) r(id)"
+    for _ in range(3):
+        steps = f"SELECT id, xor(y, y >> 15) AS x FROM (SELECT id, (x * 1103515245 + 12345) % 2147483648 AS y FROM ({steps}))"
+    return f"SELECT id, (x + 0.5::DOUBLE) / 2147483648 AS u FROM ({steps})"
+
+
+@query(f"""WITH u AS (SELECT a.id, a.u * 30 AS t, b.u AS v, c.u AS w FROM ({_uniform_sql(0)}) a JOIN ({_uniform_sql(1)}) b USING (id) JOIN ({_uniform_sql(2)}) c USING (id))
+SELECT (id // 2000)::VARCHAR AS target, {_r('t')} AS t, {_r('1 + 0.002::DOUBLE * sqrt(-2 * ln(v)) * cos(2 * pi() * w) - CASE WHEN t % 5.0::DOUBLE < 0.15::DOUBLE THEN 0.01::DOUBLE ELSE 0 END')} AS flux, 0 AS quality FROM u""")
+def synthetic_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(synthetic.transit_curves(spark, targets=2), "t", "flux")
+
+
+@query(f"{_CHAIN} SELECT target, peak_rank, {_r('period')} AS period, {_r('sde')} AS sde, is_harmonic, status FROM vetted")
+def candidates_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, written as CSV and read again."""
+    folder = store.new_folder(spark, "csv")
+    rows = rounded(_vetted(spark, sf_dir).select("target", "peak_rank", "period", "sde", "is_harmonic", "status"), "period", "sde")
+    report.write_candidates_csv(rows, f"{folder}/candidates")
+    return spark.read.option("header", True).schema("target string, peak_rank int, period double, sde double, is_harmonic boolean, status string").csv(f"{folder}/candidates")
+
+
+@query(f"""{_CHAIN}, b AS (SELECT * FROM vetted WHERE status = 'PASSED' QUALIFY row_number() OVER (PARTITION BY target ORDER BY peak_rank) = 1)
+SELECT l.target AS "TIC_ID", CASE WHEN b.target IS NOT NULL THEN 'VETTED CANDIDATE' ELSE 'NO CANDIDATE / FALSE POSITIVE' END AS "Status", printf('%.5f', coalesce(period, 0)) AS "Period_days",
+  printf('%.1f', coalesce(abs(depth) * 1e6, 0)::DOUBLE) AS "Depth_ppm", printf('%.2f', coalesce(duration_days * 24, 0)::DOUBLE) AS "Duration_hrs", printf('%.2f', coalesce(sde, 0)::DOUBLE) AS "SDE", 'N/A' AS "FAP",
+  printf('%.2f', coalesce(odd_even_diff_sigma, 0)::DOUBLE) AS "OddEvenSigma", printf('%.3f', coalesce(secondary_ratio, 0)::DOUBLE) AS "SecondaryRatio"
+FROM (SELECT DISTINCT target FROM lc) l LEFT JOIN b USING (target)""")
+def batch_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary file, written and read again."""
+    folder = store.new_folder(spark, "csv")
+    targets = light_curves(spark, sf_dir).select("target").distinct()
+    report.write_batch_csv(report.batch_report(targets, vetting.best_passed(_vetted(spark, sf_dir))), f"{folder}/batch")
+    return spark.read.option("header", True).csv(f"{folder}/batch")
+
+
+_DOCUMENT = "target string, light_curve struct<time:array<double>,flux:array<double>>, periodogram struct<periods:array<double>,sde:array<double>,sr:array<double>>, candidates array<struct<peak_rank:int,status:string>>, best_candidate struct<period:double>, detection boolean"
+
+
+@query(f"""{_CHAIN}, b AS (SELECT * FROM vetted WHERE status = 'PASSED' QUALIFY row_number() OVER (PARTITION BY target ORDER BY peak_rank) = 1),
+c AS (SELECT target, count(*)::INTEGER AS n FROM vetted GROUP BY 1), l AS (SELECT target, count(*)::INTEGER AS n, min(t) AS t, max(flux) AS top FROM lc GROUP BY 1), s AS (SELECT target, count(*)::INTEGER AS n, max(sde) AS top FROM sde GROUP BY 1)
+SELECT l.target, l.n AS n_points, {_r('l.t')} AS first_time, {_r('l.top')} AS top_flux, s.n AS n_periods, {_r('s.top')} AS top_sde, coalesce(c.n, 0) AS n_candidates, {_r('b.period')} AS best_period, b.target IS NOT NULL AS detection
+FROM l JOIN s USING (target) LEFT JOIN c USING (target) LEFT JOIN b USING (target)""")
+def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target's JSON document, written as a text and read again, by what its fields hold."""
+    folder = store.new_folder(spark, "json")
+    documents = report.result_documents(light_curves(spark, sf_dir), bls.with_sde(_power_of(spark, sf_dir)), _vetted(spark, sf_dir))
+    report.write_json(documents, f"{folder}/results")
+    d = spark.read.option("recursiveFileLookup", True).text(f"{folder}/results").select(F.from_json("value", _DOCUMENT).alias("d")).select("d.*")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("int")
+    rows = d.select("target", size("light_curve.time").alias("n_points"), F.array_min("light_curve.time").alias("first_time"), F.array_max("light_curve.flux").alias("top_flux"), size("periodogram.periods").alias("n_periods"), F.array_max("periodogram.sde").alias("top_sde"), F.when(F.col("candidates").isNull(), 0).otherwise(F.size("candidates")).alias("n_candidates"), F.col("best_candidate.period").alias("best_period"), "detection")
+    return rounded(rows, "first_time", "top_flux", "top_sde", "best_period")
+
+
+# --- whole flows ---
+
+
+def _smooth_sql(rows: str, out: str) -> str:
+    """Cubic smoothing of (target, segment, k, y, n, w) by orthogonal polynomials: each point takes the fit of the whole window nearest to it."""
+    return f"""{out}_at AS (SELECT *, w // 2 AS m, least(greatest(k, w // 2), n - 1 - w // 2) AS c FROM {rows}),
+{out}_sums AS (SELECT a.target, a.segment, a.c, a.m, sum(b.y) AS s0, sum((b.k - a.c) * b.y) AS s1, sum((3 * (b.k - a.c) ** 2 - a.m * (a.m + 1)) * b.y) AS s2,
+    sum((5 * (b.k - a.c) ** 3 - (3 * a.m * a.m + 3 * a.m - 1) * (b.k - a.c)) * b.y) AS s3,
+    count(*) AS q0, sum((b.k - a.c) ** 2) AS q1, sum((3 * (b.k - a.c) ** 2 - a.m * (a.m + 1)) ** 2) AS q2, sum((5 * (b.k - a.c) ** 3 - (3 * a.m * a.m + 3 * a.m - 1) * (b.k - a.c)) ** 2) AS q3
+  FROM (SELECT DISTINCT target, segment, c, m FROM {out}_at) a JOIN {rows} b ON b.target = a.target AND b.segment = a.segment AND b.k BETWEEN a.c - a.m AND a.c + a.m GROUP BY ALL),
+{out} AS (SELECT a.target, a.segment, a.i, s0 / q0 + (k - c) * s1 / q1 + (3 * (k - c) ** 2 - a.m * (a.m + 1)) * s2 / q2 + coalesce((5 * (k - c) ** 3 - (3 * a.m * a.m + 3 * a.m - 1) * (k - c)) * s3 / nullif(q3, 0), 0) AS smooth
+  FROM {out}_at a JOIN {out}_sums USING (target, segment, c))"""
+
+
+_ODD_WINDOW = "CASE WHEN n <= 151 THEN n - 1 - n % 2 ELSE 151 END"
+_DETREND = f"""
+gaps AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY target ORDER BY t, flux) > 0.5 THEN 1 ELSE 0 END AS new FROM lc WHERE NOT isnan(flux)),
+segs AS (SELECT *, sum(new) OVER (PARTITION BY target ORDER BY t, flux ROWS UNBOUNDED PRECEDING) AS segment FROM gaps),
+runs AS (SELECT *, row_number() OVER (PARTITION BY target, segment ORDER BY t, flux) - 1 AS i, count(*) OVER (PARTITION BY target, segment) AS n FROM segs),
+sized AS (SELECT *, CASE WHEN {_ODD_WINDOW} <= 3 THEN 5 ELSE {_ODD_WINDOW} END AS w FROM runs),
+bad AS (SELECT target, arg_min(n || ' points are fewer than a window of ' || w, segment) AS error FROM sized WHERE n < w GROUP BY target),
+pts AS (SELECT target, segment, t, flux, i, n, w FROM sized WHERE target NOT IN (SELECT target FROM bad)),
+one_in AS (SELECT target, segment, i, i AS k, flux AS y, n, w FROM pts),
+{_smooth_sql("one_in", "one")},
+rest AS (SELECT p.*, flux - smooth AS rest, stddev_pop(flux - smooth) OVER (PARTITION BY target, segment) AS dev FROM pts p JOIN one USING (target, segment, i)),
+good AS (SELECT *, rest > -3 * dev AS ok, sum((rest > -3 * dev)::INTEGER) OVER (PARTITION BY target, segment) AS n_ok FROM rest),
+kept AS (SELECT *, ok OR n_ok < w AS keep FROM good),
+two_in AS (SELECT target, segment, i, row_number() OVER (PARTITION BY target, segment ORDER BY i) - 1 AS k, flux AS y, count(*) OVER (PARTITION BY target, segment) AS n, w FROM kept WHERE keep),
+{_smooth_sql("two_in", "two")},
+sides AS (SELECT p.*, smooth, max(CASE WHEN smooth IS NOT NULL THEN i END) OVER (PARTITION BY target, segment ORDER BY i) AS i0, min(CASE WHEN smooth IS NOT NULL THEN i END) OVER (PARTITION BY target, segment ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1
+  FROM pts p LEFT JOIN two USING (target, segment, i)),
+trends AS (SELECT s.target, s.t, s.flux, CASE WHEN s.smooth IS NOT NULL THEN s.smooth WHEN i0 IS NULL THEN b.smooth WHEN i1 IS NULL THEN a.smooth ELSE a.smooth + (b.smooth - a.smooth) * (s.i - i0) / (i1 - i0) END AS trend
+  FROM sides s LEFT JOIN two a ON a.target = s.target AND a.segment = s.segment AND a.i = s.i0 LEFT JOIN two b ON b.target = s.target AND b.segment = s.segment AND b.i = s.i1),
+flat0 AS (SELECT target, t, flux / trend AS flux, trend FROM trends)"""
+
+
+def _clipped_sql(rounds: int, sigma: float) -> str:
+    return ", ".join(f"flat{i + 1} AS (SELECT l.* FROM flat{i} l JOIN (SELECT target, median(flux) AS m, stddev_pop(flux) AS s FROM flat{i} GROUP BY 1) USING (target) WHERE flux - m <= {sigma} * s)" for i in range(rounds))
+
+
+@query(f"""WITH {_LC}, {_DETREND}, {_clipped_sql(5, 5.0)}
+SELECT target, t, {_r('flux')} AS flux, {_r('trend')} AS trend, NULL::VARCHAR AS error FROM flat5 UNION ALL SELECT target, NULL, NULL, NULL, error FROM bad""")
 def lc_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.clean(light_curves(spark, sf_dir)), "flux", "trend")
 
 
+@query(f"""WITH {_LC}, {_DETREND} SELECT target, count(*) AS n, {_r('avg(trend)')} AS mean_trend, {_r('stddev_pop(flux)')} AS noise FROM flat0 GROUP BY 1""")
+def lc_detrend_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = detrending.detrend(lcs.filter_nan(light_curves(spark, sf_dir))).where("error is null")
+    return rounded(flat.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("trend").alias("mean_trend"), F.stddev_pop("flux").alias("noise")), "mean_trend", "noise")
+
+
 @query()
 def lc_masked_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True), "flux", "trend")
@@ -568,8 +797,3 @@ def lc_masked_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def transit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.batch_csv_lines(pipeline.run(light_curves(spark, sf_dir))["report"])
-
-
-@query()
-def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.result_documents(light_curves(spark, sf_dir), bls.with_sde(_power_of(spark, sf_dir)), _vetted(spark, sf_dir))

@@ -3,8 +3,10 @@
 Reads the first binary table that has a time and a flux column, of each file that a path or glob names, as (path,
 target, t, flux, quality), or with option ``mode`` = ``headers`` as (path, hdu, cards). Only the columns asked for are
 decoded. ``.gz`` files are unpacked. Rows whose time or flux isn't finite are left out unless ``keepNan`` is true.
+Options ``hdu`` (its number), ``time``, ``flux`` and ``flags`` (column names) pick others than the usual ones.
 Files are listed and read by the Hadoop client through ``binaryFile`` in ``read_fits``, which is the way for remote
-stores; the format itself opens local or mounted paths, one partition a file.
+stores; the format itself opens local or mounted paths, one partition a file, and gives Arrow batches.
+``write_fits`` writes light curves, and ``write_frames`` pixels, from tasks.
 """
 
 from __future__ import annotations
@@ -12,14 +14,25 @@ from __future__ import annotations
 import glob
 import gzip
 import math
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from dipper.sources.store import write_file
+
 BLOCK, CARD = 2880, 80
+#: File endings that an upload may have, in any case.
+ENDINGS = (".fits", ".fits.gz", ".fit", ".fts")
+#: The same for listings.
+ENDINGS_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in ENDINGS) + "}"
 #: Names that the columns may have, in order of preference.
 TIME_NAMES = ("TIME", "BARYTIME", "BJD")
 FLUX_NAMES = ("PDCSAP_FLUX", "SAP_FLUX", "FLUX", "DETRENDED_FLUX")
@@ -117,19 +130,24 @@ def target_of(cards: dict[str, str], path: str) -> str:
     return cards.get("TICID") or cards.get("OBJECT", "").replace("TIC ", "") or path.rsplit("/", 1)[-1]
 
 
-def light_curve(data: bytes, path: str, keep_nan: bool = False) -> pd.DataFrame:
-    """LC_SCHEMA rows of one file; none if no table has time and flux."""
+def accepted(name: str) -> bool:
+    return name.lower().endswith(ENDINGS)
+
+
+def light_curve(data: bytes, path: str, keep_nan: bool = False, hdu: int | None = None, **names: str) -> pd.DataFrame:
+    """LC_SCHEMA rows of one file; none if no table has time and flux. ``names``: columns for ``time``, ``flux``, ``flags``."""
     empty = pd.DataFrame({"path": [], "target": [], "t": [], "flux": [], "quality": []})
     if path.endswith(".gz") or data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     primary: dict[str, str] = {}
-    for cards, start in hdus(data):
+    for number, (cards, start) in enumerate(hdus(data)):
         primary = primary or cards
-        if cards.get("XTENSION") != "BINTABLE":
+        if cards.get("XTENSION") != "BINTABLE" or (hdu is not None and number != hdu):
             continue
         kind = table_dtype(cards)
         pick = lambda names: next((n for n in names if n in kind.names), None)  # noqa: E731, B023
-        time, flux, flag = pick(TIME_NAMES), pick(FLUX_NAMES), pick(QUALITY_NAMES)
+        usual = {"time": TIME_NAMES, "flux": FLUX_NAMES, "flags": QUALITY_NAMES}
+        time, flux, flag = (pick((names[k].upper(),) if k in names else known) for k, known in usual.items())
         if not time or not flux:
             continue
         rows = np.frombuffer(data, kind, int(cards["NAXIS2"]), start)
@@ -140,16 +158,41 @@ def light_curve(data: bytes, path: str, keep_nan: bool = False) -> pd.DataFrame:
     return empty
 
 
-def read_fits(spark: SparkSession, path: str, keep_nan: bool = False) -> DataFrame:
-    """LC_SCHEMA rows of all ``*.fits`` files in a folder (or of one file), from any store that Spark reads."""
+def _decoded(files: DataFrame, decode: Callable[[bytes, str], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``decode`` gives for each row of (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                yield light_curve(bytes(content), name, keep_nan)
+                yield decode(bytes(content), name)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", ENDINGS_GLOB).load(path)
+
+
+def read_fits(spark: SparkSession, path: str, keep_nan: bool = False, **options: object) -> DataFrame:
+    """LC_SCHEMA rows of all FITS files in a folder (or of one file), from any store that Spark reads."""
+    return _decoded(_files(spark, path), lambda data, name: light_curve(data, name, keep_nan, **options), LC_SCHEMA)
+
+
+def stream_fits(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
+    """A stream of LC_SCHEMA rows of the FITS files that land in a folder; other files are passed over."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = files.option("pathGlobFilter", ENDINGS_GLOB).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return _decoded(files, light_curve, LC_SCHEMA)
+
+
+def _header_rows(data: bytes, path: str) -> pd.DataFrame:
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    return pd.DataFrame([(path, i, cards) for i, (cards, _) in enumerate(hdus(data))], columns=["path", "hdu", "cards"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fits.gz,fit,fts}").load(path)
-    return files.select("path", "content").mapInPandas(run, LC_SCHEMA)
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """HEADER_SCHEMA rows of all FITS files in a folder, or of one: the cards of each HDU."""
+    return _decoded(_files(spark, path), _header_rows, HEADER_SCHEMA)
 
 
 def pixel_frames(data: bytes, path: str) -> pd.DataFrame:
@@ -182,14 +225,7 @@ FRAME_SCHEMA = "path string, target string, cadence long, t double, quality int,
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """FRAME_SCHEMA rows of all target pixel files in a folder, or of one; NaN pixels stay NaN."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                yield pixel_frames(bytes(content), name)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fits.gz,fit,fts}").load(path)
-    return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA)
+    return _decoded(_files(spark, path), pixel_frames, FRAME_SCHEMA)
 
 
 class _File(InputPartition):
@@ -203,20 +239,22 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         path = self.options["path"]
-        found = sorted(glob.glob(path if any(c in path for c in "*?[") else f"{path}/*.fits")) or [path]
-        return [_File(p) for p in found]
+        found = glob.glob(path) if any(c in path for c in "*?[") else glob.glob(f"{path}/*") if os.path.isdir(path) else [path]
+        return [_File(p) for p in sorted(found) if accepted(p)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open(partition.path, "rb") as f:
             data = f.read()
         if self.options.get("mode") == "headers":
-            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-            for i, (cards, _) in enumerate(hdus(data)):
-                yield partition.path, i, cards
+            rows = _header_rows(data, partition.path)
+            cards = pa.array([list(c.items()) for c in rows["cards"]], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["path"], pa.string()), pa.array(rows["hdu"], pa.int32()), cards], names=["path", "hdu", "cards"])
         else:
-            rows = light_curve(data, partition.path, self.options.get("keepNan", "false").lower() == "true")
-            for row in rows.itertuples(index=False):
-                yield row.path, row.target, float(row.t), float(row.flux), int(row.quality)
+            names = {k: self.options[k] for k in ("time", "flux", "flags") if k in self.options}
+            hdu = int(self.options["hdu"]) if "hdu" in self.options else None
+            rows = light_curve(data, partition.path, self.options.get("keepnan", self.options.get("keepNan", "false")).lower() == "true", hdu, **names)
+            kinds = pa.schema([("path", pa.string()), ("target", pa.string()), ("t", pa.float64()), ("flux", pa.float64()), ("quality", pa.int32())])
+            yield from pa.Table.from_pandas(rows, kinds, preserve_index=False).combine_chunks().to_batches(100_000)
 
 
 class FitsSource(DataSource):
@@ -257,3 +295,34 @@ def write_table(columns: list[tuple[str, str, np.ndarray]], primary: dict[str, o
     table = _header([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", kind.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(columns)), *fields])
     data = rows.tobytes()
     return head + table + data.ljust(padded(len(data)), b"\0")
+
+
+def write_fits(lc: DataFrame, folder: str, ending: str = ".fits", points: int = 500_000) -> None:
+    """Writes light curves as FITS files of at most about ``points`` rows each, from tasks; no task holds more of a target."""
+    from dipper.operators.lightcurve import with_target_stats
+
+    rows = with_target_stats(lc.select("target", "t", "flux", "quality"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("t", "flux"), F.ceil(F.col("n") / points)).cast("int"))
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "flux"])
+        data = write_table([("TIME", "D", part["t"].to_numpy(float)), ("FLUX", "D", part["flux"].to_numpy(float)), ("QUALITY", "J", part["quality"].to_numpy(np.int32))], {} if key[0] is None else {"OBJECT": f"TIC {key[0]}"})
+        write_file(folder, f"{quote(str(key[0]), '')}-{key[1]}{ending}", gzip.compress(data) if ending.endswith(".gz") else data)
+        return pd.DataFrame({"rows": [len(part)]})
+
+    rows.groupBy("target", "part").applyInPandas(one, "rows long").agg(F.sum("rows")).collect()
+
+
+def write_frames(pixels: DataFrame, folder: str, cadences: int = 1000) -> None:
+    """Writes (target, cadence, row, col, px) as target pixel files of ``cadences`` frames at most; the time is the cadence."""
+    rows = pixels.withColumn("part", F.floor(F.col("cadence") / cadences).cast("long"))
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        at, frame = np.unique(part["cadence"], return_inverse=True)
+        cube = np.full((len(at), int(part["row"].max()) + 1, int(part["col"].max()) + 1), np.nan)
+        cube[frame, part["row"], part["col"]] = part["px"]
+        data = write_table([("TIME", "D", at.astype(float)), ("FLUX", "E", cube), ("QUALITY", "J", np.zeros(len(at), np.int32))], {"TICID": str(key[0])})
+        write_file(folder, f"{quote(str(key[0]), '')}-{key[1]}.fits", data)
+        return pd.DataFrame({"rows": [len(part)]})
+
+    rows.groupBy("target", "part").applyInPandas(one, "rows long").agg(F.sum("rows")).collect()

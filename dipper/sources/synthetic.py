@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def _uniform(seed: int, salt: int) -> Column:
-    """A number in (0, 1) from the row's number: no state, so any task may make any row."""
-    return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1)."""
+    x = (F.col("id") * 69069 + (seed * 1009 + salt) * 7919 + 1) % (1 << 31)
+    for _ in range(3):
+        x = (x * 1103515245 + 12345) % (1 << 31)
+        x = x.bitwiseXOR(F.shiftright(x, 15))
+    return (x + 0.5) / float(1 << 31)
 
 
 def transit_curves(spark: SparkSession, targets: int = 1, points: int = 2000, baseline: float = 30.0, period: float = 5.0, duration: float = 0.15, depth: float = 0.01, noise: float = 0.002, phase: float = 0.0, odd_even: float = 1.0, secondary: float = 0.0, seed: int = 42) -> DataFrame:

@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: File endings that an upload may have.
-ENDINGS = (".fits", ".fits.gz", ".fit", ".fts")
+from dipper.sources import fits
 
+def read_landing(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
+    """A stream of (path, target, t, flux, quality) rows from the FITS files that land in a folder; others are passed over."""
+    return fits.stream_fits(spark, folder, files_per_batch)
 
-def accepted(name: str) -> bool:
-    return name.lower().endswith(ENDINGS)
 
-
-def read_landing(spark: SparkSession, folder: str, schema: str = "target string, t double, flux double, quality int", files_per_batch: int = 64) -> DataFrame:
-    """A stream of light-curve rows from Parquet files that land in a folder."""
+def read_landed_rows(spark: SparkSession, folder: str, schema: str = "target string, t double, flux double, quality int", files_per_batch: int = 64) -> DataFrame:
+    """The same of rows that land as Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 

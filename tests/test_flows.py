@@ -81,13 +81,20 @@ def fits_bytes():
 def test_fits(spark, tmp_path):
     (tmp_path / "a.fits").write_bytes(fits_bytes())
     (tmp_path / "b.fits.gz").write_bytes(gzip.compress(fits_bytes()))
+    (tmp_path / "c.FIT").write_bytes(fits_bytes())
+    (tmp_path / "d.fts").write_bytes(fits_bytes())
+    (tmp_path / "e.txt").write_bytes(fits_bytes())
     rows = fits.read_fits(spark, str(tmp_path)).orderBy("path", "t").collect()
     assert [(r["t"], r["flux"], r["quality"], r["target"]) for r in rows[:2]] == [(1.0, 1.5, 0, "12/34'5"), (4.0, 4.5, 3, "12/34'5")]
-    assert len(rows) == 4
+    assert len(rows) == 8
     spark.dataSource.register(fits.FitsSource)
     got = spark.read.format("fits").load(str(tmp_path)).collect()
-    assert [(r["t"], r["flux"]) for r in sorted(got)] == [(1.0, 1.5), (4.0, 4.5)]
-    head = spark.read.format("fits").option("mode", "headers").load(str(tmp_path)).orderBy("hdu").collect()
+    assert [(r["t"], r["flux"]) for r in sorted(got)] == [(1.0, 1.5), (4.0, 4.5)] * 4
+    other = spark.read.format("fits").option("flux", "sap_flux").option("keepNan", "true").load(str(tmp_path / "a.fits")).collect()
+    assert [r["flux"] for r in other] == [9.0] * 4
+    assert spark.read.format("fits").option("hdu", "0").load(str(tmp_path)).count() == 0
+    head = spark.read.format("fits").option("mode", "headers").load(str(tmp_path / "a.fits")).orderBy("hdu").collect()
+    assert fits.read_headers(spark, str(tmp_path / "a.fits")).orderBy("hdu").select("hdu", "cards").collect() == [r[1:] for r in head]
     assert head[0]["cards"]["OBJECT"] == "TIC 12/34'5" and head[1]["cards"]["TFIELDS"] == "7"
     kept = fits.light_curve(fits_bytes(), "x.fits", keep_nan=True)
     assert len(kept) == 4
@@ -99,10 +106,10 @@ def test_streaming(spark, tmp_path):
 
     lc = spark.createDataFrame([("a", float(i), float(i), i % 2) for i in range(10)], lcs.LC_SCHEMA)
     lc.write.parquet(str(tmp_path / "in"))
-    q = landing.process(landing.read_landing(spark, str(tmp_path / "in")), lcs.filter_quality, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = landing.process(landing.read_landed_rows(spark, str(tmp_path / "in")), lcs.filter_quality, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
-    assert landing.accepted("X.FITS.gz") and not landing.accepted("x.csv")
+    assert fits.accepted("X.FITS.gz") and not fits.accepted("x.csv")
     ts = spark.createDataFrame([("a", 1.0, "2024-01-01 00:10:00"), ("a", 3.0, "2024-01-01 00:20:00"), ("a", 5.0, "2024-01-03 00:00:00")], "target string, flux double, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert landing.hourly_flux(ts).count() == 2 and landing.observing_sessions(ts).count() == 2
 
@@ -147,4 +154,22 @@ def test_pixel_files(spark, tmp_path):
     px = photometry.explode_frames(fits.read_frames(spark, str(tmp_path)))
     assert px.count() == 60 and photometry.mean_image(px).where("isnan(value)").count() == 0
     cadences = fits.read_frames(spark, str(tmp_path)).select("target", "cadence", "t", "quality")
-    assert pipeline.photometry_stage(px, cadences).count() <= 1
+    # no pixel lies in the annulus of so small an image: the background is unknown, and the flux all ones
+    trials = photometry.optimize_apertures(px)[0].orderBy("sigma").collect()
+    assert [(r["sigma"], r["pixels"], r["signal"], r["noise"], r["score"], r["is_best"]) for r in trials] == [(x, 12, 1.0, 0.0, 0.0, x == 5.0) for x in photometry.SIGMAS]
+    assert [(r["t"], r["flux"]) for r in pipeline.photometry_stage(px, cadences).collect()] == [(0.0, 1.0)]
+
+
+def test_apertures_with_bad_cadences_and_without_pixels(spark):
+    r, c = np.mgrid[0:11, 0:11]
+    star = 100 * np.exp(-((r - 5) ** 2 + (c - 5) ** 2) / 4) + 1
+    rows = [(k, n, int(i), int(j), float("nan") if k == "bad" and n == 2 else float(star[i, j] * (1 + 0.01 * n))) for k in ("bad", "good") for n in range(5) for i in range(11) for j in range(11)]
+    px = spark.createDataFrame(rows, "target string, cadence long, row int, col int, px double")
+    trials = {(x["target"], x["sigma"]): x for x in photometry.optimize_apertures(px, (1.0, 50.0))[0].collect()}
+    # one bad cadence makes the median NaN and the flux all ones, as does an aperture without pixels, whose sums are 0
+    for key in (("bad", 1.0), ("bad", 50.0), ("good", 50.0)):
+        assert (trials[key]["signal"], trials[key]["noise"], trials[key]["rms"], trials[key]["snr"]) == (1.0, 0.0, 0.0, 0.0)
+    assert trials["good", 50.0]["pixels"] == 0 and trials["good", 1.0]["pixels"] > 0 and trials["good", 1.0]["snr"] > 1
+    cadences = spark.createDataFrame([(k, n, float(n), int(n == 1)) for k in ("bad", "good") for n in range(5)], "target string, cadence long, t double, quality int")
+    out = {(x["target"], x["t"]): x["flux"] for x in pipeline.photometry_stage(px, cadences, (1.0, 50.0)).collect()}
+    assert len(out) == 8 and out["bad", 0.0] == 1.0 and abs(out["good", 2.0] - 1) < 1e-12 and out["good", 4.0] > 1.01

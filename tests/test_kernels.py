@@ -176,8 +176,17 @@ def test_residue_levels_and_false_alarm(spark):
     assert math.isclose(a["sr"], 0.0025 / 0.09) and b["sr"] == c["sr"] == 0
     level = df.limit(1).select(box_levels(F.col("s"), F.col("r")).alias("x")).first()["x"]
     assert math.isclose(level["l"], -0.5) and math.isclose(level["h"], 0.05 / 0.9) and level["depth"] > 0
-    fap = spark.createDataFrame([(10.0, 1000.0), (1.0, 1000.0)], "sde double, n double").select(false_alarm(F.col("sde"), F.col("n")).alias("f")).collect()
+    fap = spark.createDataFrame([(10.0, 1000.0), (1.0, 1000.0)], "sde double, n double").select(false_alarm("sde", F.col("n")).alias("f")).collect()
     assert fap[0]["f"] < 0.01 and fap[1]["f"] > 0.5
+    rows = [(x / 7 - 3, n) for x in range(100) for n in (1.0, 1000.0)] + [(30.0, 1e6), (None, 5.0)]
+    got = spark.createDataFrame(rows, "sde double, n double").select(false_alarm("sde", F.col("n")).alias("f")).collect()
+    for (sde, n), r in zip(rows, got):
+        if sde is None:
+            assert r["f"] is None
+        else:
+            p = math.erfc(sde / math.sqrt(2))
+            want = 1.0 if p >= 1 else -math.expm1(n * math.log1p(-p))
+            assert math.isclose(r["f"], want, rel_tol=1e-12)
 
 
 def test_sde_peaks_and_harmonics(spark):
@@ -193,3 +202,53 @@ def test_sde_peaks_and_harmonics(spark):
     ends = spark.createDataFrame([("a", i, 1.0 + 0.37 * i, s) for i, s in enumerate([9.0, 1.0, 9.0, 1.0, 9.0])], "target string, pid long, period double, sde double")
     assert [r["pid"] for r in bls.peaks(ends, 6.0).orderBy("peak_rank").collect()] == [2, 0, 4]
     assert bls.peaks(ends.where("pid < 2"), 0.0).count() == 0
+
+
+@pytest.mark.parametrize("points", [700, 160, 10_000])
+def test_detrending_in_slices_is_the_kernel(spark, points):
+    from dipper.operators.detrend import detrend
+
+    curves = {}
+    for k, (n, gap) in enumerate(((1500, 300), (400, 7), (153, None), (152, None), (60, 31))):
+        rng = np.random.default_rng(k)
+        t = np.arange(n) * 0.01
+        if gap:
+            t[gap:] += 1.0
+        flux = 100 + 3 * np.sin(t) + rng.normal(0, 0.1, n)
+        flux[rng.random(n) < 0.05] -= 3
+        curves[str(k)] = (t, flux)
+    curves["short"] = (np.array([0.0, 0.1, 0.2, 5.0, 5.1]), np.ones(5))
+    rows = detrend(frame(spark, curves), slice_points=points).collect()
+    for name, (t, flux) in curves.items():
+        own = sorted([r for r in rows if r["target"] == name], key=lambda r: r["t"] or 0)
+        try:
+            flat, trend = kernels.detrend(t, flux)
+        except ValueError as e:
+            assert [r["error"] for r in own] == [str(e)]
+            continue
+        assert np.allclose([r["t"] for r in own], t) and np.allclose([r["trend"] for r in own], trend, rtol=1e-9) and np.allclose([r["flux"] for r in own], flat, rtol=1e-9)
+
+
+def test_live_search_finds_the_middle(spark):
+    t, flux = planted(3000, 4.0, 0.15, 0.02, 0.001)
+    lc = frame(spark, {"a": (t, flux)})
+    for block in (10_000, 700):
+        rows = bls.live_search(lc, min_period=3.9, periods=[3.7, 4.0, 4.3], block=block).collect()
+        best = max(rows, key=lambda r: r["sr"])
+        assert best["period"] == 4.0 and abs(best["depth"] - 0.02) < 0.001 and abs(best["duration_days"] - 0.15) < 0.01
+        assert abs(best["transit_time"] % 4.0 - 0.075) < 0.01 and abs(best["phase_start"] * 4 + best["duration_days"] / 2 - 0.075) % 4 < 0.01
+    assert bls.linear_periods(spark, 2.0, 10.0).agg(F.count("pid"), F.min("period"), F.max("period")).first()[:] == (10_000, 2.0, 10.0)
+
+
+def test_errors_weigh_points(spark):
+    t, flux = planted(300, noise=0.002)
+    errors = np.where(np.arange(300) % 7 == 0, 5.0, 0.01)
+    flux[::7] += 3
+    lc = spark.createDataFrame([("a", float(a), float(b), float(c)) for a, b, c in zip(t, flux, errors)], "target string, t double, flux double, error double")
+    grid = [1 / (0.1 + 0.01 * p) for p in range(8)]
+    periods = spark.createDataFrame(list(enumerate(grid)), "pid long, period double")
+    rows = {r["pid"]: r["sr"] for r in bls.search(lc, periods, 50, error="error", block=100).collect()}
+    direct = {f[0]: f[-1] for f in kernels.search(t, flux, np.array(grid), 50, 0.05, 0.25, errors)}
+    assert rows.keys() == direct.keys() and all(math.isclose(rows[k], direct[k], rel_tol=1e-9) for k in rows)
+    fap = bls.bootstrap_fap(lc, spark.createDataFrame([("a", 0.0)], "target string, sr double"), rounds=3, n_periods=2, n_bins=20, error="error").first()
+    assert fap["fap"] == 1.0
