@@ -56,6 +56,41 @@ def test_whole_flow_finds_the_planet(spark):
     assert out["report"].count() == 2 and seen[-1] == ("report", "complete")
 
 
+def test_stages_in_any_list(spark):
+    t, f = curve(n=2000, depth=0.03, width=0.2)
+    lc = spark.createDataFrame([("a", float(x), float(y), 0) for x, y in zip(t, f)], lcs.LC_SCHEMA)
+    seen = []
+    stages = [*pipeline.STAGES[:1], ("count", lambda tables: {"counts": tables["clean"].groupBy("target").count()}), ("broken", lambda tables: {"x": tables["missing"]}), *pipeline.STAGES[1:]]
+    out = pipeline.compose({"raw": lc}, stages, lambda *x: seen.append(x))
+    assert set(out) == {"raw", "clean", "counts"} and out["counts"].first()["count"] > 1900
+    assert [s for _, s in seen[:4]] == ["running", "complete"] * 2 and seen[-1][0] == "broken" and seen[-1][1].startswith("error")
+
+
+def test_from_pixels_to_the_planet(spark):
+    t, f = curve(n=1500, depth=0.04, width=0.25)
+    t = np.linspace(0, 30, 1500)
+    f = 1 - 0.04 * ((np.mod(t, 4.0) >= 1) & (np.mod(t, 4.0) < 1.25))
+    r, c = np.mgrid[0:9, 0:9]
+    star = 1000 * np.exp(-((r - 4) ** 2 + (c - 4) ** 2) / 2) + 10
+    noise = np.random.default_rng(2).normal(0, 0.5, (1500, 9, 9))
+    frames = spark.createDataFrame([("7", k, (star * f[k] + noise[k]).tolist()) for k in range(1500)], "target string, cadence long, flux array<array<float>>")
+    cadences = spark.createDataFrame([("7", k, float(t[k]), int(k % 50 == 0)) for k in range(1500)], "target string, cadence long, t double, quality int")
+    stages = [(n, (lambda tables: pipeline.search(tables, n_bins=100, min_period=2.5, chunks=4)) if n == "search" else s) for n, s in pipeline.PIXEL_STAGES]
+    out = pipeline.compose({"pixels": photometry.explode_frames(frames), "cadences": cadences}, stages)
+    assert out["raw"].count() == 1470 and abs(out["raw"].agg(F.median("flux")).first()[0] - 1) < 0.01
+    best = out["best"].first()
+    assert abs(best["period"] - 4) < 0.05 and out["report"].first()["status"] == "VETTED CANDIDATE"
+
+
+def test_short_way(spark):
+    t = np.linspace(0, 30, 3000)
+    f = 100 + np.sin(t) - 2 * (np.mod(t, 4.0) < 0.1) + np.random.default_rng(1).normal(0, 0.1, 3000)
+    f[50] = f[90] = 400
+    lc = spark.createDataFrame([("a", float(x), float(y), 0) for x, y in zip(t, f)] + [("a", 3.0, float("nan"), 0)], lcs.LC_SCHEMA)
+    rows = pipeline.flatten_and_search(lc, periods=[3.3, 4.0, 4.6]).collect()
+    assert max(rows, key=lambda r: r["sr"])["period"] == 4.0
+
+
 def test_aperture_leaves_detached_pixel_out(spark):
     r, c = np.mgrid[0:11, 0:11]
     star = 100 * np.exp(-((r - 5) ** 2 + (c - 5) ** 2) / 4) + 1

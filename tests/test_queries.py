@@ -10,7 +10,11 @@ def test_same_as_sql(name, spark, sf_dir, duck, same_rows):
     same_rows(q.QUERIES[name](spark, sf_dir), duck.sql(q.ORACLE_SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE_SQL) - {"bls_full_grid", "transit_report"}))
+#: Queries without SQL whose operators are tested on curves of their own: too slow here, or of curves too sparse here.
+ELSEWHERE = {"bls_full_grid", "transit_report", "live_search", "flatten_and_search"}
+
+
+@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE_SQL) - ELSEWHERE))
 def test_runs(name, spark, sf_dir):
     assert q.QUERIES[name](spark, sf_dir).count() > 0
 
