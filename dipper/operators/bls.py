@@ -70,6 +70,13 @@ def prefix_sums(hist: DataFrame) -> DataFrame:
     return sums.unionByName(zero)
 
 
+def bins_of_prefix(prefix: DataFrame) -> DataFrame:
+    """(target, pid, bin, s, r) back from ``prefix_sums``."""
+    by = Window.partitionBy("target", "pid").orderBy("k")
+    rows = prefix.select("target", "pid", "k", (F.col("pf") - F.lag("pf").over(by)).alias("s"), (F.col("pr") - F.lag("pr").over(by)).alias("r"))
+    return rows.where("k > 0").select("target", "pid", (F.col("k") - 1).alias("bin"), "s", "r")
+
+
 def boxes(hist: DataFrame, n_bins: int, min_width: int, max_width: int) -> DataFrame:
     """(target, pid, start, width, s, r) of every circular box."""
     two = hist.select("target", "pid", "bin", "s", "r").unionByName(hist.where(F.col("bin") < max_width).select("target", "pid", (F.col("bin") + n_bins).alias("bin"), "s", "r"))

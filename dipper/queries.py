@@ -297,6 +297,11 @@ def bls_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bls.prefix_sums(_hist(spark, sf_dir)), "pf", "pr").withColumn("pid", F.col("pid").cast("long"))
 
 
+@query(f"WITH {_LC}, {_XW}, {_HIST} SELECT target, pid, bin, {_r('s')} AS s, {_r('r')} AS r FROM hist")
+def bls_bins_of_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bls.bins_of_prefix(bls.prefix_sums(_hist(spark, sf_dir))), "s", "r").withColumn("pid", F.col("pid").cast("long"))
+
+
 def _power_of(spark: SparkSession, sf_dir: str, dips: bool = False) -> DataFrame:
     return bls.periodogram(light_curves(spark, sf_dir), N_PERIODS, N_BINS, 1, WIDEST, dips).withColumn("pid", F.col("pid").cast("long"))
 
@@ -617,6 +622,23 @@ def aperture_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photometry.optimize_apertures(pixels(spark, sf_dir), SIGMAS)[1].select("target", "sigma", "row", "col")
 
 
+_GROWTH = """
+grow AS (
+  SELECT target, sigma, threshold, [row * 100 + col] AS seen, row, col, 1 AS seq FROM seed JOIN level USING (target) WHERE value >= threshold
+  UNION ALL
+  SELECT target, sigma, threshold, list_append(seen, code), (code // 100)::INTEGER, (code % 100)::INTEGER, seq + 1 FROM (
+    SELECT g.target, g.sigma, g.threshold, g.seen, g.seq, i.row * 100 + i.col AS code, row_number() OVER (PARTITION BY g.target, g.sigma ORDER BY i.value DESC, i.row, i.col) AS place
+    FROM grow g JOIN image i ON i.target = g.target AND i.value >= g.threshold AND NOT list_contains(g.seen, i.row * 100 + i.col)
+      AND len(list_filter(g.seen, lambda x: abs(x // 100 - i.row) <= 1 AND abs(x % 100 - i.col) <= 1)) > 0
+    WHERE g.seq < 12) WHERE place = 1)"""
+
+
+@query(f"WITH RECURSIVE {_PIXELS}, {_APERTURE.split('mask AS')[0].rstrip().rstrip(',')}, {_GROWTH} SELECT target, sigma, row, col, seq FROM grow")
+def aperture_first_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve pixels of each aperture, in the order in which it grows."""
+    return photometry.first_pixels(photometry.optimize_apertures(pixels(spark, sf_dir), SIGMAS)[1], 12).select("target", "sigma", "row", "col", "seq")
+
+
 @query(f"WITH RECURSIVE {_PIXELS}, {_APERTURE} SELECT target, sigma, cadence, {_r('flux')} AS flux FROM flux")
 def aperture_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
@@ -789,6 +811,23 @@ def lc_detrend_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flat.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("trend").alias("mean_trend"), F.stddev_pop("flux").alias("noise")), "mean_trend", "noise")
 
 
+_INSIDE = f"(t % {PERIOD}::DOUBLE) / {PERIOD}::DOUBLE >= 0.2::DOUBLE - 0.01::DOUBLE AND (t % {PERIOD}::DOUBLE) / {PERIOD}::DOUBLE < 0.2::DOUBLE + 0.1::DOUBLE + 0.01::DOUBLE"
+
+
+@query(f"""WITH {_LC.replace("lc AS", "every AS", 1)}, lc AS (SELECT * FROM every WHERE NOT ({_INSIDE})), {_DETREND},
+bridged AS (SELECT target, t, flux, trend FROM trends UNION ALL SELECT target, t, flux, NULL FROM every WHERE ({_INSIDE}) AND NOT isnan(flux) AND target IN (SELECT target FROM trends)),
+near AS (SELECT *, max(CASE WHEN trend IS NOT NULL THEN t END) OVER (PARTITION BY target ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0,
+                min(CASE WHEN trend IS NOT NULL THEN t END) OVER (PARTITION BY target ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM bridged),
+whole AS (SELECT n.target, n.t, n.flux, CASE WHEN n.trend IS NOT NULL THEN n.trend WHEN t0 IS NULL THEN b.trend WHEN t1 IS NULL THEN a.trend ELSE a.trend + (b.trend - a.trend) * (n.t - t0) / (t1 - t0) END AS trend
+  FROM near n LEFT JOIN trends a ON a.target = n.target AND a.t = t0 LEFT JOIN trends b ON b.target = n.target AND b.t = t1)
+SELECT target, t, {_r('flux / trend')} AS flux, {_r('trend')} AS trend, NULL::VARCHAR AS error FROM whole UNION ALL SELECT target, NULL, NULL, NULL, error FROM bad""")
+def lc_detrend_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detrending that leaves a given box out of the trend."""
+    lc = lcs.filter_nan(light_curves(spark, sf_dir))
+    boxes_of = lc.select("target").distinct().select("target", F.lit(PERIOD).alias("period"), F.lit(0.2).alias("phase_start"), F.lit(0.1).alias("phase_width"))
+    return rounded(detrending.detrend_around(lc, boxes_of), "flux", "trend")
+
+
 @query()
 def lc_masked_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True), "flux", "trend")
