@@ -6,14 +6,13 @@ texts counts their characters anew. No SQL expresses the classifiers, so there i
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipper.llm import jaccard, linededup, packing, pii, quality
-from dipper.llm.common import shared_dir
+from dipper.sources.store import new_folder, remove
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each one's rows are written to the shared folder and read again."""
+    """All stages on ``documents``; each one's rows are written to the shared folder and read again, and the rows before it removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    root = new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
         docs = spark.read.parquet(f"{root}/{i}")
+        if i:
+            remove(f"{root}/{i - 1}")
     return docs

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Modules with a QUERIES and, where SQL can express one, an ORACLE_SQL dictionary.
-MODULES = ("topk", "urlfilter", "linededup", "media", "bpe", "quality", "pii", "packing", "substrings", "jaccard")
+from dipper.llm import bpe, jaccard, linededup, media, packing, pii, quality, substrings, topk, urlfilter
+
+MODULES = (topk, urlfilter, linededup, media, bpe, quality, pii, packing, substrings, jaccard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for m in MODULES for k, v in import_module(f"dipper.llm.{m}").QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"dipper.llm.{m}"), "ORACLE_SQL", {}).items()}
+    """SQL by query, where a module has some; the URL filter's model is fitted when it's asked for."""
+    return {k: v() if callable(v) else v for m in MODULES for k, v in getattr(m, "ORACLE_SQL", {}).items()}

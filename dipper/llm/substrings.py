@@ -154,11 +154,12 @@ class Bucket:
         (at, entry, entries), (whole, of_whole, wholes) = self.seeds(said_anchor, shards)
         extent = np.full((len(entries), 2), 255, np.uint8)
         hit = np.zeros(len(wholes), bool)
+        slices = [dict(shard_slices(e["key"], shards)) for e in (entries, wholes)]
         for kind, s, x in zip(*(said_seed.column(c).to_pylist() for c in ("kind", "at_shard", "said")), strict=True) if said_seed.num_rows else ():
             if kind == 0:
-                extent[_slice(entries, s, shards)] = np.frombuffer(x, np.uint8).reshape(-1, 2)
+                extent[slices[0][s]] = np.frombuffer(x, np.uint8).reshape(-1, 2)
             else:
-                c = _slice(wholes, s, shards)
+                c = slices[1][s]
                 hit[c] = np.unpackbits(np.frombuffer(x, np.uint8), count=c.stop - c.start).astype(bool)
         far = extent[entry].astype(np.int64)
         some = far[:, 0] < 255
@@ -170,10 +171,6 @@ class Bucket:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _slice(entries: np.ndarray, shard: int, shards: int) -> slice:
-    return next(c for s, c in shard_slices(entries["key"], shards) if s == shard)
-
-
 def extended(entries: np.ndarray, reach: int) -> np.ndarray:
     """How far to the left and right of each seed its repeats of ``reach`` more words go, as (rows, 2) bytes; 255: there are none.
 

@@ -198,4 +198,4 @@ SELECT page_id, host, path, {rule} AS rule, {kind} AS verdict, total > 0 AS mode
 
 
 QUERIES = {"op2_url_filter": op2_url_filter}
-ORACLE_SQL = {"op2_url_filter": oracle()}
+ORACLE_SQL = {"op2_url_filter": oracle}
