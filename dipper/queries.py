@@ -203,14 +203,14 @@ def lc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcs.segments(user_light_curves(spark, sf_dir)).select("target", "t", "flux", "segment")
 
 
-_SG = " + ".join(f"{c!r}::DOUBLE * " + (f"lag(flux, {-i}) OVER o" if i < 0 else f"lead(flux, {i}) OVER o" if i else "flux") for i, c in zip(range(-2, 3), lcs.savgol_coefficients(5), strict=True))
+_SG = " + ".join(f"{c!r}::DOUBLE * " + (f"lag(flux, {-i}) OVER o" if i < 0 else f"lead(flux, {i}) OVER o" if i else "flux") for i, c in zip(range(-75, 76), lcs.savgol_coefficients(151), strict=True))
 
 
-@query(f"""WITH {_USER}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY target ORDER BY t, flux) > 0.5 THEN 1 ELSE 0 END AS n FROM lc),
+@query(f"""WITH {_LC}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY target ORDER BY t, flux) > 0.5 THEN 1 ELSE 0 END AS n FROM lc),
 s AS (SELECT *, sum(n) OVER (PARTITION BY target ORDER BY t, flux ROWS UNBOUNDED PRECEDING) AS segment FROM g)
 SELECT target, t, {_r(f'({_SG})')} AS smooth FROM s WINDOW o AS (PARTITION BY target, segment ORDER BY t, flux)""")
 def lc_savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lcs.savgol_interior(lcs.segments(user_light_curves(spark, sf_dir)), 5), "smooth").select("target", "t", "smooth")
+    return rounded(lcs.savgol_interior(lcs.segments(light_curves(spark, sf_dir)), 151), "smooth").select("target", "t", "smooth")
 
 
 def _clip_sql(rounds: int, sigma: float) -> str:
