@@ -129,20 +129,28 @@ class Bucket:
         return [(s, c.stop - c.start) for s, c in shard_slices(self.keys, self.shards)]
 
 
-def prefix_entries(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, nodes: np.ndarray, cells: np.ndarray | None, order: int, percent: int) -> np.ndarray:
-    """The first tokens of each node under one order, as (token in its cell, node).
+def prefixes(n: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the node of each token, how many tokens each node's prefix has, which places of a node's sequence are in it).
 
-    ``tokens``: those that other nodes hold; the ``n - len`` others come first in every order.
+    Tokens are those that other nodes hold; the ``n - len`` others come first in every order.
     """
     have = np.diff(off)
     take = np.minimum(have, have - least_common(n, percent) + 1).clip(0)
-    of = np.repeat(np.arange(len(n)), have)
-    rank = mix(tokens, 1000 + order)
-    by = np.lexsort((rank, rarity if order == 1 else np.frexp(rarity)[1], of))
-    keep = np.arange(len(tokens)) - np.repeat(off[:-1], have) < np.repeat(take, have)
-    out = np.zeros(int(keep.sum()), _PREFIX)
-    at = by[keep]
-    out["token"] = rank[at] if cells is None else mix(rank[at] ^ mix(cells.astype(np.uint64)[of[at]], 9), 3)
+    return np.repeat(np.arange(len(n)), have), take, np.arange(off[-1]) - np.repeat(off[:-1], have) < np.repeat(take, have)
+
+
+def second_order(tokens: np.ndarray, scale: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each node's tokens lie by the second order: by powers of two of rarity, then by a hash of its own."""
+    return np.lexsort((mix(tokens, 1002), scale, of))
+
+
+def prefix_entries(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, scale: np.ndarray, nodes: np.ndarray, cells: np.ndarray | None, order: int, percent: int) -> np.ndarray:
+    """The first tokens of each node under one order, as (token in its cell, node). Tokens lie in the first order."""
+    of, _, keep = prefixes(n, off, percent)
+    at = np.flatnonzero(keep) if order == 1 else second_order(tokens, scale, of)[keep]
+    token = mix(tokens[at], 1000 + order)
+    out = np.zeros(len(at), _PREFIX)
+    out["token"] = token if cells is None else mix(token ^ mix(cells.astype(np.uint64)[of[at]], 9), 3)
     out["node"] = nodes[of[at]]
     return out
 
@@ -158,8 +166,8 @@ def star_edges(entries: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.ndarray, percent: int, side: np.ndarray | None = None, inner: bool = False, known: np.ndarray | None = None) -> np.ndarray:
-    """The first node of its class, for each node that meets here; verified links make classes.
+def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, scale: np.ndarray, percent: int, side: np.ndarray | None = None, inner: bool = False, known: np.ndarray | None = None) -> np.ndarray:
+    """The first node of its class, for each node that meets here; verified links make classes. Tokens lie in the first order.
 
     ``side``: 0 or 1; only pairs of both sides are compared, and, with ``inner``, those within side 1. ``known``: nodes with
     equal numbers are one class from the start. Work follows the lists of holders, not the number of pairs.
@@ -173,12 +181,9 @@ def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.nda
         members.setdefault(c, []).append(i)
     _, local = np.unique(tokens, return_inverse=True)
     df = np.bincount(local)
-    have = np.diff(off)
-    of = np.repeat(np.arange(m), have)
-    take = np.minimum(have, have - least_common(n, percent) + 1).clip(0)
-    keep = np.arange(len(local)) - np.repeat(off[:-1], have) < np.repeat(take, have)
+    of, take, keep = prefixes(n, off, percent)
     head = np.concatenate([[0], np.cumsum(take)])
-    orders = [local[np.lexsort((*keys, of))][keep] for keys in ((mix(tokens, 1001), rarity), (mix(tokens, 1002), np.frexp(rarity)[1]), (local, df[local]))]
+    orders = [local[keep], local[second_order(tokens, scale, of)][keep], local[np.lexsort((local, df[local], of))][keep]]
     mine = orders[2]  # candidates come from the lists of the last order, and must pass the others
     by = np.argsort(mine, kind="stable")
     holder = np.repeat(np.arange(m), take)[by]
@@ -187,7 +192,7 @@ def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.nda
     mask = np.zeros(len(df), bool)
     done = np.zeros(m, bool)
     # Nodes made of what most others hold come first: they connect the most.
-    weight = np.add.reduceat(df[local], off[:-1]) / np.maximum(have, 1)
+    weight = np.add.reduceat(df[local], off[:-1]) / np.maximum(np.diff(off), 1)
     todo = np.argsort(-weight, kind="stable")
     todo = todo[take[todo] > 0]
     if not len(todo):
@@ -243,9 +248,10 @@ def link_cell(n: np.ndarray, off: np.ndarray, tokens: np.ndarray, rarity: np.nda
 
 
 def count_holders(held: DataFrame, columns: Callable, total: int, percent: int) -> DataFrame:
-    """(node, n, tokens, rarity): of each node's tokens those that other nodes of ``held`` hold, with the number of holders.
+    """(node, n, tokens, scale): of each node's tokens those that other nodes of ``held`` hold, the rarest first, ties by a hash.
 
-    Nodes that share too few of them are left out. ``total``: the bytes of all tokens, about.
+    ``scale``: the power of two of each one's number of holders. Nodes that share too few tokens are left out. ``total``: the
+    bytes of all tokens, about.
     """
     shards = shard_count(total)
     dealt = deal_buckets(held.select("node", "n", "tokens"), F.xxhash64("node"), total)
@@ -263,11 +269,17 @@ def count_holders(held: DataFrame, columns: Callable, total: int, percent: int)
         holders = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(by_shard[s], "<u4") for s, _ in shard_slices(keys, shards))])[np.searchsorted(keys, tokens)]
         shared = holders > 1
         many = np.concatenate([[0], np.cumsum(shared)])[off]
-        rows = np.flatnonzero(np.diff(many) >= least_common(n, percent))
-        cuts = [(slice(a, b), shared[a:b]) for a, b in zip(off[:-1][rows].tolist(), off[1:][rows].tolist(), strict=True)]
-        return pa.table({"node": pa.array(node[rows]), "n": pa.array(n[rows]), "tokens": pa.array([tokens[c][k].tobytes() for c, k in cuts], pa.binary()), "rarity": pa.array([holders[c][k].tobytes() for c, k in cuts], pa.binary())})
+        keep = np.diff(many) >= least_common(n, percent)
+        of = np.repeat(np.arange(len(n)), np.diff(off))
+        left = np.flatnonzero(shared & keep[of])
+        left = left[np.lexsort((mix(tokens[left], 1001), holders[left], of[left]))]
+        sorted_tokens, scale = tokens[left], np.frexp(holders[left])[1].astype(np.uint8)
+        rows = np.flatnonzero(keep)
+        ends = np.cumsum(np.diff(many)[rows])
+        cuts = [slice(a, b) for a, b in zip((ends - np.diff(many)[rows]).tolist(), ends.tolist(), strict=True)]
+        return pa.table({"node": pa.array(node[rows]), "n": pa.array(n[rows]), "tokens": pa.array([sorted_tokens[c].tobytes() for c in cuts], pa.binary()), "scale": pa.array([scale[c].tobytes() for c in cuts], pa.binary())})
 
-    return with_answers(dealt, answer(dealt, send, judge), apply, "node long, n long, tokens binary, rarity binary")
+    return with_answers(dealt, answer(dealt, send, judge), apply, "node long, n long, tokens binary, scale binary")
 
 
 def _columns(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,8 +289,8 @@ def _columns(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray,
     return table.column("n").to_numpy(), off, np.frombuffer(b"".join(raw), "<u8"), table.column("node").to_numpy()
 
 
-def _rarity(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("rarity").to_pylist()), "<u4")
+def _scale(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("scale").to_pylist()), np.uint8)
 
 
 def _cells(rows: DataFrame, order: int, shards: int, percent: int) -> DataFrame:
@@ -290,7 +302,7 @@ def _cells(rows: DataFrame, order: int, shards: int, percent: int) -> DataFrame:
                 continue
             size, off, tokens, node = _columns(b)
             old = b.column("cell").to_numpy() if "cell" in b.schema.names else None
-            entries = prefix_entries(size, off, tokens, _rarity(b), node, old, order, percent)
+            entries = prefix_entries(size, off, tokens, _scale(b), node, old, order, percent)
             of = (((entries["token"] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(of, kind="stable")
             cuts = np.flatnonzero(np.diff(of[by])) + 1
@@ -312,7 +324,7 @@ def _links(spread: DataFrame, keys: tuple[str, ...], inner: bool, percent: int)
         size, off, tokens, node = _columns(table)
         side = table.column("upper").to_numpy().astype(np.int64)
         known = table.column("known").to_numpy() if "known" in table.column_names else None
-        label = link_cell(size, off, tokens, _rarity(table), percent, side if side.any() else None, inner, known)
+        label = link_cell(size, off, tokens, _scale(table), percent, side if side.any() else None, inner, known)
         first = node[label]
         some = first != node
         return pa.table({"a": pa.array(node[some]), "b": pa.array(first[some])})
@@ -322,10 +334,11 @@ def _links(spread: DataFrame, keys: tuple[str, ...], inner: bool, percent: int)
 
 def _linked_cells(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what is linked, of nodes ``placed`` in cells; ``sizes``: (cell, size in tokens)."""
-    big = cut(sizes.where(F.col("size") > CELL_TOKENS).select(F.col("cell").alias("big_cell"), F.ceil(F.col("size") / CELL_TOKENS).cast("int").alias("chunks")))
+    chunks = F.ceil(F.col("size") / CELL_TOKENS).cast("int")
+    big = cut(sizes.select(F.col("cell").alias("big_cell"), chunks.alias("chunks")).where("chunks > 1"))
     rows = placed.join(big, F.col("cell") == F.col("big_cell"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    packed = ("node", "n", "tokens", "rarity")
+    packed = ("node", "n", "tokens", "scale")
     # the first chunk meets itself and, beside each other one, that one
     meets = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
     first = _links(rows.select("cell", F.explode(meets).alias("chunk"), (F.col("own") > 0).alias("upper"), *packed), ("cell", "chunk"), True, percent)
@@ -334,9 +347,10 @@ def _linked_cells(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFram
     first = cut(first)
     known = components(first).select(F.col("vertex").alias("v"), "component")
     rest = rows.where("chunks > 1 and own > 0").join(known, F.col("node") == F.col("v"), "left").withColumn("known", F.coalesce("component", "node")).select("cell", "chunks", "own", "known", *packed)
-    per_class = rest.groupBy("cell", "known").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.octet_length("tokens") / 8).alias("size"))
-    main = per_class.groupBy("cell").agg(F.max(F.struct("nodes", "known")).getField("known").alias("main"), F.sum("size").alias("all"), F.max(F.struct("nodes", "known", "size")).getField("size").alias("main_size"))
-    main = main.where(F.col("all") > F.col("main_size")).select(F.col("cell").alias("of_cell"), "main", F.ceil((F.col("all") - F.col("main_size")) / CELL_TOKENS).cast("int").alias("parts"))
+    per_class = rest.groupBy("cell", "known").agg(F.sum(F.octet_length("tokens") / 8).alias("size"))
+    main = per_class.groupBy("cell").agg(F.max(F.struct("size", "known")).alias("main"), F.sum("size").alias("size"))
+    parts = F.ceil((F.col("size") - F.col("main.size")) / CELL_TOKENS).cast("int")
+    main = main.select(F.col("cell").alias("of_cell"), F.col("main.known").alias("main"), parts.alias("parts")).where("parts > 0")
     rest = rest.join(main, F.col("cell") == F.col("of_cell"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     others = rest.where("known <> main").select("cell", part.alias("part"), F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("upper"), "known", *packed)

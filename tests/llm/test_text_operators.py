@@ -296,15 +296,15 @@ def test_filters_are_intersected_by_pair(monkeypatch):
     def same(a, b):
         return len(set(zip(a, b))) == len(set(a)) == len(set(b))
 
-    got = jaccard.link_cell(n, off, tokens, count[inverse].astype("<u4"), 75)
+    got = jaccard.link_cell(n, off, tokens, np.frexp(count[inverse])[1], 75)
     assert linked and same(got.tolist(), classes(linked, len(n)))
     side = np.arange(len(n)) % 2
     for inner in (False, True):
         allowed = [(a, b) for a, b in linked if side[a] != side[b] or (inner and side[a] == 1)]
-        got = jaccard.link_cell(n, off, tokens, count[inverse].astype("<u4"), 75, side, inner)
+        got = jaccard.link_cell(n, off, tokens, np.frexp(count[inverse])[1], 75, side, inner)
         assert same(got.tolist(), classes(allowed, len(n)))
         known = np.arange(len(n)) // 10
-        got = jaccard.link_cell(n, off, tokens, count[inverse].astype("<u4"), 75, side, inner, known)
+        got = jaccard.link_cell(n, off, tokens, np.frexp(count[inverse])[1], 75, side, inner, known)
         assert same(got.tolist(), classes(allowed + [(i, i // 10 * 10) for i in range(len(n))], len(n)))
 
 
@@ -322,7 +322,7 @@ def test_a_cell_takes_time_in_proportion():
         tokens = np.concatenate(sets).astype(np.uint64)
         _, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
         start = time.process_time()
-        jaccard.link_cell(np.diff(off), off, tokens, count[inverse].astype("<u4"), 75)
+        jaccard.link_cell(np.diff(off), off, tokens, np.frexp(count[inverse])[1], 75)
         return time.process_time() - start
 
     cell(1000)
@@ -512,3 +512,80 @@ def test_empty_tables(empty, bpe_path, tmp_path):
     assert pii.find_private(empty, pii.fit(empty)).count() == 0
     assert media.media_columns(empty, f"file://{tmp_path}/e").count() == 0
     assert quality.judge_quality(empty).count() == 0
+
+
+@pytest.fixture(scope="session")
+def table(docs, tmp_path_factory):
+    sf = str(tmp_path_factory.mktemp("tables"))
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf}/documents.parquet")
+    return sf
+
+
+def test_media_query(spark, table, rows):
+    import struct
+
+    want = []
+    for r in rows:
+        raw = (r[1] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+        feature = f"64x{len(payload) // 64}x8;sum={sum(payload)};distinct={len(set(payload))};zeros={payload.count(0)}"
+        want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature))
+    out = media.QUERIES["op4_media_columns"](spark, table)
+    assert out.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert multiset(map(tuple, out.collect())) == multiset(want)
+
+
+def test_bpe_query(spark, table, rows, bpe_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe_path)
+    want = []
+    for r in rows:
+        ids = lib.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    out = bpe.QUERIES["op5_bpe_round_trip"](spark, table).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert multiset(map(tuple, out.collect())) == multiset(want)
+
+
+def test_private_data_query(spark, table, docs, rows):
+    weights = pii.fit(docs)
+    want = []
+    for r in rows:
+        base = sorted(brute_private(r[1] or ""), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        every = plain_spans(r[1] or "", weights)
+        assert [s[:3] for s in every if not s[3]] == base
+        joined = [",".join(f"{k}:{a}:{b}" for k, a, b, *_ in spans) for spans in (base, every)]
+        want.append((r[0], *(sum(s[0] == k for s in base) for k in pii.KINDS), hashlib.sha256(joined[0].encode()).hexdigest(), joined[1]))
+    out = pii.QUERIES["op7_pii"](spark, table).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    assert multiset(map(tuple, out.collect())) == multiset(want)
+
+
+def test_packing_query(spark, table, rows, bpe_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe_path)
+    out = packing.QUERIES["op8_pack_documents"](spark, table).collect()
+    sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
+    for p in out:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+        pieces[p["doc_id"]].append((p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]))
+    total = padding = 0
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 1024
+        total += at
+        padding += 0 if packing.power_of_two(at) else 1024 - at
+    copies = collections.Counter(r[0] for r in rows)
+    for i, t, *_ in rows:
+        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        own = sorted(pieces[i])
+        assert sum(n for _, n, _, _ in own) == copies[i] * len(ids)
+        for start, n, crc, tokens in own:
+            assert tokens == len(ids) and crc == zlib.crc32(ids[start : start + n].tobytes())
+    assert padding <= 0.01 * total + 1024
