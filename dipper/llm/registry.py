@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipper.llm import bpe, jaccard, linededup, media, packing, pii, quality, substrings, topk, urlfilter
+from dipper.llm import bpe, jaccard, linededup, media, packing, pii, quality, substrings, tokenfiles, topk, urlfilter
 
-MODULES = (topk, urlfilter, linededup, media, bpe, quality, pii, packing, substrings, jaccard)
+MODULES = (topk, urlfilter, linededup, media, bpe, quality, pii, packing, substrings, jaccard, tokenfiles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
