@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipper.llm import bpe, jaccard, linededup, media, packing, pii, quality, substrings, tokenfiles, topk, urlfilter, vectorcodes
+from dipper.llm import bpe, collocations, jaccard, linededup, media, packing, pii, quality, substrings, tokenfiles, topk, urlfilter, vectorcodes
 
-MODULES = (topk, urlfilter, linededup, media, bpe, quality, pii, packing, substrings, jaccard, tokenfiles, vectorcodes)
+MODULES = (topk, urlfilter, linededup, media, bpe, quality, pii, packing, substrings, jaccard, tokenfiles, collocations, vectorcodes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
