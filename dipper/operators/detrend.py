@@ -1,7 +1,7 @@
 """Detrending of whole light curves, in slices: no task of Python holds more than a slice and what a window reaches beyond it.
 
-Order and ranks come from windows, which spill to disk; smoothing is local, so slices of neighbouring points with a
-window's points on both sides give just what the whole segment would. Deviations are aggregates of a segment.
+Order and ranks come from scans over slices (``scan``), so no window holds a target; smoothing is local, so slices of
+neighbouring points with a window's points on both sides give just what the whole segment would.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipper.functions.phase import in_window, phase
-from dipper.operators import kernels
-from dipper.operators.lightcurve import interpolate, segments
+from dipper.operators import kernels, scan
+from dipper.operators.lightcurve import interpolate, with_target_stats
+from dipper.sources.store import kept
 
 #: Points of a slice.
 SLICE = 100_000
@@ -29,9 +30,10 @@ def fitting_window(window: int, n: Column, order: int) -> Column:
 
 
 def _smoothed(rows: DataFrame, order: int, slice_points: int) -> DataFrame:
-    """Adds ``smooth``, null where ``keep`` is false: the local polynomial over the kept points of each (target, segment)."""
-    by = Window.partitionBy("target", "segment")
-    rows = rows.withColumn("k", F.sum(F.col("keep").cast("long")).over(by.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    """Adds ``trend``: the local polynomial over the kept points of each (target, segment), bridged in between.
+
+    ``k``: the rank of each point, or of the last kept one before it, among the ``kept`` points. Adds ``home``, the slice by rank.
+    """
     home = F.floor(F.greatest(F.col("k"), F.lit(0)) / slice_points)
     at = F.col("k") - home * slice_points
     last = F.floor((F.col("kept") - 1) / slice_points)
@@ -39,13 +41,14 @@ def _smoothed(rows: DataFrame, order: int, slice_points: int) -> DataFrame:
     before = F.when(F.col("keep") & (at < F.col("w")) & (home > 0), home - 1)
     after = F.when(F.col("keep") & (slice_points - at <= F.col("w")) & (home < last), home + 1)
     rows = rows.withColumn("home", home).withColumn("slice", F.explode(F.filter(F.array(home, before, after), lambda x: x.isNotNull())))
-    kept = [c for c in rows.columns if c not in ("slice", "home", "k")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", smooth double"
+    stay = [c for c in rows.columns if c not in ("slice", "k", "trend")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*stay).schema) + ", trend double"
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i", ignore_index=True)
-        own = part.index[part["keep"]]
-        y, w, first = part["flux"].to_numpy(float)[own], int(part["w"].iloc[0]), int(part["k"].iloc[own[0]]) if len(own) else 0
+        own = part["keep"].to_numpy(bool)
+        i, y, w = part["i"].to_numpy(), part["flux"].to_numpy(float)[own], int(part["w"].iloc[0])
+        first = int(part["k"].to_numpy()[own][0])
         m = w // 2
         out = np.full(len(y), np.nan)
         hat = kernels._hat(w, order)
@@ -55,37 +58,59 @@ def _smoothed(rows: DataFrame, order: int, slice_points: int) -> DataFrame:
                 out[:m] = hat[:m] @ y[:w]
             if first + len(y) == int(part["kept"].iloc[0]):
                 out[len(y) - m :] = hat[m + 1 :] @ y[-w:]
-        part["smooth"] = np.nan
-        part.loc[own, "smooth"] = out
-        part["smooth"] = part["smooth"].astype(object).where(part["keep"], None)
-        return part.loc[part["home"] == key[2], [*kept, "smooth"]]
+        # the neighbours of a point that was left out are here: the last kept one has its rank, and the halo the next one
+        known = np.isfinite(out)
+        part["trend"] = np.interp(i, i[own][known], out[known]) if known.any() else np.nan
+        part.loc[own, "trend"] = out
+        return part.loc[part["home"] == key[2], [*stay, "trend"]]
 
     return rows.groupBy("target", "segment", "slice").applyInPandas(run, schema)
 
 
+def _ranked(rows: DataFrame, lower: float) -> DataFrame:
+    """``keep``, ``kept`` and ``k`` for the next round: without the points more than ``lower`` deviations below the trend.
+
+    Sums of each slice meet in windows over slices, so no task sees a segment. Where fewer than a window stay, all do.
+    """
+    part = ("of", "segment", "home")
+    every = Window.partitionBy("of", "segment")
+    rows = rows.withColumns({"of": F.struct("target"), "rest": F.col("flux") - F.col("trend")})
+    mine = F.when(F.col("keep"), F.col("rest"))
+    sums = rows.groupBy(*part).agg(F.count(mine).alias("c"), F.avg(mine).alias("mean"), F.var_pop(mine).alias("var"))
+    total = lambda x: F.sum(x).over(every)
+    mean = total(F.col("c") * F.col("mean")) / total("c")
+    dev = F.sqrt(F.greatest(total(F.col("c") * (F.col("var") + F.col("mean") * F.col("mean"))) / total("c") - mean * mean, F.lit(0.0)))
+    rows = scan.attach(rows, sums.select(*part, dev.alias("dev")), part).withColumn("keep", F.col("rest") > -lower * F.col("dev"))
+    counts = rows.groupBy(*part).agg(F.sum(F.col("keep").cast("long")).alias("c"))
+    counts = counts.select(*part, scan.added("c", scan.before(("of", "segment"), "home")).alias("base"), F.sum("c").over(every).alias("stay"))
+    rows = scan.attach(rows, counts, part)
+    k = F.sum(F.col("keep").cast("long")).over(scan.within("i", keys=part)) + F.col("base") - 1
+    few = F.col("stay") < F.col("w")
+    rows = rows.withColumn("k", F.when(few, F.col("i")).otherwise(k)).withColumns({"keep": F.col("keep") | few, "kept": F.when(few, F.col("n")).otherwise(F.col("stay"))})
+    return rows.drop("of", "rest", "dev", "base", "stay", "home")
+
+
 def detrend(lc: DataFrame, window: int = 151, order: int = 3, rounds: int = 2, lower: float = 3.0, gap: float = 0.5, slice_points: int = SLICE) -> DataFrame:
     """CLEAN_COLUMNS: flux over the trend of its gapless run, with the trend; or one row with an error for a target that has a run too short.
 
     Points more than ``lower`` deviations below the trend don't pull it down in the next round; they are bridged.
     """
-    by = Window.partitionBy("target", "segment")
-    rows = segments(lc.select("target", "t", "flux"), gap)
-    rows = rows.withColumn("i", F.row_number().over(by.orderBy("t", "flux")).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    rows = rows.withColumn("w", fitting_window(window, F.col("n"), order))
+    part = ("of", "slice", "segment")
+    rows = scan.segmented(scan.sliced(lc.select("target", "t", "flux")), gap)
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*part).orderBy("t", "flux")).cast("long") - 1)
+    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.select(*part, scan.added("c", scan.before(("of", "segment"))).alias("base"), F.sum("c").over(Window.partitionBy("of", "segment")).alias("n"))
+    counts = counts.withColumn("w", fitting_window(window, F.col("n"), order))
     # the first run that is too short says why a target can't be detrended
-    short = F.min(F.when(F.col("n") < F.col("w"), F.struct("segment", "n", "w"))).over(Window.partitionBy("target"))
-    rows = rows.withColumn("short", short)
+    short = F.min(F.when(F.col("n") < F.col("w"), F.struct("segment", "n", "w"))).over(Window.partitionBy("of"))
+    rows = scan.attach(rows, counts.withColumn("short", short), part)
+    rows = kept(rows.select("target", "t", "flux", "segment", (F.col("i") + F.col("base")).alias("i"), "n", "w", "short"))
     message = F.format_string("%d points are fewer than a window of %d", F.col("short.n"), F.col("short.w"))
     number = F.lit(None).cast("double")
     failed = rows.where("short is not null").groupBy("target").agg(F.min(message).alias("error")).select("target", number.alias("t"), number.alias("flux"), number.alias("trend"), "error")
-    rows = rows.where("short is null").drop("short").withColumns({"keep": F.lit(True), "kept": F.col("n")})
+    rows = rows.where("short is null").drop("short").withColumns({"keep": F.lit(True), "kept": F.col("n"), "k": F.col("i")})
     for turn in range(rounds):
-        if turn:
-            rest = F.col("flux") - F.col("trend")
-            rows = rows.withColumn("dev", F.stddev_pop(F.when(F.col("keep"), rest)).over(by)).withColumn("keep", rest > -lower * F.col("dev"))
-            rows = rows.withColumn("kept", F.sum(F.col("keep").cast("long")).over(by))
-            rows = rows.withColumn("keep", F.col("keep") | (F.col("kept") < F.col("w"))).withColumn("kept", F.when(F.col("kept") < F.col("w"), F.col("n")).otherwise(F.col("kept"))).drop("dev", "trend")
-        rows = interpolate(_smoothed(rows, order, slice_points), "smooth", ("target", "segment"), "i").withColumnRenamed("filled", "trend").drop("smooth")
+        rows = _smoothed(_ranked(rows, lower) if turn else rows, order, slice_points)
     return rows.select("target", "t", (F.col("flux") / F.col("trend")).alias("flux"), "trend", F.lit(None).cast("string").alias("error")).unionByName(failed)
 
 
@@ -95,10 +120,10 @@ def detrend_around(lc: DataFrame, boxes: DataFrame, window: int = 151, padding:
     A target without a box, or with fewer points than a window beside it, is detrended as a whole.
     """
     b = boxes.select(F.col("target").alias("of_target"), "period", "phase_start", "phase_width")
-    rows = lc.select("target", "t", "flux").join(b, F.col("target").eqNullSafe(F.col("of_target")), "left")
+    rows = lc.select("target", "t", "flux").join(b, F.col("target").eqNullSafe(F.col("of_target")), "left").drop("of_target")
     inside = F.coalesce(in_window(phase(F.col("t"), F.col("period")), F.col("phase_start"), F.col("phase_width"), padding), F.lit(False))
-    outside = F.sum((~F.col("inside")).cast("long")).over(Window.partitionBy("target"))
-    rows = rows.withColumn("inside", inside).withColumn("inside", F.col("inside") & (outside >= window))
+    rows = with_target_stats(rows.withColumn("inside", inside), F.sum((~F.col("inside")).cast("long")).alias("outside"))
+    rows = rows.withColumn("inside", F.col("inside") & (F.col("outside") >= window))
     found = detrend(rows.where("not inside"), window, **options)
     bridged = found.where("error is null").select("target", "t", (F.col("flux") * F.col("trend")).alias("flux"), "trend").unionByName(rows.where("inside").select("target", "t", "flux", F.lit(None).cast("double").alias("trend")))
     whole = interpolate(bridged, "trend", ("target",), "t").where("filled is not null")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dipper.functions.phase import epoch_parity, phase
 from dipper.functions.scores import ratio_or_zero
+from dipper.operators.scan import ADDED, nearest_known, segmented, sliced
 
 LC_SCHEMA = "target string, t double, flux double, quality int"
 
@@ -84,15 +85,9 @@ def snr_and_rms(lc: DataFrame) -> DataFrame:
     return out.select("target", "signal", "noise", ratio_or_zero(F.col("signal"), F.col("noise")).alias("snr"), F.nanvl("rms", F.lit(0.0)).alias("rms"))
 
 
-def _by_time() -> Window:
-    return Window.partitionBy("target").orderBy("t", "flux")
-
-
 def segments(lc: DataFrame, gap: float = 0.5) -> DataFrame:
-    """Adds ``segment``: it begins anew after more than ``gap`` days without data."""
-    by = _by_time()
-    new = F.when(F.col("t") - F.lag("t").over(by) > gap, 1).otherwise(0)
-    return lc.withColumn("new_segment", new).withColumn("segment", F.sum("new_segment").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("new_segment")
+    """Adds ``segment``: it begins anew after more than ``gap`` days without data. Many tasks a target."""
+    return segmented(sliced(lc), gap).drop(*ADDED)
 
 
 def savgol_coefficients(window: int) -> list[float]:
@@ -131,15 +126,14 @@ def clip_upper(lc: DataFrame, sigma: float = 5.0, rounds: int = 5, both: bool =
 def interpolate(rows: DataFrame, column: str = "flux", keys: tuple[str, ...] = ("target",), time: str = "t") -> DataFrame:
     """Adds ``filled``: nulls of a column, linear in time between the nearest values on both sides, level at the ends.
 
-    Both sides are running last values, of ascending and of descending order, so the work is in proportion to the rows.
+    Both sides are scans over slices, so the work is in proportion to the rows, and many tasks share a target.
     """
     known = F.when(F.col(column).isNotNull(), F.struct(F.col(time).alias("t"), F.col(column).alias("y")))
-    so_far = lambda order: F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("left_known", so_far(F.asc(time))).withColumn("right_known", so_far(F.desc(time)))
+    rows = nearest_known(sliced(rows, keys, (time,)), known, time)
     a, b = F.col("left_known"), F.col("right_known")
     inner = a["y"] + (b["y"] - a["y"]) * (F.col(time) - a["t"]) / F.when(b["t"] != a["t"], b["t"] - a["t"])
     filled = F.when(F.col(column).isNotNull(), F.col(column)).when(a.isNull(), b["y"]).when(b.isNull() | (b["t"] == a["t"]), a["y"]).otherwise(inner)
-    return rows.withColumn("filled", filled).drop("left_known", "right_known")
+    return rows.withColumn("filled", filled).drop("left_known", "right_known", *ADDED)
 
 
 def bin_mean(folded: DataFrame, n_bins: int = 100) -> DataFrame:

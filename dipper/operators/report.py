@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipper.functions.scores import confidence, finite, nan_to_null
+from dipper.operators.scan import ADDED, numbered, sliced
 
 #: Columns and texts of the summary, here and below.
 BATCH_SCHEMA = "tic_id string, status string, period double, depth_ppm double, duration_hrs double, sde double, fap string, odd_even_sigma double, secondary_ratio double"
@@ -71,9 +72,8 @@ def with_confidence(vetted: DataFrame) -> DataFrame:
 
 def downsample(lc: DataFrame, most: int = 3000) -> DataFrame:
     """Every k-th point by time, k = max(1, floor(n / most)) of the target."""
-    n = lc.groupBy(F.col("target").alias("of_target")).agg(F.count(F.lit(1)).alias("n"))
-    rows = lc.withColumn("i", F.row_number().over(Window.partitionBy("target").orderBy("t", "flux")) - 1).join(n, F.col("target").eqNullSafe(F.col("of_target")))
-    return rows.where(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / most)) == 0).drop("i", "n", "of_target")
+    rows = numbered(sliced(lc))
+    return rows.where(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / most)) == 0).drop("i", "n", *ADDED)
 
 
 def chart_domain(lc: DataFrame, pad: float = 0.1) -> DataFrame:

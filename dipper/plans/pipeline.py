@@ -14,19 +14,13 @@ from pyspark.sql import functions as F
 from dipper.operators import bls, photometry, report, vetting
 from dipper.operators.detrend import CLEAN_COLUMNS, detrend, detrend_around
 from dipper.operators.lightcurve import clip_upper, filter_nan, filter_quality
-from dipper.sources.store import shared_dir
+from dipper.sources.store import kept
 
 #: Tables by name; a stage takes those so far and gives those it adds.
 Tables = dict[str, DataFrame]
 Stage = tuple[str, Callable[[Tables], Tables]]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, where several results need them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def photometry_stage(pixels: DataFrame, cadences: DataFrame, sigmas: tuple[float, ...] = photometry.SIGMAS) -> DataFrame:
     """(target, t, flux, quality) of the best aperture, over its median. ``cadences``: (target, cadence, t, quality)."""
     trials, _, flux = photometry.measure_apertures(pixels, sigmas)
@@ -41,19 +35,19 @@ def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = F
     ``bls.search``, by many tasks a target.
     """
     lc = filter_nan(lc)
-    flat = cut(detrend(lc, window))
+    flat = kept(detrend(lc, window))
     if masked:
         good = flat.where("error is null").select("target", "t", "flux")
         found = bls.search(good, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
         boxes = bls.best_period(found).where("sr >= 1e-6D").select("target", "period", "phase_start", "phase_width")
-        flat = cut(detrend_around(lc.join(flat.where("error is not null").select("target"), "target", "left_anti"), boxes, window).unionByName(flat.where("error is not null")))
+        flat = kept(detrend_around(lc.join(flat.where("error is not null").select("target"), "target", "left_anti"), boxes, window).unionByName(flat.where("error is not null")))
     return clip_upper(flat.where("error is null"), sigma).select(*CLEAN_COLUMNS).unionByName(flat.where("error is not null").select(*CLEAN_COLUMNS))
 
 
 def flatten_and_search(lc: DataFrame, window: int = 401, duration: float = 0.1, **options: float) -> DataFrame:
     """The short way from raw light curves to a periodogram: no NaN, no outliers on either side, a wide flattening of second order, one duration."""
     flat = detrend(clip_upper(filter_nan(lc), both=True), window, order=2, rounds=3, gap=0.5).where("error is null")
-    return bls.live_search(cut(flat.select("target", "t", "flux")), (duration,), **options)
+    return bls.live_search(kept(flat.select("target", "t", "flux")), (duration,), **options)
 
 
 def search_stage(lc: DataFrame, threshold: float = 3.0, **options: float) -> tuple[DataFrame, DataFrame]:
@@ -64,24 +58,24 @@ def search_stage(lc: DataFrame, threshold: float = 3.0, **options: float) -> tup
 
 def measure(tables: Tables) -> Tables:
     """``raw`` light curves of the best apertures, from ``pixels`` and ``cadences``."""
-    return {"raw": cut(photometry_stage(tables["pixels"], tables["cadences"]))}
+    return {"raw": kept(photometry_stage(tables["pixels"], tables["cadences"]))}
 
 
 def clean_up(tables: Tables) -> Tables:
     """``clean`` light curves, or errors, from ``raw`` ones."""
-    return {"clean": cut(clean(filter_quality(tables["raw"])))}
+    return {"clean": kept(clean(filter_quality(tables["raw"])))}
 
 
 def search(tables: Tables, **options: float) -> Tables:
     """``power`` and raw ``candidates`` of what is clean."""
     power, candidates = search_stage(tables["clean"].where("error is null").select("target", "t", "flux"), **options)
-    power = cut(power)
+    power = kept(power)
     return {"power": power, "candidates": bls.flag_harmonics(bls.peaks(power, 3.0))}
 
 
 def vet(tables: Tables) -> Tables:
     """``candidates`` with their tests, and the ``best`` of each target."""
-    candidates = cut(report.with_confidence(vetting.vet(tables["clean"].where("error is null").select("target", "t", "flux"), tables["candidates"])))
+    candidates = kept(report.with_confidence(vetting.vet(tables["clean"].where("error is null").select("target", "t", "flux"), tables["candidates"])))
     return {"candidates": candidates, "best": vetting.best_passed(candidates)}
 
 

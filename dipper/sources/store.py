@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared folder, where several steps need them or must see the same ones."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one, made."""
     from pyarrow import fs
