@@ -6,6 +6,8 @@ neighbouring points with a window's points on both sides give just what the whol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,8 @@ from dipper.sources.store import kept
 
 #: Points of a slice.
 SLICE = 100_000
+#: A part of a segment in a slice.
+RUN = ("of", "slice", "segment")
 CLEAN_COLUMNS = ("target", "t", "flux", "trend", "error")
 
 
@@ -44,27 +48,44 @@ def _smoothed(rows: DataFrame, order: int, slice_points: int) -> DataFrame:
     stay = [c for c in rows.columns if c not in ("slice", "k", "trend")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*stay).schema) + ", trend double"
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i", ignore_index=True)
-        own = part["keep"].to_numpy(bool)
-        i, y, w = part["i"].to_numpy(), part["flux"].to_numpy(float)[own], int(part["w"].iloc[0])
-        first = int(part["k"].to_numpy()[own][0])
-        m = w // 2
+    def trend_of(i: np.ndarray, flux: np.ndarray, own: np.ndarray, first: int, kept: int, w: int) -> np.ndarray:
+        """The trend of a slice and its halo, by number; ``first``: the rank of its first kept point."""
+        y, m, hat = flux[own], w // 2, kernels._hat(w, order)
         out = np.full(len(y), np.nan)
-        hat = kernels._hat(w, order)
         if len(y) >= w:
             out[m : len(y) - m] = np.convolve(y, hat[m][::-1], mode="valid")
             if first == 0:
                 out[:m] = hat[:m] @ y[:w]
-            if first + len(y) == int(part["kept"].iloc[0]):
+            if first + len(y) == kept:
                 out[len(y) - m :] = hat[m + 1 :] @ y[-w:]
         # the neighbours of a point that was left out are here: the last kept one has its rank, and the halo the next one
         known = np.isfinite(out)
-        part["trend"] = np.interp(i, i[own][known], out[known]) if known.any() else np.nan
-        part.loc[own, "trend"] = out
-        return part.loc[part["home"] == key[2], [*stay, "trend"]]
-
-    return rows.groupBy("target", "segment", "slice").applyInPandas(run, schema)
+        trend = np.interp(i, i[own][known], out[known]) if known.any() else np.full(len(i), np.nan)
+        trend[own] = out
+        return trend
+
+    def of_groups(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        i, flux, own, k, kept, w = (rows[c].to_numpy(d) for c, d in (("i", np.int64), ("flux", float), ("keep", bool), ("k", np.int64), ("kept", np.int64), ("w", np.int64)))
+        trend = [trend_of(i[a:b], flux[a:b], own[a:b], int(k[a + int(own[a:b].argmax())]), int(kept[a]), int(w[a])) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)]
+        return rows.assign(trend=np.concatenate(trend)).loc[rows["home"] == rows["slice"], [*stay, "trend"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last group may go on in the next batch
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            target = pd.factorize(rows["target"])[0]
+            new = (np.diff(target) != 0) | (np.diff(rows["segment"]) != 0) | (np.diff(rows["slice"]) != 0)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            if len(starts) > 1:
+                yield of_groups(rows.iloc[: starts[-1]], starts[:-1])
+            held = rows.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield of_groups(held, np.zeros(1, np.int64))
+
+    # many runs are short, so a task takes them as they come, in place of a call for each
+    return rows.repartition("target", "segment", "slice").sortWithinPartitions("target", "segment", "slice", "i").mapInPandas(run, schema)
 
 
 def _ranked(rows: DataFrame, lower: float) -> DataFrame:
@@ -90,27 +111,45 @@ def _ranked(rows: DataFrame, lower: float) -> DataFrame:
     return rows.drop("of", "rest", "dev", "base", "stay", "home")
 
 
+def placed(lc: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): sliced rows with ``segment`` and ``i``, the number in their part of a segment; and by RUN ``base``, what to add to it, and ``n``, the segment's rows."""
+    rows = scan.segmented(scan.sliced(lc.select("target", "t", "flux")), gap)
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*RUN).orderBy("t", "flux")).cast("long") - 1)
+    counts = rows.groupBy(*RUN).agg(F.count(F.lit(1)).alias("c"))
+    return rows, counts.select(*RUN, scan.added("c", scan.before(("of", "segment"))).alias("base"), F.sum("c").over(Window.partitionBy("of", "segment")).alias("n"))
+
+
+def smooth(lc: DataFrame, window: int = 151, order: int = 3, gap: float = 0.5, slice_points: int = SLICE) -> DataFrame:
+    """(target, t, flux, segment, smooth, interior): the local polynomial of each gapless run, where it has a window's points.
+
+    ``interior``: the window lies around the point; half a window at either end follows the polynomial of the last one.
+    """
+    rows, counts = placed(lc, gap)
+    rows = scan.attach(rows, counts, RUN).select("target", "t", "flux", "segment", (F.col("i") + F.col("base")).alias("i"), "n")
+    rows = rows.withColumns({"w": F.lit(window), "keep": F.lit(True), "kept": F.col("n"), "k": F.col("i")})
+    half = window // 2
+    inside = (F.col("i") >= half) & (F.col("i") < F.col("n") - half)
+    return _smoothed(rows, order, slice_points).select("target", "t", "flux", "segment", F.when(F.col("n") >= window, F.col("trend")).alias("smooth"), inside.alias("interior"))
+
+
 def detrend(lc: DataFrame, window: int = 151, order: int = 3, rounds: int = 2, lower: float = 3.0, gap: float = 0.5, slice_points: int = SLICE) -> DataFrame:
     """CLEAN_COLUMNS: flux over the trend of its gapless run, with the trend; or one row with an error for a target that has a run too short.
 
     Points more than ``lower`` deviations below the trend don't pull it down in the next round; they are bridged.
     """
-    part = ("of", "slice", "segment")
-    rows = scan.segmented(scan.sliced(lc.select("target", "t", "flux")), gap)
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*part).orderBy("t", "flux")).cast("long") - 1)
-    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.select(*part, scan.added("c", scan.before(("of", "segment"))).alias("base"), F.sum("c").over(Window.partitionBy("of", "segment")).alias("n"))
+    rows, counts = placed(lc, gap)
     counts = counts.withColumn("w", fitting_window(window, F.col("n"), order))
     # the first run that is too short says why a target can't be detrended
     short = F.min(F.when(F.col("n") < F.col("w"), F.struct("segment", "n", "w"))).over(Window.partitionBy("of"))
-    rows = scan.attach(rows, counts.withColumn("short", short), part)
+    rows = scan.attach(rows, counts.withColumn("short", short), RUN)
     rows = kept(rows.select("target", "t", "flux", "segment", (F.col("i") + F.col("base")).alias("i"), "n", "w", "short"))
     message = F.format_string("%d points are fewer than a window of %d", F.col("short.n"), F.col("short.w"))
     number = F.lit(None).cast("double")
     failed = rows.where("short is not null").groupBy("target").agg(F.min(message).alias("error")).select("target", number.alias("t"), number.alias("flux"), number.alias("trend"), "error")
     rows = rows.where("short is null").drop("short").withColumns({"keep": F.lit(True), "kept": F.col("n"), "k": F.col("i")})
     for turn in range(rounds):
-        rows = _smoothed(_ranked(rows, lower) if turn else rows, order, slice_points)
+        # a round's trend is kept, as its deviations, ranks and rows are three readers
+        rows = _smoothed(_ranked(kept(rows), lower) if turn else rows, order, slice_points)
     return rows.select("target", "t", (F.col("flux") / F.col("trend")).alias("flux"), "trend", F.lit(None).cast("string").alias("error")).unionByName(failed)
 
 

@@ -96,16 +96,6 @@ def savgol_coefficients(window: int) -> list[float]:
     return [3 * (3 * m * m + 3 * m - 1 - 5 * i * i) / ((2 * m + 3) * (2 * m + 1) * (2 * m - 1)) for i in range(-m, m + 1)]
 
 
-def savgol_interior(rows: DataFrame, window: int = 5, keys: tuple[str, ...] = ("target", "segment")) -> DataFrame:
-    """Adds ``smooth``: the cubic smoothing where the whole window lies in the segment, else null."""
-    by = Window.partitionBy(*keys).orderBy("t", "flux")
-    m = (window - 1) // 2
-    value = F.lit(0.0)
-    for i, c in zip(range(-m, m + 1), savgol_coefficients(window), strict=True):
-        value = value + (F.lag("flux", -i).over(by) if i < 0 else F.lead("flux", i).over(by) if i else F.col("flux")) * c
-    return rows.withColumn("smooth", value)
-
-
 def clip_upper(lc: DataFrame, sigma: float = 5.0, rounds: int = 5, both: bool = False) -> DataFrame:
     """Drops values more than ``sigma`` population deviations above the median, ``rounds`` times. Dips stay, unless ``both``.
 

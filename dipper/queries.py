@@ -210,7 +210,23 @@ _SG = " + ".join(f"{c!r}::DOUBLE * " + (f"lag(flux, {-i}) OVER o" if i < 0 else
 s AS (SELECT *, sum(n) OVER (PARTITION BY target ORDER BY t, flux ROWS UNBOUNDED PRECEDING) AS segment FROM g)
 SELECT target, t, {_r(f'({_SG})')} AS smooth FROM s WINDOW o AS (PARTITION BY target, segment ORDER BY t, flux)""")
 def lc_savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lcs.savgol_interior(lcs.segments(light_curves(spark, sf_dir)), 151), "smooth").select("target", "t", "smooth")
+    found = detrending.smooth(light_curves(spark, sf_dir)).withColumn("smooth", F.when(F.col("interior"), F.col("smooth")))
+    return rounded(found, "smooth").select("target", "t", "smooth")
+
+
+@query(f"""WITH {_LC}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY target ORDER BY t, flux) > 0.02 THEN 1 ELSE 0 END AS b FROM lc),
+s AS (SELECT *, sum(b) OVER (PARTITION BY target ORDER BY t, flux ROWS UNBOUNDED PRECEDING) AS segment FROM g),
+r AS (SELECT target, t, flux, segment, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY target, segment) AS n FROM s WINDOW o AS (PARTITION BY target, segment ORDER BY t, flux)),
+x AS (SELECT i, (i - 7)::DOUBLE AS x FROM range(15) q(i)),
+p AS (SELECT i, 1.0::DOUBLE AS p0, x AS p1, x * x - 56.0::DOUBLE / 3 AS p2, x * x * x - x * 167 / 5.0::DOUBLE AS p3 FROM x),
+norm AS (SELECT sum(p0 * p0) AS n0, sum(p1 * p1) AS n1, sum(p2 * p2) AS n2, sum(p3 * p3) AS n3 FROM p),
+hat AS (SELECT a.i AS spot, b.i AS of, a.p0 * b.p0 / n0 + a.p1 * b.p1 / n1 + a.p2 * b.p2 / n2 + a.p3 * b.p3 / n3 AS c FROM p a, p b, norm),
+place AS (SELECT *, CASE WHEN i < 7 THEN i WHEN i >= n - 7 THEN i - n + 15 ELSE 7 END AS spot, CASE WHEN i < 7 THEN 0 WHEN i >= n - 7 THEN n - 15 ELSE i - 7 END AS first FROM r),
+fit AS (SELECT p.target, p.segment, p.i, sum(h.c * y.flux) AS smooth FROM place p JOIN hat h USING (spot) JOIN r y ON y.target = p.target AND y.segment = p.segment AND y.i = p.first + h.of WHERE p.n >= 15 GROUP BY ALL)
+SELECT r.target, t, r.segment::BIGINT AS segment, {_r('smooth')} AS smooth FROM r LEFT JOIN fit USING (target, segment, i)""")
+def lc_savgol_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of 15 over runs without a gap of half an hour, with both ends of each."""
+    return rounded(detrending.smooth(light_curves(spark, sf_dir), 15, gap=0.02), "smooth").select("target", "t", "segment", "smooth")
 
 
 def _clip_sql(rounds: int, sigma: float) -> str:
