@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from dipper.functions.phase import in_circular_box, in_plain_box
 from dipper.operators import partial
-from dipper.operators.lightcurve import with_target_stats
+from dipper.operators.lightcurve import with_joined, with_target_stats
+from dipper.operators.selection import medians
 
 
 def two_level_stats(n: Column, n_in: Column, total: Column, sum_in: Column, squares: Column) -> dict[str, Column]:
@@ -143,7 +144,7 @@ def box_score(folded: DataFrame, centers: int = 200, width: float = 0.05) -> Dat
 
 def transit_score(lc: DataFrame) -> DataFrame:
     """(target, score): how many deviations the minimum lies below the median; 0 for a constant."""
-    own = lc.groupBy("target").agg(F.median("flux").alias("m"), F.min("flux").alias("low"), F.stddev_pop("flux").alias("dev"))
+    own = with_joined(lc.groupBy("target").agg(F.min("flux").alias("low"), F.stddev_pop("flux").alias("dev")), medians(lc, ("target",), "flux", "m"))
     return own.select("target", F.when(F.col("dev") > 0, (F.col("m") - F.col("low")) / F.when(F.col("dev") > 0, F.col("dev"))).otherwise(0.0).alias("score"))
 
 

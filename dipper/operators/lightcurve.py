@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from dipper.functions.phase import epoch_parity, phase
 from dipper.functions.scores import ratio_or_zero
 from dipper.operators.scan import ADDED, nearest_known, segmented, sliced
+from dipper.operators.selection import all_fit, medians, selected
+from dipper.sources.store import kept
 
 LC_SCHEMA = "target string, t double, flux double, quality int"
 
@@ -32,21 +34,21 @@ def filter_nan(lc: DataFrame) -> DataFrame:
     return lc.where("t is not null and flux is not null and not isnan(t) and not isnan(flux)")
 
 
-def plain_median(x: str) -> Column:
-    """The median, NaN if any value is NaN."""
-    return F.when(F.bool_or(F.isnan(x)), float("nan")).otherwise(F.median(x))
+def with_joined(lc: DataFrame, stats: DataFrame, how: str = "left") -> DataFrame:
+    """``lc`` with the columns of a table by target."""
+    own = stats.withColumnRenamed("target", "of_target")
+    return lc.join(own, F.col("target").eqNullSafe(F.col("of_target")), how).drop("of_target")
 
 
 def normalize_median(lc: DataFrame) -> DataFrame:
     """Flux over the target's median; all ones if that is 0 or NaN."""
-    rows = with_target_stats(lc, plain_median("flux").alias("flux_median"))
-    useless = F.isnan("flux_median") | (F.col("flux_median") == 0)
-    return rows.withColumn("flux", F.when(useless, 1.0).otherwise(F.col("flux") / F.col("flux_median"))).drop("flux_median")
+    rows = with_joined(lc, medians(lc, ("target",), "flux", "m", poisoned=True))
+    return rows.withColumn("flux", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m"))).drop("m")
 
 
 def normalize_upper_median(lc: DataFrame) -> DataFrame:
     """Flux over the upper median, the value at place floor(n / 2) of the sorted ones."""
-    rows = with_target_stats(lc, F.expr("percentile_disc(0.5) within group (order by flux desc)").alias("m"))
+    rows = with_joined(lc, selected(lc, ("target",), "flux", {"m": "n div 2"}).drop("n"))
     return rows.withColumn("flux", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m"))).drop("m")
 
 
@@ -79,7 +81,7 @@ def baselines(lc: DataFrame) -> DataFrame:
 
 def snr_and_rms(lc: DataFrame) -> DataFrame:
     """(target, signal, noise, snr, rms): median, population deviation, their ratio, deviation about the median."""
-    rows = with_target_stats(lc, plain_median("flux").alias("m"))
+    rows = with_joined(lc, medians(lc, ("target",), "flux", "m", poisoned=True))
     d = F.col("flux") - F.col("m")
     out = rows.groupBy("target").agg(F.first("m").alias("signal"), F.stddev_pop("flux").alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
     return out.select("target", "signal", "noise", ratio_or_zero(F.col("signal"), F.col("noise")).alias("snr"), F.nanvl("rms", F.lit(0.0)).alias("rms"))
@@ -102,15 +104,19 @@ def clip_upper(lc: DataFrame, sigma: float = 5.0, rounds: int = 5, both: bool =
     What a round keeps lies between bounds, which only close in, so a round needs the bounds of the last one, a row a
     target, and one aggregation of the light curve.
     """
-    middle, room = F.median("flux"), sigma * F.stddev_pop("flux")
-    low = middle - room if both else F.lit(float("-inf"))
-    bounds = lc.groupBy(F.col("target").alias("of_target")).agg(low.alias("low"), (middle + room).alias("high"))
     within = "flux between low and high"
-    for _ in range(rounds - 1):
-        left = lc.select("target", "flux").join(bounds, F.col("target").eqNullSafe(F.col("of_target"))).where(within)
-        bounds = left.groupBy("of_target", "low", "high").agg(F.greatest("low", low).alias("next_low"), F.least("high", middle + room).alias("next_high"))
-        bounds = bounds.select("of_target", F.col("next_low").alias("low"), F.col("next_high").alias("high"))
-    return lc.join(bounds, F.col("target").eqNullSafe(F.col("of_target"))).where(within).drop("of_target", "low", "high")
+    bounds, fit = None, all_fit(lc, ("target",))  # rounds only take away
+    for _ in range(rounds):
+        left = lc.select("target", "flux") if bounds is None else with_joined(lc.select("target", "flux"), bounds, "inner").where(within)
+        spread = left.groupBy("target").agg((sigma * F.stddev_pop("flux")).alias("room"))
+        now = with_joined(spread, medians(left, ("target",), "flux", "m", poisoned=True, fit=fit or None))
+        low = F.col("m") - F.col("room") if both else F.lit(float("-inf"))
+        now = now.select("target", low.alias("low"), (F.col("m") + F.col("room")).alias("high"))
+        if bounds is not None:
+            old = bounds.withColumnsRenamed({"low": "old_low", "high": "old_high"})
+            now = with_joined(now, old).select("target", F.greatest("low", "old_low").alias("low"), F.least("high", "old_high").alias("high"))
+        bounds = kept(now)
+    return with_joined(lc, bounds, "inner").where(within).drop("low", "high")
 
 
 def interpolate(rows: DataFrame, column: str = "flux", keys: tuple[str, ...] = ("target",), time: str = "t") -> DataFrame:
@@ -146,4 +152,4 @@ def bin_median(folded: DataFrame, n_bins: int) -> DataFrame:
     """(target, bin, median_flux) over the phases' own range; the last bin is closed; bins without points are left out."""
     rows = with_target_stats(folded, F.min("phase").alias("lo"), F.max("phase").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("phase") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * n_bins)).otherwise(0)
-    return rows.groupBy("target", F.least(at, F.lit(n_bins - 1)).cast("int").alias("bin")).agg(F.median("flux").alias("median_flux"))
+    return medians(rows.withColumn("bin", F.least(at, F.lit(n_bins - 1)).cast("int")), ("target", "bin"), "flux", "median_flux")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipper.functions.scores import ratio_or_zero
-from dipper.operators.lightcurve import plain_median
+from dipper.operators.lightcurve import with_joined
+from dipper.operators.selection import medians
+from dipper.sources.store import kept
 
 #: Deviations of the mean image that thresholds are tried at.
 SIGMAS = (5.0, 6.0, 7.0, 8.0, 9.0)
@@ -36,7 +38,7 @@ def brightest_pixel(image: DataFrame) -> DataFrame:
 
 def global_background(image: DataFrame) -> DataFrame:
     """(target, background): the median of the image without NaN."""
-    return image.where("not isnan(value)").groupBy("target").agg(F.median("value").alias("background"))
+    return medians(image, ("target",), "value", "background")
 
 
 def local_background(image: DataFrame, center: DataFrame, inner: float = 3.0, outer: float = 5.0) -> DataFrame:
@@ -44,8 +46,8 @@ def local_background(image: DataFrame, center: DataFrame, inner: float = 3.0, ou
     c = center.select(F.col("target").alias("of_target"), F.col("row").alias("cr"), F.col("col").alias("cc"))
     far = F.sqrt(F.pow(F.col("row") - F.col("cr"), 2) + F.pow(F.col("col") - F.col("cc"), 2))
     rows = image.join(c, F.col("target").eqNullSafe(F.col("of_target")))
-    inside = F.when(far.between(inner, outer) & ~F.isnan("value"), F.col("value"))
-    return rows.groupBy("target").agg(F.coalesce(F.median(inside), F.lit(float("nan"))).alias("background"))
+    inside = medians(rows.where(far.between(inner, outer)), ("target",), "value", "background")
+    return with_joined(center.select("target"), inside).withColumn("background", F.coalesce("background", F.lit(float("nan"))))
 
 
 def _grow(image: np.ndarray, seed: tuple[int, int], threshold: float) -> list[tuple[int, int]]:
@@ -110,17 +112,17 @@ def measure_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) ->
     The threshold is the local background plus sigma deviations of the mean image; the score is the signal to noise of
     the normalised flux over the root of the aperture's size. The best is the largest score, then the least sigma.
     """
-    image = mean_image(pixels)
-    seeds = brightest_pixel(image)
-    background = local_background(image, seeds)
+    image = kept(mean_image(pixels))
+    seeds = kept(brightest_pixel(image))
+    background = kept(local_background(image, seeds))
     spread = image.groupBy("target").agg(F.stddev_pop("value").alias("spread"))
     levels = background.join(spread, "target").select("target", F.explode(F.array(*map(F.lit, sigmas))).alias("sigma"), "background", "spread")
     thresholds = levels.select("target", "sigma", (F.col("background") + F.col("sigma") * F.col("spread")).alias("threshold"))
-    growth = grow_apertures(image, seeds, thresholds)
-    flux = aperture_flux(pixels, growth, background, levels)
-    median = flux.groupBy("target", "sigma").agg(plain_median("flux").alias("m"))
+    growth = kept(grow_apertures(image, seeds, thresholds))
+    flux = kept(aperture_flux(pixels, growth, background, levels))
+    median = medians(flux, ("target", "sigma"), "flux", "m", poisoned=True)
     scaled = flux.join(median, ["target", "sigma"]).select("target", "sigma", "cadence", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m")).alias("flux"))
-    middle = scaled.groupBy("target", "sigma").agg(plain_median("flux").alias("signal"))
+    middle = medians(scaled, ("target", "sigma"), "flux", "signal", poisoned=True)
     d = F.col("flux") - F.col("signal")
     stats = scaled.join(middle, ["target", "sigma"]).groupBy("target", "sigma").agg(F.first("signal").alias("signal"), F.stddev_pop("flux").alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
     size = growth.groupBy("target", "sigma").agg(F.count(F.lit(1)).alias("pixels"))
