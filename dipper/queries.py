@@ -689,6 +689,17 @@ def fits_light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.read_fits(spark, folder).select("target", "t", "flux", "quality")
 
 
+@query(f"WITH {_LC} SELECT t, flux FROM lc WHERE quality IN (0, 2) AND flux > 10 AND target <> 'click'")
+def fits_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light curves written by the format with a commit, and read by it: two columns, filters taken, tables split by rows."""
+    folder = f"{store.new_folder(spark, 'fits')}/curves"
+    fits.register(spark)
+    names = {"time": "BJD", "flux": "SAP_FLUX", "flags": "SAP_QUALITY"}
+    light_curves(spark, sf_dir).select("target", "t", "flux", "quality").repartition("target").write.format("fits").options(**names).mode("append").save(folder)
+    rows = spark.read.format("fits").option("splitBytes", 40_000).schema("target string, t double, flux double, quality int").load(folder)
+    return rows.where("quality in (0, 2) and flux > 10 and target <> 'click'").select("t", "flux")
+
+
 @query(f"WITH {_LC} SELECT 'TIC ' || target AS object, count(*)::BIGINT AS n_rows, 2::BIGINT AS n_hdus, 'TIME D, FLUX D, QUALITY J' AS fields FROM lc GROUP BY 1")
 def fits_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the headers of these files say."""

@@ -1,11 +1,12 @@
 """FITS files as a Spark data source: ``spark.read.format("fits").load(path)``.
 
 Reads the first binary table that has a time and a flux column, of each file that a path or glob names, as (path,
-target, t, flux, quality), or with option ``mode`` = ``headers`` as (path, hdu, cards). Only the columns asked for are
-decoded. ``.gz`` files are unpacked. Rows whose time or flux isn't finite are left out unless ``keepNan`` is true.
+target, t, flux, quality), or with option ``mode`` = ``headers`` as (path, hdu, cards). Only the columns of the schema asked
+for are decoded, filters are applied where rows are read, and large tables are split by rows and read by ranges. ``.gz`` files are unpacked. Rows whose time or flux isn't finite are left out unless ``keepNan`` is true.
 Options ``hdu`` (its number), ``time``, ``flux`` and ``flags`` (column names) pick others than the usual ones.
 Files are listed and read by the Hadoop client through ``binaryFile`` in ``read_fits``, which is the way for remote
-stores; the format itself opens local or mounted paths, one partition a file, and gives Arrow batches.
+stores; the format itself lists local or mounted paths, and gives Arrow batches. It writes with a commit: files get
+their names when all tasks have ended.
 ``write_fits`` writes light curves, and ``write_frames`` pixels, from tasks.
 """
 
@@ -14,17 +15,18 @@ from __future__ import annotations
 import glob
 import gzip
 import math
-import os
+import uuid
 from collections.abc import Callable, Iterator
-
 from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 from dipper.sources.store import write_file
 
@@ -125,6 +127,11 @@ def _column(rows: np.ndarray, cards: dict[str, str], name: str) -> np.ndarray:
     return out * float(cards.get(f"TSCAL{at}", 1)) + float(cards.get(f"TZERO{at}", 0))
 
 
+def _flags(rows: np.ndarray, name: str | None) -> np.ndarray:
+    """Quality flags, kept within 32 bits; zeros where a table has none."""
+    return rows[name].astype(np.int64).clip(-(1 << 31), (1 << 31) - 1).astype(np.int32) if name else np.zeros(len(rows), np.int32)
+
+
 def target_of(cards: dict[str, str], path: str) -> str:
     """The catalogue number, else the object's name without its prefix, else the file's name."""
     return cards.get("TICID") or cards.get("OBJECT", "").replace("TIC ", "") or path.rsplit("/", 1)[-1]
@@ -152,7 +159,7 @@ def light_curve(data: bytes, path: str, keep_nan: bool = False, hdu: int | None
             continue
         rows = np.frombuffer(data, kind, int(cards["NAXIS2"]), start)
         t, f = _column(rows, cards, time), _column(rows, cards, flux)
-        q = rows[flag].astype(np.int64).clip(-(1 << 31), (1 << 31) - 1).astype(np.int32) if flag else np.zeros(len(t), np.int32)
+        q = _flags(rows, flag)
         ok = np.ones(len(t), bool) if keep_nan else np.isfinite(t) & np.isfinite(f)
         return pd.DataFrame({"path": path, "target": target_of(primary | cards, path), "t": t[ok], "flux": f[ok], "quality": q[ok]})
     return empty
@@ -228,37 +235,228 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(_files(spark, path), pixel_frames, FRAME_SCHEMA)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes of table rows in one partition of the format, and in one read.
+SPLIT_BYTES, READ_BYTES = 64 << 20, 16 << 20
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(store, path in it, what stood before it): of any store that Arrow knows; plain paths are local."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path, ""
+    store, name = fs.FileSystem.from_uri(path)
+    return store, name, path.removesuffix(name) if path.endswith(name) else ""
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file for reads of ranges."""
+    store, name, _ = _place(path)
+    return store.open_input_file(name)
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the FITS files that a folder, a file or, locally, a glob names."""
+    store, name, scheme = _place(path)
+    if any(c in name for c in "*?["):
+        found = store.get_file_info(sorted(glob.glob(name)))
+    elif (one := store.get_file_info(name)).type == fs.FileType.Directory:
+        found = store.get_file_info(fs.FileSelector(name))
+    else:
+        found = [one]
+    if missing := [f.path for f in found if f.type == fs.FileType.NotFound]:
+        raise FileNotFoundError(missing[0])
+    return sorted((scheme + f.path, f.size) for f in found if f.type == fs.FileType.File and accepted(f.path) and not f.base_name.startswith("_"))
+
+
+def find_table(file: pa.NativeFile, hdu: int | None = None, names: dict[str, str] | None = None) -> tuple[dict[str, str], dict[str, str], int, dict[str, str | None]] | None:
+    """(primary cards, cards, offset of the rows, columns) of the first table with time and flux; reads headers alone."""
+    at, number, size, primary = 0, 0, file.size(), {}
+    while at < size:
+        raw = b""
+        while True:  # block after block, until the header's END
+            block = file.read_at(BLOCK, at + len(raw))
+            raw += block
+            if not block or any(block[i : i + 8].strip() == b"END" for i in range(0, len(block), CARD)):
+                break
+        cards, start = read_header(raw, 0)
+        primary = primary or cards
+        if cards.get("XTENSION") == "BINTABLE" and hdu in (None, number):
+            kind = table_dtype(cards)
+            columns = {k: next((n for n in ((names[k].upper(),) if k in (names or {}) else known) if n in kind.names), None) for k, known in _USUAL.items()}
+            if columns["time"] and columns["flux"]:
+                return primary, cards, at + start, columns
+        at, number = at + start + padded(data_bytes(cards)), number + 1
+    return None
+
+
+class _Split(InputPartition):
+    """Row ranges of files: (path, first row, row after the last or None for all)."""
+
+    def __init__(self, ranges: list[tuple[str, int, int | None]]):
+        self.ranges = ranges
+
+
+_COMPARE = {"EqualTo": np.equal, "GreaterThan": np.greater, "GreaterThanOrEqual": np.greater_equal, "LessThan": np.less, "LessThanOrEqual": np.less_equal}
+_USUAL = {"time": TIME_NAMES, "flux": FLUX_NAMES, "flags": QUALITY_NAMES}
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    """Takes columns from the schema asked for, and filters on any of them; splits large tables by rows and puts small files together."""
+
+    def __init__(self, options: dict, columns: list[str]):
+        self.options, self.columns = options, columns
+        self.headers = options.get("mode") == "headers"
+        self.keep_nan = options.get("keepnan", "false").lower() == "true"
+        self.hdu = int(options["hdu"]) if "hdu" in options else None
+        self.names = {k: options[k] for k in ("time", "flux", "flags") if k in options}
+        self.pushed: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes comparisons of one column with a value; Spark applies what is given back."""
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            kind = type(f).__name__
+            number = column == "quality" or (column in ("t", "flux") and not self.keep_nan)  # Spark's NaN exceed all numbers, NumPy's none
+            if self.headers or column is None:
+                yield f
+            elif kind == "IsNotNull" and column in ("path", "target", "t", "flux", "quality"):
+                continue
+            elif (kind in _COMPARE and number or kind == "EqualTo" and column in ("path", "target")) and f.value is not None:
+                self.pushed.append((column, kind, f.value))
+            elif kind == "In" and (number or column in ("path", "target")) and None not in f.value:
+                self.pushed.append((column, kind, tuple(f.value)))
+            else:
+                yield f
+
+    def _passes(self, column: str, value: str) -> bool:
+        return all(value in x if kind == "In" else value == x for c, kind, x in self.pushed if c == column)
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"]
-        found = glob.glob(path) if any(c in path for c in "*?[") else glob.glob(f"{path}/*") if os.path.isdir(path) else [path]
-        return [_File(p) for p in sorted(found) if accepted(p)]
+        size = int(self.options.get("splitbytes", SPLIT_BYTES))
+        splits: list[InputPartition] = []
+        small: list[tuple[str, int, int | None]] = []
+        held = 0
+        for p, n in list_files(self.options["path"]):
+            if not self._passes("path", p):
+                continue
+            table = None
+            if n > size and not self.headers and not p.lower().endswith(".gz"):
+                with open_file(p) as file:
+                    table = find_table(file, self.hdu, self.names)
+            if table:
+                rows, step = int(table[1]["NAXIS2"]), max(1, size // max(1, int(table[1]["NAXIS1"])))
+                splits += [_Split([(p, i, min(i + step, rows))]) for i in range(0, rows, step)]
+                continue
+            small.append((p, 0, None))
+            held += n
+            if held >= size:
+                splits.append(_Split(small))
+                small, held = [], 0
+        return splits + ([_Split(small)] if small else [])
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        if self.options.get("mode") == "headers":
-            rows = _header_rows(data, partition.path)
-            cards = pa.array([list(c.items()) for c in rows["cards"]], pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["path"], pa.string()), pa.array(rows["hdu"], pa.int32()), cards], names=["path", "hdu", "cards"])
-        else:
-            names = {k: self.options[k] for k in ("time", "flux", "flags") if k in self.options}
-            hdu = int(self.options["hdu"]) if "hdu" in self.options else None
-            rows = light_curve(data, partition.path, self.options.get("keepnan", self.options.get("keepNan", "false")).lower() == "true", hdu, **names)
-            kinds = pa.schema([("path", pa.string()), ("target", pa.string()), ("t", pa.float64()), ("flux", pa.float64()), ("quality", pa.int32())])
-            yield from pa.Table.from_pandas(rows, kinds, preserve_index=False).combine_chunks().to_batches(100_000)
+        for path, first, stop in partition.ranges if partition else ():  # Spark asks for none where there are none
+            if self.headers:
+                with open_file(path) as f:
+                    rows = _header_rows(f.read(), path)
+                every = {"path": pa.array(rows["path"], pa.string()), "hdu": pa.array(rows["hdu"], pa.int32()), "cards": pa.array([list(c.items()) for c in rows["cards"]], pa.map_(pa.string(), pa.string()))}
+                yield pa.RecordBatch.from_arrays([every[c] for c in self.columns], names=self.columns)
+            else:
+                yield from self._rows(path, first, stop)
+
+    def _rows(self, path: str, first: int, stop: int | None) -> Iterator[pa.RecordBatch]:
+        with open_file(path) as raw:
+            file = raw
+            if path.lower().endswith(".gz") or raw.read_at(2, 0) == b"\x1f\x8b":
+                file = pa.BufferReader(gzip.decompress(raw.read()))
+            table = find_table(file, self.hdu, self.names)
+            if table is None:
+                return
+            primary, cards, start, names = table
+            target = target_of(primary | cards, path)
+            if not self._passes("target", target):
+                return
+            kind, stop = table_dtype(cards), int(cards["NAXIS2"]) if stop is None else stop
+            step = max(1, READ_BYTES // max(1, kind.itemsize))
+            needed = {*self.columns, *(c for c, _, _ in self.pushed)} | ({"t", "flux"} if not self.keep_nan else set())
+            for a in range(first, stop, step):
+                n = min(step, stop - a)
+                rows = np.frombuffer(file.read_at(n * kind.itemsize, start + a * kind.itemsize), kind, n)
+                values: dict[str, np.ndarray] = {}
+                for c, name in (("t", names["time"]), ("flux", names["flux"])):
+                    if c in needed:
+                        values[c] = _column(rows, cards, name)
+                if "quality" in needed:
+                    values["quality"] = _flags(rows, names["flags"])
+                ok = np.ones(n, bool) if self.keep_nan else np.isfinite(values["t"]) & np.isfinite(values["flux"])
+                for c, what, x in self.pushed:
+                    if c in values:
+                        ok &= np.isin(values[c], x) if what == "In" else _COMPARE[what](values[c], x)
+                left = int(ok.sum())
+                if left:
+                    every = {c: pa.array(v[ok]) for c, v in values.items()} | {c: pa.array([v] * left, pa.string()) for c, v in (("path", path), ("target", target)) if c in needed}
+                    yield pa.RecordBatch.from_arrays([every[c] for c in self.columns], names=self.columns)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class _Writer(DataSourceArrowWriter):
+    """Each task writes files under names of its own; the driver gives them their final names when all tasks have ended."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.points = options["path"], int(options.get("points", 500_000))
+        self.ending, self.overwrite = options.get("ending", ".fits"), overwrite
+        self.names = tuple(options.get(k, usual) for k, usual in (("time", "TIME"), ("flux", "FLUX"), ("flags", "QUALITY")))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, folder, _ = _place(self.folder)
+        store.create_dir(folder, recursive=True)
+        held: dict[str | None, list[pd.DataFrame]] = {}
+        names: list[str] = []
+
+        def flush(target: str | None) -> None:
+            part = pd.concat(held.pop(target)).sort_values(["t", "flux"])
+            data = curve_file(target, part, self.names)
+            names.append(f"{quote(str(target), '')}-{uuid.uuid4().hex}{self.ending}")
+            with store.open_output_stream(f"{folder}/_{names[-1]}", compression=None) as f:
+                f.write(gzip.compress(data) if self.ending.endswith(".gz") else data)
+
+        for b in iterator:
+            rows = b.to_pandas()
+            for target, part in rows.groupby("target", dropna=False, sort=False):
+                own = None if pd.isna(target) else target
+                held.setdefault(own, []).append(part)
+                if sum(map(len, held[own])) >= self.points:
+                    flush(own)
+            while sum(len(p) for parts in held.values() for p in parts) >= 4 * self.points:  # many targets share a bound
+                flush(max(held, key=lambda x: sum(map(len, held[x]))))
+        for target in list(held):
+            flush(target)
+        return _Written(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder, _ = _place(self.folder)
+        if self.overwrite:
+            for path, _ in list_files(self.folder):
+                store.delete_file(_place(path)[1])
+        for n in (n for m in messages if m for n in m.names):
+            store.move(f"{folder}/_{n}", f"{folder}/{n}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder, _ = _place(self.folder)
+        for n in (n for m in messages if m for n in m.names):
+            store.delete_file(f"{folder}/_{n}")
 
 
 class FitsSource(DataSource):
-    """``spark.dataSource.register(FitsSource)`` makes the format known."""
+    """``register(spark)`` makes the format known, for reads and writes.
+
+    A schema of some of the columns, as in ``.schema("t double, flux double")``, decodes these alone. Reads take filters,
+    split tables beyond option ``splitBytes`` and put small files together. Writes (``append`` or ``overwrite``) take
+    (target, t, flux, quality) rows, at most ``points`` of them a file; ``time``, ``flux`` and ``flags`` name their columns.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -267,8 +465,26 @@ class FitsSource(DataSource):
     def schema(self) -> str:
         return HEADER_SCHEMA if self.options.get("mode") == "headers" else LC_SCHEMA
 
-    def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(dict(self.options))
+    def reader(self, schema: StructType) -> DataSourceReader:
+        known = {f.name: f.dataType for f in _parsed(self.schema()).fields}
+        for f in schema.fields:
+            if known.get(f.name) != f.dataType:
+                raise ValueError(f"the format has no column {f.name} of type {f.dataType.simpleString()}")
+        return _Reader({k.lower(): v for k, v in self.options.items()}, schema.names)
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
+
+
+def _parsed(ddl: str) -> StructType:
+    kinds = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "map<string,string>": MapType(StringType(), StringType())}
+    return StructType([StructField(name, kinds[kind]) for name, kind in (x.strip().split(" ") for x in ddl.split(", "))])
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format ``fits`` known, and lets it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(FitsSource)
 
 
 def _card(key: str, value: object) -> bytes:
@@ -297,6 +513,12 @@ def write_table(columns: list[tuple[str, str, np.ndarray]], primary: dict[str, o
     return head + table + data.ljust(padded(len(data)), b"\0")
 
 
+def curve_file(target: str | None, part: pd.DataFrame, names: tuple[str, ...] = ("TIME", "FLUX", "QUALITY")) -> bytes:
+    """A file of one target's points, with some names for its columns."""
+    columns = [(names[0], "D", part["t"].to_numpy(float)), (names[1], "D", part["flux"].to_numpy(float)), (names[2], "J", part["quality"].to_numpy(np.int32))]
+    return write_table(columns, {} if target is None else {"OBJECT": f"TIC {target}"})
+
+
 def write_fits(lc: DataFrame, folder: str, ending: str = ".fits", points: int = 500_000) -> None:
     """Writes light curves as FITS files of at most about ``points`` rows each, from tasks; no task holds more of a target."""
     from dipper.operators.lightcurve import with_target_stats
@@ -306,7 +528,7 @@ def write_fits(lc: DataFrame, folder: str, ending: str = ".fits", points: int =
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "flux"])
-        data = write_table([("TIME", "D", part["t"].to_numpy(float)), ("FLUX", "D", part["flux"].to_numpy(float)), ("QUALITY", "J", part["quality"].to_numpy(np.int32))], {} if key[0] is None else {"OBJECT": f"TIC {key[0]}"})
+        data = curve_file(key[0], part)
         write_file(folder, f"{quote(str(key[0]), '')}-{key[1]}{ending}", gzip.compress(data) if ending.endswith(".gz") else data)
         return pd.DataFrame({"rows": [len(part)]})
 

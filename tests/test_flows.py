@@ -122,7 +122,7 @@ def test_fits(spark, tmp_path):
     rows = fits.read_fits(spark, str(tmp_path)).orderBy("path", "t").collect()
     assert [(r["t"], r["flux"], r["quality"], r["target"]) for r in rows[:2]] == [(1.0, 1.5, 0, "12/34'5"), (4.0, 4.5, 3, "12/34'5")]
     assert len(rows) == 8
-    spark.dataSource.register(fits.FitsSource)
+    fits.register(spark)
     got = spark.read.format("fits").load(str(tmp_path)).collect()
     assert [(r["t"], r["flux"]) for r in sorted(got)] == [(1.0, 1.5), (4.0, 4.5)] * 4
     other = spark.read.format("fits").option("flux", "sap_flux").option("keepNan", "true").load(str(tmp_path / "a.fits")).collect()
