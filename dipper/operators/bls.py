@@ -155,10 +155,10 @@ def linear_periods(spark: SparkSession, lo: float, hi: float, n: int = 10_000) -
     return spark.range(n).select(F.col("id").alias("pid"), (lo + F.col("id") * ((hi - lo) / max(n - 1, 1))).alias("period"))
 
 
-def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int = 16, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK, error: str | None = None) -> DataFrame:
+def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int | None = None, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK, error: str | None = None) -> DataFrame:
     """FIT_SCHEMA rows: the best box of each period of full grids, by the kernel.
 
-    Each light curve goes to ``chunks`` times its blocks of ``block`` points; blocks share its points out, chunks its
+    Each light curve goes to ``chunks`` times its blocks of ``block`` points (once where blocks outnumber tasks); blocks share its points out, chunks its
     periods, and the phase histograms of blocks are added up (``partial.summed``).
     ``periods``: (pid, period) for all targets, a small table; else each target has its own grid, up to
     ``max_fraction`` of its baseline. ``objective``: ``sr``, or ``snr`` (sqrt(n sr) of dips). ``error``: the column of
@@ -188,7 +188,7 @@ LIVE_FIELDS = ("pid", "period", "duration_days", "transit_time", "phase_start",
 LIVE_SCHEMA = "target string, pid long, " + ", ".join(f"{c} double" for c in LIVE_FIELDS[1:])
 
 
-def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_period: float = 0.5, max_fraction: float = 1 / 3, periods: list[float] | None = None, oversample: int = 10, chunks: int = 16, block: int = partial.BLOCK) -> DataFrame:
+def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_period: float = 0.5, max_fraction: float = 1 / 3, periods: list[float] | None = None, oversample: int = 10, chunks: int | None = None, block: int = partial.BLOCK) -> DataFrame:
     """LIVE_SCHEMA rows: the best dip of each period among given durations, by signal to noise (in ``sr``), with its middle.
 
     Bins are the shortest duration over ``oversample`` wide and begin at the target's first time; a box is a whole number

@@ -17,17 +17,27 @@ from dipper.operators.lightcurve import with_target_stats
 
 #: Points of a block, and trials of a part, whose sums are one row.
 BLOCK, PART = 500_000, 32
+#: Groups and tasks for each of Spark's shuffle partitions, so that they share out evenly.
+SHARES = 8
 
 PACKED = "target string, n long, lo double, hi double, chunk int, part int, done boolean, packed binary"
 
 
-def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int = 16, block: int = BLOCK, error: str | None = None) -> DataFrame:
+def chunks_for(lc: DataFrame, block: int | None = None) -> int:
+    """Into how many shares of its trials each light curve's blocks go: 1 where there are enough blocks for all tasks."""
+    sizes = lc.groupBy("target").agg((F.ceil(F.count(F.lit(1)) / block) if block else F.lit(1)).alias("blocks"))
+    groups = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    return max(1, -(-SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(groups, 1)))
+
+
+def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int | None = None, block: int = BLOCK, error: str | None = None) -> DataFrame:
     """Rows of ``schema``, a target and then ``columns``, for trials of each target.
 
     ``trials(lo, hi)``: all trials of a target by its first and last time. ``sums(t, x, w, own, lo)``: an array of sums for
     some points and trials; ``x`` is flux less its mean, ``w`` are weights that sum to 1 in the target, uniform or by
     ``error`` ** -2. ``finish(total, places, own, n, lo, hi)``: tuples of ``columns``, from sums of all points. All numeric.
     """
+    chunks = chunks_for(lc, block) if chunks is None else chunks
     w = F.lit(1.0) if error is None else F.pow(F.col(error), -2)
     stats = (F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("w").alias("w_total"), F.sum(F.col("w") * F.col("flux")).alias("wf_total"))
     rows = with_target_stats(lc.withColumn("w", w).select("target", "t", "flux", "w"), *stats)
@@ -66,7 +76,7 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
         yield out
 
     # a given number, as groups of few bytes hold much work and mustn't be put together
-    rows = rows.repartition(int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "block", "chunk")
+    rows = rows.repartition(SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "block", "chunk")
     packed = rows.groupBy("target", "block", "chunk").applyInPandas(one_block, PACKED)
     return packed.groupBy("target", "chunk", "part").applyInPandas(all_blocks, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dipper.functions.phase import in_circular_box, in_plain_box, in_window, start_phase
 from dipper.functions.scores import checks, erfc_sql, false_alarm, finite
-from dipper.operators import bls, boxes, photometry, report, vetting
+from dipper.operators import bls, boxes, crosscheck, photometry, report, vetting
 from dipper.operators import detrend as detrending
 from dipper.operators import lightcurve as lcs
 from dipper.plans import pipeline
@@ -406,7 +406,36 @@ def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def validation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bls.search(lcs.filter_nan(light_curves(spark, sf_dir)), bls.linear_periods(spark, 2.0, 10.0), min_duration=0.1, max_duration=0.1)
+    """The comparison search on its 10,000 periods in equal steps."""
+    return crosscheck.search(lcs.filter_nan(light_curves(spark, sf_dir)), [2 + i * (8 / 9999) for i in range(10_000)])
+
+
+@query()
+def validation_search_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison search on the grid without limits."""
+    return crosscheck.search(lcs.filter_nan(light_curves(spark, sf_dir)))
+
+
+_CHECK_LIST = ", ".join(f"({i}, {1 / (0.1 + 0.01 * i)!r}::DOUBLE)" for i in range(N_PERIODS))
+_CHECK = f"""
+first AS (SELECT target, t - min(t) OVER o AS t, min(t) OVER o AS t0, flux - median(flux) OVER o AS y FROM lc WINDOW o AS (PARTITION BY target)),
+pl AS (SELECT * FROM (VALUES {_CHECK_LIST}) v(pid, period)), du AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.25::DOUBLE)) v(di, d)),
+f AS (SELECT target, pid, period, t0, t % period AS ph, y FROM first, pl),
+tw AS (SELECT target, pid, period, t0, ph, y, true AS own FROM f UNION ALL SELECT target, pid, period, t0, ph + period, y, false FROM f),
+ins AS (SELECT *, 0 AS di, 0.1::DOUBLE AS d, sum(y) OVER o AS s, count(*) OVER o AS c, row_number() OVER (PARTITION BY target, pid ORDER BY ph, y) AS nr FROM tw WINDOW o AS (PARTITION BY target, pid ORDER BY ph RANGE BETWEEN CURRENT ROW AND 0.1::DOUBLE FOLLOWING)
+        UNION ALL SELECT *, 1, 0.25::DOUBLE, sum(y) OVER o, count(*) OVER o, row_number() OVER (PARTITION BY target, pid ORDER BY ph, y) FROM tw WINDOW o AS (PARTITION BY target, pid ORDER BY ph RANGE BETWEEN CURRENT ROW AND 0.25::DOUBLE FOLLOWING)),
+whole AS (SELECT target, sum(y) AS total, count(*) AS n FROM first GROUP BY 1),
+lik AS (SELECT *, (total - s) / (n - c) - s / c AS depth FROM ins JOIN whole USING (target) WHERE own AND c < n),
+pick AS (SELECT *, 0.5 * c * depth * depth AS power FROM lik WHERE depth > 0
+         QUALIFY row_number() OVER (PARTITION BY target, pid ORDER BY round(0.5 * c * depth * depth, 6) DESC, di, nr) = 1)"""
+
+
+@query(f"""WITH {_LC}, {_CHECK} SELECT target, pid::BIGINT AS pid, {_r('period')} AS period, d AS duration_days, {_r('t0 + (ph + d / 2) % period')} AS transit_time, round(depth, 4) AS depth, round(power, 3) AS power FROM pick""")
+def validation_search_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison search with two durations on the periods of ``bls_search_list``."""
+    periods = [1 / (0.1 + 0.01 * i) for i in range(N_PERIODS)]
+    found = crosscheck.search(lcs.filter_nan(light_curves(spark, sf_dir)), periods, (0.1, 0.25))
+    return rounded(found, "period", "transit_time").select("target", "pid", "period", "duration_days", "transit_time", F.round("depth", 4).alias("depth"), F.round("power", 3).alias("power"))
 
 
 @query()
@@ -442,12 +471,14 @@ def fap_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bls.exceedance(power.select("target", F.col("sr").alias("best")), levels), "fap")
 
 
-@query(f"""WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power()}, q AS (SELECT target, pid, sr, sde FROM sde)
-SELECT target, pid, {_r('sr')} AS ours, {_r('sde')} AS theirs, {_r('abs(sr - sde)')} AS abs_diff, CASE WHEN sde > 0 THEN {_r('abs(sr - sde) / sde')} ELSE 'inf'::DOUBLE END AS rel_diff FROM q""")
+@query(f"""WITH a AS (SELECT target, period AS ours FROM ({ORACLE_SQL["bls_search_list"]}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY sr DESC, pid) = 1),
+b AS (SELECT target, period AS theirs FROM ({ORACLE_SQL["validation_search_list"]}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY power DESC, pid) = 1)
+SELECT target, 'period' AS quantity, ours, theirs, {_r('abs(ours - theirs)')} AS abs_diff, {_r('abs(ours - theirs) / theirs')} AS rel_diff FROM a JOIN b USING (target)""")
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    power = bls.with_sde(_power_of(spark, sf_dir))
-    both = bls.compare_results(power.select("target", "pid", F.col("sr").alias("value")), power.select("target", "pid", F.col("sde").alias("value")), ("target", "pid"))
-    return rounded(both, "ours", "theirs", "abs_diff", "rel_diff")
+    """The best periods of the flow's search and of the comparison search, on one list."""
+    best = lambda df, by: rounded(df.groupBy("target").agg(F.min_by("period", F.struct(-F.col(by), F.col("pid"))).alias("value")), "value").withColumn("quantity", F.lit("period"))
+    both = bls.compare_results(best(bls_search_list(spark, sf_dir), "sr"), best(validation_search_list(spark, sf_dir), "power"), ("target", "quantity"))
+    return rounded(both, "abs_diff", "rel_diff")
 
 
 # --- vetting and reports ---
