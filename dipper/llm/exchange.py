@@ -50,9 +50,8 @@ def deal(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ())
     rest = [F.struct(*carry).alias("rest")] if carry else []
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # rows without an id are told apart by their texts
-    key = F.xxhash64(F.coalesce(F.xxhash64("id"), F.lit(0)), F.when(F.col("id").isNull(), F.col("text")))
-    return deal_buckets(rows, key, total)
+    # by both, so that neither an id of many texts nor a text of many ids fills a bucket; steps must deal alike, so not by place
+    return deal_buckets(rows, F.xxhash64("id", "text"), total)
 
 
 def shard_slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:

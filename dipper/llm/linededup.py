@@ -80,7 +80,8 @@ class LineIndex:
     def __init__(self, entries: np.ndarray, min_docs: int):
         keys, inverse = np.unique(in_full(entries), return_inverse=True)
         docs = np.bincount(inverse, weights=entries["docs"], minlength=len(keys)).astype(np.int64)
-        keys, docs = keys[docs > 1], docs[docs > 1]
+        shared = docs >= min(2, min_docs)  # a line of one document alone says nothing, unless one is enough
+        keys, docs = keys[shared], docs[shared]
         hi, lo = keys["hi"].copy(), keys["lo"].copy()
         self.hash = PerfectHash(hi, lo)
         slot = self.hash(hi, lo)
