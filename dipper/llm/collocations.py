@@ -36,8 +36,8 @@ from dipper.llm.bpe import buffers
 from dipper.llm.common import cut, mix, parallelism, word_hashes
 from dipper.llm.exchange import answer, deal_buckets, shard_slices, with_answers
 
-#: Bytes of text for which one shard is made.
-SHARD_BYTES = 16 << 20
+#: Bytes of text for which one shard is made, and how many there are at least.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 32
 #: Occurrences of a pivot that one salt takes, about.
 PIVOT_FRAGMENTS = 200_000
 
@@ -266,7 +266,7 @@ def count_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         raise ValueError("phrases of 2 to 100 words")
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(parallelism(df.sparkSession), -(-total // SHARD_BYTES))
+    shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
     dealt = deal_buckets(rows.withColumn("place", F.monotonically_increasing_id()), F.xxhash64("place"), total)
 
     def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -329,8 +329,10 @@ ORACLE_SQL = {
 WITH docs AS (
   SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 pieces AS (SELECT d, lang, unnest(string_split_regex(text, '[.,;:!?
--]')) AS piece, generate_subscripts(string_split_regex(text, '[.,;:!?
--]'), 1) AS p FROM docs),
+-
+]')) AS piece, generate_subscripts(string_split_regex(text, '[.,;:!?
+-
+]'), 1) AS p FROM docs),
 split AS (SELECT d, p, lang, [w for w in string_split_regex(piece, '[ 	]+') if w <> ''] AS ws FROM pieces),
 words AS (SELECT d, p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
 run AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY d, p ORDER BY i)),
