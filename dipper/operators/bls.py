@@ -8,6 +8,8 @@ Scores compare after rounding to 6 digits; ties go to the narrower, then the ear
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from dipper.functions.phase import phase, phase_bin
 from dipper.functions.scores import box_depth, dip_snr, signal_residue
 from dipper.operators import kernels, partial
-from dipper.operators.lightcurve import with_weights
+from dipper.operators.lightcurve import with_joined, with_weights
 
 #: Ratios of periods that count as harmonics.
 HARMONICS = (0.5, 2.0, 1 / 3, 3.0, 2 / 3, 1.5, 0.25, 4.0)
@@ -59,7 +61,9 @@ def histogram(weighted: DataFrame, n_periods: int, n_bins: int, period: Column |
     sums = points.groupBy("target", "pid", phase_bin(phase(F.col("t"), p), n_bins).alias("bin")).agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("r"))
     pairs = sums.select("target", "pid").distinct()
     grid = pairs.select("target", "pid", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    return grid.join(sums, ["target", "pid", "bin"], "left").select("target", "pid", "bin", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    sums = sums.withColumnsRenamed({"target": "of_target", "pid": "of_pid", "bin": "of_bin"})
+    same = F.col("target").eqNullSafe(F.col("of_target")) & (F.col("pid") == F.col("of_pid")) & (F.col("bin") == F.col("of_bin"))
+    return grid.join(sums, same, "left").select("target", "pid", "bin", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def prefix_sums(hist: DataFrame) -> DataFrame:
@@ -155,6 +159,12 @@ def linear_periods(spark: SparkSession, lo: float, hi: float, n: int = 10_000) -
     return spark.range(n).select(F.col("id").alias("pid"), (lo + F.col("id") * ((hi - lo) / max(n - 1, 1))).alias("period"))
 
 
+def _grid(first: float, last: float, min_duration: float, max_duration: float, min_period: float | None, max_fraction: float | None) -> np.ndarray:
+    """A target's own periods, by its first and last time."""
+    baseline = last - first
+    return kernels.period_grid(baseline, min_duration, max_duration, min_period, None if max_fraction is None else baseline * max_fraction) if baseline > 0 else np.zeros(0)
+
+
 def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int | None = None, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK, error: str | None = None) -> DataFrame:
     """FIT_SCHEMA rows: the best box of each period of full grids, by the kernel.
 
@@ -170,8 +180,7 @@ def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, m
     def trials(first: float, last: float) -> np.ndarray:
         if explicit is not None:
             return np.array([p for _, p in explicit])
-        baseline = last - first
-        return kernels.period_grid(baseline, min_duration, max_duration, min_period, None if max_fraction is None else baseline * max_fraction) if baseline > 0 else np.zeros(0)
+        return _grid(first, last, min_duration, max_duration, min_period, max_fraction)
 
     def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
         return np.array([kernels.histogram(t, x, w, p, n_bins) for p in own])
@@ -236,42 +245,73 @@ def search_per_target(lc: DataFrame, **options: float) -> DataFrame:
     return search(lc, **({"min_duration": 0.05, "max_duration": 0.3, "min_period": 0.5, "max_fraction": 1 / 3, "objective": "snr"} | options))
 
 
-def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, seed: int = 1, n_periods: int = 64, n_bins: int = 100, min_width: int = 1, max_width: int = 8, per_task: int = 20, error: str | None = None) -> DataFrame:
-    """(target, fap, rounds): the share of shuffles of the flux whose best sr reaches the observed one.
+#: Values of shuffled curves that a task holds at once.
+SHUFFLED = 4_000_000
 
-    ``observed``: (target, sr) of a search of the same grid. Shuffles are by a seed of their round, so a rerun gives the
-    same. ``per_task`` rounds share one copy of a light curve and its phase bins. ``error``: a column of errors, which stay
-    where they are while fluxes are shuffled.
+
+def shuffled_best(lc: DataFrame, rounds: int, trials: Callable[[float, float], np.ndarray], spans: Callable[[float], range], order: Callable[[int, int], np.ndarray], n_bins: int, per_task: int = 50, chunks: int | None = None, error: str | None = None, dips: bool = False) -> DataFrame:
+    """(target, round, best): the best score of each shuffle of a target's flux over its trial periods.
+
+    Work is dealt in tiles of ``per_task`` rounds and one of ``chunks`` shares of the periods; where (target, tile) groups
+    outnumber tasks, there is one share. A tile holds its light curve whole, as a shuffle is over all points; its shuffles
+    are taken so many at a time that they fit ``SHUFFLED`` values. ``trials(first, last)``: periods; ``spans(period)``:
+    widths in bins; ``order(n, k)``: places of n points in round k.
     """
-    tasks = -(-rounds // per_task)
-    curves = lc.select("target", "t", "flux", (F.lit(1.0) if error is None else F.col(error)).alias("error"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
-    curves = curves.repartition(int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "task")
-    periods = 1 / (0.1 + 0.01 * np.arange(n_periods))
-    spans = range(min_width, max_width + 1)
+    tiles = max(1, -(-rounds // per_task))
+    chunks = max(1, -(-partial.chunks_for(lc) // tiles)) if chunks is None else chunks
+    curves = lc.select("target", "t", "flux", (F.lit(1.0) if error is None else F.col(error)).alias("error"))
+    curves = curves.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    curves = curves.repartition(partial.SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "tile", "chunk")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "flux"])
         t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
-        own = range(key[1] * per_task, min(rounds, (key[1] + 1) * per_task))
         errors = None if error is None else part["error"].to_numpy(float)
-        shuffled = [np.multiply(*kernels.weights(np.random.default_rng([seed, k]).permutation(flux), errors)) for k in own]
-        _, w = kernels.weights(flux, errors)
-        best = np.zeros(len(own))
-        for p in periods:
-            bins = kernels.phase_bins(t, p, n_bins)
-            r = np.bincount(bins, w, n_bins)
-            for i, wx in enumerate(shuffled):
-                if found := kernels.best_window(np.bincount(bins, wx, n_bins), r, spans, False):
-                    best[i] = max(best[i], found[4])
-        return pd.DataFrame({"target": key[0], "best": best})
+        own = list(range(key[1] * per_task, min(rounds, (key[1] + 1) * per_task)))
+        periods = trials(t[0], t[-1])[key[2] :: chunks]
+        wide, most = [spans(p) for p in periods], max(1, SHUFFLED // len(t))
+        best = [kernels.shuffled_best(t, flux, [order(len(t), k) for k in own[i : i + most]], periods, wide, n_bins, errors, dips) for i in range(0, len(own), most)]
+        return pd.DataFrame({"target": key[0], "round": own, "best": np.concatenate(best)}) if own else pd.DataFrame({"target": [], "round": [], "best": []})
+
+    tiled = curves.groupBy("target", "tile", "chunk").applyInPandas(run, "target string, round int, best double")
+    return tiled.groupBy("target", "round").agg(F.max("best").alias("best"))
+
+
+def bootstrap_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, seed: int = 1, n_periods: int = 64, n_bins: int = 100, min_width: int = 1, max_width: int = 8, per_task: int = 50, error: str | None = None) -> DataFrame:
+    """(target, fap, rounds): the share of shuffles of the flux whose best sr reaches the observed one, on the small grid.
+
+    ``observed``: (target, sr) of a search of the same grid. Shuffles are by a seed of their round, so a rerun gives the
+    same. ``error``: a column of errors, which stay where they are while fluxes are shuffled.
+    """
+    periods = 1 / (0.1 + 0.01 * np.arange(n_periods))
+    order = lambda n, k: np.random.default_rng([seed, k]).permutation(n)
+    return exceedance(shuffled_best(lc, rounds, lambda first, last: periods, lambda p: range(min_width, max_width + 1), order, n_bins, per_task, error=error), observed)
+
+
+def search_shuffles(lc: DataFrame, rounds: int = 1000, periods: list[float] | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, seed: int = 1, per_task: int = 50, chunks: int | None = None, error: str | None = None, dips: bool = False) -> DataFrame:
+    """(target, round, best): the best sr of ``search`` on each of ``rounds`` shuffles of the flux, over that search's own periods and widths.
+
+    Options are those of ``search``. The order of round k is ``kernels.hashed_order``, so a rerun, and SQL, give the same.
+    """
+
+    def trials(first: float, last: float) -> np.ndarray:
+        return np.array(periods, float) if periods is not None else _grid(first, last, min_duration, max_duration, min_period, max_fraction)
+
+    def spans(period: float) -> range:
+        return kernels.widths(*kernels.duration_fractions(period, min_duration, max_duration), n_bins)
+
+    return shuffled_best(lc, rounds, trials, spans, lambda n, k: kernels.hashed_order(n, k, seed), n_bins, per_task, chunks, error, dips)
+
 
-    best = curves.groupBy("target", "task").applyInPandas(run, "target string, best double")
-    return exceedance(best, observed)
+def search_fap(lc: DataFrame, observed: DataFrame, rounds: int = 1000, **options: float) -> DataFrame:
+    """(target, fap, rounds): the share of ``search_shuffles`` that reach the observed (target, sr) of a search with the same options."""
+    return exceedance(search_shuffles(lc, rounds, **options), observed)
 
 
 def exceedance(best: DataFrame, observed: DataFrame) -> DataFrame:
     """(target, fap, rounds): the share of the ``best`` of a target's rounds that reach its observed ``sr``."""
-    return best.join(observed, "target").groupBy("target").agg(F.avg((F.col("best") >= F.col("sr")).cast("double")).alias("fap"), F.count(F.lit(1)).alias("rounds"))
+    rows = with_joined(best.select("target", "best"), observed.select("target", "sr"), "inner")
+    return rows.groupBy("target").agg(F.avg((F.col("best") >= F.col("sr")).cast("double")).alias("fap"), F.count(F.lit(1)).alias("rounds"))
 
 
 def compare_results(ours: DataFrame, theirs: DataFrame, keys: tuple[str, ...] = ("quantity",)) -> DataFrame:

@@ -139,6 +139,54 @@ def best_dip(x: np.ndarray, count: np.ndarray, spans: np.ndarray) -> tuple[int,
     return None if snr[k, i] < 0 else (i, k, float(depth[k, i]), float(snr[k, i]))
 
 
+def hashed_order(n: int, k: int, seed: int = 1) -> np.ndarray:
+    """The places of n points in the order of shuffle ``k``: by a hash of the place, ties by the place itself. SQL can give the same."""
+    salt = (seed * 1009 + k) * 7919
+    x = np.arange(n, dtype=np.int64) * 69069 % (1 << 31)
+    for _ in range(3):
+        x = (x * 1103515245 + 12345 + salt) % (1 << 31)
+        x ^= x >> 15
+    return np.argsort(x, kind="stable")
+
+
+def best_scores(s: np.ndarray, r: np.ndarray, spans: range, dips: bool = False) -> np.ndarray:
+    """The largest score of ``best_window`` for each column of ``s`` (bins x shuffles), 0 where no window has one."""
+    n, wide = len(r), max(spans, default=0)
+    ps, pr = (np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(np.concatenate([v, v[:wide]]), axis=0)]) for v in (s, r))
+    best, now = np.zeros(s.shape[1]), np.empty(s.shape)
+    for w in spans:
+        inside = pr[w : w + n] - pr[:n]
+        ok = (inside > 1e-12) & (inside < 1 - 1e-12)
+        scale = np.divide(1.0, inside * (1 - inside), out=np.zeros(n), where=ok)
+        np.subtract(ps[w : w + n], ps[:n], out=now)
+        if dips:
+            np.minimum(now, 0.0, out=now)
+        np.multiply(now, now, out=now)
+        np.multiply(now, scale[:, None], out=now)
+        np.maximum(best, now.max(axis=0), out=best)
+    return best
+
+
+def shuffled_best(t: np.ndarray, flux: np.ndarray, orders: list[np.ndarray], periods: np.ndarray, spans: list[range], n_bins: int, errors: np.ndarray | None = None, dips: bool = False) -> np.ndarray:
+    """The best score of each shuffle of the flux over all periods; times and errors stay where they are.
+
+    A period's bins are found once for all shuffles. Their sums are one product of the (bins x points) matrix of the period,
+    which has a single one in each column, with the (points x shuffles) matrix: rows in order of bins, summed run by run.
+    """
+    _, w = weights(flux, errors)
+    moved = flux[np.array(orders)]
+    moved = np.ascontiguousarray(((moved - (moved @ w)[:, None]) * w).T)
+    best = np.zeros(len(orders))
+    for period, wide in zip(periods, spans, strict=True):
+        bins = phase_bins(t, period, n_bins)
+        by_bin = np.argsort(bins, kind="stable")
+        filled, first = np.unique(bins[by_bin], return_index=True)
+        s = np.zeros((n_bins, len(orders)))
+        s[filled] = np.add.reduceat(moved[by_bin], first, axis=0)
+        np.maximum(best, best_scores(s, np.bincount(bins, w, n_bins), wide, dips), out=best)
+    return best
+
+
 def duration_fractions(period: float, min_duration: float, max_duration: float) -> tuple[float, float]:
     lo = min(max(min_duration / period, 0.005), 0.5)
     return lo, max(lo + 0.005, min(max_duration / period, 0.5))

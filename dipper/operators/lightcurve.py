@@ -140,7 +140,8 @@ def bin_mean(folded: DataFrame, n_bins: int = 100) -> DataFrame:
 def _dense(folded: DataFrame, n_bins: int, value: Column) -> DataFrame:
     binned = folded.where("phase >= 0 and phase < 1").groupBy("target", F.floor(F.col("phase") * n_bins).cast("int").alias("bin")).agg(value)
     grid = folded.select("target").distinct().select(F.col("target"), F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    return grid.join(binned, ["target", "bin"], "left")
+    binned = binned.withColumnsRenamed({"target": "of_target", "bin": "of_bin"})
+    return grid.join(binned, F.col("target").eqNullSafe(F.col("of_target")) & (F.col("bin") == F.col("of_bin")), "left").drop("of_target", "of_bin")
 
 
 def display_bins(duration: float, period: float) -> int:

@@ -457,10 +457,35 @@ def fap_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bls.with_sde(_power_of(spark, sf_dir)).select("target", "pid", false_alarm("sde", F.lit(float(N_PERIODS))).alias("fap")), "fap")
 
 
+_LIST_PERIODS = [1 / (0.1 + 0.01 * i) for i in range(N_PERIODS)]
+_LIST_SEARCH = {"min_duration": 0.05, "max_duration": 0.25}
+
+
 @query()
 def fap_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lc = light_curves(spark, sf_dir)
-    return bls.bootstrap_fap(lc, bls.best_period(_power_of(spark, sf_dir)).select("target", "sr"))
+    """1,000 shuffles of the search with 400 bins on the periods of ``bls_search_list``."""
+    lc = lcs.filter_nan(light_curves(spark, sf_dir))
+    periods = spark.range(N_PERIODS).select(F.col("id").alias("pid"), bls.explicit_period(F.col("id")).alias("period"))
+    observed = bls.search(lc, periods, **_LIST_SEARCH).groupBy("target").agg(F.max("sr").alias("sr"))
+    return bls.search_fap(lc, observed, periods=_LIST_PERIODS, **_LIST_SEARCH)
+
+
+def _shuffled_sql(rounds: int, seed: int = 1) -> str:
+    """xw of each shuffle, as a target of its own: point i takes the flux of the i-th point by hash."""
+    steps = "SELECT target, k, i, x, i * 69069 % 2147483648 AS h FROM pts, ks"
+    for _ in range(3):
+        steps = f"SELECT target, k, i, x, xor(y, y >> 15) AS h FROM (SELECT target, k, i, x, (h * 1103515245 + 12345 + ({seed * 1009} + k) * 7919) % 2147483648 AS y FROM ({steps}))"
+    return f"""ks AS (SELECT i AS k FROM range({rounds}) r(i)),
+pts AS (SELECT target, t, flux - avg(flux) OVER (PARTITION BY target) AS x, 1.0::DOUBLE / count(*) OVER (PARTITION BY target) AS w, row_number() OVER (PARTITION BY target ORDER BY t, flux) - 1 AS i FROM lc),
+moved AS (SELECT target, k, x, row_number() OVER (PARTITION BY target, k ORDER BY h, i) - 1 AS i FROM ({steps})),
+xw AS (SELECT p.target || '|' || m.k AS target, p.t, m.x, p.w FROM pts p JOIN moved m USING (target, i))"""
+
+
+@query(f"""SELECT split_part(target, '|', 1) AS target, split_part(target, '|', 2)::INTEGER AS round, max(sr) AS best
+FROM ({ORACLE_SQL["bls_search_list"].replace(_XW, _shuffled_sql(4))}) GROUP BY ALL""")
+def fap_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best score of each of four shuffles, whole, of the search on the list."""
+    return rounded(bls.search_shuffles(lcs.filter_nan(light_curves(spark, sf_dir)), 4, _LIST_PERIODS, N_BINS, **_LIST_SEARCH), "best")
 
 
 @query(f"""WITH {_LC}, {_XW}, {_HIST}, {_PREFIX}, {_power()}, m AS (SELECT target, avg(sr) AS level FROM power GROUP BY 1)
