@@ -70,17 +70,22 @@ def _grow(image: np.ndarray, seed: tuple[int, int], threshold: float) -> list[tu
 def grow_apertures(image: DataFrame, seeds: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(target, sigma, row, col, seq): the pixels of each aperture in order of growth, from 1.
 
-    ``seeds``: (target, row, col); ``thresholds``: (target, sigma, threshold). A group is one image.
+    ``seeds``: (target, row, col); ``thresholds``: (target, sigma, threshold). A group is one image, and is flooded once: as
+    the brightest border pixel comes first, a threshold's aperture is what the flood to the lowest one took before its first
+    fainter pixel. NaN pixels grow at once; a NaN threshold takes all.
     """
     s = seeds.select("target", F.col("row").alias("seed_row"), F.col("col").alias("seed_col"))
     t = thresholds.groupBy("target").agg(F.collect_list(F.struct("sigma", "threshold")).alias("thresholds"))
-    rows = image.join(s, "target").join(t, "target")
+    rows = with_joined(with_joined(image, s, "inner"), t, "inner")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         field = np.full((int(part["row"].max()) + 1, int(part["col"].max()) + 1), -np.inf)
-        field[part["row"], part["col"]] = part["value"]
+        field[part["row"], part["col"]] = part["value"].fillna(np.inf)
         seed = (int(part["seed_row"].iloc[0]), int(part["seed_col"].iloc[0]))
-        out = [(key[0], x["sigma"], r, c, i) for x in part["thresholds"].iloc[0] for i, (r, c) in enumerate(_grow(field, seed, x["threshold"]), 1)]
+        levels = [(x["sigma"], -np.inf if x["threshold"] is None or np.isnan(x["threshold"]) else x["threshold"]) for x in part["thresholds"].iloc[0]]
+        order = _grow(field, seed, min(level for _, level in levels))
+        faintest = np.minimum.accumulate([field[p] for p in order]) if order else np.zeros(0)
+        out = [(key[0], sigma, r, c, i) for sigma, level in levels for i, (r, c) in enumerate(order[: int((faintest >= level).sum())], 1)]
         return pd.DataFrame(out, columns=["target", "sigma", "row", "col", "seq"])
 
     return rows.groupBy("target").applyInPandas(run, "target string, sigma double, row int, col int, seq int")

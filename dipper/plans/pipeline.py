@@ -57,8 +57,8 @@ def search_stage(lc: DataFrame, threshold: float = 3.0, **options: float) -> tup
 
 
 def measure(tables: Tables) -> Tables:
-    """``raw`` light curves of the best apertures, from ``pixels`` and ``cadences``."""
-    return {"raw": kept(photometry_stage(tables["pixels"], tables["cadences"]))}
+    """``raw`` light curves of the best apertures, from ``pixels`` and ``cadences``; ``targets``: all, with or without a light curve."""
+    return {"raw": kept(photometry_stage(tables["pixels"], tables["cadences"])), "targets": tables["pixels"].select("target").distinct()}
 
 
 def clean_up(tables: Tables) -> Tables:
@@ -80,8 +80,9 @@ def vet(tables: Tables) -> Tables:
 
 
 def summarize(tables: Tables) -> Tables:
-    """The batch ``report``, a row for each target of ``raw``."""
-    return {"report": report.batch_report(tables["raw"].select("target").distinct(), tables["best"])}
+    """The batch ``report``, a row for each of ``targets``, where photometry gave them, else for each of ``raw``."""
+    targets = tables["targets"] if "targets" in tables else tables["raw"].select("target").distinct()
+    return {"report": report.batch_report(targets, tables["best"])}
 
 
 STAGES: list[Stage] = [("cleaning", clean_up), ("search", search), ("vetting", vet), ("report", summarize)]

@@ -18,8 +18,8 @@ from dipper.operators import detrend as detrending
 from dipper.operators import lightcurve as lcs
 from dipper.plans import pipeline
 from dipper.sources import fits, store, synthetic
-from dipper.sources.adapters import light_curves, pixels, user_light_curves
-from dipper.streaming import landing
+from dipper.sources.adapters import event_times, light_curves, pixels, user_light_curves
+from dipper.streaming import jobs, landing
 
 PERIOD = 5.0
 N_PERIODS, N_BINS, WIDEST, THRESHOLD = 64, 100, 8, 1.0
@@ -288,15 +288,19 @@ def period_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bls.period_grid(lcs.baselines(light_curves(spark, sf_dir)), 0.1, 0.3, 2.0, 10.0), "period")
 
 
-@query("""SELECT i AS pid, greatest(1, floor(lo * 400)::INTEGER) AS min_width, least(greatest(greatest(1, floor(lo * 400)::INTEGER) + 1, ceil(hi * 400)::INTEGER), 200) AS max_width
-FROM (SELECT i, lo, greatest(lo + 0.005::DOUBLE, least(0.25::DOUBLE / p, 0.5)) AS hi
-      FROM (SELECT i, p, least(greatest(0.05::DOUBLE / p, 0.005), 0.5) AS lo FROM (SELECT i, 1 / (0.1::DOUBLE + 0.01::DOUBLE * i) AS p FROM range(64) r(i))))""")
+@query(f"""WITH {_LC}, b AS (SELECT target, max(t) - min(t) AS baseline FROM lc GROUP BY 1),
+s AS (SELECT *, 0.05::DOUBLE / (baseline * baseline) AS step, baseline / 2 AS longest FROM b),
+g AS (SELECT target, longest, 1 / (1 / longest + step * i) AS p FROM s, LATERAL (SELECT unnest(range(0, ceil((1 / 0.5::DOUBLE - 1 / longest) / step)::BIGINT + 1)) AS i)),
+w AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY p) - 1 AS pid, p, least(greatest(0.05::DOUBLE / p, 0.005), 0.5) AS lo FROM g WHERE p BETWEEN 0.5 AND longest),
+h AS (SELECT *, greatest(lo + 0.005::DOUBLE, least(0.25::DOUBLE / p, 0.5)) AS hi FROM w)
+SELECT target, pid, greatest(1, floor(lo * 400)::INTEGER) AS min_width, least(greatest(greatest(1, floor(lo * 400)::INTEGER) + 1, ceil(hi * 400)::INTEGER), 200) AS max_width FROM h""")
 def duration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bls.explicit_period(F.col("id"))
-    lo = F.least(F.greatest(0.05 / p, F.lit(0.005)), F.lit(0.5))
-    hi = F.greatest(lo + 0.005, F.least(0.25 / p, F.lit(0.5)))
+    """Narrowest and widest boxes of each period of each target's grid."""
+    periods = bls.period_grid(lcs.baselines(light_curves(spark, sf_dir)), 0.05, 0.25, 0.5)
+    lo = F.least(F.greatest(0.05 / F.col("period"), F.lit(0.005)), F.lit(0.5))
+    hi = F.greatest(lo + 0.005, F.least(0.25 / F.col("period"), F.lit(0.5)))
     a, b = bls.duration_grid(400, lo, hi)
-    return spark.range(N_PERIODS).select(F.col("id").alias("pid"), a.alias("min_width"), b.alias("max_width"))
+    return periods.select("target", "pid", a.alias("min_width"), b.alias("max_width"))
 
 
 def _hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -565,9 +569,13 @@ def chart_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.chart_domain(light_curves(spark, sf_dir)), "lo", "hi")
 
 
-def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_progress(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_id") % 17 == 0, "error").when(F.col("event_id") % 5 == 0, "complete").otherwise("running")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), status.alias("status"))
+    return events.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), status.alias("status"))
+
+
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_progress(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 _PROGRESS = "progress AS (SELECT user_id::VARCHAR AS job_id, event_id AS seq, event_type AS stage, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'complete' ELSE 'running' END AS status FROM events)"
@@ -583,6 +591,26 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.job_states(_progress(spark, sf_dir))
 
 
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a stream over all events as they lie in their files."""
+    state, log = store.new_folder(spark, "jobs"), store.new_folder(spark, "jobs-log")
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("maxFilesPerTrigger", 64)
+    jobs.follow(_as_progress(raw.parquet(f"{sf_dir}/events.parque[t]")), log, state).awaitTermination()  # a pattern, as a stream's plain path must be a folder
+    return jobs.read_log(spark, log)
+
+
+@query(ORACLE_SQL["job_states"])
+def job_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States kept by job while events stream in."""
+    return jobs.states(_followed(spark, sf_dir))
+
+
+@query(ORACLE_SQL["latest_status"])
+def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last status of each stage, kept by job while events stream in."""
+    return jobs.stages(_followed(spark, sf_dir))
+
+
 # --- box statistics ---
 
 _FOLDED = f"folded AS (SELECT target, flux, (t % {PERIOD}::DOUBLE) / {PERIOD}::DOUBLE AS p FROM lc)"
@@ -788,18 +816,20 @@ def fits_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("target", "t", "flux", "quality")
 
 
-def _uniform_sql(salt: int) -> str:
-    """A chain of named steps, as nested ones would double with each."""
-    steps = f"SELECT id, (id * 69069 + {(42 * 1009 + salt) * 7919 + 1}) % 2147483648 AS x FROM range(4000) r(id)"
+def _uniform_sql(rows: str, names: tuple[str, ...] = ("v", "w")) -> str:
+    """(id, target, t) rows with a number in (0, 1) for each name; a chain of steps, as nested ones would double with each."""
+    each = lambda form: ", ".join(f"{form.format(n)} AS {n}" for n in names)
+    steps = f"SELECT target, t, {', '.join(f'(id * 69069 + {(42 * 1009 + i) * 7919 + 1}) % 2147483648 AS {n}' for i, n in enumerate(names, 1))} FROM {rows}"
     for _ in range(3):
-        steps = f"SELECT id, xor(y, y >> 15) AS x FROM (SELECT id, (x * 1103515245 + 12345) % 2147483648 AS y FROM ({steps}))"
-    return f"SELECT id, (x + 0.5::DOUBLE) / 2147483648 AS u FROM ({steps})"
+        steps = f"SELECT target, t, {each('xor({0}, {0} >> 15)')} FROM (SELECT target, t, {each('({0} * 1103515245 + 12345) % 2147483648')} FROM ({steps}))"
+    return f"SELECT target, t, {each('({0} + 0.5::DOUBLE) / 2147483648')} FROM ({steps})"
 
 
-@query(f"""WITH u AS (SELECT a.id, a.u * 30 AS t, b.u AS v, c.u AS w FROM ({_uniform_sql(0)}) a JOIN ({_uniform_sql(1)}) b USING (id) JOIN ({_uniform_sql(2)}) c USING (id))
-SELECT (id // 2000)::VARCHAR AS target, {_r('t')} AS t, {_r('1 + 0.002::DOUBLE * sqrt(-2 * ln(v)) * cos(2 * pi() * w) - CASE WHEN t % 5.0::DOUBLE < 0.15::DOUBLE THEN 0.01::DOUBLE ELSE 0 END')} AS flux, 0 AS quality FROM u""")
+@query(f"""WITH own AS (SELECT event_id AS id, event_type AS target, (epoch_us(ts) - 1704067200000000) / 8.64e10::DOUBLE AS t FROM events), u AS ({_uniform_sql("own")})
+SELECT target, t, {_r('1 + 0.002::DOUBLE * sqrt(-2 * ln(v)) * cos(2 * pi() * w) - CASE WHEN t % 5.0::DOUBLE < 0.15::DOUBLE THEN 0.01::DOUBLE ELSE 0 END')} AS flux, 0 AS quality FROM u""")
 def synthetic_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(synthetic.transit_curves(spark, targets=2), "t", "flux")
+    """Known boxes in noise at the times of all events."""
+    return rounded(synthetic.on_times(event_times(spark, sf_dir)), "flux")
 
 
 @query(f"{_CHAIN} SELECT target, peak_rank, {_r('period')} AS period, {_r('sde')} AS sde, is_harmonic, status FROM vetted")

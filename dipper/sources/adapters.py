@@ -18,6 +18,11 @@ def _events(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col(target).cast("string").alias("target"), F.expr(days_since_origin("ts")).alias("t"), F.col("value").alias("flux"), quality.alias("quality"))
 
 
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, target, t) of all events."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").cast("string").alias("target"), F.expr(days_since_origin("ts")).alias("t"))
+
+
 def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, t, flux, quality): one target for each event type."""
     return _events(spark, sf_dir, "event_type")
