@@ -98,7 +98,7 @@ def widths(min_fraction: float, max_fraction: float, n_bins: int) -> range:
 
 
 def best_window(s: np.ndarray, r: np.ndarray, spans: range, dips: bool) -> tuple[int, int, float, float, float] | None:
-    """(start, width, s, r, score) of the window of largest s^2 / (r (1 - r)); ties to the narrower, then the earlier.
+    """(start, width, s, r, score) of the window of largest s^2 / (r (1 - r)); ties, within 1e-10 of it, to the narrower, then the earlier.
 
     ``dips``: windows of positive s (brightenings) don't count.
     """
@@ -113,9 +113,10 @@ def best_window(s: np.ndarray, r: np.ndarray, spans: range, dips: bool) -> tuple
     if dips:
         ok &= ws < 0
     score = np.divide(ws * ws, wr * (1 - wr), out=np.full(ws.shape, -1.0), where=ok)
-    row, i = divmod(int(np.argmax(score)), n)
-    if score[row, i] < 0:
+    top = score.max()
+    if top < 0:
         return None
+    row, i = divmod(int(np.argmax(score >= top * (1 - 1e-10))), n)
     return i, int(wide[row, 0]), float(ws[row, i]), float(wr[row, i]), float(score[row, i])
 
 

@@ -368,16 +368,30 @@ def bls_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = ", ".join(f"({i}, {1 / (0.1 + 0.01 * i)!r}::DOUBLE)" for i in range(N_PERIODS))
 
 
-@query(f"""WITH {_LC}, {_XW}, {_HIST.replace(f"SELECT i AS pid, 1 / (0.1::DOUBLE + 0.01::DOUBLE * i) AS period FROM range({N_PERIODS}) r(i)", f"SELECT * FROM (VALUES {_LIST}) v(pid, period)")},
-{_PREFIX.replace(f"WHERE bin < {WIDEST}", "")},
-spans AS (SELECT pid, period, greatest(1, floor(lo * {N_BINS})::INTEGER) AS a, least(greatest(greatest(1, floor(lo * {N_BINS})::INTEGER) + 1, ceil(hi * {N_BINS})::INTEGER), {N_BINS // 2}) AS b
-  FROM (SELECT *, greatest(lo + 0.005::DOUBLE, least(0.25::DOUBLE / period, 0.5)) AS hi FROM (SELECT *, least(greatest(0.05::DOUBLE / period, 0.005), 0.5) AS lo FROM grid))),
-box AS (SELECT a.target, a.pid, s.period, b.pf - a.pf AS s, b.pr - a.pr AS r FROM prefix a JOIN spans s USING (pid) JOIN prefix b ON b.target = a.target AND b.pid = a.pid AND b.k BETWEEN a.k + s.a AND a.k + s.b WHERE a.k < {N_BINS})
-SELECT target, pid::BIGINT AS pid, {_r('period')} AS period, {_r('max(s * s / (r * (1 - r)))')} AS sr FROM box WHERE r > 1e-12 AND r < 1 - 1e-12 GROUP BY ALL""")
+def _list_search(n: int, shortest: float, longest: float) -> str:
+    """``pick``, the best box of each period of the list with n bins, from ``xw``; ties as in the kernel."""
+    return f"""
+grid AS (SELECT * FROM (VALUES {_LIST}) v(pid, period)),
+sums AS (SELECT target, pid, least(floor((t % period) / period * {n}), {n - 1})::INTEGER AS bin, sum(w * x) AS s, sum(w) AS r FROM xw, grid GROUP BY ALL),
+hist AS (SELECT g.target, g.pid, b.bin, coalesce(s, 0) AS s, coalesce(r, 0) AS r FROM (SELECT DISTINCT target, pid FROM sums) g CROSS JOIN (SELECT i::INTEGER AS bin FROM range({n}) r(i)) b
+         LEFT JOIN sums USING (target, pid, bin)),
+twice AS (SELECT * FROM hist UNION ALL SELECT target, pid, bin + {n}, s, r FROM hist),
+prefix AS (SELECT target, pid, bin + 1 AS k, sum(s) OVER o AS pf, sum(r) OVER o AS pr FROM twice WINDOW o AS (PARTITION BY target, pid ORDER BY bin ROWS UNBOUNDED PRECEDING)
+           UNION ALL SELECT DISTINCT target, pid, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM hist),
+spans AS (SELECT pid, period, greatest(1, floor(lo * {n})::INTEGER) AS a, least(greatest(greatest(1, floor(lo * {n})::INTEGER) + 1, ceil(hi * {n})::INTEGER), {n // 2}) AS b
+  FROM (SELECT *, greatest(lo + 0.005::DOUBLE, least({longest}::DOUBLE / period, 0.5)) AS hi FROM (SELECT *, least(greatest({shortest}::DOUBLE / period, 0.005), 0.5) AS lo FROM grid))),
+box AS (SELECT a.target, a.pid, p.period, a.k AS start, b.k - a.k AS width, b.pf - a.pf AS s, b.pr - a.pr AS r
+  FROM prefix a JOIN spans p USING (pid) JOIN prefix b ON b.target = a.target AND b.pid = a.pid AND b.k BETWEEN a.k + p.a AND a.k + p.b WHERE a.k < {n}),
+top AS (SELECT *, max(sr) OVER (PARTITION BY target, pid) AS most FROM (SELECT *, s * s / (r * (1 - r)) AS sr FROM box WHERE r > 1e-12 AND r < 1 - 1e-12)),
+pick AS (SELECT * FROM top WHERE sr >= most * (1 - 1e-10::DOUBLE) QUALIFY row_number() OVER (PARTITION BY target, pid ORDER BY width, start) = 1)"""
+
+
+@query(f"""WITH {_LC}, {_XW}, {_list_search(N_BINS, 0.05, 0.25)}
+SELECT target, pid::BIGINT AS pid, {_r('period')} AS period, start::INTEGER AS start, width::INTEGER AS width, {_r('-s / (1 - r) - s / r')} AS depth, {_r('sr')} AS sr FROM pick""")
 def bls_search_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods = spark.range(N_PERIODS).select(F.col("id").alias("pid"), bls.explicit_period(F.col("id")).alias("period"))
     found = bls.search(lcs.filter_nan(light_curves(spark, sf_dir)), periods, N_BINS, 0.05, 0.25)
-    return rounded(found.select("target", "pid", "period", "sr"), "period", "sr")
+    return rounded(found.select("target", "pid", "period", "start", "width", "depth", "sr"), "period", "depth", "sr")
 
 
 _LIVE = [1.7, 2.3, 3.1, 4.4, 5.0, 6.2, 8.1, 9.7]
@@ -941,6 +955,32 @@ def lc_detrend_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detrending.detrend_around(lc, boxes_of), "flux", "trend")
 
 
+_IN_BOX = """CASE WHEN a + w + 0.01::DOUBLE > 1 THEN p >= a - 0.01::DOUBLE OR p < a + w + 0.01::DOUBLE - 1 WHEN a - 0.01::DOUBLE < 0 THEN p >= a - 0.01::DOUBLE + 1 OR p < a + w + 0.01::DOUBLE
+  ELSE p >= a - 0.01::DOUBLE AND p < a + w + 0.01::DOUBLE END"""
+
+
+@query(f"""WITH {_LC.replace("lc AS", "every AS", 1)},
+plain AS (WITH lc AS (SELECT * FROM every), {_DETREND} SELECT target, t, flux, NULL::VARCHAR AS error FROM flat0 UNION ALL SELECT target, NULL, NULL, error FROM bad),
+xw AS (SELECT target, t, flux - avg(flux) OVER o AS x, 1.0::DOUBLE / count(*) OVER o AS w FROM plain WHERE error IS NULL WINDOW o AS (PARTITION BY target)),
+found AS (WITH {_list_search(200, 0.05, 0.3)} SELECT target, period, start / 200::DOUBLE AS a, width / 200::DOUBLE AS w FROM pick WHERE sr >= 1e-6 QUALIFY row_number() OVER (PARTITION BY target ORDER BY sr DESC, pid) = 1),
+boxed AS (SELECT target, t, flux, coalesce({_IN_BOX}, false) AS inside FROM (SELECT e.target, t, flux, a, w, (t % period) / period AS p FROM every e LEFT JOIN found USING (target)
+  WHERE NOT isnan(flux) AND target NOT IN (SELECT target FROM plain WHERE error IS NOT NULL))),
+marked AS (SELECT target, t, flux, inside AND sum((NOT inside)::INTEGER) OVER (PARTITION BY target) >= 151 AS inside FROM boxed),
+lc AS (SELECT target, t, flux FROM marked WHERE NOT inside), {_DETREND},
+bridged AS (SELECT target, t, flux, trend FROM trends UNION ALL SELECT target, t, flux, NULL FROM marked WHERE inside AND target IN (SELECT target FROM trends)),
+near AS (SELECT *, max(CASE WHEN trend IS NOT NULL THEN t END) OVER (PARTITION BY target ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0,
+                min(CASE WHEN trend IS NOT NULL THEN t END) OVER (PARTITION BY target ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM bridged),
+whole AS (SELECT n.target, n.t, n.flux, CASE WHEN n.trend IS NOT NULL THEN n.trend WHEN t0 IS NULL THEN b.trend WHEN t1 IS NULL THEN a.trend ELSE a.trend + (b.trend - a.trend) * (n.t - t0) / (t1 - t0) END AS trend
+  FROM near n LEFT JOIN trends a ON a.target = n.target AND a.t = t0 LEFT JOIN trends b ON b.target = n.target AND b.t = t1),
+whole0 AS (SELECT target, t, flux / trend AS flux, trend FROM whole), {_clipped_sql(5, 5.0).replace("flat", "whole")}
+SELECT target, t, {_r('flux')} AS flux, {_r('trend')} AS trend, NULL::VARCHAR AS error FROM whole5 UNION ALL SELECT target, NULL, NULL, NULL, error FROM bad
+UNION ALL SELECT target, NULL, NULL, NULL, error FROM plain WHERE error IS NOT NULL""")
+def lc_masked_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow of ``lc_masked_detrend`` (trend, search, trend without the box found, clipping) on the periods of ``bls_search_list``."""
+    periods = spark.range(N_PERIODS).select(F.col("id").alias("pid"), bls.explicit_period(F.col("id")).alias("period"))
+    return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True, periods=periods), "flux", "trend")
+
+
 @query()
 def lc_masked_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True), "flux", "trend")
