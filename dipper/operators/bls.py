@@ -148,7 +148,7 @@ def flag_harmonics(candidates: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
 def snr_objective(power: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``power``: sqrt(n sr) of the best dip; ``counts``: (target, n)."""
-    return power.join(counts, "target").withColumn("power", dip_snr(F.col("s"), F.col("r"), F.col("n")))
+    return with_joined(power, counts, "inner").withColumn("power", dip_snr(F.col("s"), F.col("r"), F.col("n")))
 
 
 FIT_SCHEMA = "target string, pid long, period double, start int, width int, phase_start double, phase_width double, duration_days double, s double, r double, l double, h double, depth double, sr double"
@@ -165,14 +165,14 @@ def _grid(first: float, last: float, min_duration: float, max_duration: float, m
     return kernels.period_grid(baseline, min_duration, max_duration, min_period, None if max_fraction is None else baseline * max_fraction) if baseline > 0 else np.zeros(0)
 
 
-def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int | None = None, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK, error: str | None = None) -> DataFrame:
+def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, min_duration: float = 0.05, max_duration: float = 0.25, min_period: float | None = None, max_fraction: float | None = None, chunks: int | None = None, dips: bool = False, objective: str = "sr", block: int = partial.BLOCK, error: str | None = None, errors: bool = False) -> DataFrame:
     """FIT_SCHEMA rows: the best box of each period of full grids, by the kernel.
 
     Each light curve goes to ``chunks`` times its blocks of ``block`` points (once where blocks outnumber tasks); blocks share its points out, chunks its
     periods, and the phase histograms of blocks are added up (``partial.summed``).
     ``periods``: (pid, period) for all targets, a small table; else each target has its own grid, up to
     ``max_fraction`` of its baseline. ``objective``: ``sr``, or ``snr`` (sqrt(n sr) of dips). ``error``: the column of
-    errors that points are weighted by.
+    errors that points are weighted by. ``errors``: as in ``partial.summed``.
     """
     explicit = None if periods is None else [(r["pid"], r["period"]) for r in periods.select("pid", "period").orderBy("pid").collect()]
     only_dips = dips or objective == "snr"
@@ -190,20 +190,21 @@ def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, m
         found = [kernels.fit(pid, p, s, r, min_duration, max_duration, only_dips) for pid, p, (s, r) in zip(pids, own, total.reshape(len(own), 2, n_bins), strict=True)]
         return [(*f[:-1], np.sqrt(n * f[-1]) if objective == "snr" else f[-1]) for f in found if f]
 
-    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block, error)
+    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block, error, errors)
 
 
 LIVE_FIELDS = ("pid", "period", "duration_days", "transit_time", "phase_start", "phase_width", "depth", "sr")
 LIVE_SCHEMA = "target string, pid long, " + ", ".join(f"{c} double" for c in LIVE_FIELDS[1:])
 
 
-def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_period: float = 0.5, max_fraction: float = 1 / 3, periods: list[float] | None = None, oversample: int = 10, chunks: int | None = None, block: int = partial.BLOCK) -> DataFrame:
+def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_period: float = 0.5, max_fraction: float = 1 / 3, periods: list[float] | None = None, oversample: int = 10, chunks: int | None = None, block: int = partial.BLOCK, errors: bool = False) -> DataFrame:
     """LIVE_SCHEMA rows: the best dip of each period among given durations, by signal to noise (in ``sr``), with its middle.
 
     Bins are the shortest duration over ``oversample`` wide and begin at the target's first time; a box is a whole number
     of bins, around the cycle. Points count alike: snr = depth / sqrt(1 / n inside + 1 / n outside). Ties go to the
     earlier duration, then bin. ``transit_time`` is the first middle after the first time; the start phase follows from it.
     ``periods``: for all targets; else each target's grid, uniform in frequency, up to a fraction of its baseline.
+    ``errors``: as in ``partial.summed``.
     """
     width = min(durations) / oversample
     spans = np.array([max(1, round(d / width)) for d in durations])
@@ -237,7 +238,7 @@ def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_per
             found.append((pid, p, durations[k], first + np.mod(middle - first, p), np.mod(middle - durations[k] / 2, p) / p, durations[k] / p, depth, snr))
         return found
 
-    return partial.summed(lc, trials, sums, finish, LIVE_FIELDS, LIVE_SCHEMA, chunks, block)
+    return partial.summed(lc, trials, sums, finish, LIVE_FIELDS, LIVE_SCHEMA, chunks, block, errors=errors)
 
 
 def search_per_target(lc: DataFrame, **options: float) -> DataFrame:
@@ -318,4 +319,4 @@ def compare_results(ours: DataFrame, theirs: DataFrame, keys: tuple[str, ...] =
     """(keys, ours, theirs, abs_diff, rel_diff) of two (keys, value) tables; infinite where their value isn't positive."""
     a, b = ours.withColumnRenamed("value", "ours"), theirs.withColumnRenamed("value", "theirs")
     d = F.abs(F.col("ours") - F.col("theirs"))
-    return a.join(b, list(keys)).select(*keys, "ours", "theirs", d.alias("abs_diff"), F.when(F.col("theirs") > 0, d / F.when(F.col("theirs") > 0, F.col("theirs"))).otherwise(float("inf")).alias("rel_diff"))
+    return with_joined(a, b, "inner", keys).select(*keys, "ours", "theirs", d.alias("abs_diff"), F.when(F.col("theirs") > 0, d / F.when(F.col("theirs") > 0, F.col("theirs"))).otherwise(float("inf")).alias("rel_diff"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipper.operators.partial import SHARES, chunks_for
+from dipper.operators.partial import SHARES, chunks_for, or_error, with_error
 
 FIELDS = ("period", "duration_days", "transit_time", "depth", "power")
 SCHEMA = "target string, pid long, " + ", ".join(f"{c} double" for c in FIELDS)
@@ -61,10 +61,11 @@ def best_box(t: np.ndarray, y: np.ndarray, w: np.ndarray, period: float, duratio
     return best
 
 
-def search(lc: DataFrame, periods: Sequence[float] | None = None, durations: Sequence[float] = (0.1,), error: str | None = None, chunks: int | None = None) -> DataFrame:
+def search(lc: DataFrame, periods: Sequence[float] | None = None, durations: Sequence[float] = (0.1,), error: str | None = None, chunks: int | None = None, errors: bool = False) -> DataFrame:
     """SCHEMA rows: the best box of each period, among given durations; the grid without limits where no ``periods`` are given.
 
     ``error``: the column of errors that points are weighted by. ``transit_time``: the first middle from the target's first time on.
+    ``errors``: as in ``partial.summed``.
     """
     w = F.lit(1.0) if error is None else F.pow(F.col(error), -2)
     parts = chunks_for(lc) if chunks is None else chunks
@@ -84,7 +85,7 @@ def search(lc: DataFrame, periods: Sequence[float] | None = None, durations: Seq
 
     # a given number of tasks, as small groups hold much work
     tasks = SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "target", "chunk").groupBy("target", "chunk").applyInPandas(run, SCHEMA)
+    return rows.repartition(tasks, "target", "chunk").groupBy("target", "chunk").applyInPandas(or_error(run, ("pid", *FIELDS), errors), with_error(SCHEMA, errors))
 
 
 def best_of(found: DataFrame) -> DataFrame:

@@ -34,10 +34,11 @@ def filter_nan(lc: DataFrame) -> DataFrame:
     return lc.where("t is not null and flux is not null and not isnan(t) and not isnan(flux)")
 
 
-def with_joined(lc: DataFrame, stats: DataFrame, how: str = "left") -> DataFrame:
-    """``lc`` with the columns of a table by target."""
-    own = stats.withColumnRenamed("target", "of_target")
-    return lc.join(own, F.col("target").eqNullSafe(F.col("of_target")), how).drop("of_target")
+def with_joined(lc: DataFrame, stats: DataFrame, how: str = "left", keys: tuple[str, ...] = ("target",)) -> DataFrame:
+    """``lc`` with the columns of a table by target, or by other keys. Null keys are equal."""
+    own = stats.withColumnsRenamed({k: f"of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    return lc.join(own, same, how).drop(*[f"of_{k}" for k in keys])
 
 
 def normalize_median(lc: DataFrame) -> DataFrame:

@@ -20,7 +20,31 @@ BLOCK, PART = 500_000, 32
 #: Groups and tasks for each of Spark's shuffle partitions, so that they share out evenly.
 SHARES = 8
 
-PACKED = "target string, n long, lo double, hi double, chunk int, part int, done boolean, packed binary"
+#: The place of a part that failed.
+FAILED = -1
+
+PACKED = "target string, n long, lo double, hi double, chunk int, part int, done boolean, packed binary, error string"
+
+
+def with_error(schema: str, errors: bool) -> str:
+    return f"{schema}, error string" if errors else schema
+
+
+def failed(target: str | None, columns: tuple[str, ...], e: Exception) -> pd.DataFrame:
+    """The one row of a group that failed: nulls, and what went wrong."""
+    return pd.DataFrame([(target, *[None] * len(columns), f"{type(e).__name__}: {e}")], columns=["target", *columns, "error"], dtype=object)
+
+
+def or_error(run: Callable[[tuple, pd.DataFrame], pd.DataFrame], columns: tuple[str, ...], errors: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """A function of a group by target and more; with ``errors``, one that gives the row of ``failed`` where it raises."""
+
+    def safe(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(key, part).assign(error=None)
+        except Exception as e:  # noqa: BLE001
+            return failed(key[0], columns, e)
+
+    return safe if errors else run
 
 
 def chunks_for(lc: DataFrame, block: int | None = None) -> int:
@@ -30,12 +54,16 @@ def chunks_for(lc: DataFrame, block: int | None = None) -> int:
     return max(1, -(-SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(groups, 1)))
 
 
-def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int | None = None, block: int = BLOCK, error: str | None = None) -> DataFrame:
+def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int | None = None, block: int = BLOCK, error: str | None = None, errors: bool = False) -> DataFrame:
     """Rows of ``schema``, a target and then ``columns``, for trials of each target.
 
     ``trials(lo, hi)``: all trials of a target by its first and last time. ``sums(t, x, w, own, lo)``: an array of sums for
     some points and trials; ``x`` is flux less its mean, ``w`` are weights that sum to 1 in the target, uniform or by
     ``error`` ** -2. ``finish(total, places, own, n, lo, hi)``: tuples of ``columns``, from sums of all points. All numeric.
+
+    A target whose functions raise fails the job; with ``errors`` there is a column of that name, ``error``, and for each
+    share of the work that failed a row with the text and nulls, while all others go on. A target with such a row is not
+    searched whole.
     """
     chunks = chunks_for(lc, block) if chunks is None else chunks
     w = F.lit(1.0) if error is None else F.pow(F.col(error), -2)
@@ -50,13 +78,19 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
         head = points.iloc[0]
         n, lo, hi, chunk = int(head["n"]), float(head["lo"]), float(head["hi"]), int(head["chunk"])
         t, x, w = (points[c].to_numpy(float) for c in ("t", "x", "w"))
-        every = trials(lo, hi)
-        for part, places in enumerate(_parts(len(every), chunk, chunks)):
-            total = sums(t, x, w, every[places], lo)
-            done = n <= block
-            if done:
-                total = np.array(finish(total, places, every[places], n, lo, hi), float)
-            yield pd.DataFrame({"target": [head["target"]], "n": n, "lo": lo, "hi": hi, "chunk": chunk, "part": part, "done": done, "packed": [total.tobytes()]})
+        own = {"target": [head["target"]], "n": n, "lo": lo, "hi": hi, "chunk": chunk}
+        try:
+            every = trials(lo, hi)
+            for part, places in enumerate(_parts(len(every), chunk, chunks)):
+                total = sums(t, x, w, every[places], lo)
+                done = n <= block
+                if done:
+                    total = np.array(finish(total, places, every[places], n, lo, hi), float)
+                yield pd.DataFrame({**own, "part": part, "done": done, "packed": [total.tobytes()], "error": None})
+        except Exception as e:
+            if not errors:
+                raise
+            yield pd.DataFrame({**own, "part": FAILED, "done": True, "packed": [b""], "error": f"{type(e).__name__}: {e}"})
 
     def all_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -65,20 +99,29 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
                 now = np.frombuffer(packed)
                 total = now if total is None else total + now
             head = rows.iloc[0] if len(rows) else head
-        if head["done"]:
-            found = total.reshape(-1, len(columns))
-        else:
-            every = trials(head["lo"], head["hi"])
-            places = _parts(len(every), int(head["chunk"]), chunks)[int(head["part"])]
-            found = np.array(finish(total, places, every[places], int(head["n"]), head["lo"], head["hi"]), float).reshape(-1, len(columns))
+        if head["part"] == FAILED:
+            yield pd.DataFrame([(head["target"], *[None] * len(columns), head["error"])], columns=["target", *columns, "error"], dtype=object)
+            return
+        try:
+            if head["done"]:
+                found = total.reshape(-1, len(columns))
+            else:
+                every = trials(head["lo"], head["hi"])
+                places = _parts(len(every), int(head["chunk"]), chunks)[int(head["part"])]
+                found = np.array(finish(total, places, every[places], int(head["n"]), head["lo"], head["hi"]), float).reshape(-1, len(columns))
+        except Exception as e:
+            if not errors:
+                raise
+            yield failed(head["target"], columns, e)
+            return
         out = pd.DataFrame(found, columns=list(columns))
         out.insert(0, "target", head["target"])
-        yield out
+        yield out.assign(error=None) if errors else out
 
     # a given number, as groups of few bytes hold much work and mustn't be put together
     rows = rows.repartition(SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "block", "chunk")
     packed = rows.groupBy("target", "block", "chunk").applyInPandas(one_block, PACKED)
-    return packed.groupBy("target", "chunk", "part").applyInPandas(all_blocks, schema)
+    return packed.groupBy("target", "chunk", "part").applyInPandas(all_blocks, with_error(schema, errors))
 
 
 def _parts(n: int, chunk: int, chunks: int) -> list[np.ndarray]:

@@ -102,12 +102,12 @@ def aperture_flux(pixels: DataFrame, apertures: DataFrame, background: DataFrame
     ``trials``: (target, sigma) of apertures that may hold no pixels; each of their cadences has a row, 0 where there are none.
     """
     masks = apertures.select("target", "sigma", "row", "col")
-    rows = pixels.join(masks, ["target", "row", "col"]).join(background, "target")
+    rows = with_joined(with_joined(pixels, masks, "inner", ("target", "row", "col")), background, "inner")
     flux = rows.groupBy("target", "sigma", "cadence").agg(F.sum(F.col("px") - F.col("background")).alias("flux"))
     if trials is None:
         return flux
-    every = pixels.select("target", "cadence").distinct().join(trials.select("target", "sigma"), "target")
-    return every.join(flux, ["target", "sigma", "cadence"], "left").select("target", "sigma", "cadence", F.coalesce("flux", F.lit(0.0)).alias("flux"))
+    every = with_joined(pixels.select("target", "cadence").distinct(), trials.select("target", "sigma"), "inner")
+    return with_joined(every, flux, "left", ("target", "sigma", "cadence")).select("target", "sigma", "cadence", F.coalesce("flux", F.lit(0.0)).alias("flux"))
 
 
 def measure_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,20 +121,21 @@ def measure_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) ->
     seeds = kept(brightest_pixel(image))
     background = kept(local_background(image, seeds))
     spread = image.groupBy("target").agg(F.stddev_pop("value").alias("spread"))
-    levels = background.join(spread, "target").select("target", F.explode(F.array(*map(F.lit, sigmas))).alias("sigma"), "background", "spread")
+    levels = with_joined(background, spread, "inner").select("target", F.explode(F.array(*map(F.lit, sigmas))).alias("sigma"), "background", "spread")
     thresholds = levels.select("target", "sigma", (F.col("background") + F.col("sigma") * F.col("spread")).alias("threshold"))
     growth = kept(grow_apertures(image, seeds, thresholds))
     flux = kept(aperture_flux(pixels, growth, background, levels))
     median = medians(flux, ("target", "sigma"), "flux", "m", poisoned=True)
-    scaled = flux.join(median, ["target", "sigma"]).select("target", "sigma", "cadence", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m")).alias("flux"))
+    trial = ("target", "sigma")
+    scaled = with_joined(flux, median, "inner", trial).select("target", "sigma", "cadence", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m")).alias("flux"))
     middle = medians(scaled, ("target", "sigma"), "flux", "signal", poisoned=True)
     d = F.col("flux") - F.col("signal")
-    stats = scaled.join(middle, ["target", "sigma"]).groupBy("target", "sigma").agg(F.first("signal").alias("signal"), F.stddev_pop("flux").alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
+    stats = with_joined(scaled, middle, "inner", trial).groupBy("target", "sigma").agg(F.first("signal").alias("signal"), F.stddev_pop("flux").alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
     size = growth.groupBy("target", "sigma").agg(F.count(F.lit(1)).alias("pixels"))
-    trials = stats.join(size, ["target", "sigma"], "left").select("target", "sigma", F.coalesce("pixels", F.lit(0)).alias("pixels"), "signal", "noise", "rms", ratio_or_zero(F.col("signal"), F.col("noise")).alias("snr"))
+    trials = with_joined(stats, size, "left", trial).select("target", "sigma", F.coalesce("pixels", F.lit(0)).alias("pixels"), "signal", "noise", "rms", ratio_or_zero(F.col("signal"), F.col("noise")).alias("snr"))
     trials = trials.withColumn("score", F.round(ratio_or_zero(F.col("snr"), F.sqrt(F.col("pixels"))), 6))
     best = trials.groupBy("target").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("sigma"))).alias("b")).select("target", F.col("b.sigma").alias("best_sigma"))
-    return trials.join(best, "target").withColumn("is_best", F.col("sigma") == F.col("best_sigma")).drop("best_sigma"), growth, scaled
+    return with_joined(trials, best, "inner").withColumn("is_best", F.col("sigma") == F.col("best_sigma")).drop("best_sigma"), growth, scaled
 
 
 def optimize_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipper.functions.scores import confidence, finite, nan_to_null
+from dipper.operators.lightcurve import with_joined
 from dipper.operators.scan import ADDED, numbered, sliced
 
 #: Columns and texts of the summary, here and below.
@@ -19,9 +20,9 @@ def top_candidates(candidates: DataFrame, k: int = 10) -> DataFrame:
 
 def batch_report(targets: DataFrame, best: DataFrame) -> DataFrame:
     """A BATCH_SCHEMA row for each target: its best passed candidate, or zeros."""
-    b = best.select(F.col("target").alias("of_target"), "period", "depth", "duration_days", "sde", "odd_even_diff_sigma", "secondary_ratio")
+    b = best.select(F.col("target").alias("of_target"), F.lit(True).alias("found"), "period", "depth", "duration_days", "sde", "odd_even_diff_sigma", "secondary_ratio")
     rows = targets.select("target").join(b, F.col("target").eqNullSafe(F.col("of_target")), "left")
-    found = F.col("of_target").isNotNull()
+    found = F.col("found").isNotNull()  # the target itself may be null
     number = lambda c: F.when(found, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
     return rows.select(
         F.col("target").alias("tic_id"), F.when(found, "VETTED CANDIDATE").otherwise("NO CANDIDATE / FALSE POSITIVE").alias("status"),
@@ -54,7 +55,7 @@ def result_documents(lc: DataFrame, power: DataFrame, candidates: DataFrame) ->
     curve = lc.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("t", "flux"))).alias("c")).select("target", F.struct(F.transform("c", lambda x: nan_to_null(x["t"])).alias("time"), F.transform("c", lambda x: nan_to_null(x["flux"])).alias("flux")).alias("light_curve"))
     graph = power.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("period", "sde", "sr"))).alias("p")).select("target", F.struct(F.col("p.period").alias("periods"), F.transform("p.sde", nan_to_null).alias("sde"), F.transform("p.sr", nan_to_null).alias("sr")).alias("periodogram"))
     found = candidates.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("peak_rank", "period", "sde", "depth", "is_harmonic", "status"))).alias("candidates"))
-    rows = curve.join(graph, "target", "left").join(found, "target", "left")
+    rows = with_joined(with_joined(curve, graph), found)
     passed = F.filter("candidates", lambda c: c["status"] == "PASSED")
     best = F.when(F.size(passed) > 0, F.get(passed, F.lit(0)))
     document = F.to_json(F.struct("target", "light_curve", "periodogram", "candidates", best.alias("best_candidate"), best.isNotNull().alias("detection")), {"ignoreNullFields": "false"})

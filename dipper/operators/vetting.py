@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipper.functions.phase import epoch_parity, phase, phase_bin, secondary_phase
+from dipper.functions.scores import finite
+
+#: The status of a candidate that can't be tested at all.
+UNUSABLE = "ERROR (Unusable Box)"
 
 
 def _window_bins(start: Column, width: Column, n_bins: int) -> tuple[Column, Column]:
@@ -33,14 +37,19 @@ def vet(lc: DataFrame, candidates: DataFrame, n_bins: int = 400, odd_even_limit:
 
     ``candidates``: (target, peak_rank, period, phase_start, phase_width, depth, is_harmonic, ...). A test that can't be
     made (an empty window, one parity only) doesn't reject, and gives 0. A test after a rejection isn't made: null.
+    Points whose time or flux isn't finite are left out. A candidate whose box isn't one (a period that isn't above 0, a
+    phase that isn't finite) has no tests and the status ``UNUSABLE``; the others go on.
     """
-    points = lc.select(F.col("target").alias("of_target"), "t", "flux")
+    usable = F.coalesce(finite(F.col("period")) & (F.col("period") > 0) & finite(F.col("phase_start")) & finite(F.col("phase_width")), F.lit(False))
+    points = lc.where(finite(F.col("t")) & finite(F.col("flux"))).select(F.col("target").alias("of_target"), "t", "flux")
     rest = [c for c in candidates.columns if c not in ("target", "peak_rank")]
-    points = candidates.join(points, F.col("target").eqNullSafe(F.col("of_target")), "left")
-    b = phase_bin(phase(F.col("t"), F.col("period")), n_bins)
-    start, width = _window_bins(F.col("phase_start"), F.col("phase_width"), n_bins)
-    second, _ = _window_bins(secondary_phase(F.col("phase_start")), F.col("phase_width"), n_bins)
-    points = points.select("target", "peak_rank", F.struct(*rest).alias("cand"), "flux", epoch_parity(F.col("t"), F.col("period")).alias("odd"), _in_bins(b, start, width, n_bins).alias("primary"), _in_bins(b, second, width, n_bins).alias("secondary"))
+    boxes = candidates.withColumns({f"usable_{c}": F.when(usable, F.col(c)) for c in ("period", "phase_start", "phase_width")})
+    points = boxes.join(points, F.col("target").eqNullSafe(F.col("of_target")), "left")
+    period, at, long = F.col("usable_period"), F.col("usable_phase_start"), F.col("usable_phase_width")
+    b = phase_bin(phase(F.col("t"), period), n_bins)
+    start, width = _window_bins(at, long, n_bins)
+    second, _ = _window_bins(secondary_phase(at), long, n_bins)
+    points = points.select("target", "peak_rank", F.struct(*rest).alias("cand"), "flux", epoch_parity(F.col("t"), period).alias("odd"), _in_bins(b, start, width, n_bins).alias("primary"), _in_bins(b, second, width, n_bins).alias("secondary"))
     sums = []
     for name, where in (("odd", F.col("odd") == 1), ("even", F.col("odd") == 0)):
         sums += [F.count(F.when(where, 1)).alias(f"n_{name}"), F.sum(F.when(where, F.col("flux"))).alias(f"f_{name}"), F.count(F.when(where & F.col("primary"), 1)).alias(f"in_{name}"), F.coalesce(F.sum(F.when(where & F.col("primary"), F.col("flux"))), F.lit(0.0)).alias(f"g_{name}")]
@@ -51,9 +60,9 @@ def vet(lc: DataFrame, candidates: DataFrame, n_bins: int = 400, odd_even_limit:
     mean = (col("depth_odd") + col("depth_even")) / 2
     sigma = F.coalesce(F.when(mean == 0, 0.0).otherwise(F.abs(col("depth_odd") - col("depth_even")) / F.when(mean != 0, mean) / 0.1), F.lit(0.0))
     ratio = F.coalesce(F.when(col("depth") != 0, col("secondary_depth") / F.when(col("depth") != 0, F.abs(col("depth")))), F.lit(0.0))
-    rows = rows.withColumns({"odd_even_diff_sigma": F.when(~col("is_harmonic"), sigma), "secondary_ratio": F.when(~col("is_harmonic") & (sigma <= odd_even_limit), ratio)})
+    rows = rows.withColumns({"odd_even_diff_sigma": F.when(usable & ~col("is_harmonic"), sigma), "secondary_ratio": F.when(usable & ~col("is_harmonic") & (sigma <= odd_even_limit), ratio)})
     # fixed values: the texts of the status
-    status = F.when(col("is_harmonic"), "REJECTED (Harmonic Alias)").when(col("odd_even_diff_sigma") > odd_even_limit, "REJECTED (Odd/Even Mismatch)").when(col("secondary_ratio") > secondary_limit, "REJECTED (Secondary Eclipse)").otherwise("PASSED")
+    status = F.when(~usable, UNUSABLE).when(col("is_harmonic"), "REJECTED (Harmonic Alias)").when(col("odd_even_diff_sigma") > odd_even_limit, "REJECTED (Odd/Even Mismatch)").when(col("secondary_ratio") > secondary_limit, "REJECTED (Secondary Eclipse)").otherwise("PASSED")
     return rows.withColumn("status", status)
 
 

@@ -1,19 +1,21 @@
 """The batch flow over all targets at once, as a list of stages: photometry, cleaning, search, vetting, report.
 
-Tables go by name from stage to stage. A target whose light curve can't be cleaned is reported with its error; the others
-go on.
+Tables go by name from stage to stage. A target that fails in a stage (no finite pixel, a light curve that can't be
+cleaned or searched, a box that can't be tested) has a row in ``errors`` and one without a candidate in the report; the
+others go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipper.operators import bls, photometry, report, vetting
 from dipper.operators.detrend import CLEAN_COLUMNS, detrend, detrend_around
-from dipper.operators.lightcurve import clip_upper, filter_nan, filter_quality
+from dipper.operators.lightcurve import clip_upper, filter_nan, filter_quality, with_joined
 from dipper.sources.store import kept
 
 #: Tables by name; a stage takes those so far and gives those it adds.
@@ -25,7 +27,7 @@ def photometry_stage(pixels: DataFrame, cadences: DataFrame, sigmas: tuple[float
     """(target, t, flux, quality) of the best aperture, over its median. ``cadences``: (target, cadence, t, quality)."""
     trials, _, flux = photometry.measure_apertures(pixels, sigmas)
     best = trials.where("is_best").select("target", "sigma")
-    return filter_quality(flux.join(best, ["target", "sigma"]).join(cadences, ["target", "cadence"]).select("target", "t", "flux", "quality"))
+    return filter_quality(with_joined(with_joined(flux, best, "inner", ("target", "sigma")), cadences, "inner", ("target", "cadence")).select("target", "t", "flux", "quality"))
 
 
 def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = False, min_period: float = 0.5, periods: DataFrame | None = None) -> DataFrame:
@@ -40,7 +42,7 @@ def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = F
         good = flat.where("error is null").select("target", "t", "flux")
         found = bls.search(good, periods, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
         boxes = bls.best_period(found).where("sr >= 1e-6D").select("target", "period", "phase_start", "phase_width")
-        flat = kept(detrend_around(lc.join(flat.where("error is not null").select("target"), "target", "left_anti"), boxes, window).unionByName(flat.where("error is not null")))
+        flat = kept(detrend_around(with_joined(lc, flat.where("error is not null").select("target"), "left_anti"), boxes, window).unionByName(flat.where("error is not null")))
     return clip_upper(flat.where("error is null"), sigma).select(*CLEAN_COLUMNS).unionByName(flat.where("error is not null").select(*CLEAN_COLUMNS))
 
 
@@ -67,10 +69,11 @@ def clean_up(tables: Tables) -> Tables:
 
 
 def search(tables: Tables, **options: float) -> Tables:
-    """``power`` and raw ``candidates`` of what is clean."""
-    power, candidates = search_stage(tables["clean"].where("error is null").select("target", "t", "flux"), **options)
-    power = kept(power)
-    return {"power": power, "candidates": bls.flag_harmonics(bls.peaks(power, 3.0))}
+    """``power`` and raw ``candidates`` of what is clean, and ``unsearched`` targets with their error, which have no rows in either."""
+    found = kept(bls.with_sde(bls.search_per_target(tables["clean"].where("error is null").select("target", "t", "flux"), errors=True, **options)))
+    failed = found.where("error is not null").groupBy("target").agg(F.min("error").alias("error"))
+    power = with_joined(found, failed.select("target"), "left_anti").drop("error")
+    return {"power": power, "candidates": bls.flag_harmonics(bls.peaks(power, 3.0)), "unsearched": failed}
 
 
 def vet(tables: Tables) -> Tables:
@@ -80,9 +83,15 @@ def vet(tables: Tables) -> Tables:
 
 
 def summarize(tables: Tables) -> Tables:
-    """The batch ``report``, a row for each of ``targets``, where photometry gave them, else for each of ``raw``."""
+    """The batch ``report``, a row for each of ``targets``, where photometry gave them, else for each of ``raw``; and ``errors``: (target, stage, error)."""
     targets = tables["targets"] if "targets" in tables else tables["raw"].select("target").distinct()
-    return {"report": report.batch_report(targets, tables["best"])}
+    unmeasured = with_joined(targets, tables["raw"].select("target").distinct(), "left_anti").withColumn("error", F.lit("no light curve from its pixels"))
+    failed = [("photometry", unmeasured), ("cleaning", tables["clean"].where("error is not null"))]
+    failed += [("search", tables["unsearched"])] if "unsearched" in tables else []
+    unusable = tables["candidates"].where(F.col("status") == vetting.UNUSABLE) if "status" in tables["candidates"].columns else None
+    failed += [("vetting", unusable.select("target", F.col("status").alias("error")))] if unusable is not None else []
+    errors = reduce(DataFrame.unionByName, [rows.select("target", F.lit(stage).alias("stage"), "error") for stage, rows in failed]).distinct()
+    return {"report": report.batch_report(targets, tables["best"]), "errors": errors}
 
 
 STAGES: list[Stage] = [("cleaning", clean_up), ("search", search), ("vetting", vet), ("report", summarize)]
@@ -108,7 +117,7 @@ def compose(tables: Tables, stages: list[Stage], progress: Callable[[str, str],
 
 
 def run(lc: DataFrame, progress: Callable[[str, str], None] = lambda stage, status: None, **options: float) -> Tables:
-    """All results from raw light curves: clean, power, candidates (vetted), best, report. A failing stage raises."""
+    """All results from raw light curves: clean, power, candidates (vetted), best, report, errors. A failing stage raises, a failing target doesn't."""
 
     def told(stage: str, status: str) -> None:
         progress(stage, status)

@@ -6,7 +6,7 @@ for are decoded, filters are applied where rows are read, and large tables are s
 Options ``hdu`` (its number), ``time``, ``flux`` and ``flags`` (column names) pick others than the usual ones.
 Files are listed and read by the Hadoop client through ``binaryFile`` in ``read_fits``, which is the way for remote
 stores; the format itself lists local or mounted paths, and gives Arrow batches. It writes with a commit: files get
-their names when all tasks have ended.
+their names when all tasks have ended. As a stream it takes each file that lands once.
 ``write_fits`` writes light curves, and ``write_frames`` pixels, from tasks.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import glob
 import gzip
+import json
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 from dipper.sources.store import write_file
@@ -331,11 +332,14 @@ class _Reader(DataSourceReader):
         return all(value in x if kind == "In" else value == x for c, kind, x in self.pushed if c == column)
 
     def partitions(self) -> list[InputPartition]:
+        return self.splits(list_files(self.options["path"]))
+
+    def splits(self, files: list[tuple[str, int]]) -> list[InputPartition]:
         size = int(self.options.get("splitbytes", SPLIT_BYTES))
         splits: list[InputPartition] = []
         small: list[tuple[str, int, int | None]] = []
         held = 0
-        for p, n in list_files(self.options["path"]):
+        for p, n in files:
             if not self._passes("path", p):
                 continue
             table = None
@@ -397,6 +401,53 @@ class _Reader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([every[c] for c in self.columns], names=self.columns)
 
 
+class _Stream(DataSourceStreamReader):
+    """Files that land, each once. An offset is a number of entries of a log, which holds the files that each entry adds.
+
+    An entry is there before its number is told, so a query that starts again finds the files of its last batch. Files
+    are known by name: times of change and order don't matter, and a name that is written anew isn't read again.
+    """
+
+    def __init__(self, reader: _Reader):
+        if "log" not in reader.options:
+            raise ValueError("a stream of FITS files needs option log, a folder of its own in a shared store")
+        self.reader, self.most = reader, int(reader.options.get("maxfiles", 1000))
+        self.seen: set[str] = set()
+        self.known = 0  # entries whose files are in ``seen``
+
+    def _entries(self) -> list[str]:
+        store, folder, scheme = _place(self.reader.options["log"])
+        store.create_dir(folder, recursive=True)
+        return sorted(scheme + f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".json"))
+
+    @staticmethod
+    def _files(entry: str) -> list[tuple[str, int]]:
+        with open_file(entry) as f:
+            return [(p, n) for p, n in json.loads(f.read())]
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"entries": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        entries = self._entries()
+        self.seen.update(p for e in entries[self.known :] for p, _ in self._files(e))
+        self.known = len(entries)
+        new = [f for f in list_files(self.reader.options["path"]) if f[0] not in self.seen]
+        store, folder, _ = _place(self.reader.options["log"])
+        for k in range(0, len(new), self.most):
+            name = f"{folder}/{len(entries) + k // self.most:09d}"
+            with store.open_output_stream(f"{name}.tmp", compression=None) as f:
+                f.write(json.dumps(new[k : k + self.most]).encode())
+            store.move(f"{name}.tmp", f"{name}.json")
+        return {"entries": len(entries) + -(-len(new) // self.most)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [s for e in self._entries()[start["entries"] : end["entries"]] for s in self.reader.splits(self._files(e))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, names: list[str]):
         self.names = names
@@ -427,9 +478,13 @@ class _Writer(DataSourceArrowWriter):
             rows = b.to_pandas()
             for target, part in rows.groupby("target", dropna=False, sort=False):
                 own = None if pd.isna(target) else target
-                held.setdefault(own, []).append(part)
-                if sum(map(len, held[own])) >= self.points:
-                    flush(own)
+                at = 0
+                while at < len(part):  # no file holds more, whatever a batch brings
+                    room = self.points - sum(map(len, held.setdefault(own, [])))
+                    held[own].append(part.iloc[at : at + room])
+                    at += room
+                    if at <= len(part):
+                        flush(own)
             while sum(len(p) for parts in held.values() for p in parts) >= 4 * self.points:  # many targets share a bound
                 flush(max(held, key=lambda x: sum(map(len, held[x]))))
         for target in list(held):
@@ -456,6 +511,8 @@ class FitsSource(DataSource):
     A schema of some of the columns, as in ``.schema("t double, flux double")``, decodes these alone. Reads take filters,
     split tables beyond option ``splitBytes`` and put small files together. Writes (``append`` or ``overwrite``) take
     (target, t, flux, quality) rows, at most ``points`` of them a file; ``time``, ``flux`` and ``flags`` name their columns.
+    Streams (``readStream``) take files as they land; option ``log`` names the folder that says which were taken, in
+    entries of at most ``maxFiles``. They take no filters from Spark.
     """
 
     @classmethod
@@ -472,6 +529,9 @@ class FitsSource(DataSource):
                 raise ValueError(f"the format has no column {f.name} of type {f.dataType.simpleString()}")
         return _Reader({k.lower(): v for k, v in self.options.items()}, schema.names)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _Stream(self.reader(schema))
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dipper.sources import fits
+from dipper.streaming import landing
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,38 @@ def test_filters_and_columns_reach_the_reader(spark, folder):
         assert read(spark, folder).where(where).count() == fits.read_fits(spark, folder).where(where).count(), where
 
 
+def test_stream_takes_each_file_once(spark, tmp_path):
+    """Over restarts, files of older dates, several files an entry, and a query that stops between log and batch."""
+    fits.register(spark)
+    folder, log, out, state = (str(tmp_path / n) for n in ("in", "log", "out", "state"))
+    os.makedirs(folder)
+
+    def land(name, n):
+        data = fits.write_table([("TIME", "D", np.arange(float(n))), ("FLUX", "D", np.full(n, 1.0)), ("QUALITY", "J", np.arange(n))], {"OBJECT": name})
+        with open(f"{folder}/{name}.fits", "wb") as f:
+            f.write(data)
+
+    def run():
+        rows = spark.readStream.format("fits").option("log", log).option("maxFiles", 2).schema("target string, t double").load(folder)
+        landing.process(rows, lambda x: x, out, state).awaitTermination()
+        return sorted((r["target"], r["n"]) for r in spark.read.parquet(out).groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect())
+
+    for name in "abcde":
+        land(name, 5)
+    assert run() == [(x, 5) for x in "abcde"] and len(os.listdir(log)) == 3
+    land("0", 3)
+    os.utime(f"{folder}/0.fits", (1, 1))
+    assert run() == [("0", 3)] + [(x, 5) for x in "abcde"]
+    land("f", 4)  # listed in the log, but its batch was never told of
+    reader = fits._Stream(fits._Reader({"path": folder, "log": log, "maxfiles": "2"}, ["target", "t"]))
+    assert reader.latestOffset() == reader.latestOffset() == {"entries": 5}
+    land("g", 1)
+    assert run()[-2:] == [("f", 4), ("g", 1)] and run() == run()
+    assert reader.partitions({"entries": 2}, {"entries": 2}) == []
+    with pytest.raises(ValueError, match="log"):
+        fits._Stream(fits._Reader({"path": folder}, ["t"]))
+
+
 def test_nan_compare_as_in_spark(spark, tmp_path):
     fits.register(spark)
     data = fits.write_table([("TIME", "D", np.array([1.0, 2.0, np.nan])), ("FLUX", "D", np.array([np.nan, 5.0, 1.0]))], {})
