@@ -8,7 +8,7 @@ product exists from its own rank on, so one ascending sweep gives what merging w
 Results are those of the tokenizers library for a ``ByteLevel`` BPE file with ``add_special_tokens=False`` and without
 truncation and padding: strings of special tokens in a text become their ids.
 
-Null texts count as empty; empty texts have no ids; repeated rows give repeated results; other columns are not read.
+Null texts count as empty; empty texts have no ids; very long texts are encoded whole, in the block that they fall into; repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations

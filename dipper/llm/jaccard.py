@@ -20,7 +20,8 @@ A document's set holds the hashes of its distinct 5-word shingles. Documents wit
    verified.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Documents with fewer words than a shingle are their whole sequence;
-null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are copies; rows with one id and
+null, empty and blank texts have no shingles and are linked with nothing; very long texts are read whole. Counts of
+holders stop at 255 a bucket, which only bears on the order of tokens. Repeated rows are copies; rows with one id and
 different texts are documents each; rows with a null id are compared too, but no component is named after them, and
 their own ``component_id`` is null. Columns other than the id and the text are not read. Ids are whole numbers.
 """
@@ -414,7 +415,8 @@ def keep_first(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_
     """The rows of ``df`` less all but one document of each class of near copies: the one of the least id, null ids last.
 
     Rows are told apart by id and text, so rows of one id with texts that aren't near copies stay, and of rows that are
-    the same in both, one. Rows without words all stay.
+    the same in both, one: that of the least hash of its other columns (but maps, which have none). Rows without words all
+    stay.
     """
     found = _with_first(*_classes(df, n, percent, id_col, text_col)).where("n > 0")
     own = F.struct("id", "text_hash")
@@ -422,7 +424,8 @@ def keep_first(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.col(f"`{text_col}`").alias("own_text"))
     has_words = F.coalesce(F.col("own_text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     worded = rows.where(has_words).select("doc", "own_id", F.xxhash64("own_text").alias("own_hash"))
-    same = Window.partitionBy("own_id", "own_hash").orderBy(F.lit(0))
+    others = [F.col("doc")[c] for c, kind in df.dtypes if c != text_col and "map<" not in kind]
+    same = Window.partitionBy("own_id", "own_hash").orderBy(F.xxhash64(*others))
     worded = worded.withColumn("copy", F.row_number().over(same)).where("copy = 1")
     left = worded.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti")
     return left.select("doc.*").unionByName(rows.where(~has_words).select("doc.*"))

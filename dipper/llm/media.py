@@ -8,7 +8,7 @@ member gives the payload back and its features.
 
 A task that is repeated writes a file of its own, and only the rows of the attempt that counted name it, so lost
 executors do no harm; the manifest is cut before it is used. Null texts count as empty; an empty text is one row of
-zeros. Repeated rows share a payload. Columns other than the id and the text are not read.
+zeros; a very long text is one payload, made and read back whole by one task. Repeated rows share a payload. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ padded. Patterns are joined back to documents by the rank of a piece among those
 buckets added up, so no length, however common, passes through one task. Pieces are dealt to buckets by where they were
 made, not by their document, so a repeated or null id fills no bucket.
 
-Null texts count as empty (one piece with the end id); repeated rows are packed each; a null id stays null, and ids are
+Null texts count as empty (one piece with the end id); very long texts are as many pieces as they need; repeated rows are packed each; a null id stays null, and ids are
 passed on as they are, of whatever type. Other columns than the id and the text are not read.
 """
 

@@ -9,7 +9,8 @@ their number of combinations. Base spans stay whatever it says; a span that fail
 (such as a card's check digit) is a lesson for the labellers, but never added; of the looser ones, it adds those that
 it believes and that overlap no base span.
 
-Null texts count as empty and have no spans. Positions are code points, ends exclusive. Repeated rows give repeated
+Null texts count as empty and have no spans; very long texts are searched whole. Cue words are, by definition, those in the
+40 characters before a span. Positions are code points, ends exclusive. Repeated rows give repeated
 results. Columns other than the id and the text are not read.
 """
 

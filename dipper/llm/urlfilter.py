@@ -4,7 +4,7 @@ The model is fitted on a small labelled table (at most ``max_labelled`` urls, an
 built-in functions alone. Weights are integers, so any engine that follows the formula gives the same verdicts.
 
 A url that is null or has no ``://`` has an empty host and path and no n-grams; the bias decides. Repeated rows give
-repeated results; columns other than the id and the url are not read.
+repeated results; columns other than the id and the url are not read. Very long urls are scored whole, all their n-grams.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def _total(letters: Column, weights: Column, seed: int) -> tuple[Column, Column]
 
 
 def judge_urls(df: DataFrame, weights: list[int], rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per row: the id, ``host``, ``path``, ``rule`` (that decided, or null), ``verdict`` and ``score`` (above 0: block).
+    """One row per row: the id, ``host``, ``path``, ``rule`` (that decided, or null), ``verdict`` and ``model_blocks`` (what the model alone says).
 
     A rule holds for its host and the subdomains, where the path starts with the rule's; the longest wins.
     """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dipper.llm import linededup
+from dipper.llm import jaccard, linededup
 from dipper.llm.exchange import deal
 
 
@@ -17,3 +17,10 @@ def test_all_lines_go_where_one_document_is_enough(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nc"), (2, None)], "doc_id long, text string")
     out = linededup.drop_common_lines(df, min_docs=1).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, ""), (1, ""), (2, "")]
+
+
+def test_the_row_kept_of_those_alike_in_id_and_text_is_the_same_in_any_order(spark):
+    rows = [(1, "one two three four five six", f"from {i}", {"k": i}) for i in range(40)] + [(2, "seven", None, None), (2, "", "x", None), (2, "", "x", None)]
+    schema = "doc_id long, text string, source string, extra map<string,int>"
+    kept = [sorted((r["doc_id"], r["text"], r["source"] or "") for r in jaccard.keep_first(spark.createDataFrame(order, schema).repartition(n)).collect()) for order, n in ((rows, 1), (rows[::-1], 5))]
+    assert kept[0] == kept[1] and len(kept[0]) == 4
