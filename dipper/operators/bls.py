@@ -182,15 +182,15 @@ def search(lc: DataFrame, periods: DataFrame | None = None, n_bins: int = 400, m
             return np.array([p for _, p in explicit])
         return _grid(first, last, min_duration, max_duration, min_period, max_fraction)
 
-    def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
-        return np.array([kernels.histogram(t, x, w, p, n_bins) for p in own])
+    def sums(points: kernels.Ordered, own: np.ndarray, first: float) -> np.ndarray:
+        return np.array([points.histogram(p, n_bins) for p in own])
 
     def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, first: float, last: float) -> list[tuple]:
         pids = places if explicit is None else [explicit[i][0] for i in places]
         found = [kernels.fit(pid, p, s, r, min_duration, max_duration, only_dips) for pid, p, (s, r) in zip(pids, own, total.reshape(len(own), 2, n_bins), strict=True)]
         return [(*f[:-1], np.sqrt(n * f[-1]) if objective == "snr" else f[-1]) for f in found if f]
 
-    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block, error, errors)
+    return partial.summed(lc, trials, sums, finish, ("pid", *kernels.FIT_FIELDS), FIT_SCHEMA, chunks, block, error, errors, lambda t, x, w, lo: (kernels.Ordered(t, x, w),))
 
 
 LIVE_FIELDS = ("pid", "period", "duration_days", "transit_time", "phase_start", "phase_width", "depth", "sr")
@@ -217,11 +217,17 @@ def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_per
     def bins(p: float) -> int:
         return int(np.ceil(p / width))
 
-    def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
+    def sums(points: kernels.Ordered, own: np.ndarray, first: float) -> np.ndarray:
         out = []
         for p in own:
-            at = np.minimum((np.mod(t - first, p) / width).astype(np.int64), bins(p) - 1)
-            out += [np.bincount(at, x, bins(p)), np.bincount(at, minlength=bins(p)).astype(float)]
+            m = bins(p)
+            of = lambda own, m=m: np.minimum((own / width).astype(np.int64), m - 1)
+            begins = points.begins(p, np.arange(m) * width, of)
+            if begins is None:
+                at = of(np.mod(points.t, p))
+                out += [np.bincount(at, points.x, m), np.bincount(at, minlength=m).astype(float)]
+            else:
+                out += [points.totals("x", begins, m), points.counts(begins, m).astype(float)]
         return np.concatenate(out) if out else np.zeros(0)
 
     def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, first: float, last: float) -> list[tuple]:
@@ -238,7 +244,7 @@ def live_search(lc: DataFrame, durations: tuple[float, ...] = DURATIONS, min_per
             found.append((pid, p, durations[k], first + np.mod(middle - first, p), np.mod(middle - durations[k] / 2, p) / p, durations[k] / p, depth, snr))
         return found
 
-    return partial.summed(lc, trials, sums, finish, LIVE_FIELDS, LIVE_SCHEMA, chunks, block, errors=errors)
+    return partial.summed(lc, trials, sums, finish, LIVE_FIELDS, LIVE_SCHEMA, chunks, block, errors=errors, prepare=lambda t, x, w, lo: (kernels.Ordered(t - lo, x, w),))
 
 
 def search_per_target(lc: DataFrame, **options: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipper.functions.phase import in_circular_box, in_plain_box
-from dipper.operators import partial
+from dipper.operators import kernels, partial
 from dipper.operators.lightcurve import with_joined, with_target_stats
 from dipper.operators.selection import medians
 
@@ -80,13 +80,18 @@ def search_periods(lc: DataFrame, min_period: float, max_period: float, step: fl
         found = np.arange(1 / max_period, 1 / min_period, lo / (last - first) if step is None else step)
         return found[(last - first) * found >= 3]
 
-    def sums(t: np.ndarray, x: np.ndarray, w: np.ndarray, own: np.ndarray, first: float) -> np.ndarray:
-        out = np.zeros((len(own), 2, len(borders) + 2))
-        out[:, 0, -1], out[:, 1, -1] = len(t), np.sum(x * x)
+    def sums(points: kernels.Ordered, own: np.ndarray, first: float) -> np.ndarray:
+        m = len(borders) + 1
+        out = np.zeros((len(own), 2, m + 1))
+        out[:, 0, -1], out[:, 1, -1] = len(points.t), np.sum(points.x * points.x)
         for i, f in enumerate(own):
-            p = np.mod(t, 1 / f) / (1 / f)
-            at = np.searchsorted(borders, p, "right")
-            out[i, 0, :-1], out[i, 1, :-1] = np.bincount(at, minlength=len(borders) + 1), np.bincount(at, x, len(borders) + 1)
+            of = lambda own, f=f: np.searchsorted(borders, own / (1 / f), "right")
+            begins = points.begins(1 / f, np.concatenate([[0.0], borders]) * (1 / f), of)
+            if begins is None:
+                at = of(np.mod(points.t, 1 / f))
+                out[i, 0, :-1], out[i, 1, :-1] = np.bincount(at, minlength=m), np.bincount(at, points.x, m)
+            else:
+                out[i, 0, :-1], out[i, 1, :-1] = points.counts(begins, m), points.totals("x", begins, m)
         return out
 
     def finish(total: np.ndarray, places: np.ndarray, own: np.ndarray, n: int, first: float, last: float) -> list[tuple]:
@@ -109,7 +114,7 @@ def search_periods(lc: DataFrame, min_period: float, max_period: float, step: fl
             found.append((1 / f, f, power, depth, duration[i], center[i], depth / np.sqrt(variance), power, (last - first) * f))
         return found
 
-    return partial.summed(lc, trials, sums, finish, FOUND, "target string, " + ", ".join(f"{c} double" for c in FOUND), **options)
+    return partial.summed(lc, trials, sums, finish, FOUND, "target string, " + ", ".join(f"{c} double" for c in FOUND), prepare=lambda t, x, w, lo: (kernels.Ordered(t, x, w),), **options)
 
 
 def _between(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:

@@ -5,6 +5,7 @@ Built-in functions express the same on small grids (``bls``); tests hold the two
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -91,6 +92,72 @@ def histogram(t: np.ndarray, x: np.ndarray, w: np.ndarray, period: float, n_bins
     return np.bincount(b, w * x, n_bins), np.bincount(b, w, n_bins)
 
 
+class Ordered:
+    """A curve by time with running sums, so that sums of phase bins come from where bins begin in each cycle.
+
+    A period then takes as many steps as it has bins in all its cycles, however many points there are. A time so near to a
+    bin's beginning that rounding decides goes where its own phase says, so bins hold just the points they'd hold one by one.
+    """
+
+    def __init__(self, t: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
+        self.t, self.x, self.w = t, x, w
+        # without an order of phases within cycles, or with sums that one value spoils, points are taken one by one
+        self.sound = bool(len(t) and t[0] >= 0 and np.isfinite(t).all() and np.isfinite(x).all() and np.isfinite(w).all())
+        if self.sound:
+            new = np.flatnonzero(np.concatenate([[True], np.diff(t) > 0]))
+            self.at, self.first = t[new], np.append(new, len(t))
+            self.sums = {"x": running(x), "w": running(w), "wx": running(w * x)}
+
+    def begins(self, period: float, offsets: np.ndarray, bins: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+        """The first point of each bin of each cycle (cycles x bins), and the number of points; None where points are fewer than that work.
+
+        ``offsets``: where bins begin, in days after the cycle does; ``bins``: the bin of a time in its cycle.
+        """
+        n = len(offsets)
+        if not self.sound or n * (self.at[-1] - self.at[0] + period) / period > len(self.t) / 2:
+            return None
+        low, high = (np.rint((v - np.mod(v, period)) / period) for v in (self.at[0], self.at[-1]))
+        edges = ((low + np.arange(int(high - low) + 1))[:, None] * period + offsets).ravel()
+        place, last = np.searchsorted(self.at, edges), len(self.at)
+        room = 64 * np.finfo(float).eps * (self.at[-1] + period)
+        after, before = self.at[np.minimum(place, last - 1)] - edges, edges - self.at[np.maximum(place - 1, 0)]
+        near = np.flatnonzero((np.abs(after) <= room) | (np.abs(before) <= room))
+
+        def number(v: np.ndarray) -> np.ndarray:
+            own = np.mod(v, period)
+            return (np.rint((v - own) / period) - low) * n + bins(own)
+
+        while len(near):
+            here = place[near]
+            back = (here > 0) & (number(self.at[np.maximum(here - 1, 0)]) >= near)
+            on = ~back & (here < last) & (number(self.at[np.minimum(here, last - 1)]) < near)
+            place[near] = here + on - back
+            near = near[back | on]
+        return np.append(self.first[place], len(self.t))
+
+    def counts(self, begins: np.ndarray, n: int) -> np.ndarray:
+        return np.diff(begins).reshape(-1, n).sum(axis=0)
+
+    def totals(self, name: str, begins: np.ndarray, n: int) -> np.ndarray:
+        return np.diff(self.sums[name][begins]).reshape(-1, n).sum(axis=0)
+
+    def phase_begins(self, period: float, n_bins: int) -> np.ndarray | None:
+        """``begins`` of ``phase_bins``."""
+        return self.begins(period, np.arange(n_bins) / n_bins * period, lambda own: np.minimum((own / period * n_bins).astype(np.int64), n_bins - 1))
+
+    def histogram(self, period: float, n_bins: int) -> tuple[np.ndarray, np.ndarray]:
+        """As the function of that name."""
+        begins = self.phase_begins(period, n_bins)
+        if begins is None:
+            return histogram(self.t, self.x, self.w, period, n_bins)
+        return self.totals("wx", begins, n_bins), self.totals("w", begins, n_bins)
+
+
+def running(v: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values (rows), added up in more digits than they are kept in."""
+    return np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0, dtype=np.longdouble).astype(float)])
+
+
 def widths(min_fraction: float, max_fraction: float, n_bins: int) -> range:
     lo = max(1, int(np.floor(min_fraction * n_bins)))
     hi = min(max(lo + 1, int(np.ceil(max_fraction * n_bins))), n_bins // 2)

@@ -1,7 +1,8 @@
 """Sums over the points of a target from bounded blocks of them: no group holds a whole light curve.
 
-Points go to (target, block, chunk of trials) groups. A block's sums of its trials are packed arrays, added by (target,
-part of trials). A target of one block is finished where its points are, so small light curves send no sums.
+Points go to (target, block, chunk of trials) groups, packed where they are read, so copies for chunks are of a few large
+rows of bytes. A block's sums of its trials are packed arrays, added by (target, part of trials). A target of one block is
+finished where its points are, so small light curves send no sums.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 from dipper.operators.lightcurve import with_target_stats
 
 #: Points of a block, and trials of a part, whose sums are one row.
-BLOCK, PART = 500_000, 32
+BLOCK, PART = 2_000_000, 32
 #: Groups and tasks for each of Spark's shuffle partitions, so that they share out evenly.
 SHARES = 8
 
+#: Points that are packed at once, and groups for each core.
+PIECE, GROUPS = 200_000, 2
+
 #: The place of a part that failed.
 FAILED = -1
 
@@ -47,42 +51,85 @@ def or_error(run: Callable[[tuple, pd.DataFrame], pd.DataFrame], columns: tuple[
     return safe if errors else run
 
 
-def chunks_for(lc: DataFrame, block: int | None = None) -> int:
-    """Into how many shares of its trials each light curve's blocks go: 1 where there are enough blocks for all tasks."""
+def chunks_for(lc: DataFrame, block: int | None = None, tasks: int | None = None) -> int:
+    """Into how many shares of its trials each light curve's blocks go: 1 where there are enough blocks for all ``tasks``."""
     sizes = lc.groupBy("target").agg((F.ceil(F.count(F.lit(1)) / block) if block else F.lit(1)).alias("blocks"))
     groups = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    return max(1, -(-SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(groups, 1)))
+    tasks = SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tasks is None else tasks
+    return max(1, -(-tasks // max(groups, 1)))
+
+
+def copies_for(lc: DataFrame, block: int | None = None) -> int:
+    """``chunks_for`` as many groups as keep all cores busy: copies of points grow with cores, not with shuffle partitions."""
+    return chunks_for(lc, block, GROUPS * lc.sparkSession.sparkContext.defaultParallelism)
+
+
+def packed(rows: DataFrame, keys: tuple[str, ...], also: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
+    """(keys, also, points): the ``values`` of the rows of a key as bytes, in pieces; ``also``: what is the same in all rows of a key."""
+    each = rows.select(*keys, *also, *(F.col(v).cast("double") for v in values))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.select(*keys, *also).schema) + ", points binary"
+
+    def pieces(held: list[pd.DataFrame]) -> pd.DataFrame:
+        now = pd.concat(held, ignore_index=True)
+        codes = now.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        points = now[list(values)].to_numpy(float)[order]
+        heads = now.iloc[order[starts]][[*keys, *also]]
+        return heads.assign(points=[points[a:b].T.tobytes() for a, b in zip(starts, [*starts[1:], len(order)], strict=True)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held += [batch] if len(batch) else []
+            if sum(map(len, held)) >= PIECE:
+                yield pieces(held)
+                held = []
+        if held:
+            yield pieces(held)
+
+    return each.mapInPandas(run, schema)
+
+
+def unpacked(points: pd.Series, n_values: int) -> np.ndarray:
+    """The values (a row for each) of the pieces of a group."""
+    return np.concatenate([np.frombuffer(p).reshape(n_values, -1) for p in points], axis=1)
 
 
-def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int | None = None, block: int = BLOCK, error: str | None = None, errors: bool = False) -> DataFrame:
+def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Callable, finish: Callable, columns: tuple[str, ...], schema: str, chunks: int | None = None, block: int = BLOCK, error: str | None = None, errors: bool = False, prepare: Callable = lambda t, x, w, lo: (t, x, w)) -> DataFrame:
     """Rows of ``schema``, a target and then ``columns``, for trials of each target.
 
     ``trials(lo, hi)``: all trials of a target by its first and last time. ``sums(t, x, w, own, lo)``: an array of sums for
     some points and trials; ``x`` is flux less its mean, ``w`` are weights that sum to 1 in the target, uniform or by
-    ``error`` ** -2. ``finish(total, places, own, n, lo, hi)``: tuples of ``columns``, from sums of all points. All numeric.
+    ``error`` ** -2; ``prepare(t, x, w, lo)``: what to give in place of these three, made once for all trials. ``finish(total, places, own, n, lo, hi)``: tuples of ``columns``, from sums of all points. All numeric.
 
     A target whose functions raise fails the job; with ``errors`` there is a column of that name, ``error``, and for each
     share of the work that failed a row with the text and nulls, while all others go on. A target with such a row is not
     searched whole.
     """
-    chunks = chunks_for(lc, block) if chunks is None else chunks
+    chunks = copies_for(lc, block) if chunks is None else chunks
     w = F.lit(1.0) if error is None else F.pow(F.col(error), -2)
     stats = (F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("w").alias("w_total"), F.sum(F.col("w") * F.col("flux")).alias("wf_total"))
     rows = with_target_stats(lc.withColumn("w", w).select("target", "t", "flux", "w"), *stats)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("t", "flux"), F.ceil(F.col("n") / block)).cast("int"))
-    rows = rows.withColumns({"x": F.col("flux") - F.col("wf_total") / F.col("w_total"), "w": F.col("w") / F.col("w_total")}).drop("flux", "w_total", "wf_total")
+    rows = rows.withColumn("mean", F.col("wf_total") / F.col("w_total"))
+    values = ("t", "flux") if error is None else ("t", "flux", "w")
+    rows = packed(rows, ("target", "block"), ("n", "lo", "hi", "w_total", "mean"), values)
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def one_block(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points = pd.concat(parts).sort_values(["t", "x"])
-        head = points.iloc[0]
+        pieces = pd.concat(parts)
+        head = pieces.iloc[0]
         n, lo, hi, chunk = int(head["n"]), float(head["lo"]), float(head["hi"]), int(head["chunk"])
-        t, x, w = (points[c].to_numpy(float) for c in ("t", "x", "w"))
+        points = unpacked(pieces["points"], len(values))
+        t, x, w = points[0], points[1] - float(head["mean"]), (np.ones(points.shape[1]) if error is None else points[2]) / float(head["w_total"])
+        order = np.lexsort((x, t))
+        t, x, w = t[order], x[order], w[order]
         own = {"target": [head["target"]], "n": n, "lo": lo, "hi": hi, "chunk": chunk}
         try:
-            every = trials(lo, hi)
+            every, given = trials(lo, hi), prepare(t, x, w, lo)
             for part, places in enumerate(_parts(len(every), chunk, chunks)):
-                total = sums(t, x, w, every[places], lo)
+                total = sums(*given, every[places], lo)
                 done = n <= block
                 if done:
                     total = np.array(finish(total, places, every[places], n, lo, hi), float)
@@ -120,8 +167,8 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
 
     # a given number, as groups of few bytes hold much work and mustn't be put together
     rows = rows.repartition(SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "block", "chunk")
-    packed = rows.groupBy("target", "block", "chunk").applyInPandas(one_block, PACKED)
-    return packed.groupBy("target", "chunk", "part").applyInPandas(all_blocks, with_error(schema, errors))
+    done = rows.groupBy("target", "block", "chunk").applyInPandas(one_block, PACKED)
+    return done.groupBy("target", "chunk", "part").applyInPandas(all_blocks, with_error(schema, errors))
 
 
 def _parts(n: int, chunk: int, chunks: int) -> list[np.ndarray]:
