@@ -8,6 +8,7 @@ Scores compare after rounding to 6 digits; ties go to the narrower, then the ear
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -259,26 +260,29 @@ SHUFFLED = 4_000_000
 def shuffled_best(lc: DataFrame, rounds: int, trials: Callable[[float, float], np.ndarray], spans: Callable[[float], range], order: Callable[[int, int], np.ndarray], n_bins: int, per_task: int = 50, chunks: int | None = None, error: str | None = None, dips: bool = False) -> DataFrame:
     """(target, round, best): the best score of each shuffle of a target's flux over its trial periods.
 
-    Work is dealt in tiles of ``per_task`` rounds and one of ``chunks`` shares of the periods; where (target, tile) groups
-    outnumber tasks, there is one share. A tile holds its light curve whole, as a shuffle is over all points; its shuffles
+    Work is dealt in tiles of ``per_task`` rounds, or more where there are groups for all cores, and one of ``chunks`` shares of
+    the periods; where (target, tile) groups outnumber tasks, there is one share. A tile holds its light curve whole, as a shuffle is over all points; its shuffles
     are taken so many at a time that they fit ``SHUFFLED`` values. ``trials(first, last)``: periods; ``spans(period)``:
     widths in bins; ``order(n, k)``: places of n points in round k.
     """
-    tiles = max(1, -(-rounds // per_task))
-    chunks = max(1, -(-partial.chunks_for(lc) // tiles)) if chunks is None else chunks
-    curves = lc.select("target", "t", "flux", (F.lit(1.0) if error is None else F.col(error)).alias("error"))
+    groups = partial.copies_for(lc)
+    tiles = max(1, min(-(-rounds // per_task), groups))
+    chunks = max(1, -(-groups // tiles)) if chunks is None else chunks
+    values = ("t", "flux") if error is None else ("t", "flux", "error")
+    curves = partial.packed(lc.select("target", "t", "flux", *([] if error is None else [F.col(error).alias("error")])), ("target",), (), values)
     curves = curves.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     curves = curves.repartition(partial.SHARES * int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target", "tile", "chunk")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "flux"])
-        t, flux = part["t"].to_numpy(float), part["flux"].to_numpy(float)
-        errors = None if error is None else part["error"].to_numpy(float)
-        own = list(range(key[1] * per_task, min(rounds, (key[1] + 1) * per_task)))
+        points = partial.unpacked(part["points"], len(values))
+        points = points[:, np.lexsort((points[1], points[0]))]
+        t, flux = points[:2]
+        errors = None if error is None else points[2]
+        own = list(range(key[1], rounds, tiles))
         periods = trials(t[0], t[-1])[key[2] :: chunks]
-        wide, most = [spans(p) for p in periods], max(1, SHUFFLED // len(t))
-        best = [kernels.shuffled_best(t, flux, [order(len(t), k) for k in own[i : i + most]], periods, wide, n_bins, errors, dips) for i in range(0, len(own), most)]
-        return pd.DataFrame({"target": key[0], "round": own, "best": np.concatenate(best)}) if own else pd.DataFrame({"target": [], "round": [], "best": []})
+        orders = [functools.partial(order, len(t), k) for k in own]
+        best = kernels.shuffled_best(t, flux, orders, periods, [spans(p) for p in periods], n_bins, errors, dips, max(1, SHUFFLED // len(t)))
+        return pd.DataFrame({"target": key[0], "round": own, "best": best})
 
     tiled = curves.groupBy("target", "tile", "chunk").applyInPandas(run, "target string, round int, best double")
     return tiled.groupBy("target", "round").agg(F.max("best").alias("best"))

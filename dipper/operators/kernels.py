@@ -209,12 +209,14 @@ def best_dip(x: np.ndarray, count: np.ndarray, spans: np.ndarray) -> tuple[int,
 
 def hashed_order(n: int, k: int, seed: int = 1) -> np.ndarray:
     """The places of n points in the order of shuffle ``k``: by a hash of the place, ties by the place itself. SQL can give the same."""
-    salt = (seed * 1009 + k) * 7919
-    x = np.arange(n, dtype=np.int64) * 69069 % (1 << 31)
+    salt, mask = (seed * 1009 + k) * 7919, (1 << 31) - 1
+    place = np.arange(n, dtype=np.int64)
+    x = place * 69069 & mask
     for _ in range(3):
-        x = (x * 1103515245 + 12345 + salt) % (1 << 31)
+        x = x * 1103515245 + (12345 + salt) & mask
         x ^= x >> 15
-    return np.argsort(x, kind="stable")
+    # a hash has 31 bits, so both fit a number, and its plain order is by hash and place
+    return np.sort(x << 32 | place) & ((1 << 32) - 1) if n < 1 << 32 else np.argsort(x, kind="stable")
 
 
 def best_scores(s: np.ndarray, r: np.ndarray, spans: range, dips: bool = False) -> np.ndarray:
@@ -235,23 +237,34 @@ def best_scores(s: np.ndarray, r: np.ndarray, spans: range, dips: bool = False)
     return best
 
 
-def shuffled_best(t: np.ndarray, flux: np.ndarray, orders: list[np.ndarray], periods: np.ndarray, spans: list[range], n_bins: int, errors: np.ndarray | None = None, dips: bool = False) -> np.ndarray:
+def shuffled_best(t: np.ndarray, flux: np.ndarray, orders: list[np.ndarray | Callable[[], np.ndarray]], periods: np.ndarray, spans: list[range], n_bins: int, errors: np.ndarray | None = None, dips: bool = False, most: int | None = None) -> np.ndarray:
     """The best score of each shuffle of the flux over all periods; times and errors stay where they are.
 
-    A period's bins are found once for all shuffles. Their sums are one product of the (bins x points) matrix of the period,
+    A period's bins are found once for all shuffles. Where points are many, its sums come from running sums of the shuffled
+    flux at the beginnings of its bins (``Ordered``), else they are one product of the (bins x points) matrix of the period,
     which has a single one in each column, with the (points x shuffles) matrix: rows in order of bins, summed run by run.
     """
     _, w = weights(flux, errors)
-    moved = flux[np.array(orders)]
-    moved = np.ascontiguousarray(((moved - (moved @ w)[:, None]) * w).T)
+    curve = Ordered(t, flux, w)
+    cuts = [curve.phase_begins(period, n_bins) for period in periods]
     best = np.zeros(len(orders))
-    for period, wide in zip(periods, spans, strict=True):
-        bins = phase_bins(t, period, n_bins)
-        by_bin = np.argsort(bins, kind="stable")
-        filled, first = np.unique(bins[by_bin], return_index=True)
-        s = np.zeros((n_bins, len(orders)))
-        s[filled] = np.add.reduceat(moved[by_bin], first, axis=0)
-        np.maximum(best, best_scores(s, np.bincount(bins, w, n_bins), wide, dips), out=best)
+    for first in range(0, len(orders), most := most or len(orders)):
+        moved = flux[np.array([order() if callable(order) else order for order in orders[first : first + most]])]
+        moved = np.ascontiguousarray(((moved - (moved @ w)[:, None]) * w).T)
+        ahead = running(moved) if any(c is not None for c in cuts) else None
+        top = best[first : first + most]
+        for period, wide, begins in zip(periods, spans, cuts, strict=True):
+            if begins is not None:
+                s = np.diff(ahead[begins], axis=0).reshape(-1, n_bins, moved.shape[1]).sum(axis=0)
+                r = curve.totals("w", begins, n_bins)
+            else:
+                bins = phase_bins(t, period, n_bins)
+                by_bin = np.argsort(bins, kind="stable")
+                filled, starts = np.unique(bins[by_bin], return_index=True)
+                s = np.zeros((n_bins, moved.shape[1]))
+                s[filled] = np.add.reduceat(moved[by_bin], starts, axis=0)
+                r = np.bincount(bins, w, n_bins)
+            np.maximum(top, best_scores(s, r, wide, dips), out=top)
     return best
 
 

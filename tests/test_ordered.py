@@ -64,3 +64,31 @@ def test_dense_curves_give_the_same_search(spark, monkeypatch):
     for block in (10_000, 1500):
         got = sorted(tuple(r)[1:] for r in bls.search(lc, periods, 20, 0.2, 0.9, block=block).collect())
         assert len(got) == len(want) and all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_vetting_joins_points_without_keeping_a_target_together(spark):
+    """The points' join is an inner one, which Spark can broadcast or split; one without boxes' points still has its row."""
+    from dipper.operators import vetting
+
+    lc = spark.createDataFrame([(g, i / 10, 1.0 - 0.1 * (i % 50 < 3)) for g in ("a", None) for i in range(2000)], "target string, t double, flux double")
+    row = (1, 5.0, 0.0, 0.06, 0.1, False, 9.0)
+    cands = spark.createDataFrame([(g, *row) for g in ("a", None, "without points")], "target string, peak_rank int, period double, phase_start double, phase_width double, depth double, is_harmonic boolean, sde double")
+    vetted = vetting.vet(lc, cands)
+    joins = [line for line in vetted._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in f" {line}" and "#" in line]
+    assert any("Inner" in j for j in joins) and sum("LeftOuter" in j for j in joins) == 1
+    got = {r["target"]: (r["status"], r["odd_even_diff_sigma"], r["depth_odd"]) for r in vetted.collect()}
+    assert set(got) == {"a", None, "without points"}
+    assert got["without points"] == ("PASSED", 0.0, None) and got["a"] == got[None] and abs(got["a"][2] - 0.1) < 0.02
+
+
+def test_shuffles_by_running_sums_are_those_point_by_point():
+    rng = np.random.default_rng(4)
+    t, flux = np.sort(rng.uniform(0, 30, 5000)), rng.normal(1, 0.1, 5000)
+    periods, spans = np.array([2.5, 4.0, 9.0]), [range(1, 4)] * 3
+    orders = [kernels.hashed_order(5000, k) for k in range(5)]
+    assert kernels.Ordered(t, flux, flux).phase_begins(4.0, 20) is not None
+    best = kernels.shuffled_best(t, flux, orders, periods, spans, 20, most=2)
+    for got, order in zip(best, orders, strict=True):
+        x, w = kernels.weights(flux[order])
+        want = max(kernels.best_window(*kernels.histogram(t, x, w, p, 20), s, False)[-1] for p, s in zip(periods, spans, strict=True))
+        assert np.isclose(got, want)
