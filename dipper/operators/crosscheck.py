@@ -4,8 +4,12 @@ Points are sorted by phase; a box of a given duration begins at each point and h
 the cycle. Both ends move along the sorted phases, so a period takes a sort and one search of ends a duration. The
 objective is the gain in likelihood of a box below the rest: half the weight inside times the squared depth.
 
+Long curves aren't sorted for each period. Sums of phase bins, of all points and of those below the mean, bound the best
+box that begins in a bin; only bins whose bound reaches the best box found so far have their points sorted, so the result
+is that of all boxes (``Curve``).
+
 A group is a target and a share of its periods, and holds that light curve, as all boxes are over all points; the search
-that the flow uses (``bls.search``) has no such bound. Points go to as many groups as tasks need.
+that the flow uses (``bls.search``) has no such bound. Points go packed to as many groups as keep all cores busy.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipper.operators.partial import SHARES, chunks_for, or_error, with_error
+from dipper.operators import kernels
+from dipper.operators.partial import SHARES, copies_for, or_error, packed, unpacked, with_error
 
 FIELDS = ("period", "duration_days", "transit_time", "depth", "power")
 SCHEMA = "target string, pid long, " + ", ".join(f"{c} double" for c in FIELDS)
+#: Points from which on bins bound boxes, and bins that are tried first.
+MANY, FIRST = 4000, 3
 
 
 def auto_periods(baseline: float, durations: Sequence[float], transits: int = 3, factor: float = 1.0) -> np.ndarray:
@@ -61,23 +68,116 @@ def best_box(t: np.ndarray, y: np.ndarray, w: np.ndarray, period: float, duratio
     return best
 
 
+class Curve:
+    """A long curve for many periods: sorted by time, with sums that boxes are bounded by. Times are from the first one."""
+
+    def __init__(self, t: np.ndarray, y: np.ndarray, w: np.ndarray, many: int = MANY) -> None:
+        self.t, self.y, self.w, self.many = t, y, w, many
+        self.weight = w.sum()
+        self.x = w * (y - (w * y).sum() / self.weight)  # sums to 0, which depths don't depend on
+        self.below = np.minimum(self.x, 0.0)
+        self.ordered = kernels.Ordered(t, self.x, w)
+        self.sound = self.ordered.sound and np.isfinite(self.x).all() and (w > 0).all()
+        if self.sound:
+            self.ordered.sums["below"] = kernels.running(self.below)
+
+    def best_box(self, period: float, durations: Sequence[float]) -> tuple[float, ...] | None:
+        """As the function of that name."""
+        n, tried = len(self.t), [(k, d) for k, d in enumerate(durations) if d < period]
+        if not tried or not self.sound or n < self.many:
+            return best_box(self.t, self.y, self.w, period, durations)
+        # bins of a quarter of the points that the noise of a box is worth, so that few bounds reach the best box
+        n_bins = max(8, int(4 * np.sqrt(n * period / min(d for _, d in tried))))
+        wide = [d / period * n_bins for _, d in tried]
+        if min(wide) < 4 or max(wide) > n_bins - 4:
+            return best_box(self.t, self.y, self.w, period, durations)
+        begins = self.ordered.phase_begins(period, n_bins)
+        at = kernels.phase_bins(self.t, period, n_bins) if begins is None else None
+        total = lambda name, v: self.ordered.totals(name, begins, n_bins) if at is None else np.bincount(at, v, n_bins)
+        sums, weights, below = total("x", self.x), total("w", self.w), total("below", self.below)
+        sums, weights, below = (np.concatenate([[0.0], np.cumsum(np.tile(v, 2))]) for v in (sums, weights, below))
+        start = np.arange(n_bins)
+        spans, bounds = [], []
+        for q in wide:
+            # a box of a point of bin i holds all bins from i + 1 to ``lo``, and some points of bin i and of those from ``lo`` to ``hi``
+            lo, hi = np.floor(start + q - 1e-6).astype(int), np.floor(start + 1 + q + 1e-6).astype(int) + 1
+            least = sums[lo] - sums[start + 1] + below[start + 1] - below[start] + below[hi] - below[lo]
+            few, most = weights[lo] - weights[start + 1], weights[hi] - weights[start]
+            size = np.minimum(*(v * (self.weight - v) ** 2 for v in (few, np.minimum(most, self.weight))))
+            bounds.append(np.divide(0.5 * (np.minimum(least, 0.0) * self.weight) ** 2, size, out=np.full(n_bins, np.inf), where=size > 0))
+            spans.append((lo, hi))
+        bounds = np.array(bounds)
+
+        def found(chosen: np.ndarray) -> list[tuple]:
+            """(power, which duration, phase, depth) of the best box of each duration that begins in some bins."""
+            asked = np.zeros(2 * n_bins + 2, int)
+            for k, (lo, hi) in enumerate(spans):
+                own = np.flatnonzero(chosen[k])
+                for a, b in ((own, own + 1), (lo[own], hi[own])):
+                    np.add.at(asked, a, 1)
+                    np.add.at(asked, b, -1)
+            asked = np.cumsum(asked)[: 2 * n_bins].reshape(2, n_bins).any(axis=0)
+            if at is None:
+                firsts, ends = (v.reshape(-1, n_bins)[:, asked].ravel() for v in (begins[:-1], begins[1:]))
+                count = ends - firsts
+                rows = np.repeat(firsts - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            else:
+                rows = np.flatnonzero(asked[at])
+            phase = self.t[rows] % period
+            order = np.lexsort((self.y[rows], phase))
+            rows, phase = rows[order], phase[order]
+            own = np.minimum((phase / period * n_bins).astype(np.int64), n_bins - 1)
+            twice, of = np.concatenate([phase, phase + period]), np.concatenate([own, own + n_bins])
+            x, w = (np.concatenate([[0.0], np.cumsum(np.tile(v[rows], 2))]) for v in (self.x, self.w))
+            out = []
+            for k, (lo, _) in enumerate(spans):
+                a = np.flatnonzero(chosen[k][own])
+                if not len(a):
+                    continue
+                i, end = own[a], np.searchsorted(twice, phase[a] + tried[k][1], side="left")
+                over, last = np.searchsorted(of, i + 1), np.searchsorted(of, lo[i])
+                s, inside = (local[over] - local[a] + every[lo[i]] - every[i + 1] + local[end] - local[last] for local, every in ((x, sums), (w, weights)))
+                outside = self.weight - inside
+                ok = outside > 1e-9 * self.weight
+                depth = np.where(ok, -s / np.where(ok, outside, 1) - s / inside, -1)
+                power = np.where(depth > 0, 0.5 * inside * depth**2, -1)
+                j = int(np.argmax(np.round(power, 9)))
+                if power[j] > 0:
+                    out.append((power[j], k, phase[a[j]], depth[j]))
+            return out
+
+        top = np.zeros(bounds.shape, bool)
+        top[np.arange(len(tried))[:, None], np.argpartition(-bounds, FIRST, axis=1)[:, :FIRST]] = True
+        least = max((f[0] for f in found(top)), default=0.0)
+        # the noise of sums aside
+        best = min(found(bounds >= least * (1 - 1e-9) - 1e-6), key=lambda f: (-round(f[0], 9), f[1]), default=None)
+        if best is None:
+            return None
+        power, k, phase, depth = best
+        d = tried[k][1]
+        return period, d, (phase + d / 2) % period, depth, power
+
+
 def search(lc: DataFrame, periods: Sequence[float] | None = None, durations: Sequence[float] = (0.1,), error: str | None = None, chunks: int | None = None, errors: bool = False) -> DataFrame:
     """SCHEMA rows: the best box of each period, among given durations; the grid without limits where no ``periods`` are given.
 
     ``error``: the column of errors that points are weighted by. ``transit_time``: the first middle from the target's first time on.
     ``errors``: as in ``partial.summed``.
     """
-    w = F.lit(1.0) if error is None else F.pow(F.col(error), -2)
-    parts = chunks_for(lc) if chunks is None else chunks
-    rows = lc.select("target", "t", "flux", w.alias("w")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    w = None if error is None else F.pow(F.col(error), -2)
+    parts = copies_for(lc) if chunks is None else chunks
+    values = ("t", "flux") if error is None else ("t", "flux", "w")
+    rows = packed(lc.select("target", "t", "flux", *([] if error is None else [w.alias("w")])), ("target",), (), values)
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "flux"])
-        t, y, own = (part[c].to_numpy(float) for c in ("t", "flux", "w"))
+        points = unpacked(part["points"], len(values))
+        points = points[:, np.lexsort((points[1], points[0]))]
+        t, y = points[:2]
         first = t[0]
         grid = auto_periods(t[-1] - first, durations) if periods is None else np.asarray(periods, float)
-        y = y - np.median(y)
-        out = [(pid, best_box(t - first, y, own, float(grid[pid]), durations)) for pid in range(key[1], len(grid), parts)]
+        curve = Curve(t - first, y - np.median(y), np.ones(len(t)) if error is None else points[2])
+        out = [(pid, curve.best_box(float(grid[pid]), durations)) for pid in range(key[1], len(grid), parts)]
         found = pd.DataFrame([(pid, *b) for pid, b in out if b], columns=["pid", *FIELDS])
         found["transit_time"] += first
         found.insert(0, "target", key[0])
