@@ -129,8 +129,8 @@ def measure_apertures(pixels: DataFrame, sigmas: tuple[float, ...] = SIGMAS) ->
     trial = ("target", "sigma")
     scaled = with_joined(flux, median, "inner", trial).select("target", "sigma", "cadence", F.when(F.isnan("m") | (F.col("m") == 0), 1.0).otherwise(F.col("flux") / F.col("m")).alias("flux"))
     middle = medians(scaled, ("target", "sigma"), "flux", "signal", poisoned=True)
-    d = F.col("flux") - F.col("signal")
-    stats = with_joined(scaled, middle, "inner", trial).groupBy("target", "sigma").agg(F.first("signal").alias("signal"), F.stddev_pop("flux").alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
+    d = F.col("flux") - F.col("signal")  # constant fluxes deviate by exactly 0, which merged means of other numbers don't
+    stats = with_joined(scaled, middle, "inner", trial).groupBy("target", "sigma").agg(F.first("signal").alias("signal"), F.stddev_pop(d).alias("noise"), F.sqrt(F.avg(d * d)).alias("rms"))
     size = growth.groupBy("target", "sigma").agg(F.count(F.lit(1)).alias("pixels"))
     trials = with_joined(stats, size, "left", trial).select("target", "sigma", F.coalesce("pixels", F.lit(0)).alias("pixels"), "signal", "noise", "rms", ratio_or_zero(F.col("signal"), F.col("noise")).alias("snr"))
     trials = trials.withColumn("score", F.round(ratio_or_zero(F.col("snr"), F.sqrt(F.col("pixels"))), 6))
