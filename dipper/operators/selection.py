@@ -1,6 +1,7 @@
 """Exact order statistics of groups of any size, by radix selection: no task holds a group's values.
 
-A value becomes 64 bits that sort as it does. A group whose values don't fit a buffer of FEW is counted by its next
+A sketch of each group gives a bracket of a rank, and counts say how many values lie below and in it. A bracket that misses
+its rank, which nothing relies on, becomes the whole range. A value becomes 64 bits that sort as it does. A range whose values don't fit a buffer of FEW is counted by its next
 DIGIT bits, within the range that still holds the rank; the digit where the counts reach the rank gives the next range, from
 its least to its largest value. Ranges lose DIGIT bits a round, so there are at most six rounds, whatever the values.
 Counting combines before the shuffle. What is left at the end, FEW values or one value of any number, is sorted.
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dipper.sources.store import kept
+from dipper.sources.store import kept, small
 
 #: Values that one buffer may hold.
 FEW = 100_000
+#: Steps of the quantiles that brackets are taken from, and their accuracy.
+STEPS, ACCURACY = 512, 10_000
 #: Bits of a round.
 DIGIT = 12
 
@@ -41,36 +44,56 @@ def all_fit(rows: DataFrame, keys: tuple[str, ...], few: int = FEW) -> bool:
 def selected(rows: DataFrame, keys: tuple[str, ...], value: str, ranks: dict[str, str], few: int = FEW, fit: bool | None = None) -> DataFrame:
     """One row a group: its keys, ``n`` (its values) and, for each of ``ranks``, the value at that place of the sorted ones.
 
-    ``ranks``: places from 0, as SQL of ``n``. Groups without values are left out. ``rows`` are read once a round. ``fit``: what
+    ``ranks``: places from 0, as SQL of ``n``. Groups without values are left out. ``rows`` are read for the sketch, the counts and the values, and once more a round. ``fit``: what
     ``all_fit`` says, where it's known.
     """
-    every = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("of"), F.col(value).cast("double").alias("value")).withColumn("bits", ordered_bits(F.col("value")))
+    every = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("of"), F.col(value).cast("double").alias("value"))
     if all_fit(every, ("of",), few) if fit is None else fit:
         found = every.groupBy("of").agg(F.sort_array(F.collect_list("value")).alias("values")).withColumn("n", F.size("values").cast("long"))
         return found.select("of.*", "n", *(F.try_element_at("values", (F.expr(sql) + 1).cast("int")).alias(name) for name, sql in ranks.items()))
-    sizes = every.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
+    sketch = F.percentile_approx("value", [i / STEPS for i in range(STEPS + 1)], ACCURACY)
+    sizes = small(every.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), sketch.alias("knots")))
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.expr(sql).cast("long").alias("k")) for name, sql in ranks.items()))).alias("rank")
-    asked = kept(sizes.select("of", "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), each))
+    at = F.floor(F.col("rank.k") / F.col("n") * STEPS).cast("int")
+    # the last rank is known, and needs no bracket
+    last_one = F.col("rank.k") == F.col("n") - 1
+    from_, to = F.when(last_one, F.col("most")).when(at >= 2, F.try_element_at("knots", at)).otherwise(F.col("least")), F.when(last_one, F.col("most")).when(at <= STEPS - 3, F.try_element_at("knots", at + 3)).otherwise(F.col("most"))
+    brackets = small(sizes.select("of", "n", "least", "most", each, "knots").select("of", "n", "least", "most", "rank", from_.alias("from"), to.alias("to")))
+    asked_for = F.collect_set(F.struct("from", "to")).alias("spans")
+    own = small(brackets.where(~last_one).groupBy(F.col("of").alias("own")).agg(asked_for))
+    value_of = every.join(own, F.col("of") == F.col("own")).select("own", "value", F.explode("spans").alias("span")).select("own", "value", "span.from", "span.to")
+    inside = F.when(F.col("value").between(F.col("from"), F.col("to")), F.col("value"))
+    counts = value_of.groupBy("own", "from", "to").agg(F.count(F.when(F.col("value") < F.col("from"), 1)).alias("below"), F.count(inside).alias("inside"), F.min(inside).alias("low"), F.max(inside).alias("high"))
+    counts = counts.withColumnsRenamed({"from": "own_from", "to": "own_to"})
+    same = (F.col("of") == F.col("own")) & (F.col("from") == F.col("own_from")) & (F.col("to") == F.col("own_to"))
+    hit = (F.col("below") <= F.col("rank.k")) & (F.col("rank.k") < F.col("below") + F.col("inside"))
+    held = lambda c, other: F.when(last_one, F.col("most") if c in ("low", "high") else other).when(hit, F.col(c)).otherwise(other)
+    asked = brackets.join(counts, same, "left")
+    # the last rank is of the largest value, so no more than its bits are asked for
+    asked = asked.select("of", "n", ordered_bits(held("low", F.col("least"))).alias("lo"), ordered_bits(held("high", F.col("most"))).alias("hi"), F.when(last_one, F.col("n") - 1).when(hit, F.col("below")).otherwise(0).cast("long").alias("below"), F.when(last_one, 1).when(hit, F.col("inside")).otherwise(F.col("n")).cast("long").alias("inside"), "rank", held("low", F.col("least")).alias("low"), held("high", F.col("most")).alias("high"))
+    asked = kept(asked)
+    every = every.withColumn("bits", ordered_bits(F.col("value")))
     wide = f"hi > lo and inside > {few}"
     while not (open_ones := asked.where(wide)).isEmpty():
         # half the range fits a long, the range may not
         ranges = open_ones.select(F.col("of").alias("own"), "lo", "hi").distinct().withColumn("shift", F.expr(f"greatest(0, length(bin(shiftright(hi, 1) - shiftright(lo, 1))) + 1 - {DIGIT})"))
-        within = every.join(ranges, (F.col("of") == F.col("own")) & F.col("bits").between(F.col("lo"), F.col("hi")))
+        within = every.join(small(ranges), (F.col("of") == F.col("own")) & F.col("bits").between(F.col("lo"), F.col("hi")))
         digit = F.expr("shiftright(bits, shift) - shiftright(lo, shift)")
-        counts = within.groupBy("own", "lo", "hi", digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.min("bits").alias("least"), F.max("bits").alias("most"))
+        counts = within.groupBy("own", "lo", "hi", digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.min("bits").alias("least"), F.max("bits").alias("most"), F.min("value").alias("low"), F.max("value").alias("high"))
         before = Window.partitionBy("own", "lo", "hi").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("prior", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumnsRenamed({"lo": "from", "hi": "to"})
         place = F.col("rank.k") - F.col("below") - F.col("prior")
-        hit = open_ones.join(counts, (F.col("of") == F.col("own")) & (F.col("lo") == F.col("from")) & (F.col("hi") == F.col("to"))).where((place >= 0) & (place < F.col("c")))
-        narrower = hit.select("of", "n", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("prior")).alias("below"), F.col("c").alias("inside"), "rank")
+        hit = open_ones.drop("low", "high").join(counts, (F.col("of") == F.col("own")) & (F.col("lo") == F.col("from")) & (F.col("hi") == F.col("to"))).where((place >= 0) & (place < F.col("c")))
+        narrower = hit.select("of", "n", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("prior")).alias("below"), F.col("c").alias("inside"), "rank", "low", "high")
         asked = kept(asked.where(f"not ({wide})").unionByName(narrower))
-    spans = asked.groupBy("of", "n", "lo", "hi", "below").agg(F.collect_list("rank").alias("ranks")).withColumnRenamed("of", "own")
-    last = every.join(spans, (F.col("of") == F.col("own")) & F.col("bits").between(F.col("lo"), F.col("hi")))
-    values = F.sort_array(F.collect_list(F.when(F.col("hi") > F.col("lo"), F.col("value"))))
-    found = last.groupBy("own", "n", "lo", "hi", "below", "ranks").agg(values.alias("values"), F.min("value").alias("one"))
-    found = found.select("own", "n", "below", "values", "one", F.explode("ranks").alias("rank"))
-    at = F.when(F.size("values") == 0, F.col("one")).otherwise(F.try_element_at("values", (F.col("rank.k") - F.col("below") + 1).cast("int")))
-    return found.groupBy("own", "n").agg(*(F.max(F.when(F.col("rank.name") == name, at)).alias(name) for name in ranks)).select("own.*", "n", *ranks)
+    # ranges of one value are known, the others are read by their least and largest value, which is cheaper than by bits
+    span = ("of", "n", "below", "low", "high")
+    spans = small(asked.where("hi > lo").groupBy(*span).agg(F.collect_list("rank").alias("ranks")).withColumnRenamed("of", "own"))
+    read = every.join(spans, (F.col("of") == F.col("own")) & F.col("value").between(F.col("low"), F.col("high")))
+    read = read.groupBy("own", "n", "below", "low", "high", "ranks").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    read = read.select("own", "n", "below", "values", F.explode("ranks").alias("rank")).select("own", "n", F.col("rank.name").alias("name"), F.try_element_at("values", (F.col("rank.k") - F.col("below") + 1).cast("int")).alias("at"))
+    found = asked.where("hi = lo").select(F.col("of").alias("own"), "n", F.col("rank.name").alias("name"), F.col("low").alias("at")).unionByName(read)
+    return found.groupBy("own", "n").agg(*(F.max(F.when(F.col("name") == name, F.col("at"))).alias(name) for name in ranks)).select("own.*", "n", *ranks)
 
 
 def medians(rows: DataFrame, keys: tuple[str, ...], value: str, out: str = "median", poisoned: bool = False, few: int = FEW, fit: bool | None = None) -> DataFrame:

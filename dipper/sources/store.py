@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that may go to all tasks.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``kept``, and where its rows are few, sent to all tasks by joins, so the larger side stays where it is."""
+    df = kept(df)
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one, made."""
     from pyarrow import fs
