@@ -166,13 +166,19 @@ def light_curve(data: bytes, path: str, keep_nan: bool = False, hdu: int | None
     return empty
 
 
+#: Rows that a task gives back at once, and points of a file that it writes.
+ROWS, POINTS = 50_000, 100_000
+
+
 def _decoded(files: DataFrame, decode: Callable[[bytes, str], pd.DataFrame], schema: str) -> DataFrame:
     """What ``decode`` gives for each row of (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                yield decode(bytes(content), name)
+                rows = decode(content, name)
+                for first in range(0, max(len(rows), 1), ROWS):
+                    yield rows.iloc[first : first + ROWS]
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -579,12 +585,12 @@ def curve_file(target: str | None, part: pd.DataFrame, names: tuple[str, ...] =
     return write_table(columns, {} if target is None else {"OBJECT": f"TIC {target}"})
 
 
-def write_fits(lc: DataFrame, folder: str, ending: str = ".fits", points: int = 500_000) -> None:
+def write_fits(lc: DataFrame, folder: str, ending: str = ".fits", points: int = POINTS) -> None:
     """Writes light curves as FITS files of at most about ``points`` rows each, from tasks; no task holds more of a target."""
     from dipper.operators.lightcurve import with_target_stats
 
     rows = with_target_stats(lc.select("target", "t", "flux", "quality"), F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("t", "flux"), F.ceil(F.col("n") / points)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("t", "flux"), F.ceil(F.col("n") / points)).cast("int")).drop("n")
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "flux"])
