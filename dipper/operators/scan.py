@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from dipper.sources.store import kept
+from dipper.sources.store import kept, small
 
 #: Rows of one slice, about, where there are more than a slice for each task.
 SLICE_ROWS = 1_000_000
@@ -40,7 +40,7 @@ def before(keys: tuple[str, ...] = ("of",), by: str = "slice", following: bool =
 
 def attach(rows: DataFrame, summary: DataFrame, keys: tuple[str, ...] = ADDED) -> DataFrame:
     """``rows`` with what a summary has for their slices."""
-    return rows.join(summary, list(keys))
+    return rows.join(small(summary), list(keys))
 
 
 def added(x: str, spec: WindowSpec) -> Column:
