@@ -86,9 +86,10 @@ def summarize(tables: Tables) -> Tables:
     """The batch ``report``, a row for each of ``targets``, where photometry gave them, else for each of ``raw``; and ``errors``: (target, stage, error)."""
     targets = tables["targets"] if "targets" in tables else tables["raw"].select("target").distinct()
     unmeasured = with_joined(targets, tables["raw"].select("target").distinct(), "left_anti").withColumn("error", F.lit("no light curve from its pixels"))
-    failed = [("photometry", unmeasured), ("cleaning", tables["clean"].where("error is not null"))]
+    failed = [("photometry", unmeasured)]
+    failed += [("cleaning", tables["clean"].where("error is not null"))] if "clean" in tables else []
     failed += [("search", tables["unsearched"])] if "unsearched" in tables else []
-    unusable = tables["candidates"].where(F.col("status") == vetting.UNUSABLE) if "status" in tables["candidates"].columns else None
+    unusable = tables["candidates"].where(F.col("status") == vetting.UNUSABLE) if "candidates" in tables and "status" in tables["candidates"].columns else None
     failed += [("vetting", unusable.select("target", F.col("status").alias("error")))] if unusable is not None else []
     errors = reduce(DataFrame.unionByName, [rows.select("target", F.lit(stage).alias("stage"), "error") for stage, rows in failed]).distinct()
     return {"report": report.batch_report(targets, tables["best"]), "errors": errors}
