@@ -67,11 +67,11 @@ def segmented(rows: DataFrame, gap: float) -> DataFrame:
     return attach(rows, ends.select(*ADDED, base.alias("base"))).withColumn("segment", (F.col("inner") + F.col("base")).cast("long")).drop("new", "inner", "base")
 
 
-def nearest_known(rows: DataFrame, known: Column, order: str) -> DataFrame:
+def nearest_known(rows: DataFrame, known: Column, *order: str) -> DataFrame:
     """Adds to sliced rows ``left_known`` and ``right_known``: the nearest values of ``known``, which sorts as the rows do, that aren't null."""
     rows = rows.withColumn("known", known)
-    last = lambda by: F.last("known", ignorenulls=True).over(within(by))
-    local = rows.withColumn("left_known", last(F.asc(order))).withColumn("right_known", last(F.desc(order)))
+    last = lambda by: F.last("known", ignorenulls=True).over(within(*map(by, order)))
+    local = rows.withColumn("left_known", last(F.asc)).withColumn("right_known", last(F.desc))
     ends = rows.groupBy(*ADDED).agg(F.min("known").alias("first_known"), F.max("known").alias("last_known"))
     carried = ends.select(*ADDED, F.last("last_known", ignorenulls=True).over(before()).alias("from_left"), F.last("first_known", ignorenulls=True).over(before(following=True)).alias("from_right"))
     both = {"left_known": F.coalesce("left_known", "from_left"), "right_known": F.coalesce("right_known", "from_right")}

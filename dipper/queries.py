@@ -249,7 +249,7 @@ SELECT n.target, n.t, {_r('CASE WHEN n.flux IS NOT NULL THEN n.flux WHEN n.t0 IS
 FROM n LEFT JOIN k a ON a.target = n.target AND a.t = n.t0 LEFT JOIN k b ON b.target = n.target AND b.t = n.t1""")
 def lc_interp_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lc = light_curves(spark, sf_dir).select("target", "t", F.when(F.col("quality") != 0, F.col("flux")).alias("flux"))
-    return rounded(lcs.interpolate(lc), "filled").select("target", "t", "filled")
+    return rounded(lcs.interpolate_pairs(lc), "filled").select("target", "t", "filled")
 
 
 @query(f"""WITH {_LC} SELECT target, count(*) FILTER (WHERE least(abs(p - 0.97), 1 - abs(p - 0.97)) <= 0.05) AS in_circular, count(*) FILTER (WHERE abs(p - 0.97) < 0.05) AS in_plain,
