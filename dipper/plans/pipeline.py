@@ -30,11 +30,11 @@ def photometry_stage(pixels: DataFrame, cadences: DataFrame, sigmas: tuple[float
     return filter_quality(with_joined(with_joined(flux, best, "inner", ("target", "sigma")), cadences, "inner", ("target", "cadence")).select("target", "t", "flux", "quality"))
 
 
-def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = False, min_period: float = 0.5, periods: DataFrame | None = None) -> DataFrame:
+def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = False, min_period: float = 0.5, periods: DataFrame | None = None, pairs: bool = False) -> DataFrame:
     """CLEAN_COLUMNS: detrended and clipped light curves; or one row with an error.
 
     ``masked``: leave the strongest box, of periods from ``min_period`` on, or of given (pid, period) ``periods``, out of
-    the trend; it is searched as in ``bls.search``, by many tasks a target.
+    the trend; it is searched as in ``bls.search``, by many tasks a target. ``pairs``: as in ``detrend_around``.
     """
     lc = filter_nan(lc)
     flat = kept(detrend(lc, window))
@@ -42,7 +42,7 @@ def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = F
         good = flat.where("error is null").select("target", "t", "flux")
         found = bls.search(good, periods, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
         boxes = bls.best_period(found).where("sr >= 1e-6D").select("target", "period", "phase_start", "phase_width")
-        flat = kept(detrend_around(with_joined(lc, flat.where("error is not null").select("target"), "left_anti"), boxes, window).unionByName(flat.where("error is not null")))
+        flat = kept(detrend_around(with_joined(lc, flat.where("error is not null").select("target"), "left_anti"), boxes, window, pairs=pairs).unionByName(flat.where("error is not null")))
     return clip_upper(flat.where("error is null"), sigma).select(*CLEAN_COLUMNS).unionByName(flat.where("error is not null").select(*CLEAN_COLUMNS))
 
 

@@ -970,7 +970,7 @@ def lc_detrend_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detrending that leaves a given box out of the trend."""
     lc = lcs.filter_nan(light_curves(spark, sf_dir))
     boxes_of = lc.select("target").distinct().select("target", F.lit(PERIOD).alias("period"), F.lit(0.2).alias("phase_start"), F.lit(0.1).alias("phase_width"))
-    return rounded(detrending.detrend_around(lc, boxes_of), "flux", "trend")
+    return rounded(detrending.detrend_around(lc, boxes_of, pairs=True), "flux", "trend")
 
 
 _IN_BOX = """CASE WHEN a + w + 0.01::DOUBLE > 1 THEN p >= a - 0.01::DOUBLE OR p < a + w + 0.01::DOUBLE - 1 WHEN a - 0.01::DOUBLE < 0 THEN p >= a - 0.01::DOUBLE + 1 OR p < a + w + 0.01::DOUBLE
@@ -996,7 +996,7 @@ UNION ALL SELECT target, NULL, NULL, NULL, error FROM plain WHERE error IS NOT N
 def lc_masked_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow of ``lc_masked_detrend`` (trend, search, trend without the box found, clipping) on the periods of ``bls_search_list``."""
     periods = spark.range(N_PERIODS).select(F.col("id").alias("pid"), bls.explicit_period(F.col("id")).alias("period"))
-    return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True, periods=periods), "flux", "trend")
+    return rounded(pipeline.clean(light_curves(spark, sf_dir), masked=True, periods=periods, pairs=True), "flux", "trend")
 
 
 @query()
