@@ -11,6 +11,10 @@ from functools import lru_cache
 import numpy as np
 
 
+class TooShort(ValueError):
+    """A run with fewer points than a window."""
+
+
 @lru_cache(maxsize=64)
 def _hat(window: int, order: int) -> np.ndarray:
     """Row i fits a polynomial to the whole window and evaluates it at place i."""
@@ -23,7 +27,7 @@ def savgol(y: np.ndarray, window: int, order: int) -> np.ndarray:
     """Local-polynomial smoothing; half a window at either end follows the polynomial of the last whole window."""
     n, m = len(y), window // 2
     if n < window:
-        raise ValueError(f"{n} points are fewer than a window of {window}")
+        raise TooShort(f"{n} points are fewer than a window of {window}")
     hat = _hat(window, order)
     out = np.empty(n)
     out[m : n - m] = np.convolve(y, hat[m][::-1], mode="valid")
@@ -57,11 +61,36 @@ def detrend_segment(flux: np.ndarray, window: int, order: int, rounds: int, lowe
     return trend
 
 
-def detrend(t: np.ndarray, flux: np.ndarray, window: int = 151, order: int = 3, rounds: int = 2, lower: float = 3.0, gap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(flux over trend, trend), segment by segment; times ascend. Segments shorter than a least window raise."""
+def trend(t: np.ndarray, flux: np.ndarray, window: int = 151, order: int = 3, rounds: int = 2, lower: float = 3.0, gap: float = 0.5) -> np.ndarray:
+    """The trend, segment by segment; times ascend. Segments shorter than a least window raise."""
     cuts = np.flatnonzero(np.diff(t) > gap) + 1
-    trend = np.concatenate([detrend_segment(part, window, order, rounds, lower) for part in np.split(flux, cuts) if len(part)] or [np.zeros(0)])
-    return flux / trend, trend
+    return np.concatenate([detrend_segment(part, window, order, rounds, lower) for part in np.split(flux, cuts) if len(part)] or [np.zeros(0)])
+
+
+def detrend(t: np.ndarray, flux: np.ndarray, window: int = 151, order: int = 3, rounds: int = 2, lower: float = 3.0, gap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(flux over trend, trend) of ``trend``."""
+    own = trend(t, flux, window, order, rounds, lower, gap)
+    return flux / own, own
+
+
+def clip_bounds(flux: np.ndarray, sigma: float = 5.0, rounds: int = 5, both: bool = False) -> tuple[float, float]:
+    """(low, high) of the values that survive ``rounds`` of clipping about the median, above or, with ``both``, on both sides; (-inf, NaN) where NaN or infinite values leave no bounds."""
+    low, high = -np.inf, np.inf
+    for _ in range(rounds):
+        n = len(flux)
+        if not n:
+            break
+        middle = np.partition(flux, [(n - 1) // 2, n // 2])
+        with np.errstate(invalid="ignore"):
+            m, room = middle[(n - 1) // 2] / 2 + middle[n // 2] / 2, sigma * np.std(flux)
+        if np.isnan(m + room):
+            return -np.inf, np.nan
+        low, high = max(low, m - room) if both else low, min(high, m + room)
+        inside = (flux >= low) & (flux <= high)
+        if inside.all():
+            break
+        flux = flux[inside]
+    return float(low), float(high)
 
 
 def clip_upper(flux: np.ndarray, sigma: float = 5.0, rounds: int = 5) -> np.ndarray:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from dipper.sources.store import kept, small
 
-#: Values that one buffer may hold.
-FEW = 100_000
+#: Values that one buffer may hold, and that a task of Python may.
+FEW, WHOLE = 100_000, 2_000_000
 #: Steps of the quantiles that brackets are taken from, and their accuracy.
 STEPS, ACCURACY = 512, 10_000
 #: Bits of a round.

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipper.operators import bls, photometry, report, vetting
-from dipper.operators.detrend import CLEAN_COLUMNS, detrend, detrend_around
+from dipper.operators.detrend import CLEAN_COLUMNS, detrend, detrend_around, fits
 from dipper.operators.lightcurve import clip_upper, filter_nan, filter_quality, with_joined
-from dipper.sources.store import kept
+from dipper.sources.store import kept, small
 
 #: Tables by name; a stage takes those so far and gives those it adds.
 Tables = dict[str, DataFrame]
@@ -37,13 +37,17 @@ def clean(lc: DataFrame, window: int = 151, sigma: float = 5.0, masked: bool = F
     the trend; it is searched as in ``bls.search``, by many tasks a target. ``pairs``: as in ``detrend_around``.
     """
     lc = filter_nan(lc)
-    flat = kept(detrend(lc, window))
+    fit = fits(lc)
+    flat = kept(detrend(lc, window, fit=fit))
     if masked:
         good = flat.where("error is null").select("target", "t", "flux")
         found = bls.search(good, periods, n_bins=200, min_duration=0.05, max_duration=0.3, min_period=min_period, max_fraction=1 / 3)
-        boxes = bls.best_period(found).where("sr >= 1e-6D").select("target", "period", "phase_start", "phase_width")
-        flat = kept(detrend_around(with_joined(lc, flat.where("error is not null").select("target"), "left_anti"), boxes, window, pairs=pairs).unionByName(flat.where("error is not null")))
-    return clip_upper(flat.where("error is null"), sigma).select(*CLEAN_COLUMNS).unionByName(flat.where("error is not null").select(*CLEAN_COLUMNS))
+        # kept, as the steps that read the boxes would each search again
+        boxes = small(bls.best_period(found).where("sr >= 1e-6D").select("target", "period", "phase_start", "phase_width"))
+        failed = small(flat.where("error is not null"))
+        flat = kept(detrend_around(with_joined(lc, failed.select("target"), "left_anti"), boxes, window, pairs=pairs, fit=fit).unionByName(failed))
+    good = flat.where("error is null")
+    return clip_upper(good, sigma, whole=fits(good)).select(*CLEAN_COLUMNS).unionByName(flat.where("error is not null").select(*CLEAN_COLUMNS))
 
 
 def flatten_and_search(lc: DataFrame, window: int = 401, duration: float = 0.1, **options: float) -> DataFrame:
