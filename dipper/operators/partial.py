@@ -128,12 +128,14 @@ def summed(lc: DataFrame, trials: Callable[[float, float], np.ndarray], sums: Ca
         own = {"target": [head["target"]], "n": n, "lo": lo, "hi": hi, "chunk": chunk}
         try:
             every, given = trials(lo, hi), prepare(t, x, w, lo)
-            for part, places in enumerate(_parts(len(every), chunk, chunks)):
-                total = sums(*given, every[places], lo)
-                done = n <= block
-                if done:
-                    total = np.array(finish(total, places, every[places], n, lo, hi), float)
-                yield pd.DataFrame({**own, "part": part, "done": done, "packed": [total.tobytes()], "error": None})
+            parts_of = ((part, places, sums(*given, every[places], lo)) for part, places in enumerate(_parts(len(every), chunk, chunks)))
+            if n <= block:
+                # all parts in one row, as each row is a group of its own afterwards
+                found = [np.array(finish(total, places, every[places], n, lo, hi), float).ravel() for _, places, total in parts_of]
+                yield pd.DataFrame({**own, "part": 0, "done": True, "packed": [np.concatenate([np.zeros(0), *found]).tobytes()], "error": None})
+                return
+            for part, _, total in parts_of:
+                yield pd.DataFrame({**own, "part": part, "done": False, "packed": [total.tobytes()], "error": None})
         except Exception as e:
             if not errors:
                 raise
